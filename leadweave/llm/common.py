@@ -84,3 +84,17 @@ def _clean() -> None:
 def rows_of(table: DataFrame) -> int:
     """Rows of a materialised table; Parquet answers this from its footers."""
     return table.count()
+
+
+#: Rows and bytes up to which a counted table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A broadcast hint for a materialised table that is small; else the table as it is.
+
+    Beyond the bound the join is a shuffled one, which Spark splits where a key is hot.
+    """
+    width = sum(max(8, f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else 32) for f in table.schema)
+    n = table.count()
+    return F.broadcast(table) if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES else table
