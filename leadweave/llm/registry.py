@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadweave.llm import exact_dedup, mixing, packing, sharding, topk, url_filter
+from leadweave.llm import exact_dedup, mixing, packing, quality, sharding, topk, url_filter
 
-MODULES = (packing, url_filter, exact_dedup, topk, sharding, mixing)
+MODULES = (packing, url_filter, exact_dedup, topk, sharding, mixing, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
