@@ -98,3 +98,18 @@ def broadcast_if_small(table: DataFrame) -> DataFrame:
     width = sum(max(8, f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else 32) for f in table.schema)
     n = table.count()
     return F.broadcast(table) if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES else table
+
+
+def batch_slices(batches, texts: int, size: int = 4 << 20):
+    """Parts of Arrow batches whose texts (a column's index) have about this many bytes."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        start = total = 0
+        for i, n in enumerate(pc.binary_length(b.column(texts)).fill_null(0).to_pylist()):
+            total += n + 1
+            if total >= size:
+                yield b.slice(start, i + 1 - start)
+                start, total = i + 1, 0
+        if start < b.num_rows:
+            yield b.slice(start)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadweave.llm import exact_dedup, mixing, packing, pii, quality, sharding, substring_dedup, topk, url_filter
+from leadweave.llm import exact_dedup, jaccard_join, mixing, packing, pii, quality, sharding, substring_dedup, topk, url_filter
 
-MODULES = (packing, url_filter, exact_dedup, topk, sharding, mixing, quality, pii, substring_dedup)
+MODULES = (packing, url_filter, exact_dedup, topk, sharding, mixing, quality, pii, substring_dedup, jaccard_join)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
