@@ -30,7 +30,14 @@ from leadweave.llm.common import pick
 
 CAPACITY, END_ID = 2048, 1
 DOCS_A_GROUP = 20_000
-CACHED_WORDS, CACHED_CHARS = 300_000, 48
+CACHED_WORDS, CACHED_CHARS = 400_000, 48
+
+
+#: How a vocabulary cuts texts for which words are tokenised here.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that NFC keeps, whose lower case is one character, and that are no white space.
+PLAIN_WORD = r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+"
 
 
 class WordTokenizer:
@@ -38,25 +45,66 @@ class WordTokenizer:
 
     For a vocabulary that drops white space and never merges over it, the ids of a text
     are those of its words in order. ASCII white space is white space to it, so texts are
-    cut there. The cache is bounded and just forgets.
+    cut there. A new word of plain characters is cut into its parts here and each part
+    goes to the merge model; any other word goes through the whole tokenizer. The caches
+    are bounded and just forget.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        import json
+
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        made = json.loads(self.tokenizer.to_str())
+        cut, bytewise = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
+        kinds = tuple(n["type"] for n in (made.get("normalizer") or {}).get("normalizers", []))
+        self.special = [t["content"] for t in made["added_tokens"]]
+        self.simple = kinds == NORMALIZERS and cut.get("pattern") == {"Regex": WORD_PARTS} and cut.get("invert") is True and bytewise.get("type") == "ByteLevel" and not bytewise["use_regex"]
+        self.cut, self.plain = regex.compile(WORD_PARTS).findall, regex.compile(PLAIN_WORD).fullmatch
+        self.as_bytes, self.merge = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str, self.tokenizer.model.tokenize
+
+    def _ids(self, word: str) -> bytes:
+        if not self.simple or not self.plain(word) or any(t in word for t in self.special):
+            return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out = b""
+        for part in self.cut(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                text = part if part.isascii() else self.as_bytes(part)[0][0]
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(text)])
+                if len(part) <= CACHED_CHARS:
+                    self.parts[part] = ids
+            out += ids
+        return out
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = list({w for words in split for w in words}.difference(self.known))
-        found = dict(zip(new, (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False))))
-        self.known.update((w, i) for w, i in found.items() if len(w) <= CACHED_CHARS)
-        known, long = self.known, {w: i for w, i in found.items() if len(w) > CACHED_CHARS}
-        for words in split:
-            yield b"".join([known[w] if w in known else long[w] for w in words])
+        for known in (self.words, self.parts):
+            if len(known) > CACHED_WORDS:
+                known.clear()
+        words = self.words
+        for t in texts:
+            out, long = [], {}
+            split = t.split()
+            for w in set(split).difference(words):
+                (words if len(w) <= CACHED_CHARS else long)[w] = self._ids(w.decode())
+            if long:
+                out = [words[w] if w in words else long[w] for w in split]
+            else:
+                out = [words[w] for w in split]
+            yield b"".join(out)
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that later tasks find its words."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -65,10 +113,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tokenize = WordTokenizer(tokenizer_path)
+        tokenize = word_tokenizer(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)

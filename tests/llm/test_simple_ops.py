@@ -77,7 +77,7 @@ def test_exact_dedup_of_nothing(empty):
 def test_words_tokenise_as_texts():
     whole, texts = Tokenizer.from_file(VOCABULARY), [t or "" for _, t, *_ in rows()]
     r = random.Random(1)
-    texts += ["".join(r.choice("aA é'1\u0301ß\t\n\u2028_.<|>\x85\x1f") for _ in range(60)) for _ in range(300)]
+    texts += ["".join(r.choice("aA é'1\u0301ß\t\n\u2028_.<|>\x85\x1fİ²½ŒsSǅ中ªΣ'tve\u00ad\u00a0") for _ in range(60)) for _ in range(300)]
     got = [np.frombuffer(x, "<u4").tolist() for x in WordTokenizer(VOCABULARY)([t.encode() for t in texts])]
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
