@@ -216,6 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
     return train(with_neighbours(x, each), np.concatenate(weight).astype(float), each, np.array([r.quality for r in rows]))
 
 
+def text_scores(field: Field, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, lines, and lines more likely bad of each text."""
+    x, weight, each = line_features(texts)
+    x, first = with_neighbours(x, each), np.cumsum(each) - each
+    p = field.marginals(x, each)
+    q = np.add.reduceat(p * weight, first) / np.add.reduceat(weight, first)
+    return field.score(q), each, np.add.reduceat((p < 0.5).astype(np.int64), first)
+
+
 def score(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, score, predicted, and lines labelled bad, of every row."""
 
@@ -223,12 +232,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                x, weight, each = line_features([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
-                x, first = with_neighbours(x, each), np.cumsum(each) - each
-                p = field.marginals(x, each)
-                q = np.add.reduceat(p * weight, first) / np.add.reduceat(weight, first)
-                s = field.score(q)
-                bad = np.add.reduceat((p < 0.5).astype(np.int64), first)
+                s, each, bad = text_scores(field, [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
                 cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(each), pa.array(bad)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted", "n_lines", "n_bad_lines"])
 
