@@ -9,10 +9,11 @@ from leadweave.schemas import LEAD
 
 
 def json_records(spark: SparkSession, paths: str | list[str], schema: str = LEAD) -> tuple[DataFrame, DataFrame]:
-    """Records of JSON arrays (files or globs) with their file, and the texts that aren't valid."""
+    """Records of JSON arrays (files or globs) with their file, and the texts that aren't valid
+    with what could be read of them."""
     d = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(paths)
     d = d.withColumn("source_file", F.input_file_name())
-    return d.filter("_corrupt IS NULL").drop("_corrupt"), d.filter("_corrupt IS NOT NULL").select("source_file", "_corrupt")
+    return d.filter("_corrupt IS NULL").drop("_corrupt"), d.filter("_corrupt IS NOT NULL")
 
 
 def _fs(spark: SparkSession, path: str):
