@@ -9,11 +9,21 @@ from leadweave.schemas import LEAD
 
 
 def json_records(spark: SparkSession, paths: str | list[str], schema: str = LEAD) -> tuple[DataFrame, DataFrame]:
-    """Records of JSON arrays (files or globs) with their file, and the texts that aren't valid
-    with what could be read of them."""
-    d = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(paths)
-    d = d.withColumn("source_file", F.input_file_name())
-    return d.filter("_corrupt IS NULL").drop("_corrupt"), d.filter("_corrupt IS NOT NULL")
+    """Records of JSON arrays (files or globs) with their file, and the texts that are no arrays.
+
+    A file is one array and thus one row, whichever way it is read.
+    """
+    d = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("source_file"), F.col("value").alias("raw"))
+    array = F.when(F.ltrim("raw").startswith("["), F.from_json("raw", f"array<struct<{_as_fields(schema)}>>", {"mode": "PERMISSIVE"}))
+    d = d.withColumn("records", array)
+    return d.filter("records IS NOT NULL").select("source_file", F.explode("records").alias("r")).select("r.*", "source_file"), d.filter("records IS NULL").select("source_file", "raw")
+
+
+def _as_fields(schema: str) -> str:
+    """Columns `a string, b array<c:int>` as the fields of a struct."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
 
 
 def _fs(spark: SparkSession, path: str):
