@@ -8,6 +8,9 @@ list is split by a cap. Within lists the group counts are points: an R-tree over
 bounds every overlap by the sum of the coordinates' minima, and the pairs that survive
 are verified on their whole shingle sets.
 
+Linked sets share not one but many of their groups; how many at least follows from size and
+empty groups. Documents and pairs that share fewer are out before any text is read.
+
 Only components are asked for, so most pairs need no check: two rounds first check each
 document against one neighbour of its lists, the linked ones get a common label, and
 lists whose members all have one label are done. The R-tree then joins what is left:
@@ -118,11 +121,28 @@ def _digests(value: np.ndarray, cut: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+def shared_at_least(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """How many filled groups each set has in common with any linked one, at least.
+
+    Of a level's groups, those that differ are bounded by the differing shingles, and those
+    that are empty in both by the set's own empty ones.
+    """
+    n = np.diff(cut)
+    own, out = levels_of(n), np.full(len(n), np.iinfo(np.int64).max)
+    for here, level in ((n > 0, own), (in_next(n, own), own + 1)):
+        at = np.flatnonzero(here)
+        filled = np.bincount(grouped(value, cut, at, level[at])[0], minlength=len(at))
+        partner = np.minimum(LEVELS[level[at] + 1] - 1, n[at] * 100 // PERCENT)
+        differ = (n[at] + partner) * (100 - PERCENT) // (100 + PERCENT)
+        out[at] = np.minimum(out[at], filled - differ)
+    return np.maximum(out, 1)
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to doc_id, set size and digest of the set."""
+    """(doc_id, text) to doc_id, set size, digest of the set, and groups shared with partners."""
     for part in batch_slices(batches, 1):
         value, cut = shingle_sets([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cut)), pa.array(_digests(value, cut), pa.binary())], names=["doc_id", "n", "digest"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cut)), pa.array(_digests(value, cut), pa.binary()), pa.array(shared_at_least(value, cut))], names=["doc_id", "n", "digest", "need"])
 
 
 def _dealt(buckets: int):
@@ -250,22 +270,25 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, i in enumerate(at):
                 p = np.zeros(GROUPS[level[i]], dtype=np.uint8)
                 p[group[edge[k] : edge[k + 1]]] = np.minimum(count[edge[k] : edge[k + 1]], 255)
-                rows.append((ids[i], int(level[i]), int(n[i]), p.tobytes()))
+                rows.append((ids[i], int(level[i]), int(own[i]), int(n[i]), p.tobytes()))
         if rows:
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["doc_id", "level", "size", "point"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["doc_id", "level", "own", "size", "point"])
 
 
 def _join_points(t: pa.Table) -> pa.Table:
-    """Surviving pairs of one list, level and pair of blocks."""
-    doc, label, size, side = (t.column(c).to_numpy() for c in ("doc_id", "label", "size", "side"))
+    """Surviving pairs of one list, level and pair of blocks, with the list's weight. A pair is
+    joined at the level of its larger set only."""
+    doc, label, size, side, own = (t.column(c).to_numpy() for c in ("doc_id", "label", "size", "side", "own"))
+    level, weight = t.column("level")[0].as_py(), t.column("weight")[0].as_py()
     point = np.stack([np.frombuffer(x, dtype=np.uint8) for x in t.column("point").to_pylist()])
     a, b = [], []
     for i, j in rtree_pairs(point, size, label):
-        ok = (doc[i] != doc[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        ok = (doc[i] != doc[j]) & ((side[i] < 0) | (side[i] != side[j])) & (np.maximum(own[i], own[j]) == level)
         a.append(np.minimum(doc[i], doc[j])[ok])
         b.append(np.maximum(doc[i], doc[j])[ok])
-    return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "weight": pa.array(np.full(len(a), weight), pa.int64())})
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -287,61 +310,82 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists with members of several labels: list, weight, members (doc_id, label) in order."""
+def _relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists with members of several labels: docs and their labels (m: doc_id, label)."""
     member = lists.select("list", "weight", F.explode("docs").alias("doc_id")).join(labels, "doc_id", "left")
     member = member.select("list", "weight", F.struct("doc_id", F.coalesce("label", "doc_id").alias("label")).alias("m"))
     out = member.groupBy("list", "weight").agg(F.sort_array(F.collect_set("m")).alias("m"), F.min("m.label").alias("a"), F.max("m.label").alias("z"))
-    return out.filter(F.col("a") < F.col("z")).select("list", "weight", "m")
+    return out.filter(F.col("a") < F.col("z")).select("list", "weight", "m", F.col("m.doc_id").alias("docs"))
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """For each b the a that shares the most signatures with it."""
+def _enough(lists: DataFrame, need: DataFrame) -> DataFrame:
+    """Lists without the documents that share too few groups in all lists together; lists that
+    have become equal are one."""
+    member = lists.select("list", "weight", F.explode("docs").alias("doc_id"))
+    sure = member.groupBy("doc_id").agg(F.sum("weight").alias("w")).join(need, "doc_id").filter(F.col("w") >= F.col("need")).select("doc_id")
+    back = member.join(sure, "doc_id").groupBy("list", "weight").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).filter(F.size("docs") > 1)
+    return back.groupBy("docs").agg(F.min("list").alias("list"), F.sum("weight").alias("weight")).select("list", "weight", "docs")
+
+
+def _likely(pairs: DataFrame, need: DataFrame) -> DataFrame:
+    """Pairs (a, b, weight) that share as many groups as both must: a, b, w."""
     shared = pairs.groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    return shared.groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
+    for end in ("a", "b"):
+        shared = shared.join(need.select(F.col("doc_id").alias(end), F.col("need")), end).filter(F.col("w") >= F.col("need")).drop("need")
+    return shared.select("a", "b", "w")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each b the a that shares the most groups with it."""
+    return pairs.groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    seen = materialize(rows.mapInArrow(_survey, "doc_id long, n long, digest binary"), "sets")
+    seen = materialize(rows.mapInArrow(_survey, "doc_id long, n long, digest binary, need long"), "sets")
     some = seen.filter("n > 0 AND doc_id IS NOT NULL")
     total = some.agg(F.sum("n")).first()[0] or 0
-    least = some.groupBy("digest").agg(F.min("doc_id").alias("a"))
+    least = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("a")), "least")  # so that the join can be split
     links = some.join(least, "digest").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     links = materialize(links, "same")
+    need = some.groupBy("doc_id").agg(F.min("need").alias("need"))
 
     buckets = max(MIN_BUCKETS, total * 11 // 20 // SIGNATURES_A_BUCKET + 1)
     known = rows.filter("doc_id IS NOT NULL AND text <> ''")
     dealt = known.mapInArrow(_dealt(buckets), "bucket long, n int, docs int, data binary")
     lists = dealt.groupBy("bucket").applyInArrow(_lists, "list long, weight long, docs array<long>")
     lists = materialize(lists.groupBy("list").agg(F.first("docs").alias("docs"), F.sum("weight").alias("weight")), "lists")
-    texts = materialize(known.join(lists.select(F.explode("docs").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), "listed")
+    for _ in range(2):
+        lists = materialize(_enough(lists, need), "enough")
+    need = materialize(need.join(lists.select(F.explode("docs").alias("doc_id")).distinct(), "doc_id"), "need")
+    texts = materialize(known.join(need.select("doc_id"), "doc_id").select("doc_id", "text"), "listed")
 
     pairs = lists.select("weight", F.col("docs")[0].alias("a"), F.explode(F.slice("docs", 2, F.greatest(F.size("docs") - 1, F.lit(0)))).alias("b"))
-    labels = None
     for k in range(LEADER_ROUNDS + 1):
         if k:
             labels = components(links)
-            lists = materialize(_open_lists(lists.select("list", "weight", "docs"), labels).select("list", "weight", F.col("m.doc_id").alias("docs"), "m"), "open")
+            open_ = materialize(_relabelled(lists, labels), "open")
+            lists = materialize(_relabelled(_enough(open_, need), labels), "open")
             if k == LEADER_ROUNDS or not lists.limit(1).count():
                 break
             near = F.transform(F.slice("m", 2, F.size("m") - 1), lambda x, i: F.struct(F.get(F.col("m"), i).alias("x"), x.alias("y")))
             near = F.filter(near, lambda p: p["x"]["label"] != p["y"]["label"])
             pairs = lists.select("weight", F.explode(near).alias("p")).select("weight", F.col("p.x.doc_id").alias("a"), F.col("p.y.doc_id").alias("b"))
-        links = materialize(links.union(verified(_best(pairs), texts)), "links")
+        links = materialize(links.union(verified(_best(_likely(pairs, need)), texts)), "links")
 
     # what is left: all pairs of a list whose labels differ
-    member = lists.select("list", F.explode("m").alias("m"), (F.floor((F.size("m") - 1) / BLOCK) + 1).cast("int").alias("blocks")).select("list", "blocks", "m.*")
-    points = texts.join(member.select("doc_id").distinct(), "doc_id").mapInArrow(_points, "doc_id long, level int, size long, point binary")
+    member = lists.select("list", "weight", F.explode("m").alias("m"), (F.floor((F.size("m") - 1) / BLOCK) + 1).cast("int").alias("blocks")).select("list", "weight", "blocks", "m.*")
+    points = texts.join(member.select("doc_id").distinct(), "doc_id").mapInArrow(_points, "doc_id long, level int, own int, size long, point binary")
     member = member.join(materialize(points, "points"), "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     member = member.select("*", mine.alias("mine"), other)
     member = member.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     side = F.when(F.col("lo") == F.col("hi"), -1).otherwise(F.col("mine"))  # between two blocks only pairs across
-    member = member.select("list", "level", "lo", "hi", side.cast("int").alias("side"), "doc_id", "label", "size", "point")
-    left = member.groupBy("list", "level", "lo", "hi").applyInArrow(_join_points, "a long, b long").distinct()
+    member = member.select("list", "weight", "level", "lo", "hi", side.cast("int").alias("side"), "doc_id", "label", "own", "size", "point")
+    left = member.groupBy("list", "level", "lo", "hi").applyInArrow(_join_points, "a long, b long, weight long")
+    left = materialize(_likely(left, need).select("a", "b"), "left")
     links = links.union(verified(left, texts))
     final = components(links)
     out = seen.join(final, "doc_id", "left")
