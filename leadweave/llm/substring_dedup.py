@@ -213,7 +213,8 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     seen = rows.mapInArrow(_survey, "doc_id long, d long, key long, n_words long, sha binary, low array<long>, at array<int>, n array<int>")
     seen = materialize(seen, "survey")
     small = seen.select("doc_id", "d", "key", "n_words", "sha")
-    least = small.groupBy("sha").agg(F.min("d").alias("least"))
+    # written first: a join with two exchanges of its own is one that Spark can split at a hot key
+    least = materialize(small.groupBy("sha").agg(F.min("d").alias("least")), "least")
     small = materialize(small.join(least, "sha").withColumn("copy", (F.col("d") > F.col("least")) & (F.col("n_words") >= WINDOW)).drop("least"), "copies")
 
     # the smallest of each group of equal texts, once for each id and text
