@@ -86,8 +86,8 @@ def text_person_lines(spark, sf_dir):
 def _leads(spark, sf_dir):
     t = F.col("text")
     return _docs(spark, sf_dir).select(
-        F.col("doc_id").alias("ord"), F.trim(F.substring(F.substring_index(t, "\n", 1), 1, 24)).alias("company_name"), F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("https://www."), F.lower("source"), F.lit(".example.com/"))).alias("website"),
-        E.emails_in(t).alias("emails"), E.phones_in(t).alias("phones"), F.col("lang").alias("industry"), F.lit(None).cast("array<struct<name:string,designation:string>>").alias("people"), F.col("source"),
+        F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(F.col("doc_id") % 11 == 0, F.lit("Top 10 widget makers")).otherwise(F.trim(F.substring(F.substring_index(t, "\n", 1), 1, 24))).alias("company_name"), F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("https://www."), F.lower("source"), F.lit(".example.com/"))).alias("website"),
+        F.concat(E.emails_in(t), F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("logo@2x.png"), F.lit("info@example"))).otherwise(F.array().cast("array<string>"))).alias("emails"), E.phones_in(t).alias("phones"), F.col("lang").alias("industry"), F.lit(None).cast("array<struct<name:string,designation:string>>").alias("people"), F.col("source"),
     )
 
 
@@ -144,3 +144,10 @@ ORACLES["jaccard_topk"] = f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')}
     x AS (SELECT doc_id, item_id, term, len(list_intersect(w, v)) AS common, 0.6 * len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v))) + 0.4 * roi / 10 AS score FROM d, b),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rn FROM x WHERE common > 0)
     SELECT doc_id, item_id, CAST(common AS BIGINT) AS common, round_even(CAST(score AS DOUBLE), 9) AS score FROM r WHERE rn <= 3"""
+_LISTING = f"regexp_matches(lower(name), '{_alt(C.LISTING_TITLE)}') OR name = ''"
+ORACLES["clean_flags"] = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'Top 10 widget makers' ELSE trim(left({_FIRST_LINE}, 24)) END AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'https://www.' || lower(source) || '.example.com/' END AS site, regexp_extract_all(text, '{_EM}') || CASE WHEN doc_id % 5 = 0 THEN ['logo@2x.png', 'info@example'] ELSE [] END AS e, {_PHONES} AS p FROM documents),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), lower(site) ORDER BY doc_id) AS rn FROM d) WHERE rn = 1),
+    m AS (SELECT doc_id, email, {_STATUS} AS status FROM (SELECT doc_id, unnest(e) AS email FROM k)),
+    f AS (SELECT 'directory_or_article_page' AS tag FROM k WHERE {_LISTING} UNION ALL SELECT 'email_' || status FROM m WHERE status <> 'ok'
+      UNION ALL SELECT 'sparse_no_contact_channel' FROM k WHERE site = '' AND len(p) = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = k.doc_id AND status = 'ok') AND (length(name) < 2 OR {_LISTING}))
+    SELECT tag, count(*) AS n FROM f GROUP BY tag"""

@@ -192,3 +192,14 @@ ORACLES = {
     "event_windows": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "revenue_by_nation": "SELECT n_name, count(*) AS lines, round_even(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
 }
+
+_STEPS = f"e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CAST({_SEC} AS DOUBLE) AS t, event_type = 'error' AS f FROM events)"
+ORACLES["breaker_states"] = f"""WITH RECURSIVE {_STEPS},
+    s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'CLOSED' AS st, CAST(0 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS u, CAST(0 AS BIGINT) AS n FROM events UNION ALL
+      SELECT user_id, i, CASE WHEN x = 'OPEN' OR o THEN 'OPEN' ELSE 'CLOSED' END, CASE WHEN x = 'OPEN' THEN p WHEN x = 'HALF_OPEN' THEN CASE WHEN f THEN p ELSE 0 END WHEN f THEN p + 4 ELSE greatest(0, p - 1) END, CASE WHEN o THEN t + 600 ELSE u END, n + CAST(o AS BIGINT)
+      FROM (SELECT *, f AND (x = 'HALF_OPEN' OR (x = 'CLOSED' AND p + 4 >= 10)) AS o FROM (SELECT s.user_id, e.i, s.p, s.u, s.n, e.t, e.f, CASE WHEN s.st = 'OPEN' AND e.t >= s.u THEN 'HALF_OPEN' ELSE s.st END AS x FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)))
+    SELECT user_id, arg_max(st, i) AS state, arg_max(p, i) AS points, arg_max(n, i) AS trips FROM s GROUP BY user_id"""
+ORACLES["token_buckets"] = f"""WITH RECURSIVE {_STEPS},
+    s AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(3 AS DOUBLE) AS k, min(t) FILTER (i = 1) AS last, CAST(0 AS BIGINT) AS n FROM e GROUP BY user_id UNION ALL
+      SELECT user_id, i, CASE WHEN h >= 1 THEN h - 1 ELSE h END, t, n + CAST(h >= 1 AS BIGINT) FROM (SELECT s.user_id, e.i, e.t, s.n, least(3.0, s.k + greatest(0.0, e.t - s.last) * (1 / CAST(36000 AS DOUBLE))) AS h FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+    SELECT user_id, max(i) AS requests, max(n) AS passed FROM s GROUP BY user_id"""
