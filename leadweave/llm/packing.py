@@ -30,12 +30,14 @@ from leadweave.llm.common import pick
 
 CAPACITY, END_ID = 2048, 1
 DOCS_A_GROUP = 20_000
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+CACHED_WORDS, CACHED_CHARS = 300_000, 48
 
 
 #: How a vocabulary cuts texts for which words are tokenised here.
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters at a word's end that are no letters or digits.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters that NFC keeps, whose lower case is one character, and that are no white space.
 PLAIN_WORD = r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+"
 
@@ -56,7 +58,7 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), _Words(self), {}
         made = json.loads(self.tokenizer.to_str())
         cut, bytewise = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
         kinds = tuple(n["type"] for n in (made.get("normalizer") or {}).get("normalizers", []))
@@ -65,36 +67,59 @@ class WordTokenizer:
         self.cut, self.plain = regex.compile(WORD_PARTS).findall, regex.compile(PLAIN_WORD).fullmatch
         self.as_bytes, self.merge = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str, self.tokenizer.model.tokenize
 
-    def _ids(self, word: str) -> bytes:
-        if not self.simple or not self.plain(word) or any(t in word for t in self.special):
+    def _cut(self, word: str) -> list[str]:
+        """Parts of a plain word, lower case; most are letters with some marks at the end."""
+        word = word.lower()
+        core = word.rstrip(MARKS)
+        if core.isalpha():
+            return [core, word[len(core) :]] if len(core) < len(word) else [core]
+        return self.cut(word)
+
+    def ids(self, raw: bytes) -> bytes:
+        """Ids of one word."""
+        word = raw.decode()
+        if not self.simple or not self.plain(word) or ("<" in word and any(t in word for t in self.special)):
             return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = b""
-        for part in self.cut(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
+        for part in self._cut(word):
+            known = self.parts.get(part)
+            if known is None:
                 text = part if part.isascii() else self.as_bytes(part)[0][0]
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(text)])
+                known = b"".join([t.id.to_bytes(4, "little") for t in self.merge(text)])
                 if len(part) <= CACHED_CHARS:
-                    self.parts[part] = ids
-            out += ids
+                    self.parts[part] = known
+            out += known
         return out
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        for known in (self.words, self.parts):
-            if len(known) > CACHED_WORDS:
-                known.clear()
-        words = self.words
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.words.age()
+        known = self.words.__getitem__
         for t in texts:
-            out, long = [], {}
-            split = t.split()
-            for w in set(split).difference(words):
-                (words if len(w) <= CACHED_CHARS else long)[w] = self._ids(w.decode())
-            if long:
-                out = [words[w] if w in words else long[w] for w in split]
-            else:
-                out = [words[w] for w in split]
-            yield b"".join(out)
+            yield b"".join(map(known, t.split()))
+
+
+class _Words(dict):
+    """Ids by word. When it has grown, only the words that are asked for again stay."""
+
+    def __init__(self, tokenizer: WordTokenizer) -> None:
+        super().__init__()
+        self.make, self.old = tokenizer.ids, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= CACHED_CHARS:
+            self[word] = ids
+        return ids
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
