@@ -100,7 +100,7 @@ def broadcast_if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES else table
 
 
-def batch_slices(batches, texts: int, size: int = 4 << 20):
+def batch_slices(batches, texts: int, size: int = 2 << 20):
     """Parts of Arrow batches whose texts (a column's index) have about this many bytes."""
     import pyarrow.compute as pc
 

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadweave.llm.common import batch_slices, materialize, pick
@@ -38,7 +38,7 @@ from leadweave.llm.words import gram_hashes, mix64, words
 
 SHINGLE, PERCENT = 5, 80
 SIGNATURES_A_BUCKET, MIN_BUCKETS = 600_000, 64
-NODE, BLOCK = 32, 1024
+NODE, BLOCK, FINE = 32, 1024, 4  # points have so many coordinates for each group
 LEADER_ROUNDS = 2
 
 
@@ -87,12 +87,13 @@ def in_next(n: np.ndarray, level: np.ndarray) -> np.ndarray:
     return (level >= 0) & (n * 100 // PERCENT >= LEVELS[level + 1])
 
 
-def grouped(value: np.ndarray, cut: np.ndarray, docs: np.ndarray, level: np.ndarray):
-    """Filled groups of the given sets at the given levels: position in docs, group, count, sum."""
+def grouped(value: np.ndarray, cut: np.ndarray, docs: np.ndarray, level: np.ndarray, fine: int = 1):
+    """Filled groups of the given sets at the given levels: position in docs, group, count, sum.
+    fine: each group is cut into so many."""
     n = cut[docs + 1] - cut[docs]
     owner = np.repeat(np.arange(len(docs)), n)
     v = value[np.repeat(cut[docs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    group = ((v >> np.uint64(32)) * GROUPS[level][owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    group = ((v >> np.uint64(32)) * (fine * GROUPS[level])[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (group[1:] != group[:-1])]) if len(v) else np.zeros(0, dtype=np.int64)
     total = np.add.reduceat(mix64(v), new) if len(v) else v
     return owner[new], group[new], np.diff(np.r_[new, len(v)]), total
@@ -235,22 +236,22 @@ def rtree_pairs(points: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iter
     the smallest sizes demand; then each pair of points is bounded in the same way.
     """
     order = np.argsort(size, kind="stable")
-    p, n, lab = np.where(points[order] == 255, 65535, points[order].astype(np.int32)), size[order], label[order]
+    p, n, lab = np.where(points[order] == 255, np.uint16(65535), points[order].astype(np.uint16)), size[order], label[order]
     nodes = [(a, min(a + NODE, len(n))) for a in range(0, len(n), NODE)]
     box = np.stack([p[a:b].max(axis=0) for a, b in nodes]) if nodes else p
     need = lambda x, y: -(-PERCENT * (x + y) // (100 + PERCENT))
     low, high = np.array([n[a] for a, _ in nodes]), np.array([n[b - 1] for _, b in nodes])
     for i, (a, b) in enumerate(nodes):
         close = np.flatnonzero(low[i:] * PERCENT <= high[i] * 100) + i
-        reach = np.minimum(box[i], box[close]).sum(axis=1)
+        reach = np.minimum(box[i], box[close]).sum(axis=1, dtype=np.int64)
         for j in close[reach >= need(low[i], low[close])]:
             c, d = nodes[j]
             x, y = np.nonzero(lab[a:b, None] != lab[None, c:d])
             if i == j:
                 x, y = x[x < y], y[x < y]
-            for s in range(0, len(x), 4096):
-                u, v = a + x[s : s + 4096], c + y[s : s + 4096]
-                ok = np.minimum(p[u], p[v]).sum(axis=1) >= need(n[u], n[v])
+            for s in range(0, len(x), 1024):
+                u, v = a + x[s : s + 1024], c + y[s : s + 1024]
+                ok = np.minimum(p[u], p[v]).sum(axis=1, dtype=np.int64) >= need(n[u], n[v])
                 if ok.any():
                     yield order[u[ok]], order[v[ok]]
 
@@ -265,10 +266,10 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for here, level in ((n > 0, own), (in_next(n, own), own + 1)):
             at = np.flatnonzero(here)
-            pos, group, count, _ = grouped(value, cut, at, level[at])
+            pos, group, count, _ = grouped(value, cut, at, level[at], FINE)
             edge = np.searchsorted(pos, np.arange(len(at) + 1))
             for k, i in enumerate(at):
-                p = np.zeros(GROUPS[level[i]], dtype=np.uint8)
+                p = np.zeros(FINE * GROUPS[level[i]], dtype=np.uint8)
                 p[group[edge[k] : edge[k + 1]]] = np.minimum(count[edge[k] : edge[k + 1]], 255)
                 rows.append((ids[i], int(level[i]), int(own[i]), int(n[i]), p.tobytes()))
         if rows:
@@ -277,10 +278,10 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_points(t: pa.Table) -> pa.Table:
-    """Surviving pairs of one list, level and pair of blocks, with the list's weight. A pair is
-    joined at the level of its larger set only."""
+    """Surviving pairs of one list, level and pair of blocks. A pair is joined at the level of
+    its larger set only."""
     doc, label, size, side, own = (t.column(c).to_numpy() for c in ("doc_id", "label", "size", "side", "own"))
-    level, weight = t.column("level")[0].as_py(), t.column("weight")[0].as_py()
+    level = t.column("level")[0].as_py()
     point = np.stack([np.frombuffer(x, dtype=np.uint8) for x in t.column("point").to_pylist()])
     a, b = [], []
     for i, j in rtree_pairs(point, size, label):
@@ -288,7 +289,7 @@ def _join_points(t: pa.Table) -> pa.Table:
         a.append(np.minimum(doc[i], doc[j])[ok])
         b.append(np.maximum(doc[i], doc[j])[ok])
     a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "weight": pa.array(np.full(len(a), weight), pa.int64())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -327,6 +328,22 @@ def _enough(lists: DataFrame, need: DataFrame) -> DataFrame:
     return back.groupBy("docs").agg(F.min("list").alias("list"), F.sum("weight").alias("weight")).select("list", "weight", "docs")
 
 
+def _rarest(lists: DataFrame, need: DataFrame) -> DataFrame:
+    """Lists (m: doc_id, label), each document only in its smallest ones.
+
+    A linked pair shares at least `need` groups. So of all its groups in the order of list
+    sizes, a document can leave out the last need - 1: the first list that the pair shares
+    comes before them, for either of the two.
+    """
+    member = lists.select("list", "weight", F.size("m").alias("members"), F.explode("m").alias("m")).withColumn("doc_id", F.col("m.doc_id"))
+    own = Window.partitionBy("doc_id")
+    before = F.coalesce(F.sum("weight").over(own.orderBy("members", "list").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    member = member.join(need, "doc_id").withColumn("before", before).withColumn("all", F.sum("weight").over(own))
+    member = member.filter(F.col("before") <= F.col("all") - F.col("need"))
+    out = member.groupBy("list").agg(F.sort_array(F.collect_set("m")).alias("m"), F.min("m.label").alias("a"), F.max("m.label").alias("z"))
+    return out.filter(F.col("a") < F.col("z")).select("list", "m")
+
+
 def _likely(pairs: DataFrame, need: DataFrame) -> DataFrame:
     """Pairs (a, b, weight) that share as many groups as both must: a, b, w."""
     shared = pairs.groupBy("a", "b").agg(F.sum("weight").alias("w"))
@@ -375,7 +392,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         links = materialize(links.union(verified(_best(_likely(pairs, need)), texts)), "links")
 
     # what is left: all pairs of a list whose labels differ
-    member = lists.select("list", "weight", F.explode("m").alias("m"), (F.floor((F.size("m") - 1) / BLOCK) + 1).cast("int").alias("blocks")).select("list", "weight", "blocks", "m.*")
+    lists = materialize(_rarest(lists, need), "rarest")
+    member = lists.select("list", F.explode("m").alias("m"), (F.floor((F.size("m") - 1) / BLOCK) + 1).cast("int").alias("blocks")).select("list", "blocks", "m.*")
     points = texts.join(member.select("doc_id").distinct(), "doc_id").mapInArrow(_points, "doc_id long, level int, own int, size long, point binary")
     member = member.join(materialize(points, "points"), "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -383,9 +401,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     member = member.select("*", mine.alias("mine"), other)
     member = member.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     side = F.when(F.col("lo") == F.col("hi"), -1).otherwise(F.col("mine"))  # between two blocks only pairs across
-    member = member.select("list", "weight", "level", "lo", "hi", side.cast("int").alias("side"), "doc_id", "label", "own", "size", "point")
-    left = member.groupBy("list", "level", "lo", "hi").applyInArrow(_join_points, "a long, b long, weight long")
-    left = materialize(_likely(left, need).select("a", "b"), "left")
+    member = member.select("list", "level", "lo", "hi", side.cast("int").alias("side"), "doc_id", "label", "own", "size", "point")
+    left = member.groupBy("list", "level", "lo", "hi").applyInArrow(_join_points, "a long, b long")
+    left = materialize(left.distinct(), "left")
     links = links.union(verified(left, texts))
     final = components(links)
     out = seen.join(final, "doc_id", "left")
