@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 TYPES = {"doc_id": LongType(), "page_id": LongType(), "vec_id": LongType(), "text": StringType(), "url": StringType(), "lang": StringType(), "source": StringType()}
 
-_made: list[tuple[SparkSession, str]] = []
+#: Written tables that still exist: path to session, and table to path.
+_made: dict[str, SparkSession] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def pick(df: DataFrame, *names: str, types: dict[str, DataType] | None = None) -> DataFrame:
@@ -44,10 +48,13 @@ def pick(df: DataFrame, *names: str, types: dict[str, DataType] | None = None) -
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a folder of this user is set.
+    Where that is unset, a folder of this machine is set, but only for a local master: on a
+    cluster each host would have another one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "/tmp/leadweave-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,34 +63,61 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: the lineage ends here.
 
-    An executor lost later costs nothing that was written. The table goes when the
-    driver ends, or with release().
+    An executor lost later costs nothing that was written. The shuffle files of the write
+    are not needed any more and go with its end. The table goes with release(), or when
+    the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lw-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not _made:
         atexit.register(_clean)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialised tables after their last reader; others are passed over."""
+    for t in tables:
+        path = _path_of.pop(t, None)
+        if path is not None:
+            _delete(path)
+
+
+def leftovers() -> set[str]:
+    """Paths of the written tables that still exist."""
+    return set(_made)
+
+
+def settled(make, label: str) -> DataFrame:
+    """The rows of make() as one written table; the tables that make() wrote itself are gone."""
+    before = leftovers()
+    out = materialize(make(), label)
+    for path in leftovers() - before - {_path_of[out]}:
+        _delete(path)
+    return out
+
+
+def _delete(path: str) -> None:
+    sc = _made.pop(path).sparkContext
+    if sc._jsc is not None:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, path in _made:
+    for path in list(_made):
         try:
-            sc = spark.sparkContext
-            if sc._jsc is None:
-                continue
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path)
         except Exception:  # noqa: BLE001  the session is already gone
             return
-    _made.clear()
-
-
-def rows_of(table: DataFrame) -> int:
-    """Rows of a materialised table; Parquet answers this from its footers."""
-    return table.count()
 
 
 #: Rows and bytes up to which a counted table may be broadcast.

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from leadweave.llm import jaccard_join as jj
+from leadweave.llm.common import leftovers
 
 
 def shingles(text):
@@ -79,32 +80,66 @@ def test_linked_sets_share_a_signature():
         if not jj.linked(a, b):
             continue
         value, cut = np.r_[a, b], np.array([0, len(a), len(a) + len(b)])
-        doc, sig = jj.signatures(value, cut, np.array([0, 1]))
+        doc, sig, _ = jj.signatures(value, cut, np.array([0, 1]))
         both = len(set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()))
         assert both >= max(jj.shared_at_least(value, cut))
 
 
-def test_rtree_loses_no_pair():
+@pytest.mark.parametrize("top", [6, 300])
+def test_rtree_loses_no_pair(top):
     r = np.random.default_rng(5)
-    base = r.integers(0, 6, (12, 40))
-    points = np.clip(np.repeat(base, 12, axis=0) + r.integers(-1, 2, (144, 40)) * (r.random((144, 40)) < 0.2), 0, 254).astype(np.uint8)
-    size, label = points.sum(axis=1).astype(np.int64), r.integers(0, 50, 144)
-    got = {(min(i, j), max(i, j)) for a, b in jj.rtree_pairs(points, size, label) for i, j in zip(a.tolist(), b.tolist())}
-    p = points.astype(int)
-    want = {(i, j) for i in range(144) for j in range(i) if label[i] != label[j] and 180 * np.minimum(p[i], p[j]).sum() >= 80 * (size[i] + size[j])}
-    assert got == {(min(x), max(x)) for x in want} and want
-
-
-@pytest.mark.parametrize("rounds", [2, 1])
-def test_equals_all_pairs(spark, rows, rounds, monkeypatch):
-    monkeypatch.setattr(jj, "LEADER_ROUNDS", rounds)
-    monkeypatch.setattr(jj, "BLOCK", 16 if rounds == 1 else 1024)
-    d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, TEXT string").repartition(5)
+    base = r.integers(0, top, (12, 40))
+    points = np.clip(np.repeat(base, 20, axis=0) + r.integers(-1, 2, (240, 40)) * (r.random((240, 40)) < 0.2), 0, 255).astype(np.uint8)
+    size, label, doc = points.sum(axis=1).astype(np.int64), r.integers(0, 50, 240), r.permutation(240)
+    tree = jj.CountTree(points, size, node=8)
+    p = np.where(points == 255, 65535, points.astype(int))
+    want = {(i, j) for i in range(240) for j in range(i) if label[i] != label[j] and 180 * np.minimum(p[i], p[j]).sum() >= 80 * (size[i] + size[j]) and min(size[i], size[j]) * 100 >= 80 * max(size[i], size[j])}
+    got = {(max(i, j), min(i, j)) for i, j, _ in jj.search(tree, doc, label, "all")}
+    assert got == want and want
+    for how in ("first", "nearest"):
+        some = jj.search(tree, doc, label, how)
+        assert {(max(i, j), min(i, j)) for i, j, _ in some} <= want and some
+    best = {i: b for i, _, b in jj.search(tree, doc, label, "nearest")}
+    bound = lambda i, j: int(np.minimum(p[i], p[j]).sum())
+    assert all(best[i] == max(bound(i, j) for x in want for j in x if i in x and j != i) for i in best)
+    leads = {i for i, _, _ in jj.search(tree, doc, label, "first")}
+    led = {j for _, j, _ in jj.search(tree, doc, label, "first")}
+    assert not leads & led  # a document that has a partner leads no others
+
+
+@pytest.mark.parametrize("way", ["plain", "blocks", "hot"])
+def test_equals_all_pairs(spark, rows, way, monkeypatch):
+    if way == "blocks":  # every bundle is cut, and the last search does all the work
+        monkeypatch.setattr(jj, "BLOCK", 4)
+        monkeypatch.setattr(jj, "SEARCHES", ("all",))
+    if way == "hot":
+        monkeypatch.setattr(jj, "HOT_BATCH", 3)
+        monkeypatch.setattr(jj, "BLOCK", 16)
+    d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, TEXT string").repartition(2)
     got = [tuple(r) for r in jj.jaccard_components(d).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(plain(rows), key=key)
 
 
+def test_a_hot_group_and_a_long_text(spark):
+    """Half of all rows are near copies of one text; nothing grows with the square of their number."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(base) if i % 2 else [f"u{r.randrange(9999)}" for _ in range(80)]
+        w[r.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    long = [f"l{r.randrange(10**6)}" for _ in range(60_000)]
+    rows += [(1000, " ".join(long)), (1001, " ".join(long[:59_000]))]
+    before = leftovers()
+    out = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(leftovers() - before) == 2  # what the result is read from
+    got = {d: c for d, _, c in out.collect()}
+    assert {got[i] for i in range(1, 400, 2)} == {1} and got[1001] == 1000
+    assert all(got[i] == i for i in range(0, 400, 2))
+
+
 def test_nothing(spark):
     assert jj.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
