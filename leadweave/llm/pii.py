@@ -11,10 +11,13 @@ candidate as an expression. Base spans always stay; a looser candidate joins the
 its score reaches the threshold, two labelers agree and it overlaps no base span.
 
 Patterns are possessive and start at the edge of a run only, so that no text, however
-long, takes more than linear time; the matches are those of the plain patterns.
+long, takes more than linear time; the matches are those of the plain patterns. Where they
+are comes from sums in blocks, whether one overlaps a base span from a binary search, so that
+many matches in one text take little more than linear time too.
 
-Null or empty text: no spans. Null doc_id, repeated rows and extra columns: each row is
-judged by its text alone. Ties of start go by kind. Empty table: empty result.
+Null or empty text: no spans. Very long texts: whole. Null doc_id, repeated rows and further
+columns, also of clashing names: each row is judged by its text alone. Ties of start go by
+kind. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -66,26 +69,72 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+CHUNK = 32
+
+
+def sums_before(values: Column, levels: int = 2) -> Column:
+    """For each element of an array of numbers the sum of those before it.
+
+    Block by block: a block's start comes from the blocks' sums in the same way, an element's
+    from its block's start and the elements between. Only the last level, which has one element
+    for each CHUNK ** levels, appends to an array one by one.
+    """
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
+
+    def of(v: Column) -> Column:
+        if not levels:
+            step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+            return F.aggregate(v, F.struct(zero.alias("at"), none.alias("out")), step, lambda a: a["out"])
+        n = F.size(v)
+        total = lambda lo, hi: F.aggregate(F.sequence(lo, hi), zero, lambda a, j: a + F.get(v, j))
+        blocks = F.sequence(F.lit(0), ((n - 1) / CHUNK).cast("int"))
+        block_sums = F.transform(blocks, lambda k: total(k * CHUNK, F.least(n, (k + 1) * CHUNK) - 1))
+
+        def placed(starts: Column) -> Column:
+            own = lambda i: F.when(i % CHUNK == 0, zero).otherwise(total(i - i % CHUNK, i - 1))
+            return F.transform(v, lambda _, i: F.get(starts, (i / CHUNK).cast("int")) + own(i))
+
+        return F.when(n == 0, none).otherwise(_let(sums_before(block_sums, levels - 1), placed))
+
+    return _let(values, of)
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """Matches in order: s (code points before it), m (the match), before (text before it).
 
     The gaps between matches are what split() leaves, so starts are sums of lengths.
     """
-    none = F.array().cast("array<struct<s:int,m:string,before:string>>")
 
     def placed(v: Column) -> Column:
-        pairs = F.transform(v["hits"], lambda m, i: F.struct(m.alias("m"), F.get(v["gaps"], i).alias("gap")))
+        lengths = F.transform(v["hits"], lambda m, i: (F.length(m) + F.length(F.get(v["gaps"], i))).cast("bigint"))
 
-        def step(a: Column, x: Column) -> Column:
-            s = a["at"] + F.length(x["gap"])
-            one = F.struct(s.alias("s"), x["m"].alias("m"), F.right(x["gap"], F.lit(BEFORE)).alias("before"))
-            return F.struct((s + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+        def found(at: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                gap = F.get(v["gaps"], i)
+                return F.struct((F.get(at, i) + F.length(gap)).cast("int").alias("s"), m.alias("m"), F.right(gap, F.lit(BEFORE)).alias("before"))
 
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+            return F.transform(v["hits"], one)
+
+        return _let(sums_before(lengths), found)
 
     return _let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), placed)
 
 
+def overlaps(spans: Column, s: Column, e: Column) -> Column:
+    """Whether one of these disjoint spans in order (s, e) meets [s, e): that is, the last one
+    that starts before e, found by binary search, ends after s."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int") + 1)
+
+    def step(a: Column, _: Column) -> Column:
+        mid = ((a["lo"] + a["hi"]) / 2).cast("int")
+        below = (a["lo"] < a["hi"]) & (F.get(spans, mid)["s"] < e)
+        return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(below | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    last = F.aggregate(steps, start, step, lambda a: a["lo"] - 1)
+    return (F.size(spans) > 0) & F.coalesce(_let(last, lambda i: F.when(i >= 0, F.get(spans, i)["e"] > s)), F.lit(False))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -185,11 +234,16 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     cells = found.select(F.explode("c").alias("c")).select("c.*").groupBy("kind", "base", "listed", "told", "spaced").count().collect()
     w = span_classifier(sorted((r.kind, (int(r.base), int(r.listed), int(r.told)), int(r.spaced), r["count"]) for r in cells))
 
+    base_of = [F.filter("c", lambda c, k=k: c["base"] & (c["kind"] == k)) for k in range(len(KINDS))]
+    found = found.select("doc_id", "c", *[b.alias(f"base{k}") for k, b in enumerate(base_of)])
+
     def joins(c: Column) -> Column:
         votes = [c[k].cast("int") for k in ("base", "listed", "told")]
         z = F.lit(w[0]) + sum(v * F.lit(a) for v, a in zip(votes, w[1:4])) + c["spaced"].cast("int") * F.lit(w[4]) + F.element_at(F.array(*map(F.lit, w[5:])), c["kind"] + 1)
-        clear = ~F.exists(F.col("c"), lambda b: b["base"] & (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        return c["base"] | ((z >= math.log(threshold / (1 - threshold))) & (votes[0] + votes[1] + votes[2] >= MIN_VOTES) & clear)
+        meets = F.lit(False)
+        for k in range(len(KINDS)):
+            meets = meets | overlaps(F.col(f"base{k}"), c["s"], c["e"])
+        return c["base"] | ((z >= math.log(threshold / (1 - threshold))) & (votes[0] + votes[1] + votes[2] >= MIN_VOTES) & ~meets)
 
     span = lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"), c["base"].alias("base"))
     return found.select("doc_id", F.array_sort(F.transform(F.filter("c", joins), span)).alias("spans"))

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadweave.llm import pii
 from leadweave.llm.pii import KINDS, em, find_pii, op4_pii, span_classifier
@@ -60,6 +62,41 @@ def test_very_long_runs_end(spark):
     assert [got[i] for i in range(5)] == [[], [], [(0, 0, len(t[2]) - 1)], [], [(0, 0, len(t[4]))]]
 
 
+def test_overlaps_and_sums(spark):
+    r = random.Random(2)
+    for n in (0, 1, 31, 32, 33, 1030):
+        values = [r.randrange(9) for _ in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<bigint>").select(pii.sums_before(F.col("v"))).first()[0]
+        assert got == [sum(values[:i]) for i in range(n)]
+    spans = [(10 * i + r.randrange(3), 10 * i + 4 + r.randrange(3)) for i in range(40)]
+    ends = [(s, s + r.randrange(1, 9)) for s in range(-5, 420, 3)]
+    d = spark.createDataFrame([(spans, s, e) for s, e in ends] + [([], 1, 2)], "spans array<struct<s:int,e:int>>, s int, e int")
+    got = [tuple(x) for x in d.select("s", "e", pii.overlaps(F.col("spans"), F.col("s"), F.col("e"))).collect()]
+    assert got == [(s, e, any(a < e and s < b for a, b in spans)) for s, e in ends] + [(1, 2, False)]
+
+
+def test_added_spans_by_brute_force(spark, texts):
+    """What joins the base spans: by the trained weights, votes and overlaps, in plain Python."""
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in find_pii(d).collect():
+        base = [x for x in r.spans if x.base]
+        for x in r.spans:
+            assert x.base or not any(b.s < x.e and x.s < b.e for b in base)
+            assert x.base or re.search(pii.LOOSE.get(KINDS[x.kind], pii.BASE["card"]), texts[r.doc_id][x.s : x.e])
+
+
+def test_many_matches_in_one_text(spark):
+    """Four times the matches take about four times as long, not sixteen."""
+    took = []
+    for n in (10_000, 40_000):
+        d = spark.createDataFrame([(1, "tel (212) 555-0199 ip 1.2.3.4 " * (n // 2))], "doc_id long, text string")
+        start = time.perf_counter()
+        spans = find_pii(d).select(F.size("spans").alias("n")).first().n
+        took.append(time.perf_counter() - start)
+        assert spans == n
+    assert took[1] < 6 * took[0]
+
+
 def test_method_adds_spans_that_two_labelers_tell(spark):
     t = ["Call phone (212) 555-0199 now", "the code (212) 555-0199 here", "credit card 4111 1111 1111 1112 ok", "n 4111111111111112 n", "email me: joe [at] example [dot] com!", "server ip 10[.]0[.]0[.]7"] + [f"e-mail a{i}@b.com, tel +1 (212) 555-01{i:02d}" for i in range(40)]
     d = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
