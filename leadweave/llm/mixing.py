@@ -9,13 +9,17 @@ words stay what they were. The largest go first, so what a block can't round is
 document; these go up a tree of blocks until one document of a source is left, which is
 rounded to the nearer side.
 
-Blocks are bounded by a hash of the document, so a source with any share of the rows is
+Blocks are bounded by a hash of the document and, where rows are equal in id, source and
+key, of their number among those, so a source or a repeated row with any share of all rows is
 dealt over many tasks; one row goes up for each block. Random numbers are hashes of the
 document, so reruns agree.
 
-Null or empty text: size 0, taken 0. Null source: a source of its own, the last. A source
-with no words: target 0. Null doc_id: as any other. Repeated rows are documents of their
-own. Empty table: empty result.
+Sources are few enough for one task to rank them (one row each); documents are not.
+
+Null or empty text: size 0, taken 0. Very long texts: whole; the largest are rounded first.
+Null source: a source of its own, the last. A source with no words: target 0. Null doc_id:
+as any other. Repeated rows are documents of their own. Ties of size go by a hash. Further
+columns, also of clashing names, are passed over. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import WORD, broadcast_if_small, materialize, pick
+from leadweave.llm.common import WORD, broadcast_if_small, materialize, pick, release
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 DOCS_A_BLOCK, SEED = 512, 20_24
+ROWS_A_CHUNK = 1024
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -57,7 +62,7 @@ def _let(value: Column, body) -> Column:
 
 def _round_block(items: Column, level: int) -> Column:
     """Items with extra = 0, 1, or null for the one that stays fractional."""
-    kind = "array<struct<size:bigint,h:bigint,doc_id:bigint,base:int,m:double,extra:int>>"
+    kind = "array<struct<size:bigint,h:bigint,doc_id:bigint,base:int,key:bigint,rows:bigint,m:double,extra:int>>"
     mass = F.aggregate(items, F.lit(0.0), lambda a, x: a + x["m"])
     size = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["size"])
     start = F.struct(mass.alias("m"), size.alias("s"), F.array().cast(kind).alias("out"))
@@ -76,7 +81,7 @@ def _round_block(items: Column, level: int) -> Column:
             def done(extra: Column, rest: Column, m: Column) -> Column:
                 return F.struct(
                     rest.cast("double").alias("m"), v["room"].alias("s"),
-                    F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["base"].alias("base"), m.alias("m"), extra.cast("int").alias("extra")))).alias("out"),
+                    F.concat(a["out"], F.array(F.struct(*[x[k].alias(k) for k in ("size", "h", "doc_id", "base", "key", "rows")], m.alias("m"), extra.cast("int").alias("extra")))).alias("out"),
                 )
 
             none = F.lit(None).cast("int")
@@ -95,39 +100,60 @@ def _round_block(items: Column, level: int) -> Column:
     return F.aggregate(items, start, step, lambda a: a["out"])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row."""
+def numbered(groups: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row as often as its count says, with its number (from 0) in a column of this name.
+
+    Rows with large counts first become rows for chunks of them, which are dealt anew.
+    """
+    n, last = F.col(count), F.lit(ROWS_A_CHUNK - 1)
+    one = groups.filter(n == 1).withColumn(name, F.lit(0).cast("long"))
+    many = groups.filter(n > 1).withColumn("chunk_", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {ROWS_A_CHUNK}"))))
+    low = F.col("chunk_") * ROWS_A_CHUNK
+    many = many.repartition(*groups.columns, "chunk_").withColumn(name, F.explode(F.sequence(low, F.least(low + last, n - 1)))).drop("chunk_")
+    return one.unionByName(many)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, by: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, source, size, key, rows, source_size, target, copies of every row.
+
+    key: a hash of the columns `by`; rows: how many have this id, source and key.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(pick(docs, "doc_id", "text", "source").select("doc_id", "source", size.alias("size")), "mix-sizes")
+    cols = pick(docs, "doc_id", "source", *dict.fromkeys(("text", *by)))
+    sizes = materialize(cols.select("doc_id", "source", size.alias("size"), F.xxhash64(*by).alias("key")), "mix-sizes")
     count = sizes.count()
     sources = materialize(source_targets(sizes, weights, share, most), "mix-sources")
-    rows = sizes.alias("d").join(broadcast_if_small(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    groups = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
+    rows = groups.alias("d").join(broadcast_if_small(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     rate = F.coalesce(F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(most)), F.lit(0.0))
-    rows = rows.select("doc_id", "d.source", "size", "source_size", "target", F.floor(rate + 1e-12).cast("int").alias("base"), rate.alias("rate"))
+    rows = rows.select("doc_id", "d.source", "size", "key", "rows", "source_size", "target", F.floor(rate + 1e-12).cast("int").alias("base"), rate.alias("rate"))
     part = F.greatest(F.col("rate") - F.col("base"), F.lit(0.0))
-    rows = rows.withColumn("m", F.when(part < 1e-12, 0.0).otherwise(part * F.col("size"))).drop("rate")
+    rows = materialize(rows.withColumn("m", F.when(part < 1e-12, 0.0).otherwise(part * F.col("size"))).drop("rate"), "mix-rows")
+    release(sizes, sources)
+    rows = numbered(rows, "rows", "number")
 
     whole, common = F.col("m") <= 0, ["source", "source_size", "target"]
-    done = [rows.filter(whole).select("doc_id", *common, "size", F.col("base").alias("copies"))]
-    todo = rows.filter(~whole).withColumn("h", F.xxhash64("doc_id", "size"))
+    own = ["doc_id", *common, "size", "key", "rows"]
+    done = [rows.filter(whole).select(*own, F.col("base").alias("copies"))]
+    todo = rows.filter(~whole).withColumn("h", F.xxhash64("doc_id", "size", "key", "number")).drop("number")
     blocks, level = -(-count // DOCS_A_BLOCK), 0
     while True:
         block = F.pmod(F.xxhash64("h", F.lit(level)), F.lit(max(1, blocks)))
-        item = F.struct("size", "h", "doc_id", "base", "m")
+        item = F.struct("size", "h", "doc_id", "base", "key", "rows", "m")
         packed = todo.groupBy(*common, block.alias("block")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
         out = packed.select(*common, F.explode(_round_block(F.col("items"), level)).alias("x")).select(*common, "x.*")
         out = materialize(out, f"mix-level{level}")
-        done.append(out.filter("extra IS NOT NULL").select("doc_id", *common, "size", (F.col("base") + F.col("extra")).alias("copies")))
+        done.append(out.filter("extra IS NOT NULL").select(*own, (F.col("base") + F.col("extra")).alias("copies")))
         todo = out.filter("extra IS NULL").drop("extra")
         if blocks <= 1:
             break
         blocks, level = -(-blocks // DOCS_A_BLOCK), level + 1
     nearer = F.when(F.col("m") * 2 >= F.col("size"), 1).otherwise(0)
-    done.append(todo.select("doc_id", *common, "size", (F.col("base") + nearer).alias("copies")))
+    done.append(todo.select(*own, (F.col("base") + nearer).alias("copies")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "source", "size", "key", "rows", "source_size", "target", "copies")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,13 @@
 Each takes documents (doc_id, text, lang, source, n_chars; more columns are passed over)
 and returns those columns. Texts are moved once at most, beside one row of decisions for
 each document that goes or is repeated.
+
+Null or empty text: an empty document; it is scored as such, equals other empty ones, is near
+none, and is never repeated (the mix takes words). Very long texts: whole, in all stages. Null
+doc_id: kept unless its quality or an equal text says otherwise; never a near copy. Ties: the
+smallest doc_id stays; of rows with one id and one text any one. Repeated rows: one stays after
+the copies are dropped; before that each is judged alike, and the mix takes them as documents of
+their own. Clashing names among further columns are passed over. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -10,14 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from leadweave.llm.common import SPACE, WORD, materialize, pick
+from leadweave.llm.common import SPACE, batch_slices, materialize, pick
 from leadweave.llm.exact_dedup import exact_dedup
 from leadweave.llm.jaccard_join import jaccard_components
-from leadweave.llm.mixing import mix
+from leadweave.llm.mixing import mix, numbered
 from leadweave.llm.quality import THRESHOLD, fit, text_scores
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,11 +40,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     field = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                score, *_ = text_scores(field, [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
-                yield b.filter(pa.array(score >= THRESHOLD))
+        for b in batch_slices(batches, 1):
+            score, *_ = text_scores(field, [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
+            yield b.filter(pa.array(score >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -65,17 +70,18 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def repeat_to_weights(docs: DataFrame) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Rows equal in all columns are taken together, as often as all of them are.
+    """
     docs = documents(docs)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    copies = mix(docs).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    copies = materialize(copies, "copies").select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("size").alias("words"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("size_") == F.col("words"))
-    out = docs.withColumn("size_", size).join(copies, same)
-    if copies.filter(F.size("copies") > 1).limit(1).count():  # rows that only their place tells apart
-        place = F.row_number().over(Window.partitionBy("id", "src", "words").orderBy(F.crc32(F.coalesce("text", F.lit("")).cast("binary"))))
-        times = F.get("copies", place - 1)
-    else:
-        times = F.get("copies", F.lit(0))
-    out = out.withColumn("times", times).filter("times > 0")
-    return out.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_")).drop("copy_")
+    mixed = mix(docs, by=("text", "lang", "n_chars"))
+    taken = mixed.groupBy("doc_id", "source", "key", "rows").agg(F.sum("copies").alias("times")).filter("times > 0")
+    taken = materialize(taken, "copies").select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("key").alias("k"), "rows", "times")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("key_") == F.col("k"))
+    keyed = docs.withColumn("key_", F.xxhash64("text", "lang", "n_chars"))
+    out = keyed.join(taken.filter("rows = 1"), same).select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*COLUMNS)
+    if taken.filter("rows > 1").limit(1).count():
+        once = keyed.join(taken.filter("rows > 1"), same).groupBy("id", "src", "k").agg(F.any_value("times").alias("times"), *[F.any_value(c).alias(c) for c in COLUMNS])
+        out = out.unionByName(numbered(once.select(*COLUMNS, "times"), "times", "number_").select(*COLUMNS))
+    return out

@@ -1,10 +1,12 @@
 """Mixing: targets against a plain sharing loop, rounding against its own laws."""
 
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from leadweave.llm.mixing import mix, source_targets
+from leadweave.llm.mixing import _round_block, mix, source_targets
 
 
 def shared(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
@@ -53,6 +55,36 @@ def test_mix(spark):
     assert mix(d.limit(0)).count() == 0
 
 
+def test_equal_rows_are_dealt(spark):
+    """Rows that nothing tells apart share no block; time grows with their number."""
+    took = []
+    for n in (10_000, 100_000):
+        d = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source")).union(spark.createDataFrame([(1, "x y " * 50, "t")], "doc_id long, text string, source string"))
+        start = time.perf_counter()
+        got = {r.copies: r["count"] for r in mix(d).filter("source = 's'").groupBy("copies").count().collect()}
+        took.append(time.perf_counter() - start)
+        total = 3 * n + 100
+        want = 2 * 100 if total * 1.5 / 4 > 200 else total * 1.5 / 4
+        assert sum(got.values()) == n and abs(3 * sum(c * k for c, k in got.items()) - (1.5 * total - want)) <= 6
+    assert took[1] < 10 * took[0] + 5
+
+
+def test_pairwise_transfers_of_a_block(spark):
+    """One block by a plain loop: the same mass, all but one item integral, largest first."""
+    r = random.Random(3)
+    for _ in range(20):
+        items = sorted(((r.randint(1, 50), r.randrange(10**6), i, 1, i, 1, 0.0) for i in range(r.randint(1, 60))), reverse=True)
+        rate = r.random()
+        items = [(*x[:6], rate * x[0]) for x in items]
+        d = spark.createDataFrame([(items,)], "items array<struct<size:bigint,h:bigint,doc_id:bigint,base:int,key:bigint,rows:bigint,m:double>>")
+        out = d.select(_round_block(F.col("items"), 0).alias("o")).first().o
+        assert [x.doc_id for x in out] == [x[2] for x in items]
+        left = [x for x in out if x.extra is None]
+        assert len(left) <= 1 and all(x.m == (x.size if x.extra else 0) for x in out if x.extra is not None)
+        assert abs(sum(x.m for x in out) - rate * sum(x[0] for x in items)) < 1e-6
+        assert all(0 < x.m < x.size for x in left)
+
+
 def test_fractions_are_kept_on_average(spark):
     """Over many blocks, a document of any size is taken as often as its fraction says."""
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), (F.col("id") % 2).cast("string").alias("source"))
