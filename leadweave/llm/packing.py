@@ -1,18 +1,21 @@
 """Packing: minimum bin slack over the multiset of piece lengths.
 
 A document is tokenised once, closed by the end id and cut into full windows; what is
-left over is one shorter piece. Pieces are dealt to groups of bounded size by a hash of
-the document, and each group fills its windows one pattern at a time: the longest piece
-left, then the multiset of lengths that comes closest to the capacity. Reachable sums
-are the bits of one integer (bitset subset-sum dynamic programming), counts come from
-walking the steps back, and a pattern is used as often as its lengths last.
+left over is one shorter piece. Pieces are dealt by a hash to groups that are bounded by
+their texts' bytes, and so by tokens, and each group fills its windows one pattern at a
+time: the longest piece left, then the multiset of lengths that comes closest to the
+capacity. Reachable sums are the bits of one integer (bitset subset-sum dynamic
+programming), counts come from walking the steps back, and a pattern is used as often as its
+lengths last.
 
-Only lengths and digests need to travel; ids go with them where the caller wants them.
+Only lengths and checksums need to travel; ids go with them where the caller wants them.
 
 Null or empty text: a document of just the end id. Null doc_id: packed as any other.
-Repeated rows: each row is a document of its own. Very long texts: one full window after
-the other, then the rest. Ties between equal lengths go by doc_id, then start. Empty
-table: empty result.
+Repeated rows: each row is a document of its own; the hash counts in the task and a row's
+number among equal ones of a batch, so that they spread over all groups. Very long texts:
+one full window after the other, each in a group of its own hash, then the rest. Ties
+between equal lengths go by doc_id, then start. Further columns, also of clashing names, are
+passed over. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import pick
+from leadweave.llm.common import batch_slices, pick
 
 CAPACITY, END_ID = 2048, 1
-DOCS_A_GROUP = 20_000
+BYTES_A_GROUP = {True: 8 << 20, False: 64 << 20}  # of texts; with ids, and without
 CACHED_WORDS, CACHED_CHARS = 300_000, 48
 
 
@@ -133,36 +137,43 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, and ids if asked for, of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens, salt, and ids if asked for, of every piece.
+
+    salt: the task, and the row's number among equal ones of its batch; the same whenever the
+    task runs again.
+    """
     end = np.asarray([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = word_tokenizer(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-                doc, start, length, crc, total, ids = [], [], [], [], [], []
-                for d, raw in zip(b.column(0).to_pylist(), tokenize(texts)):
-                    raw += end
-                    for s in range(0, len(raw), step):
-                        piece = raw[s : s + step]
-                        doc.append(d)
-                        start.append(s // 4)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(len(raw) // 4)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, dtype="<u4").astype(np.int32))
-                cols = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+        tokenize, task = word_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
+        for b in batch_slices(batches, 1, 1 << 20):
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            doc, start, length, crc, total, salt, ids = [], [], [], [], [], [], []
+            seen: dict[tuple, int] = defaultdict(int)
+            for d, raw in zip(b.column(0).to_pylist(), tokenize(texts)):
+                raw += end
+                whole = zlib.crc32(raw)
+                number = seen[d, whole]
+                seen[d, whole] = number + 1
+                for s in range(0, len(raw), step):
+                    piece = raw[s : s + step]
+                    doc.append(d)
+                    start.append(s // 4)
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    total.append(len(raw) // 4)
+                    salt.append(task | number)
+                    if with_ids:
+                        ids.append(np.frombuffer(piece, dtype="<u4").astype(np.int32))
+            cols = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total, salt)]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
+            if with_ids:
+                cols.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids array<int>" * with_ids
     return pick(docs, "doc_id", "text").mapInArrow(cut, schema)
 
 
@@ -242,9 +253,10 @@ def _place(t: pa.Table, capacity: int) -> pa.Table:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, groups: int | None = None) -> DataFrame:
     """Every piece with its sequence_id and its offset there; ids too, if asked for."""
     if groups is None:
-        groups = max(1, -(-docs.count() // DOCS_A_GROUP))
+        size = pick(docs, "text").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+        groups = max(1, -(-size // BYTES_A_GROUP[with_ids]))
     cut = pieces(docs, tokenizer_path, capacity, end_id, with_ids)
-    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)))
+    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
     names = [f.name for f in cut.schema if f.name != "pack_group"]
     schema = ", ".join(f"{n} {cut.schema[n].dataType.simpleString()}" for n in names) + ", sequence_id long, offset long"
 

@@ -8,12 +8,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leadweave.llm.exact_dedup import as_words, build_mph, exact_dedup, find_slots
 from leadweave.llm.packing import WordTokenizer, best_fill, pack, patterns
 from leadweave.llm.sharding import hilbert_index, shard
-from leadweave.llm.topk import as_integers, top_k
+from leadweave.llm import topk
+from leadweave.llm.topk import as_integers, bounds, cell_edges, packed, top_k, unpacked
 from leadweave.llm.url_filter import url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, TEXT string, bucket long, n int"
@@ -129,6 +131,23 @@ def test_packing_is_whole(docs, empty):
     assert pack(empty, VOCABULARY).count() == 0
 
 
+def test_packing_pads_little(spark):
+    got = pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), VOCABULARY, with_ids=False).collect()
+    used = {}
+    for r in got:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert sum(used.values()) > 0.99 * 2048 * len(used)
+
+
+def test_equal_rows_and_long_texts_meet_many_groups(spark):
+    d = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text")).union(spark.createDataFrame([(1, "long " * 200_000)], "doc_id long, text string"))
+    by_group = {}
+    for r in pack(d, VOCABULARY, with_ids=False, groups=16).collect():
+        by_group.setdefault(r.sequence_id >> 32, []).append(r.length)
+    assert len(by_group) == 16 and max(len(g) for g in by_group.values()) < 200
+    assert sum(map(len, by_group.values())) == 600 + -(-200_001 // 2048)
+
+
 def test_hilbert_curve_visits_neighbours():
     for n, bits in ((2, 4), (3, 3)):
         points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), axis=-1).reshape(-1, n)
@@ -150,19 +169,63 @@ def test_sharding(docs, empty):
     assert shard(empty).count() == 0
 
 
-def test_top_k(spark):
+def test_cells_bound_products():
+    r = np.random.default_rng(7)
+    for big in (100, 10**9):
+        v, q = r.integers(-big, big, (300, 7)), r.integers(-big, big, (20, 7))
+        low, high = cell_edges(v.min(axis=0), v.max(axis=0))
+        cells = ((v - v.min(axis=0)) // (low[:, 1] - low[:, 0])).astype(np.uint8)
+        assert (unpacked(packed(cells), 7) == cells).all() and cells.max() < 16
+        assert all((low[j, c[j]] <= x[j] <= high[j, c[j]]) for c, x in zip(cells, v) for j in range(7))
+        bottom, top = bounds(q, cells, low, high)
+        exact = [[int(sum(int(a) * int(b) for a, b in zip(x, y))) for y in v] for x in q]
+        assert all(bottom[i, j] <= exact[i][j] <= top[i, j] for i in range(20) for j in range(300))
+
+
+def plain_top_k(v):
+    good = [(i, k, [int(np.floor(256 * np.float64(np.float32(x)))) for x in e]) for k, (i, e) in enumerate(v) if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
+    want = []
+    for q, row, x in good:
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, other, y in good if other != row and len(y) == len(x))
+            want += [(q, k + 1, c, -y) for k, (y, c) in enumerate(s[:5])]
+    return sorted(want)
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELLS_A_BLOCK", 400)
+    monkeypatch.setattr(topk, "COMPONENTS_A_QUERY_BLOCK", 20)
     r = np.random.default_rng(2)
     v = [(i, [float(x) for x in r.integers(-3, 4, 4) / 4]) for i in range(400)]
-    v += [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan")] * 4), (403, [float("inf")] * 4), (None, [1.0] * 4), (404, []), (450, [1.0, 2.0]), (451, [1.0, 1.0])]
+    v += [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan")] * 4), (403, [float("inf")] * 4), (None, [1.0] * 4), (404, []), (450, [1.0, 2.0]), (451, [1.0, 1.0]), (950, [7.0] * 3)]
     v += [(i, [0.5] * 4) for i in range(500, 900)]
-    v.append((500, [0.5] * 4))
-    t = spark.createDataFrame(v, "vec_id long, embedding array<float>").selectExpr("*", "'q' v", "1 score").repartition(3)
+    v += [(500, [0.5] * 4), (0, [0.25] * 4), (0, [0.25] * 4), (550, [0.75] * 4)]
+    t = spark.createDataFrame(v, "vec_id long, embedding array<float>").selectExpr("*", "'q' v", "1 score", "2 rid").repartition(3)
     ints = as_integers(t)
-    got = [tuple(x) for x in top_k(ints, ints.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
-    good = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in e] for i, e in v if i is not None and e and all(x is not None and np.isfinite(x) for x in e)}
-    want = []
-    for q in sorted(i for i in good if i % 50 == 0):
-        s = sorted((-sum(a * b for a, b in zip(good[q], good[c])), c) for c in good if c != q and len(good[c]) == len(good[q]))
-        want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s[:5])]
-    assert got == want
+    got = sorted(tuple(x) for x in top_k(ints, ints.filter("vec_id % 50 = 0")).collect())
+    assert got == plain_top_k(v)
     assert top_k(ints.limit(0), ints.limit(0)).count() == 0
+
+
+def test_only_likely_vectors_are_read(spark):
+    """3,000 queries: the cells leave few of the vectors to be read exactly."""
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(40, 16))
+    x = centre[r.integers(0, 40, 6000)] + r.normal(size=(6000, 16)) * 0.1
+    t = spark.createDataFrame([(i * 25, [float(y) for y in e]) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    v = as_integers(t)
+    got = {}
+    for q in top_k(v, v.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(q.query_id, []).append((q.rank, q.vec_id, q.score))
+    assert len(got) == 3000 and all(len(g) == 5 for g in got.values())
+    ints = np.floor(256 * x.astype(np.float32).astype(np.float64)).astype(np.int64)
+    for i in range(0, 6000, 500):
+        s = ints @ ints[i]
+        s[i] = -(10**15)
+        best = np.lexsort((np.arange(6000), -s))[:5]
+        assert sorted(got[i * 25]) == [(k + 1, int(j) * 25, int(s[j])) for k, j in enumerate(best)]
+    lo, hi = ints.min(axis=0), ints.max(axis=0)
+    low, high = cell_edges(lo, hi)
+    bottom, top = bounds(ints[::2], ((ints - lo) // (low[:, 1] - low[:, 0])).astype(np.uint8), low, high)
+    least = -np.sort(-bottom, axis=1)[:, 5:6]
+    assert (top >= least).sum() < 0.1 * top.size
