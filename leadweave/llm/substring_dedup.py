@@ -9,12 +9,16 @@ has goes; what goes is judged on the input alone.
 What needn't travel doesn't: of documents with the same words only the smallest is
 searched (the others go as a whole); minimisers that one document alone has are dropped
 after a count; equal strings of one batch are settled there but for the smallest document.
-A minimiser with very many strings is dealt by the digest of each window instead, so no
-bucket grows with the largest group.
-
-Null or empty text: no words. Texts with fewer words than a window stay as they are. A
-null doc_id counts as larger than any id. Rows with the same id don't remove each other's
-words. Repeated rows give equal results. Empty table: empty result.
+The windows of a minimiser with more than HOT strings are dealt one by one, by a 128-bit
+digest of each, to as many buckets as they need; there equal digests stand for equal
+windows. A window that many documents have goes out once for each task and smaller document
+that the task meets, so no bucket grows with the largest group of documents.
+
+Null or empty text: no words. Texts with fewer words than a window stay as they are. Very
+long texts: whole; one text is held in memory at a time beside its own runs. A null doc_id
+counts as larger than any id. Rows with the same id don't remove each other's words. Ties:
+the smallest doc_id keeps a window. Repeated rows give equal results. Further columns, also of
+clashing names, are passed over. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import materialize, pick
+from leadweave.llm.common import batch_slices, materialize, pick, release
 from leadweave.llm.words import gram_hashes, rolling_hashes, sliding_min, words
 
 WINDOW, GRAM = 50, 10
-HOT, RUNS_A_BUCKET, MIN_BUCKETS, HOT_BUCKETS = 1000, 4000, 64, 64
+HOT, RUNS_A_BUCKET, WINDOWS_A_BUCKET, MIN_BUCKETS = 250, 1000, 50_000, 256
+KNOWN_WINDOWS = 500_000  # digests that a task remembers; beyond, it starts again
 NO_ID = (1 << 63) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -80,16 +85,19 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(count), pa.array(sha, pa.binary()), *lists], names=["doc_id", "d", "key", "n_words", "sha", "low", "at", "n"])
 
 
-def _packed(buckets: int):
+def _packed(buckets: int, hot_buckets: int):
     """Rows (d, key, text, runs) to what travels: kind 0 strings, 1 windows' digests, 2 spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen_hot: dict[bytes, int] = {}
         for b in batches:
             for lo, hi in _slices(b, 2, 8 << 20):
                 part = b.slice(lo, hi - lo)
+                if len(seen_hot) > KNOWN_WINDOWS:
+                    seen_hot.clear()
                 d, key = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts, runs = part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist()
-                out, seen, seen_hot = [], {}, {}
+                out, seen = [], {}
                 hot: dict[int, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
                 for i in sorted(range(len(d)), key=lambda i: d[i]):  # the smallest document of a batch first
                     w, spans = texts[i].split(), []
@@ -104,10 +112,12 @@ def _packed(buckets: int):
                             continue
                         for at in range(start, start + n):
                             g = hashlib.blake2b(b" ".join(w[at : at + WINDOW]), digest_size=16).digest()
-                            if seen_hot.setdefault(g, d[i]) < d[i]:
+                            least = seen_hot.get(g)
+                            if least is not None and least < d[i]:
                                 spans += (at, at + WINDOW)
                             else:
-                                h = hot[int.from_bytes(g[:4], "little") % HOT_BUCKETS]
+                                seen_hot[g] = d[i]
+                                h = hot[int.from_bytes(g[:4], "little") % hot_buckets]
                                 h[0].append(g)
                                 h[1].append(d[i])
                                 h[2].append(key[i])
@@ -192,7 +202,7 @@ def _count(t: pa.Table) -> pa.Table:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (d, key, text, list of spans) to words removed and the text that is kept."""
-    for b in batches:
+    for b in batch_slices(batches, 2):
         n_removed, kept = [], []
         for text, spans in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
             w, out, at, gone = text.split(), [], 0, 0
@@ -221,21 +231,26 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     searched = small.filter(~F.col("copy") & (F.col("n_words") >= WINDOW)).select("d", "key").distinct()
     runs = seen.filter(F.col("n_words") >= WINDOW).select("d", "key", F.explode(F.arrays_zip("low", "at", "n")).alias("r")).select("d", "key", "r.*")
     known = runs.select("low", "d").groupBy("low").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count(F.lit(1)).alias("c"))
-    known = known.filter(F.col("a") < F.col("z")).select("low", (F.col("c") > HOT).alias("hot"))
+    known = materialize(known.filter(F.col("a") < F.col("z")).select("low", (F.col("c") > HOT).alias("hot")), "known")
     runs = runs.join(known, "low").groupBy("d", "key").agg(F.collect_set(F.struct("at", "n", "low", "hot")).alias("runs"))
     runs = materialize(runs.join(searched, ["d", "key"]), "runs")
-    total = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
-    buckets = max(MIN_BUCKETS, -(-total // RUNS_A_BUCKET))
+    release(seen, least, known)
+    windows = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + F.when(r["hot"], r["n"]).otherwise(0))
+    total, hot_windows = runs.agg(F.sum(F.size("runs")), F.sum(windows)).first()
+    buckets = max(MIN_BUCKETS, -(-(total or 0) // RUNS_A_BUCKET))
+    hot_buckets = max(MIN_BUCKETS, -(-(hot_windows or 0) // WINDOWS_A_BUCKET))
 
     found = rows.filter(F.octet_length("text") >= 2 * WINDOW - 1).select("d", "key", "text").join(runs, ["d", "key"])
     found = materialize(found.select("d", "key", "text", "runs"), "searched")
-    travels = found.mapInArrow(_packed(buckets), "bucket long, kind int, d long, key long, at int, n int, data binary")
+    release(runs)
+    travels = found.mapInArrow(_packed(buckets, hot_buckets), "bucket long, kind int, d long, key long, at int, n int, data binary")
     spans = travels.groupBy("bucket").applyInArrow(_count, "d long, key long, spans binary")
-    spans = spans.groupBy("d", "key").agg(F.collect_list("spans").alias("spans"))
+    spans = materialize(spans.groupBy("d", "key").agg(F.collect_list("spans").alias("spans")), "spans")  # one for each bucket that a text meets
     cut = found.select("d", "key", "text").dropDuplicates(["d", "key"]).join(spans, ["d", "key"]).select("d", "key", "text", "spans")
     cut = cut.mapInArrow(_removed, "d long, key long, removed long, kept_text string, kept_sha string")
     if not with_text:
-        cut = cut.drop("kept_text")
+        cut = materialize(cut.drop("kept_text"), "cut")
+        release(found, spans)
     out = small.join(cut, ["d", "key"], "left")
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0)))
     sha = F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha", F.lower(F.hex("sha"))))

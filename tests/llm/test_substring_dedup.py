@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from leadweave.llm import substring_dedup as sd
+from leadweave.llm.common import leftovers
 from leadweave.llm.words import gram_hashes, rolling_hashes, sliding_min, words
 
 W = 50
@@ -62,6 +63,8 @@ def test_words():
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_equals_plain_search(spark, rows, hot, monkeypatch):
     monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "MIN_BUCKETS", 8)
+    monkeypatch.setattr(sd, "KNOWN_WINDOWS", 40)
     d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, TEXT string").repartition(6)
     got = [tuple(r) for r in sd.substring_dedup(d).drop("kept_text").collect()]
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
@@ -72,6 +75,18 @@ def test_nothing(spark):
     assert sd.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_hot_passage_and_a_long_text(spark):
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([f"u{r.randrange(10**6)}" for _ in range(r.randint(0, 60))] + passage + [f"v{i}"])) for i in range(700)]
+    long = [f"l{r.randrange(10**7)}" for _ in range(100_000)]
+    rows += [(1000, " ".join(long)), (1001, " ".join(["x", *long[500:99_000], "y"]))]
+    before = leftovers()
+    out = sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_text=False)
+    assert len(leftovers() - before) == 2  # what the result is read from
+    assert sorted(tuple(x) for x in out.collect()) == sorted(plain(rows))
+
+
 def test_supplied_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
