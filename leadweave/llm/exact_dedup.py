@@ -11,9 +11,14 @@ Every shuffle but the last moves one row for each digest and map task, so a text
 a third of all rows share is one row a task; the last, which tells each row its group,
 is a join that Spark splits where a digest is hot.
 
-Null text counts as empty; all empty texts are one group. A null doc_id never wins over
-an id; if a group has only null ids, keep_id is null and one row is kept. Of repeated rows
-(same id and text) one is kept and each has its own result row. Empty table: empty result.
+The index is a table: it can be written, kept and read again for newer rows (build_index,
+look_up).
+
+Null text counts as empty; all empty texts are one group. Very long texts: whole, by digest.
+A null doc_id never wins over an id; if a group has only null ids, keep_id is null and one
+row is kept. Of repeated rows (same id and text) one is kept and each has its own result row.
+Ties: the smallest doc_id stays. Further columns, also of clashing names, are passed over.
+Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import SPACE, materialize, pick
+from leadweave.llm.common import SPACE, materialize, numbered, pick
 
 DIGESTS_A_BUCKET = 20_000
 MIN_BUCKETS = 64
@@ -112,30 +117,50 @@ def _look_up(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+INDEX = "bucket long, levels array<binary>, digests binary, winners binary, sizes binary"
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """digest, doc_id and n (rows with both) of the normalised texts."""
+    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
+    d = pick(docs, "doc_id", "text").select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"))
+    return d.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
+    g = rows.groupBy("digest").agg(F.min("doc_id").alias("w"), F.sum("n").alias("n"))
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
+    return g.select(bucket, "digest", F.coalesce("w", F.lit(0)).alias("winner"), F.col("w").isNotNull().alias("known"), "n")
+
+
+def build_index(history: DataFrame, buckets: int = MIN_BUCKETS) -> DataFrame:
+    """One row for each bucket of the history's digests (digest, doc_id, n; no null ids):
+    levels of bits, and by slot the digests, winners and group sizes. It can be written and
+    read again; look_up needs the same number of buckets."""
+    return _grouped(history, buckets).groupBy("bucket").applyInPandas(_build, INDEX)
+
+
+def look_up(newer: DataFrame, index: DataFrame, buckets: int = MIN_BUCKETS) -> DataFrame:
+    """digest, keep_id and group_size of every distinct digest of the index and of newer rows."""
+    found = _grouped(newer, buckets).groupBy("bucket").cogroup(index.groupBy("bucket"))
+    found = found.applyInPandas(_look_up, "digest binary, keep long, known boolean, group_size long")
+    return found.select("digest", F.when(F.col("known"), F.col("keep")).alias("keep_id"), "group_size")
+
+
 def exact_dedup(docs: DataFrame, cut: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row.
 
     cut: rows with a smaller doc_id are the history. Default: the middle of the ids.
     """
-    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    d = pick(docs, "doc_id", "text").select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"))
-    d = materialize(d.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")), "digests")
+    d = materialize(digests(docs), "digests")
     lo, hi, count = d.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     if cut is None:
         cut = 0 if lo is None else (lo + hi) // 2 + 1
     buckets = max(MIN_BUCKETS, -(-count // DIGESTS_A_BUCKET))
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        g = rows.groupBy("digest").agg(F.min("doc_id").alias("w"), F.sum("n").alias("n"))
-        bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
-        return g.select(bucket, "digest", F.coalesce("w", F.lit(0)).alias("winner"), F.col("w").isNotNull().alias("known"), "n")
-
     old = F.coalesce(F.col("doc_id") < F.lit(cut), F.lit(False))
-    index = grouped(d.filter(old)).groupBy("bucket").applyInPandas(_build, "bucket long, levels array<binary>, digests binary, winners binary, sizes binary")
-    decided = grouped(d.filter(~old)).groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_look_up, "digest binary, keep long, known boolean, group_size long")
-    decided = decided.select("digest", F.when(F.col("known"), F.col("keep")).alias("keep_id"), "group_size")
-    rows = d.join(decided, "digest").select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    decided = look_up(d.filter(~old), build_index(d.filter(old), buckets), buckets)
+    rows = numbered(d, "n", "copy").join(decided, "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -27,12 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import WORD, broadcast_if_small, materialize, pick, release
+from leadweave.llm.common import WORD, broadcast_if_small, materialize, numbered, pick, release
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 DOCS_A_BLOCK, SEED = 512, 20_24
-ROWS_A_CHUNK = 1024
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -100,19 +99,6 @@ def _round_block(items: Column, level: int) -> Column:
     return F.aggregate(items, start, step, lambda a: a["out"])
 
 
-def numbered(groups: DataFrame, count: str, name: str) -> DataFrame:
-    """Each row as often as its count says, with its number (from 0) in a column of this name.
-
-    Rows with large counts first become rows for chunks of them, which are dealt anew.
-    """
-    n, last = F.col(count), F.lit(ROWS_A_CHUNK - 1)
-    one = groups.filter(n == 1).withColumn(name, F.lit(0).cast("long"))
-    many = groups.filter(n > 1).withColumn("chunk_", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {ROWS_A_CHUNK}"))))
-    low = F.col("chunk_") * ROWS_A_CHUNK
-    many = many.repartition(*groups.columns, "chunk_").withColumn(name, F.explode(F.sequence(low, F.least(low + last, n - 1)))).drop("chunk_")
-    return one.unionByName(many)
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, by: tuple[str, ...] = ("text",)) -> DataFrame:
     """doc_id, source, size, key, rows, source_size, target, copies of every row.
 

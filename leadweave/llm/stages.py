@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from leadweave.llm.common import SPACE, batch_slices, materialize, pick
+from leadweave.llm.common import SPACE, batch_slices, materialize, numbered, pick
 from leadweave.llm.exact_dedup import exact_dedup
 from leadweave.llm.jaccard_join import jaccard_components
-from leadweave.llm.mixing import mix, numbered
+from leadweave.llm.mixing import mix
 from leadweave.llm.quality import THRESHOLD, fit, text_scores
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
