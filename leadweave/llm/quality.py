@@ -9,17 +9,22 @@ training documents turns it into the probability of label 1.
 Labels mark whole documents, so training alternates: lines of good documents are good;
 those of bad ones start as bad and are then labelled by the field itself, at least one
 staying bad. The field is fitted on the driver, on a bounded sample of labelled rows (the
-SAMPLE_DOCS with the smallest hashes); scoring runs over all rows and whole texts.
+SAMPLE_DOCS with the smallest hashes; of a text with more than SAMPLE_LINES lines a run of so
+many, from a line that its checksum names); scoring runs over all rows and whole texts.
 
 Labels, language, source and id are no features. Null or empty text: one line without
-characters, scored as such. Null doc_id: not held out and never a training row. Repeated
-rows are scored alike. Labels with null or other values than 0 and 1 are passed over;
-of several labels of an id the smaller counts. Without any usable labels of both kinds
-each score is 0.5. Empty table: empty result.
+characters, scored as such. Very long texts: whole, their lines counted in pieces of PIECE
+bytes, so that memory grows with the number of lines only. Null doc_id: not held out and
+never a training row. Repeated rows are scored alike; of rows with one id the smallest text
+is the training row. Labels with null or other values than 0 and 1 are passed over; of
+several labels of an id the smaller counts. Without any usable labels of both kinds each
+score is 0.5. Ties don't arise. Further columns, also of clashing names, are passed over.
+Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from leadweave.llm.common import pick
+from leadweave.llm.common import batch_slices, pick
 
-SAMPLE_DOCS, SAMPLE_LINES = 3000, 128  # documents of the sample; only those with so many lines at most
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_LINE_BYTES = 3000, 128, 4096  # the sample: documents, lines of each, bytes of a line at most
+PIECE = 1 << 20
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 ROUNDS, STEPS = 3, 100
 
@@ -49,42 +55,93 @@ BYTE_CLASS = _byte_classes()
 OWN_FEATURES = len(_CLASSES) + 6
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own features of all lines, their weights (length and 1), and lines of each text."""
-    blob = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    ends = np.flatnonzero(blob == 10)
+def _sums(blob: bytes) -> np.ndarray:
+    """For each line of a blob (each ends with a newline): bytes of each class, bytes, words,
+    bytes of words, words that repeat the word before and the one before that, a checksum."""
+    b = np.frombuffer(blob, dtype=np.uint8)
+    ends = np.flatnonzero(b == 10)
     starts = np.r_[0, ends[:-1] + 1]
-    size = (ends - starts).astype(np.float64)
-    kind = BYTE_CLASS[blob]
-    kind[ends] = len(_CLASSES)  # the line's end is no character of it
-    x = np.zeros((len(ends), OWN_FEATURES))
-    some = np.maximum(size, 1)
-    for k in range(len(_CLASSES)):
-        x[:, k] = np.add.reduceat((kind == k).astype(np.float32), starts) / some
-    x[:, -3] = np.log1p(size) / 10
-    x[:, -2] = size == 0
-    # words: their mean length, and the shares that repeat the word before or the one before that
-    inside = (kind != _CLASSES.index("space")) & (kind != len(_CLASSES))
-    begin = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    n, k = len(ends), len(_CLASSES)
+    out = np.zeros((n, k + 6))
+    kind = BYTE_CLASS[b]
+    kind[ends] = k  # the line's end is no character of it
+    for c in range(k):
+        out[:, c] = np.add.reduceat(kind == c, starts, dtype=np.int32)
+    out[:, k] = ends - starts
+    inside = (kind != _CLASSES.index("space")) & (kind != k)
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, stop = edge[::2], edge[1::2]  # the blob ends outside a word
     if len(begin):
-        stop = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
         line = np.searchsorted(ends, begin)
-        words = np.maximum(np.bincount(line, minlength=len(ends)), 1)
-        place = np.arange(len(blob)) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(blob)]))
-        code = np.add.reduceat(np.where(inside, blob.astype(np.int64) * (1 + place % 53 * 97), 0), begin) * 64 + (stop - begin) % 64
-        for lag, at in ((1, -6), (2, -5)):
+        place = np.arange(len(b), dtype=np.int32) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(b)])).astype(np.int32)
+        code = np.add.reduceat(np.where(inside, b.astype(np.int32) * (1 + place % 53 * 97), 0), begin, dtype=np.int64) * 64 + (stop - begin) % 64
+        out[:, k + 1] = np.bincount(line, minlength=n)
+        out[:, k + 2] = np.bincount(line, weights=stop - begin, minlength=n)
+        for lag in (1, 2):
             same = (code[lag:] == code[:-lag]) & (line[lag:] == line[:-lag])
-            x[:, at] = np.bincount(line[lag:], weights=same, minlength=len(ends)) / words
-        x[:, -4] = np.minimum(np.bincount(line, weights=stop - begin, minlength=len(ends)) / words, 20) / 20
-    # a line of the same length and bytes' sum as the one before it most likely repeats it
-    total = np.add.reduceat(blob.astype(np.float64) * (1 + (np.arange(len(blob)) - np.repeat(starts, ends - starts + 1)) % 61), starts)
+            out[:, k + 2 + lag] = np.bincount(line[lag:], weights=same, minlength=n)
+    at = (np.arange(len(b), dtype=np.int32) - np.repeat(starts, ends - starts + 1).astype(np.int32)) % 61
+    out[:, k + 5] = np.add.reduceat(b.astype(np.int32) * (1 + at), starts, dtype=np.int64)
+    return out
+
+
+def _long_sums(text: bytes) -> np.ndarray:
+    """_sums of one long text, piece by piece. A piece ends with a line or, in a line that is
+    longer, after its last blank or at its size; what would reach over that isn't counted."""
+    parts, at, open_ = [], 0, False
+    while at <= len(text):
+        end = text.find(b"\n", at + PIECE // 2, at + PIECE)
+        whole = end >= 0 or at + PIECE > len(text)
+        if end < 0:
+            end = len(text) if whole else (text.rfind(b" ", at + PIECE // 2, at + PIECE) + 1 or at + PIECE)
+        x = _sums(text[at:end] + b"\n")
+        if open_:
+            parts[-1][-1] += x[0]
+            x = x[1:]
+        if len(x):
+            parts.append(x)
+        at, open_ = end + (1 if whole else 0), not whole
+    return np.vstack(parts)
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own features of all lines, their weights (length and 1), and lines of each text."""
+    parts, small = [], []
+    for t in texts:
+        if len(t) > PIECE:
+            if small:
+                parts.append(_sums(b"\n".join(small) + b"\n"))
+                small = []
+            parts.append(_long_sums(t))
+        else:
+            small.append(t)
+    if small:
+        parts.append(_sums(b"\n".join(small) + b"\n"))
+    sums, k = np.vstack(parts) if parts else np.zeros((0, len(_CLASSES) + 6)), len(_CLASSES)
+    size, words, total = sums[:, k], np.maximum(sums[:, k + 1], 1), sums[:, k + 5]
+    x = np.zeros((len(sums), OWN_FEATURES))
+    x[:, :k] = sums[:, :k] / np.maximum(size, 1)[:, None]
+    x[:, -6], x[:, -5] = sums[:, k + 3] / words, sums[:, k + 4] / words
+    x[:, -4] = np.minimum(sums[:, k + 2] / words, 20) / 20
+    x[:, -3] = np.log1p(size) / 10
+    x[:, -2] = size == 0
+    # a line of the same length and checksum as the one before it most likely repeats it
     x[1:, -1] = (total[1:] == total[:-1]) & (size[1:] == size[:-1]) & (size[1:] > 0)
     each = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
-    first = np.cumsum(each) - each
-    x[first, -1] = 0
+    x[np.cumsum(each) - each, -1] = 0
     return x, size + 1, each
 
 
+def sample_of(text: bytes) -> bytes:
+    """The whole text, or SAMPLE_LINES of its lines from one that its checksum names; of each
+    line at most SAMPLE_LINE_BYTES."""
+    lines = text.split(b"\n")
+    if len(lines) > SAMPLE_LINES:
+        at = zlib.crc32(text) % (len(lines) - SAMPLE_LINES + 1)
+        lines = lines[at : at + SAMPLE_LINES]
+    return b"\n".join(line[:SAMPLE_LINE_BYTES] for line in lines)
+
+
 def with_neighbours(x: np.ndarray, each: np.ndarray) -> np.ndarray:
     """Own, previous and next line's features and a constant; zeros beyond a text's ends."""
     first = np.cumsum(each) - each
@@ -181,33 +238,26 @@ def train(x: np.ndarray, weight: np.ndarray, each: np.ndarray, label: np.ndarray
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """text and quality of the sample: labelled rows that are not held out."""
+    """doc_id, quality, text of the sample, a row for each id: labelled rows that are not held out."""
     usable = pick(labels, "doc_id", "quality", types={"quality": IntegerType()}).filter("quality IN (0, 1) AND doc_id IS NOT NULL")
     usable = usable.filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = F.broadcast(chosen)  # at most `sample` rows
-    return pick(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality")
+    rows = pick(docs, "doc_id", "text").join(chosen, "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, label = b.column(0).to_pylist(), b.column(2).to_pylist()
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            keep = [i for i, t in enumerate(texts) if t.count(b"\n") < SAMPLE_LINES]
-            if not keep:
-                continue
-            x, weight, each = line_features([texts[i] for i in keep])
+        for b in batch_slices(batches, 2, PIECE):
+            x, weight, each = line_features([sample_of(t) for t in b.column(2).cast(pa.binary()).to_pylist()])
             at = np.r_[0, np.cumsum(each)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in keep], pa.int64()), pa.array([label[i] for i in keep], pa.int32())]
-                + [pa.array([z[at[j] : at[j + 1]].astype(np.float32).tobytes() for j in range(len(keep))], pa.binary()) for z in (x, weight)],
-                names=["doc_id", "quality", "x", "weight"],
-            )
+            parts = [pa.array([z[at[j] : at[j + 1]].astype(np.float32).tobytes() for j in range(len(each))], pa.binary()) for z in (x, weight)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts], names=["doc_id", "quality", "x", "weight"])
 
+    # at most `sample` rows of SAMPLE_LINES lines
     rows = training_rows(docs, labels, sample).mapInArrow(features, "doc_id long, quality int, x binary, weight binary").collect()
-    rows = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.x))}  # of rows that repeat an id, one
-    rows = [rows[k] for k in sorted(rows)]
+    rows = sorted(rows, key=lambda r: r.doc_id)
     if not rows:
         return Field(np.zeros(3 * OWN_FEATURES + 1), np.zeros((2, 2)))
     weight = [np.frombuffer(r.weight, dtype=np.float32) for r in rows]
@@ -229,12 +279,10 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, score, predicted, and lines labelled bad, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                s, each, bad = text_scores(field, [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
-                cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(each), pa.array(bad)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted", "n_lines", "n_bad_lines"])
+        for b in batch_slices(batches, 2, PIECE):
+            s, each, bad = text_scores(field, [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
+            cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(each), pa.array(bad)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted", "n_lines", "n_bad_lines"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     d = pick(docs, "doc_id", "text").select("doc_id", held.alias("held_out"), "text")

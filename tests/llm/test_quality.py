@@ -1,11 +1,13 @@
 """Quality classifier: messages against enumeration, and accuracy on the supplied labels."""
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
 
-from leadweave.llm.quality import OWN_FEATURES, Field, fit, line_features, score, train, with_neighbours
+from leadweave.llm import quality
+from leadweave.llm.quality import OWN_FEATURES, Field, fit, line_features, sample_of, score, text_scores, train, with_neighbours
 
 
 def test_marginals_equal_enumeration():
@@ -34,6 +36,51 @@ def test_features_stay_within_a_text():
     assert np.allclose(np.vstack(alone), with_neighbours(x, each))
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    text = b"\n".join(b"word%d  word word, A%d!" % (i, i) * (i % 9) for i in range(400))
+    whole = line_features([b"x", text, b"y z"])
+    monkeypatch.setattr(quality, "PIECE", 1 << 10)
+    parts = line_features([b"x", text, b"y z"])
+    assert all(np.allclose(a, b) for a, b in zip(whole, parts))
+    one = line_features([b"ab cd " * 1000])[0]
+    monkeypatch.setattr(quality, "PIECE", 1 << 20)
+    assert np.abs(one - line_features([b"ab cd " * 1000])[0]).max() < 0.02  # but for words at the cuts
+
+
+def test_memory_of_a_very_long_text():
+    field = Field(np.ones(3 * OWN_FEATURES + 1), np.zeros((2, 2)), 1.0, 0.0)
+    for text in (b"some words " * 2_000_000, b"x" * 20_000_000, b"a line of words\n" * 300_000):
+        tracemalloc.start()
+        s, each, _ = text_scores(field, [text])
+        assert tracemalloc.get_traced_memory()[1] < 600 << 20 and 0 < s[0] < 1 and each[0] == text.count(b"\n") + 1
+        tracemalloc.stop()
+
+
+def test_sample_of_a_long_document():
+    lines = [b"%d" % i for i in range(1000)]
+    got = sample_of(b"\n".join(lines)).split(b"\n")
+    assert len(got) == 128 and got == lines[int(got[0]) :][:128]
+    assert sample_of(b"a" * 9000) == b"a" * 4096 and sample_of(b"") == b""
+
+
+def test_trained_field_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids with a field that is trained."""
+    good = [(i, "A plain sentence of some words.\nAnother one, as good as that.") for i in range(1, 200, 2)]
+    bad = [(i, "$$$ ||| 000 ###\n" * 5) for i in range(2, 200, 2)]
+    odd = [(500, None), (501, ""), (None, "A plain sentence."), (502, "A plain sentence of some words.\n" * 20_000), (502, "A plain sentence of some words.\n" * 20_000), (3, "$$$"), (3, "$$$")]
+    docs = spark.createDataFrame([(*r, "e", 1) for r in good + bad + odd], "doc_id long, text string, TEXT string, quality int")
+    labels = spark.createDataFrame([(d, d % 2, 0) for d, _ in good + bad], "doc_id long, quality int, toxic int")
+    got = {}
+    for r in score(docs, fit(docs, labels)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, got.values())) == 206
+    assert got[1][0].score > 0.9 > 0.1 > got[2][0].score
+    assert got[502][0].score == got[502][1].score and got[502][0].n_lines == 20_001
+    assert got[500][0].score == got[501][0].score and len(got[3]) == 3
+    alone = score(docs.filter("doc_id = 502").limit(1), fit(docs, labels)).first()
+    assert alone.score == got[502][0].score
+
+
 def test_one_label_only_gives_half():
     x, w, e = line_features([b"abc", b"d e f"])
     f = train(with_neighbours(x, e), w, e, np.array([1, 1]))
