@@ -1,25 +1,30 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Language, source and size of each document are quantised on their whole range, the
-curve's index is the sort key, and the sorted run is cut into shards whose row counts
-differ by one at most (law `rows`). Neighbours on the curve are near each other in every
-dimension, so a file holds a small box of each and a filter on any of them skips files.
-Only keys are sorted, no texts. Positions come from one range-partitioned sort, written
-once: the row's place in its partition plus the rows of the partitions before it.
-
-Null text: size 1, checksum of no bytes. Null metadata: the lowest cell. Equal texts of
-one source lie side by side, ties go by doc_id; repeated rows have slots of their own.
-Empty table: empty result.
+Language, source and size of each document are quantised by share of rows: a value's cell is
+where the middle of its rows stands among all rows in the order of values, so that no range
+of values, however many rows it has or whatever its values begin with, crowds a few cells.
+Sizes are first rounded to sixteenths of an octave. The curve's index of the three cells is
+the sort key, and the sorted run is cut into shards whose row counts differ by one at most
+(law `rows`). Neighbours on the curve are near each other in every dimension, so a file holds
+a small box of each and a filter on any of them skips files. Only keys are sorted, no texts.
+Positions come from one range-partitioned sort, written once: the row's place in its
+partition plus the rows of the partitions before it.
+
+Null text: size 1, checksum of no bytes. Very long texts: by size and checksum. Null
+metadata: before all values. Equal texts of one language and source lie side by side, those
+of others where their metadata puts them; ties go by checksum, size and doc_id (null first);
+repeated rows have slots of their own. Further columns, also of clashing names, are passed
+over. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import materialize, pick
+from leadweave.llm.common import broadcast_if_small, materialize, pick, release
 
 SHARDS, BITS = 16, 10
 
@@ -52,49 +57,59 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _as_number(c: Column) -> Column:
-    """The first six bytes of a string as a number: keeps the strings' order."""
-    raw = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-    return F.conv(raw, 16, 10).cast("double")
+def size_class(size: Column) -> Column:
+    """Sixteenths of an octave, as whole numbers that rise with the size (1 at least)."""
+    octave = F.length(F.bin(size)) - 1
+    scaled = F.when(octave >= 4, F.call_function("shiftright", size, F.greatest(octave - 4, F.lit(0)))).otherwise(F.call_function("shiftleft", size, F.greatest(4 - octave, F.lit(0))))
+    return (octave * 16 + scaled - 16).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve of every row."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keys = pick(docs, "doc_id", "text", "lang", "source").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _as_number(F.col("lang")).alias("k0"), _as_number(F.col("source")).alias("k1")
-    )
-    keys = materialize(keys.withColumn("k2", F.log2("size")), "shard-keys")
-    dims = ["k0", "k1", "k2"]
-    found = keys.agg(F.count(F.lit(1)).alias("n"), *[f(d) for d in dims for f in (F.min, F.max)]).first()
-    total, ends = found[0], found[1:]
+def in_order(rows: DataFrame, *by: Column | str, weight: str | None = None, label: str = "order") -> tuple[DataFrame, DataFrame, int]:
+    """rows sorted and written, with part and place (in the order), one row of `before` for each
+    part, and the total. The parts are those of the sort; before: rows, or weights, ahead of a part."""
+    one = F.lit(1).cast("long") if weight is None else F.col(weight)
+    ordered = materialize(rows.orderBy(*by).withColumn("place", F.monotonically_increasing_id()), label)
+    ordered_ = ordered.withColumn("part", F.shiftright("place", 33).cast("long"))
+    # one number for each partition of the sort: their count is bounded by the shuffle's
+    sums = sorted(ordered_.groupBy("part").agg(F.sum(one)).collect())
+    starts, total = [], 0
+    for p, n in sums:
+        starts.append((p, total))
+        total += n
+    return ordered_, rows.sparkSession.createDataFrame(starts or [(-1, 0)], "part long, before long"), total
+
+
+def cells(keys: DataFrame, name: str, bits: int = BITS) -> DataFrame:
+    """value, cell: the place of the middle of each value's rows among all rows."""
+    counts = keys.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ordered, starts, total = in_order(counts, F.col("value").asc_nulls_first(), weight="n", label="shard-values")
+    own = F.sum("n").over(Window.partitionBy("part").orderBy("place")) - F.col("n")
+    at = ordered.withColumn("own", own).join(F.broadcast(starts), "part").withColumn("at", 2 * (F.col("before") + F.col("own")) + F.col("n"))
+    return materialize(at.select("value", F.expr(f"at * {1 << bits}L div {2 * max(1, total)}L").alias("cell")), "shard-cells")
 
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve of every row."""
     @F.pandas_udf("long")
-    def curve(k0: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.Series:
-        cells = np.zeros((len(k0), 3), dtype=np.int64)
-        for i, k in enumerate((k0, k1, k2)):
-            lo, hi = ends[2 * i], ends[2 * i + 1]
-            if lo is not None and hi > lo:
-                x = (k.fillna(lo).to_numpy(float) - lo) / (hi - lo)
-                cells[:, i] = np.clip((x * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
-        return pd.Series(hilbert_index(cells, bits))
-
-    ordered = keys.withColumn("curve", curve(*dims)).drop(*dims).orderBy("curve", "text_crc32", "size", "doc_id")
-    place = F.monotonically_increasing_id()  # the partition above bit 33, the place in it below
-    ordered = materialize(ordered.withColumn("place", place), "shard-order")
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    # one number for each partition of the sort: their count is bounded by the shuffle's
-    sizes = sorted(ordered.groupBy(part.alias("p")).count().collect())
-    before, starts = 0, []
-    for p, c in sizes:
-        starts.append((p, before))
-        before += c
-    spark = docs.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(starts or [(-1, 0)], "p long, before long"))
-    out = ordered.withColumn("p", part.cast("long")).join(offsets, "p").withColumn("position", F.col("before") + at)
+    def curve(c0: pd.Series, c1: pd.Series, c2: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack([c0, c1, c2], axis=1), BITS))
+
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    keys = pick(docs, "doc_id", "text", "lang", "source").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
+    keys = materialize(keys.withColumn("class", size_class(F.col("size"))), "shard-keys")
+    placed, made = keys, []
+    for i, d in enumerate(("lang", "source", "class")):
+        made.append(cells(keys, d))
+        c = broadcast_if_small(made[-1]).withColumnRenamed("cell", f"c{i}")
+        placed = placed.join(c, F.col(d).eqNullSafe(F.col("value"))).drop("value")
+    placed = placed.select("doc_id", "size", "text_crc32", curve("c0", "c1", "c2").alias("curve"))
+    ordered, starts, total = in_order(placed, "curve", "text_crc32", "size", "doc_id", label="shard-order")
+    at = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    out = ordered.join(F.broadcast(starts), "part").withColumn("position", F.col("before") + at)
     which = F.expr(f"position * {shards}L div {max(1, total)}L")
     out = out.withColumn("shard", which.cast("int"))
     first = F.expr(f"(CAST(shard AS LONG) * {total}L + {shards - 1}L) div {shards}L")
+    release(keys, *made)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("position") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

@@ -16,7 +16,7 @@ from leadweave.llm.packing import WordTokenizer, best_fill, pack, patterns
 from leadweave.llm.sharding import hilbert_index, shard
 from leadweave.llm import topk
 from leadweave.llm.topk import as_integers, bounds, cell_edges, packed, top_k, unpacked
-from leadweave.llm.url_filter import url_filter
+from leadweave.llm.url_filter import ORACLES, TERMS, longest_rule, rules_by_host, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, TEXT string, bucket long, n int"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,38 @@ def test_url_filter(spark):
     assert url_filter(t.limit(0)).count() == 0
 
 
+def test_weights_decide(spark):
+    urls = ["http://x.com/best-deal/", "http://x.com/jackpot/best/", "http://x.com/jackpot/", "http://x.com/free/bonus", "http://x.com/free/free", "http://x.com/éfree/bonusé", "http://x.com/free1/bonus", "http://x.com/best-deal-vip-sale", "http://x.com/FREE_Bonus", "http://x.com/" + "a/" * 50_000 + "porn"]
+    t = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[1]])], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.soft_terms, r.soft_weight) for r in url_filter(t).collect()}
+    assert [got[i] for i in range(9)] == [("allow", 2, 0.6), ("block", 2, 1.1), ("allow", 1, 0.8), ("block", 2, 1.0), ("allow", 1, 0.5), ("block", 2, 1.0), ("allow", 1, 0.5), ("block", 4, 1.2), ("block", 2, 1.0)]
+    assert got[9][0] == "block" and got[10] == got[1]
+    table = spark.createDataFrame([("deal", "strict", None), ("best", "soft", 0.9), ("best", "soft", 0.1), (None, "soft", 1.0)], "term string, kind string, weight double")
+    assert [r.verdict for r in url_filter(t, terms=table).orderBy("page_id").limit(2).collect()] == ["block", "allow"]
+
+
+def test_url_sql_agrees(spark):
+    import duckdb
+
+    r = random.Random(6)
+    bits = [*[t for t, _, _ in TERMS][::3], "é", "É", "1", "-", "/", "//", ".", "://", "?", "#", "net", "example.net", "EN", "/en/", "İ", "org/fr/", " ", "\n"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(1, 14)))) for i in range(3000)] + [(3000, None), (3001, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    want = sorted(con.execute(ORACLES["op2_url_filter"]).fetchall())
+    assert sorted(tuple(x) for x in url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()) == want
+
+
+def test_many_rules():
+    rules = [("block", f"h{i}.com/p{i % 7}/") for i in range(5000)] + [("allow", "com/"), ("allow", "h3.com/p3/x/")]
+    by_host = rules_by_host(rules)
+    assert longest_rule("a.h3.com", "/p3/x/1", by_host) == ("h3.com/p3/x/", "allow")
+    assert longest_rule("a.h3.com", "/p3/y", by_host) == ("h3.com/p3/", "block")
+    assert longest_rule("xh3.com", "/p3/y", by_host) == ("com/", "allow")
+    assert longest_rule("", "", by_host) == (None, None) == longest_rule("h3.com", "", by_host)
+
+
 def test_perfect_hash():
     keys = as_words(hashlib.sha256(str(i).encode()).digest() for i in range(5000))
     levels, slots = build_mph(keys)
@@ -169,6 +201,50 @@ def test_sharding(docs, empty):
     assert shard(empty).count() == 0
 
 
+def plain_shards(rows, shards=16, bits=10):
+    """(doc_id, crc, shard, slot) by a plain sort of all rows; rows: doc_id, text, lang, source."""
+    def sixteenths(n):
+        e = n.bit_length() - 1
+        return e * 16 + (n >> (e - 4) if e >= 4 else n << (4 - e)) - 16
+
+    keys = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), lang, src) for d, t, lang, src in rows]
+    dims = [[k[3] for k in keys], [k[4] for k in keys], [sixteenths(k[1]) for k in keys]]
+    points = np.zeros((len(keys), 3), dtype=np.int64)
+    for i, values in enumerate(dims):
+        rank = lambda v: (v is not None, v.encode() if isinstance(v, str) else v or 0)
+        cell = {}
+        for v in sorted(set(values), key=rank):
+            before = sum(rank(x) < rank(v) for x in values)
+            cell[v] = (2 * before + values.count(v)) * (1 << bits) // (2 * len(values))
+        points[:, i] = [cell[v] for v in values]
+    curve = hilbert_index(points, bits).tolist()
+    order = sorted(range(len(keys)), key=lambda i: (curve[i], keys[i][2], keys[i][1], keys[i][0] is not None, keys[i][0] or 0))
+    out, n = [], len(keys)
+    for at, i in enumerate(order):
+        k = at * shards // n
+        out.append((keys[i][0] if keys[i][0] is not None else -1, keys[i][2], k, at - -(-k * n // shards)))
+    return sorted(out), order
+
+
+def test_sharding_by_brute_force(spark, docs):
+    tie = [(900 + i, "tie", "en", "s1", "c", 1, 1) for i in range(9)] + [(1000, "tie", "de", "s2", "c", 1, 1), (1001, "x " * 90_000, "en", "source-with-a-long-common-prefix-1", "c", 1, 1), (1002, "y", "en", "source-with-a-long-common-prefix-2", "c", 1, 1)]
+    data = rows() + tie
+    got = shard(spark.createDataFrame(data, DOCS).repartition(4)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text_crc32, r.shard, r.slot) for r in got) == plain_shards([x[:4] for x in data])[0]
+    supplied = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r.doc_id, r.text, r.lang, r.source) for r in supplied.collect()]
+    got = shard(supplied).collect()
+    assert sorted((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got) == plain_shards(data)[0]
+    # pruning: a filter on one dimension opens far fewer shards than rows dealt at random would
+    at, meta = {r.doc_id: r.shard for r in got}, {d: (lang, src, len(t or "").bit_length()) for d, t, lang, src in data}
+    for i, most in ((0, 9), (1, 9), (2, 13)):
+        files = {}
+        for d, m in meta.items():
+            files.setdefault(m[i], set()).add(at[d])
+        common = {v: f for v, f in files.items() if sum(m[i] == v for m in meta.values()) >= 40}
+        assert sum(map(len, common.values())) / len(common) < most, (i, {v: len(f) for v, f in common.items()})
+
+
 def test_cells_bound_products():
     r = np.random.default_rng(7)
     for big in (100, 10**9):
