@@ -2,7 +2,7 @@
 
 Components become integers. Equal vectors are one entry with its k + 1 smallest rows, which
 is all that any query can need of them. The approximation file is written once: blocks of
-entries as packed four-bit cells, with the edges of the cells in each dimension. Queries, a
+entries as cells of one byte a component, with the edges of the cells in each dimension. Queries, a
 stated set, come to the blocks in blocks of their own; no vector travels there.
 
 The first scan of the cells gives, for each query and block, the largest lower bounds of the
@@ -30,22 +30,10 @@ from pyspark.sql import functions as F
 
 from leadweave.llm.common import materialize, pick, release
 
-K, QUERY_STEP, CELLS = 5, 50, 16
+K, QUERY_STEP, CELLS = 5, 50, 256
 CELLS_A_BLOCK, COMPONENTS_A_QUERY_BLOCK = 1 << 20, 1 << 16  # components of the entries or queries of a block
 
 
-def packed(cells: np.ndarray) -> bytes:
-    """Rows of four-bit cells, two in a byte."""
-    if cells.shape[1] % 2:
-        cells = np.pad(cells, ((0, 0), (0, 1)))
-    return (cells[:, ::2] << 4 | cells[:, 1::2]).astype(np.uint8).tobytes()
-
-
-def unpacked(raw: bytes, dim: int) -> np.ndarray:
-    pairs = np.frombuffer(raw, dtype=np.uint8).reshape(-1, -(-dim // 2))
-    return np.stack([pairs >> 4, pairs & 15], axis=2).reshape(len(pairs), -1)[:, :dim]
-
-
 def cell_edges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest integer of each cell (columns) in each dimension (rows)."""
     width = np.maximum(1, -(-(hi - lo + 1) // CELLS))
@@ -94,7 +82,7 @@ def approximation_file(entries: DataFrame) -> DataFrame:
         v = e.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         cells = ((v - lo) // (low[:, 1] - low[:, 0])).astype(np.uint8)
         sizes = e.column("size").to_numpy().astype(np.int32).tobytes()
-        row = (dim, e.column("block")[0].as_py(), e.column("entry").to_numpy().astype(np.int64).tobytes(), sizes, packed(cells), low.tobytes(), high.tobytes())
+        row = (dim, e.column("block")[0].as_py(), e.column("entry").to_numpy().astype(np.int64).tobytes(), sizes, cells.tobytes(), low.tobytes(), high.tobytes())
         return pa.Table.from_pylist([dict(zip(schema.names, row))], schema)
 
     # each block meets the one row of its length's edges
@@ -134,7 +122,7 @@ def _scan(queries: DataFrame, va: DataFrame, k: int, name: bool) -> DataFrame:
             for r in b.to_pylist():
                 entries, sizes = np.frombuffer(r["entries"], np.int64), np.frombuffer(r["sizes"], np.int32)
                 low, high = (np.frombuffer(r[c], np.int64).reshape(r["dim"], CELLS) for c in ("low", "high"))
-                cells, q = unpacked(r["cells"], r["dim"]), np.frombuffer(r["q"], np.int64).reshape(-1, r["dim"])
+                cells, q = (np.frombuffer(r[c], t).reshape(-1, r["dim"]) for c, t in (("cells", np.uint8), ("q", np.int64)))
                 rids, own, listed, least = (np.frombuffer(r[c], t) for c, t in (("rids", np.int64), ("own", np.int64), ("listed", np.uint8), ("least", np.float64)))
                 for at in range(0, len(q), 64):
                     bottom, top = bounds(q[at : at + 64], cells, low, high)

@@ -15,7 +15,7 @@ from leadweave.llm.exact_dedup import as_words, build_mph, exact_dedup, find_slo
 from leadweave.llm.packing import WordTokenizer, best_fill, pack, patterns
 from leadweave.llm.sharding import hilbert_index, shard
 from leadweave.llm import topk
-from leadweave.llm.topk import as_integers, bounds, cell_edges, packed, top_k, unpacked
+from leadweave.llm.topk import as_integers, bounds, cell_edges, top_k
 from leadweave.llm.url_filter import ORACLES, TERMS, longest_rule, rules_by_host, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, TEXT string, bucket long, n int"
@@ -251,7 +251,7 @@ def test_cells_bound_products():
         v, q = r.integers(-big, big, (300, 7)), r.integers(-big, big, (20, 7))
         low, high = cell_edges(v.min(axis=0), v.max(axis=0))
         cells = ((v - v.min(axis=0)) // (low[:, 1] - low[:, 0])).astype(np.uint8)
-        assert (unpacked(packed(cells), 7) == cells).all() and cells.max() < 16
+        assert cells.max() > 128
         assert all((low[j, c[j]] <= x[j] <= high[j, c[j]]) for c, x in zip(cells, v) for j in range(7))
         bottom, top = bounds(q, cells, low, high)
         exact = [[int(sum(int(a) * int(b) for a, b in zip(x, y))) for y in v] for x in q]
@@ -304,4 +304,4 @@ def test_only_likely_vectors_are_read(spark):
     low, high = cell_edges(lo, hi)
     bottom, top = bounds(ints[::2], ((ints - lo) // (low[:, 1] - low[:, 0])).astype(np.uint8), low, high)
     least = -np.sort(-bottom, axis=1)[:, 5:6]
-    assert (top >= least).sum() < 0.1 * top.size
+    assert (top >= least).sum() < 0.005 * top.size
