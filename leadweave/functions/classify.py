@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadweave.functions import names as N
 from leadweave.functions import url as U
+from leadweave.functions import values as V
 
 #: Titles of listing pages, and of articles.
 LISTING_TITLE = (r"^top\s+\d*", r"^\d+\s+(top|best)", r"top\s+\d+", r"best\s+\d+", r"companies\s+in\b", r"companies\s+to\s+know", r"jobs\s+in\b", r"^popular\b", r"services\s+in\b.*\(?\d{4}\)?$", r"in\s+\w+\s*\(?\d{4}\)?$")
@@ -16,19 +18,6 @@ ARTICLE_TITLE = (
 ARTICLE_NAMES = ("artificial intelligence", "ai", "artificial intelligence (ai)")
 ENCYCLOPEDIAS = ("wikipedia.org", "britannica.com")
 
-#: Host and path signs of page types.
-SOCIAL = ("linkedin.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "reddit.com", "pinterest.com")
-PROFILES = ("clutch.co/profile/", "goodfirms.co/company/", "crunchbase.com/organization/", "wellfound.com/company/", "zoominfo.com/c/", "apollo.io/companies/")
-LISTING_PATHS = ("/search", "/directory", "/directories", "/category", "/categories", "/best", "/top", "/profiles")
-LISTING_TITLES = ("top companies", "best companies", "top software", "best software", "directories", "directory list", "list of best")
-LEARNING_PATHS = ("what-is-", "what_is_", "tutorial", "course", "learn", "guide", "blog", "news", "article", "definition", "ranking", "admission", "fees", "placement", "college", "university")
-LEARNING_TITLES = (
-    "admission", "college", "university", "universities", "fees", "fee structure", "placement", "syllabus", "scholarship", "exam", "entrance", "cutoff",
-    "tutorial", "course", "learn", "documentation", "docs", "guide", "introduction", "beginner", "cheatsheet", "how to", "step by step",
-    "wikipedia", "definition", "what is", "meaning", "overview", "history", "encyclopedia", "explained", "types of",
-    "blog", "news", "article", "magazine", "podcast", "forum", "community", "discussion", "question", "answer", "faq", "thread",
-    "ranking", "top 10", "top 5", "top 7", "top 15", "top 20", "comparison", "best ", "vs ", "versus", "review", "jobs", "job openings", "careers", "hiring", "vacancy", "vacancies", "internship",
-)
 #: Query terms by what they tell.
 PERSON_TERMS = ("founder", "ceo", "co-founder", "cofounder", "director", "cto", "coo", "vp", "vice president", "head of", "our team", "about us", "meet the team", "leadership")
 COMPANY_TERMS = ("company", "companies", "agency", "agencies", "firm", "firms", "startup", "startups", "services", "pvt", "ltd", "inc", "llp", "corporation", "enterprise", "enterprises")
@@ -57,58 +46,57 @@ def is_listing(name: Column) -> Column:
     return (n == "") | n.rlike("|".join(LISTING_TITLE))
 
 
-def is_article(name: Column, website: Column) -> Column:
+def is_article(name: Column, website: Column, titles: tuple[str, ...] = ARTICLE_TITLE) -> Column:
     n, w = F.lower(F.trim(F.coalesce(name, F.lit("")))), F.lower(F.coalesce(website, F.lit("")))
-    return n.rlike("|".join(ARTICLE_TITLE)) | has_any(w, ENCYCLOPEDIAS) | n.isin(*ARTICLE_NAMES)
+    return n.rlike("|".join(titles)) | has_any(w, ENCYCLOPEDIAS) | n.isin(*ARTICLE_NAMES)
+
+
+def is_polish_article(name: Column, website: Column) -> Column:
+    """is_article with the last stage's titles."""
+    return is_article(name, website, V.POLISH_TITLES)
 
 
 def page_type(url: Column, title: Column, non_company: Column | None = None) -> Column:
-    """struct(kind, confidence) of a page by ordered rules on host, path and title."""
+    """struct(kind, confidence) of a page: the first of PAGE_KINDS whose conditions all hold.
+    non_company: whether the host is listed as no company (by default the own list)."""
     u, t = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
     host, path = U.part(u, 2), U.part(u, 3)
-    full = F.concat(F.lit("/"), F.regexp_replace(path, "^/+|/+$", ""))
-    is_ = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence"))
+    listing = F.concat(F.lit("/"), F.regexp_replace(path, "^/+|/+$", ""))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    code = u.contains("github.com/")
-    own = ~F.get(parts, F.lit(0)).isin("features", "marketplace", "pricing", "trending", "explore", "topics", "collections", "login", "join", "search", "about")
-    job_path = has_any(path, ("/job/", "/jobs/", "/careers/", "/join-us", "/careers-at/"))
-    learning = has_any(path, LEARNING_PATHS) | has_any(t, LEARNING_TITLES)
-    rules = [
-        (has_any(host, SOCIAL) & u.contains("linkedin.com/company"), ("COMPANY_PROFILE", 0.98)),
-        (has_any(host, SOCIAL), ("SOCIAL", 0.99)),
-        (has_any(u, PROFILES), ("COMPANY_PROFILE", 0.98)),
-        (code & (((F.size(parts) == 1) & own) | ((F.size(parts) == 2) & (F.get(parts, F.lit(0)) == "orgs"))), ("COMPANY_PROFILE", 0.95)),
-        (has_any(host, ("clutch.co", "goodfirms.co")) & has_any(path, ("/search", "/companies", "/directory")), ("DIRECTORY_LIST", 0.97)),
-        (host.contains("crunchbase.com") & path.contains("/discover/"), ("DIRECTORY_LIST", 0.97)),
-        ((full != "/") & has_any(full, LISTING_PATHS), ("DIRECTORY_LIST", 0.95)),
-        (has_any(t, LISTING_TITLES), ("DIRECTORY_LIST", 0.92)),
-        (has_any(host, ("play.google.com", "apps.apple.com", "chromewebstore.google.com")), ("MARKETPLACE", 0.99)),
-        (has_any(host, ("amazon.com", "ebay.com")), ("MARKETPLACE", 0.95)),
-        (has_any(host, ("indeed.com", "glassdoor.com")) & (path.contains("job") | u.contains("viewjob")), ("JOB_POSTING", 0.95)),
-        (has_any(host, ("indeed.com", "glassdoor.com")), ("CAREERS", 0.90)),
-        (job_path & (path.rlike("[0-9]+$") | has_any(u, ("jobid", "job_id"))), ("JOB_POSTING", 0.90)),
-        (job_path, ("CAREERS", 0.95)),
-        (host.contains("docs.") | has_any(path, ("/docs/", "/documentation/", "/api-reference/")), ("DOCUMENTATION", 0.92)),
-        (has_any(host, ("stackoverflow.com", "quora.com", "discourse", "reddit.com")) | path.contains("forum"), ("FORUM", 0.95)),
-        (host.contains("blog") | has_any(path, ("/blog", "/blogs/", "/post/")), ("BLOG", 0.95)),
-        (host.contains("wikipedia.org"), ("ARTICLE", 0.99)),
-        (has_any(host, ("techcrunch.com", "forbes.com", "nytimes.com", "bloomberg.com", "reuters.com", "medium.com")), ("NEWS", 0.95)),
-        (learning & has_any(u, ("news", "press")), ("NEWS", 0.90)),
-        (learning & u.contains("blog"), ("BLOG", 0.90)),
-        (learning, ("ARTICLE", 0.90)),
-        (~U.is_platform(u) & ~(F.lit(False) if non_company is None else non_company) & path.isin("", "/", "/index.html", "/index.php", "/home"), ("COMPANY_HOMEPAGE", 0.90)),
-    ]
-    out = is_("UNKNOWN", 0.40)
-    for when, what in reversed(rules):
-        out = F.when(when, is_(*what)).otherwise(out)
+    first = F.get(parts, F.lit(0))
+    listed = U.is_non_company(u) if non_company is None else non_company
+    held = {"url": u, "host": host, "path": path, "title": t, "listing": listing}
+    special = {
+        "code_owner": ((F.size(parts) == 1) & ~first.isin(*V.CODE_PAGES)) | ((F.size(parts) == 2) & (first == "orgs")),
+        "job_list": path.contains("job") | u.contains("viewjob"),
+        "job_number": path.rlike(r"\d+$") | has_any(u, ("jobid", "job_id")),
+        "docs": host.contains("docs.") | has_any(path, ("/docs/", "/documentation/", "/api-reference/")),
+        "forum": has_any(host, ("stackoverflow.com", "quora.com", "discourse", "reddit.com")) | path.contains("forum"),
+        "blog": host.contains("blog") | has_any(path, ("/blog", "/blogs/", "/post/")),
+        "learning": has_any(path, V.LEARNING_PATHS) | has_any(t, V.INFORMATIONAL_TERMS),
+        "own_root": ~U.is_platform(u) & ~listed & path.isin(*V.ROOT_PATHS),
+    }
+
+    def holds(what: str, terms: tuple[str, ...]) -> Column:
+        if what in special:
+            return special[what]
+        return has_any(held[what], terms) & (held[what] != "/" if what == "listing" else F.lit(True))
+
+    is_ = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence"))
+    out = is_(*V.PAGE_UNKNOWN)
+    for kind, confidence, conditions in reversed(V.PAGE_KINDS):
+        when = F.lit(True)
+        for what, terms in conditions:
+            when = when & holds(what, terms)
+        out = F.when(when, is_(kind, confidence)).otherwise(out)
     return out
 
 
 def result_class(url: Column, title: Column, non_company: Column | None = None) -> Column:
     """ALLOW, DIRECTORY_LIST, REJECT or UNKNOWN for a search result."""
-    p = page_type(url, title, non_company)
-    blocked = U.is_platform(url) | (F.lit(False) if non_company is None else non_company)
-    allow = p["kind"].isin("COMPANY_HOMEPAGE", "COMPANY_PROFILE") | (p["kind"].isin("CAREERS", "JOB_POSTING") & ~blocked)
+    listed = U.is_non_company(url) if non_company is None else non_company
+    p = page_type(url, title, listed)
+    allow = p["kind"].isin("COMPANY_HOMEPAGE", "COMPANY_PROFILE") | (p["kind"].isin("CAREERS", "JOB_POSTING") & ~(U.is_platform(url) | listed))
     return F.when(F.coalesce(url, F.lit("")) == "", F.lit("REJECT")).when(p["confidence"] < 0.8, F.lit("UNKNOWN")).when(allow, F.lit("ALLOW")).when(p["kind"] == "DIRECTORY_LIST", F.lit("DIRECTORY_LIST")).otherwise(F.lit("REJECT"))
 
 
@@ -163,12 +151,180 @@ def quality_label(score: Column) -> Column:
 
 
 def query_expectation(query: Column) -> Column:
-    """1.0 for plain company queries, 0.6 with a location, 0.2 for site searches."""
-    q = F.lower(query)
-    return F.when(q.contains("site:"), 0.2).when(q.rlike(r"\b(?:in|near)\s+\w+"), 0.6).otherwise(1.0)
+    """1.0 for up to four words without a site, 0.6 for a site and up to five words without
+    quotes, else 0.2."""
+    q = F.lower(F.coalesce(query, F.lit("")))
+    words = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
+    site = q.contains("site:")
+    return F.when(~site & (words <= 4), 1.0).when(site & ~q.contains('"') & (words <= 5), 0.6).otherwise(0.2)
+
+
+def error_class(message: Column) -> Column:
+    """Class of an error text: the first whose terms it holds."""
+    m, out = F.lower(F.coalesce(message, F.lit(""))), F.lit("generic")
+    for name, terms in reversed(V.ERROR_CLASSES):
+        out = F.when(has_any(m, terms), F.lit(name)).otherwise(out)
+    return out
+
+
+def error_outcome(kind: Column) -> Column:
+    """Outcome that a class of errors counts as; null for those that count as none."""
+    out = F.lit(None).cast("string")
+    for k, o in V.ERROR_OUTCOMES.items():
+        out = F.when(kind == k, F.lit(o)).otherwise(out)
+    return out
+
+
+def lead_rejection(name: Column, website: Column, source: Column, industry: Column, company_type: Column, threshold: int = 40) -> Column:
+    """The first reason against a lead, or null."""
+    n, token = F.trim(F.coalesce(name, F.lit(""))), U.plain_domain_token(U.netloc(F.coalesce(website, F.lit(""))))
+    term = N.informational_term(n)
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (name, website, source, industry)])
+    penalty = quality_penalty(text, U.is_non_company(website))
+    return (
+        F.when(F.length(n) < 2, F.lit("company name too short")).when(company_type == "Education Company", F.lit("company classified as educational"))
+        .when(term.isNotNull(), F.concat(F.lit("company name contains informational term: '"), term, F.lit("'")))
+        .when(token.isin(*V.NON_COMPANY_DOMAINS), F.concat(F.lit("website domain '"), token, F.lit("' is a blocked non-company site")))
+        .when(penalty >= threshold, F.concat(F.lit("quality penalty "), penalty.cast("string"), F.lit(" exceeds threshold")))
+    )
+
+
+def company_rejection(name: Column, website: Column, source_url: Column, linkedin: Column) -> Column:
+    """The first reason against a discovered company, or null."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    n, site = F.coalesce(name, F.lit("")), F.coalesce(website, F.lit(""))
+    url = F.coalesce(given(website), given(source_url), given(linkedin), F.lit(""))
+    kind = page_type(url, n)["kind"]
+    return (
+        F.when(n == "", F.lit("missing company name")).when(F.length(n) < 2, F.lit("company name too short")).when(N.is_informational(n), F.lit("company name looks informational"))
+        .when(kind.isin("ARTICLE", "BLOG", "CATEGORY", "DIRECTORY_LIST"), F.concat(F.lower(kind), F.lit(" page rejected")))
+        .when((url != "") & (U.is_government(url) | U.is_forum(url)), F.lit("government or forum URL rejected"))
+        .when((site != "") & ~U.is_platform(site) & ~U.tld(U.netloc(site)).isin(*V.BUSINESS_SUFFIXES), F.lit("unsupported website domain suffix"))
+    )
+
+
+def is_skipped_host(url: Column) -> Column:
+    h, out = F.regexp_replace(U.netloc(url), r"^[w.]+", ""), F.lit(False)
+    for d in V.NO_RESULT_HOSTS:
+        out = out | (h == d) | h.endswith("." + d)
+    return F.coalesce(out, F.lit(False))
+
+
+def result_quality(url: Column, title: Column, snippet: Column) -> Column:
+    """Accepted, Suspicious (no title or snippet) or Rejected (no web address, the engine itself)."""
+    u, none = F.coalesce(url, F.lit("")), lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    bad = ~u.rlike("^https?://") | is_skipped_host(u) | u.contains("/search?") | u.contains("google.com")
+    return F.when(bad, F.lit("Rejected")).when(none(title) | none(snippet), F.lit("Suspicious")).otherwise(F.lit("Accepted"))
+
+
+def company_type(text: Column) -> Column:
+    """The first type that one of its words tells; Unknown."""
+    t, out = F.lower(F.coalesce(text, F.lit(""))), F.lit("Unknown")
+    for name, words in reversed(V.COMPANY_TYPES.items()):
+        out = F.when(has_any(t, words), F.lit(name)).otherwise(out)
+    return out
+
+
+def _best(scores: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """Name and value of the largest score; the first of equal ones."""
+    a = F.array(*[F.struct(s.cast("double").alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, (n, s) in enumerate(scores)])
+    top = F.array_max(a)
+    return top["n"], top["s"]
 
 
-def error_outcome(message: Column) -> Column:
-    """Outcome class of an error text."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return F.when(has_any(m, ("tls", "ssl", "certificate")), F.lit("TLS_ERROR")).when(has_any(m, ("timeout", "timed out")), F.lit("TIMEOUT")).when(m.contains("429"), F.lit("RATE_LIMITED")).when(has_any(m, ("refused", "reset", "connect")), F.lit("CONNECTION_ERROR")).otherwise(F.lit("UNKNOWN"))
+def industry(text: Column) -> Column:
+    """The industry with the most of its words in the text, the first of equal ones; Unknown."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    name, score = _best([(k, sum((F.when(t.contains(w), 1).otherwise(0) for w in words), F.lit(0))) for k, words in V.INDUSTRIES.items()])
+    return F.when(score > 0, name).otherwise(F.lit("Unknown"))
+
+
+def organisation(text: Column, url: Column) -> Column:
+    """Kind of organisation: by the host's end, else by counted words; B2B Software if none."""
+    t, h = F.lower(F.coalesce(text, F.lit(""))), U.netloc(F.coalesce(url, F.lit("")))
+    count = lambda words: F.regexp_count(t, F.lit(r"\b(?:" + "|".join(words) + r")\b"))
+    name, score = _best([(k, count(w)) for k, w in V.ORGANISATION_WORDS.items()])
+    return (
+        F.when(h.endswith(".org") & ~has_any(h, ("stripe", "paypal")), F.when(has_any(t, V.OPEN_SOURCE_TERMS), F.lit("Open Source")).otherwise(F.lit("NGO")))
+        .when(h.endswith(".edu") | has_any(h, V.EDUCATION_HOSTS), F.lit("Education")).when(h.endswith(".gov") | h.endswith(".nic.in") | h.contains(".gov."), F.lit("Government"))
+        .when(score > 0, name).otherwise(F.lit("B2B Software"))
+    )
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+"), lambda w: w != "")
+
+
+def _overlap(words: Column, terms) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, terms)))
+
+
+def keyword_intent(keyword: Column) -> Column:
+    """company, job_role, technology, product, service or industry."""
+    low, words = F.lower(F.trim(keyword)), _words(keyword)
+    return (
+        F.when(_overlap(words, V.COMPANY_WORDS), F.lit("company")).when(_overlap(words, V.ROLE_WORDS), F.lit("job_role"))
+        .when(low.isin(*V.TECHNOLOGY_WORDS) | _overlap(words, V.TECHNOLOGY_WORDS), F.lit("technology"))
+        .when(low.isin(*V.PRODUCT_WORDS), F.lit("product")).when(low.isin(*V.SERVICE_WORDS), F.lit("service")).otherwise(F.lit("industry"))
+    )
+
+
+def keyword_category(keyword: Column) -> Column:
+    """person, if a word is about persons; else company."""
+    return F.when(_overlap(_words(keyword), V.PERSON_WORDS), F.lit("person")).otherwise(F.lit("company"))
+
+
+def accept(snippet_score: Column, page_score: Column, may_fetch: Column, high: int = 80, low: int = 30) -> Column:
+    """struct(classification, score): a high snippet score is accepted and a low one rejected at
+    once; between them the page's score decides where it may be fetched and was (not null)."""
+    deep = F.when(may_fetch & page_score.isNotNull(), page_score)
+    score = F.coalesce(deep, snippet_score)
+    kind = F.when(snippet_score >= high, F.lit("ALLOW")).when(snippet_score < low, F.lit("REJECT")).when(deep < low, F.lit("REJECT")).when(deep >= high, F.lit("ALLOW")).otherwise(F.lit("LIKELY_COMPANY"))
+    return F.struct(kind.alias("classification"), F.when((snippet_score >= high) | (snippet_score < low), snippet_score).otherwise(score).alias("score"))
+
+
+def answer_class(html: Column, status: Column, url: Column) -> Column:
+    """struct(kind, confidence) of a recorded answer of a search engine: blocks first, then
+    features of a result page, then its layout."""
+    h, u = F.lower(F.coalesce(html, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    is_ = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence"))
+    organic, phone = has_any(h, V.ANSWER_ORGANIC), h.contains("viewport") & has_any(h, ("mobile", "android"))
+    signs = [has_any(h, terms) for *_, terms in V.ANSWER_SIGNS]
+    out = F.when(F.coalesce(html, F.lit("")).rlike("id=[\"']search[\"']"), is_("NORMAL_DESKTOP_SERP", 0.75)).otherwise(is_("UNKNOWN_LAYOUT", 0.5))
+    out = F.when(has_any(u, V.ANSWER_LOCAL), is_("LOCALIZED_SERP", 0.80)).otherwise(out)
+    for (kind, c, _), sign in reversed(list(zip(V.ANSWER_SIGNS, signs))):
+        out = F.when(sign, is_(kind, c)).otherwise(out)
+    out = F.when(organic, F.when(phone, is_("NORMAL_MOBILE_SERP", 0.90)).otherwise(is_("NORMAL_DESKTOP_SERP", 0.95))).otherwise(out)
+    for kind, c, terms, parts, code in reversed(V.ANSWER_BLOCKS):
+        hit = has_any(h, terms)
+        if parts:
+            hit = hit | has_any(u, parts)
+        if code:
+            hit = hit | F.coalesce(status == code, F.lit(False))
+        out = F.when(hit, is_(kind, c)).otherwise(out)
+    return F.when(F.coalesce(html, F.lit("")) == "", is_("EMPTY_SERP", 1.0)).otherwise(out)
+
+
+#: States that page classes stand for, and classes of pages whose results were not found.
+_STATES = {"CAPTCHA_PAGE": "CAPTCHA", "ENABLE_JS_PAGE": "ENABLE_JS", "CONSENT_PAGE": "CONSENT_PAGE", "GOOGLE_SORRY_PAGE": "RATE_LIMIT", "ZERO_RESULTS_PAGE": "VALID_ZERO_RESULTS"}
+_LAYOUTS = ("NORMAL_DESKTOP_SERP", "NORMAL_MOBILE_SERP", "AI_OVERVIEW_PAGE", "KNOWLEDGE_PANEL_PAGE", "FEATURED_SNIPPET_PAGE", "PEOPLE_ALSO_ASK_PAGE")
+
+
+def answer_status(provider: Column, html: Column, status: Column, url: Column, results: Column) -> Column:
+    """struct(status, results, classification) of a recorded answer with so many results parsed."""
+    h, u = F.lower(F.coalesce(html, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    none = F.lit(0).cast("long")
+    is_ = lambda s, kind, n=none: F.struct((F.lit(s) if isinstance(s, str) else s).alias("status"), n.cast("long").alias("results"), (F.lit(kind) if isinstance(kind, str) else kind).alias("classification"))
+    kind, some = answer_class(html, status, url)["kind"], results > 0
+    first = F.when(some, is_("VALID_RESULTS", kind, results)).when(kind.isin(*_LAYOUTS), is_("PARSER_FAILURE", kind)).otherwise(is_("UNKNOWN_LAYOUT", kind))
+    for k, s in _STATES.items():
+        first = F.when(kind == k, is_(s, kind)).otherwise(first)
+    first = F.when(F.coalesce(status == 403, F.lit(False)), is_("FORBIDDEN", "FORBIDDEN_PAGE")).otherwise(first)
+    second = F.when(has_any(h, V.BING_LAYOUT), is_("PARSER_FAILURE", "BING_PARSER_FAILURE")).otherwise(is_("UNKNOWN_LAYOUT", "BING_UNKNOWN_LAYOUT"))
+    second = F.when(has_any(h, V.BING_NOTHING), is_("VALID_ZERO_RESULTS", "BING_ZERO_RESULTS")).otherwise(second)
+    second = F.when(has_any(u, V.BING_CONSENT[0]) | has_any(h, V.BING_CONSENT[1]), is_("CONSENT_PAGE", "BING_CONSENT")).otherwise(second)
+    second = F.when(some, is_("VALID_RESULTS", "BING_NORMAL_SERP", results)).otherwise(second)
+    for name, terms in reversed(V.BING_BLOCKS):
+        second = F.when(has_any(h, terms), is_("CAPTCHA", name)).otherwise(second)
+    out = F.when(provider == "google_html", first).when(provider == "bing", second).otherwise(is_("UNKNOWN_LAYOUT", "UNKNOWN"))
+    return F.when(h == "", is_("NETWORK_FAILURE", "EMPTY_HTML")).when(F.coalesce(status == 429, F.lit(False)), is_("RATE_LIMIT", "HTTP_429")).otherwise(out)

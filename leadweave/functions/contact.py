@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadweave.functions import values as V
+
 #: Patterns that lead data is judged by.
 EMAIL_IN_TEXT = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_IN_TEXT = r"\+?[0-9][0-9 ().-]{6,18}[0-9]"
 CLEAN_EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 JUNK_EMAIL = r"(?i)\.(png|jpg|jpeg|gif|svg|webp)$|^your@email\.com$|^(test|example|sample|noreply|no-reply)@"
 ESCAPE_LEFT = r"(?i)^u00[0-9a-f]{2}"
-DATE_LIKE = (r"^[0-9]{1,2}[.\-/][0-9]{1,2}[.\-/][0-9]{4}$", r"^[0-9]{4}\s*[-–]\s*[0-9]{4}$", r"^[0-9]{4}\s*[-–]\s*[0-9]{4}\s+[0-9]{4}$", r"^[0-9]{1,2}\.[0-9]{2}\s*[-–]\s*[0-9]{2}\.[0-9]{2}$", r"^[0-9]{4}$", r"^[0-9]{8}$")
-PHONE_SHAPE = r"^[+0-9(][0-9\s\-().]{5,20}[0-9]$"
+DATE_LIKE = (r"^\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4}$", r"^\d{4}\s*[-–]\s*\d{4}$", r"^\d{4}\s*[-–]\s*\d{4}\s+\d{4}$", r"^\d{1,2}\.\d{2}\s*[-–]\s*\d{2}\.\d{2}$", r"^\d{4}$", r"^\d{8}$")
+PHONE_SHAPE = r"^[+\d(][\d\s\-().]{5,20}[\d]$"
 AUTHOR_PREFIX = r"(?i)^(?:written by |posted by |published by |author: |author |by )"
 NAME_NOISE = (
     "certificate", "certification", "course", "degree", "diploma", "training", "workshop", "program", "bootcamp", "module",
@@ -94,15 +96,23 @@ def is_garbage_name(name: Column) -> Column:
     return name.contains("@") | (F.length(digits(name)) / F.greatest(F.length(name), F.lit(1)) > 0.3)
 
 
-def email_rank(email: Column, prefixes: tuple[str, ...] = ("founder", "ceo", "cto", "director", "sales", "contact", "info", "hello", "support")) -> Column:
+def email_rank(email: Column) -> Column:
     """Place of an address by the start of its local part; unknown ones last."""
-    local, out = F.lower(F.substring_index(email, "@", 1)), F.lit(len(prefixes))
-    for i, p in reversed(list(enumerate(prefixes))):
+    local, out = F.lower(F.substring_index(email, "@", 1)), F.lit(len(V.EMAIL_PREFIXES))
+    for i, p in reversed(list(enumerate(V.EMAIL_PREFIXES))):
         out = F.when(local.startswith(p), F.lit(i)).otherwise(out)
     return out
 
 
-def ranked_emails(emails: Column, ignore: str = r"noreply|no-reply|donotreply|tracking|unsubscribe|notification|mailer|bounce") -> Column:
+def is_ignored_email(email: Column) -> Column:
+    """An address of a machine, not of a person."""
+    local, out = F.lower(F.substring_index(email, "@", 1)), F.lit(False)
+    for p in V.EMAIL_IGNORED:
+        out = out | local.contains(p)
+    return out
+
+
+def ranked_emails(emails: Column) -> Column:
     """Contacts by rank, then by address; system addresses left out, each once."""
-    kept = F.array_distinct(F.filter(emails, lambda e: (e != "") & ~F.lower(F.substring_index(e, "@", 1)).rlike(ignore)))
+    kept = F.array_distinct(F.filter(emails, lambda e: (e != "") & ~is_ignored_email(e)))
     return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(email_rank(e).alias("r"), e.alias("e")))), lambda x: x["e"])

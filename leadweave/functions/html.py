@@ -9,37 +9,62 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadweave.functions import classify as C
 from leadweave.functions import contact as E
+from leadweave.functions import names as N
 from leadweave.functions import url as U
+from leadweave.functions import values as V
 
-PAGE = "title string, description string, headings array<string>, links array<struct<href:string,text:string,footer:boolean>>, blocks array<string>, text string, ld_emails array<string>, ld_phones array<string>"
+PAGE = (
+    "title string, description string, headings array<string>, links array<struct<href:string,text:string,footer:boolean,heading:string,around:string>>, blocks array<string>, text string, "
+    "ld_emails array<string>, ld_phones array<string>, body string, lang string, metas array<struct<name:string,content:string>>, classes array<string>, elements int, "
+    "ld boolean, schema boolean, footer boolean, ld_text string, ld_items array<struct<url:string,title:string>>"
+)
 #: Page kinds by words in a link, in order.
 SUBPAGES = {"contact_page": ("contact",), "about_page": ("about",), "team_page": ("team", "leadership", "people"), "careers_page": ("career", "jobs"), "privacy_page": ("privacy",), "services_page": ("service", "product")}
 SOCIAL = ("linkedin", "twitter", "facebook", "instagram", "youtube", "github")
 #: Points of homepage signals.
 SIGNALS = {"contact": 20, "about": 15, "services": 15, "products": 15, "careers": 15, "privacy": 10}
-CHALLENGES = ("captcha", "access denied", "just a moment", "checking your browser", "enable javascript", "unusual traffic", "are you a robot", "attention required", "ddos protection", "request blocked", "verify you are human")
+#: Fields of structured data that describe a company.
+LD_FIELDS = ("description", "keywords", "industry", "knowsAbout", "about", "name", "serviceType")
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "td", "span", "section", "article"}
 
 
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.description, self.headings, self.links, self.blocks, self.text = "", "", [], [], [], []
+        self.title, self.description, self.lang, self.ld_text = "", "", "", ""
+        self.headings, self.links, self.blocks, self.text, self.body, self.metas, self.ld_items = [], [], [], [], [], [], []
         self.emails, self.phones, self.skip, self.footer, self.open, self.ld, self.item = [], [], 0, 0, [], None, None
+        self.classes, self.elements, self.has = set(), 0, set()
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        self.elements += 1
+        self.classes.update(a.get("class", "").split())
+        if "schema.org" in a.get("itemtype", ""):
+            self.has.add("schema")
+        if tag in ("html", "body", "footer"):
+            self.has.add(tag)
+        if tag == "html":
+            self.lang = self.lang or a.get("lang", "")
         if tag in ("script", "style"):
             self.skip += 1
             self.ld = [] if tag == "script" and "ld+json" in a.get("type", "") else None
-        elif tag == "meta" and a.get("name", "").lower() == "description":
-            self.description = self.description or a.get("content", "")
+            if self.ld is not None:
+                self.has.add("ld")
+        elif tag == "meta":
+            name = a.get("name") or a.get("property")
+            if name:
+                self.metas.append((name.lower(), a.get("content", "")))
+                if name.lower() == "description" and a.get("name"):
+                    self.description = self.description or a.get("content", "")
         elif tag == "footer":
             self.footer += 1
         elif tag == "a" and a.get("href"):
-            self.links.append([a["href"], "", self.footer > 0])
-        if tag in ("title", "h1", "h2", "a") or tag in _BLOCKS:
+            around = next((parts for t, parts in reversed(self.open) if t == "div"), None)
+            self.links.append([a["href"], "", self.footer > 0, "", around])
+        if tag in ("title", "h1", "h2", "h3", "a") or tag in _BLOCKS:
             self.open.append((tag, []))
         self.item = a.get("itemprop")
         if self.item in ("email", "telephone") and a.get("content"):
@@ -58,11 +83,14 @@ class _Page(HTMLParser):
         if at is None:
             return
         body = " ".join("".join(self.open[at][1]).split())
+        inside = any(t == "a" for t, _ in self.open[:at])
         del self.open[at:]
         if tag == "title":
             self.title = self.title or body
         elif tag in ("h1", "h2") and body and len(self.headings) < 5:
             self.headings.append(body)
+        elif tag == "h3" and inside and self.links:
+            self.links[-1][3] = self.links[-1][3] or body
         elif tag == "a" and self.links:
             self.links[-1][1] = self.links[-1][1] or body
         if tag in _BLOCKS and body:
@@ -74,6 +102,8 @@ class _Page(HTMLParser):
                 self.ld.append(data)
             return
         self.text.append(data)
+        if "body" in self.has:
+            self.body.append(data)
         for _, parts in self.open:
             parts.append(data)
         if self.item in ("email", "telephone") and data.strip():
@@ -82,18 +112,28 @@ class _Page(HTMLParser):
 
     def _ld(self, raw: str) -> None:
         try:
-            todo = [json.loads(raw)]
+            data = json.loads(raw)
         except ValueError:
             return
+        for entry in data if isinstance(data, list) else [data]:
+            if isinstance(entry, dict) and entry.get("@type") == "ItemList":
+                items = entry.get("itemListElement", [])
+                self.ld_items += [(str(x["url"]), str(x["name"])) for x in items if isinstance(x, dict) and x.get("url") and x.get("name")]
+        todo, said = [data], []
         while todo:
-            x = todo.pop()
+            x = todo.pop(0)
             if isinstance(x, dict):
                 for k, into in (("email", self.emails), ("telephone", self.phones)):
                     if isinstance(x.get(k), str):
                         into.append(x[k].removeprefix("mailto:"))
-                todo += x.values()
+                for k in LD_FIELDS:
+                    v = x.get(k)
+                    v = v.get("name", "") if isinstance(v, dict) else v
+                    said += [str(y).strip() for y in (v if isinstance(v, list) else [v]) if isinstance(y, (str, int, float)) and str(y).strip()]
+                todo = [*x.values(), *todo]
             elif isinstance(x, list):
-                todo += x
+                todo = [*x, *todo]
+        self.ld_text = " ".join(filter(None, (self.ld_text, " ".join(said))))
 
 
 def parse(html: str | None) -> dict:
@@ -101,12 +141,18 @@ def parse(html: str | None) -> dict:
     p.feed(html or "")
     p.close()
     once = lambda x: list(dict.fromkeys(x))
-    return {"title": p.title, "description": p.description, "headings": p.headings, "links": [{"href": h, "text": t, "footer": f} for h, t, f in p.links], "blocks": p.blocks, "text": " ".join(" ".join(p.text).split()), "ld_emails": once(p.emails), "ld_phones": once(p.phones)}
+    plain = lambda parts: " ".join(" ".join(parts).split())
+    links = [{"href": h, "text": t, "footer": f, "heading": h3, "around": plain(around or [])[:2000]} for h, t, f, h3, around in p.links]
+    return {
+        "title": p.title, "description": p.description, "headings": p.headings, "links": links, "blocks": p.blocks, "text": plain(p.text), "ld_emails": once(p.emails), "ld_phones": once(p.phones),
+        "body": plain(p.body), "lang": p.lang or "en", "metas": [{"name": n, "content": c} for n, c in p.metas], "classes": sorted(p.classes)[:20], "elements": p.elements,
+        "ld": "ld" in p.has, "schema": "schema" in p.has, "footer": "footer" in p.has, "ld_text": p.ld_text, "ld_items": [{"url": u, "title": t} for u, t in p.ld_items],
+    }
 
 
 def parsed(html: Column) -> Column:
     """Struct of a page's parts. The UDF is made when a session is there."""
-    names = ["title", "description", "headings", "links", "blocks", "text", "ld_emails", "ld_phones"]
+    names = list(parse(""))
 
     def run(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(h) for h in pages], columns=names)
@@ -164,10 +210,151 @@ def homepage_class(score: Column) -> Column:
     return F.when(score >= 80, F.lit("ALLOW")).when(score >= 50, F.lit("LIKELY_COMPANY")).otherwise(F.lit("REJECT"))
 
 
-def is_real_html(html: Column) -> Column:
-    """A page, not a challenge."""
-    head = F.lower(F.substring(html, 1, 4096))
-    return F.coalesce(head.contains("<") & ~head.rlike("|".join(CHALLENGES)), F.lit(False))
+def is_real_html(html: Column, content_type: Column | None = None) -> Column:
+    """A page, not a challenge: by content type (where one is given) and the first 4096 characters."""
+    head, out = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, 4096)), F.lit(True)
+    for c in V.CHALLENGES:
+        out = out & ~head.contains(c)
+    if content_type is not None:
+        kind = F.lower(F.coalesce(content_type, F.lit("")))
+        out = out & (kind.contains(V.HTML_TYPES[0]) | kind.contains(V.HTML_TYPES[1]))
+    return out
+
+
+def layout_fingerprint(page: Column) -> Column:
+    """MD5 of title, the first 20 classes and the number of elements."""
+    title = F.when(page["title"] == "", F.lit("No Title Tag")).otherwise(page["title"])
+    return F.md5(F.concat(F.lit("title:"), title, F.lit("||classes:"), F.array_join(page["classes"], ","), F.lit("||elements:"), page["elements"].cast("string")))
+
+
+def _any(text: Column, terms) -> Column:
+    out = F.lit(False)
+    for t in terms:
+        out = out | text.contains(t)
+    return out
+
+
+def _is_profile(url: Column) -> Column:
+    """A company's profile page on a known platform, or by its path anywhere but on listed hosts."""
+    h, p = U.netloc(url), F.lower(U.path(url))
+    out = _any(p, V.PROFILE_SIGNS) & ~_any(F.regexp_replace(h, "^[w.]+", ""), V.NO_PROFILE_HOSTS)
+    for domain, prefix in V.PROFILE_PATHS:
+        out = out | (h.contains(domain) & p.startswith(prefix) & (F.length(p) > len(prefix)))
+    return out
+
+
+def directory_links(page: Column, base: Column, most: int = V.DIRECTORY_LINKS) -> Column:
+    """Profile pages that a listing links to: absolute, each once, in order, at most so many."""
+    links = F.transform(F.filter(page["links"], lambda x: ~F.trim(x["href"]).rlike("^(?:#|javascript:|$)")), lambda x: F.regexp_replace(absolute(base, x["href"]), "/+$", ""))
+    good = lambda u: u.startswith("http") & U.is_valid_result(u) & ~_any(F.regexp_replace(U.netloc(u), "^[w.]+", ""), V.NO_PROFILE_HOSTS) & _is_profile(u)
+    return F.slice(F.array_distinct(F.filter(links, good)), 1, most)
+
+
+def directory_links_in_text(text: Column, most: int = V.DIRECTORY_LINKS) -> Column:
+    """Profile addresses written out in a text, each once, in order, at most so many."""
+    found = F.regexp_extract_all(text, F.lit("https?://[^\\s\"'<>]+(?:/company/|/profile/|/organization/|/c/)[^\\s\"'<>]+"), F.lit(0))
+    found = F.transform(found, lambda u: F.regexp_replace(u, "[.,;)\"']+$", ""))
+    return F.slice(F.array_distinct(F.filter(found, lambda u: ~_any(F.regexp_replace(U.netloc(u), "^[w.]+", ""), V.NO_PROFILE_HOSTS))), 1, most)
+
+
+def company_website(page: Column, url: Column) -> Column:
+    """struct(website, source): a company's own site. Outside platforms the page itself; on them
+    a redirect, the text, a link that says so, or the first link to somewhere else."""
+    h, none = U.netloc(F.coalesce(url, F.lit(""))), F.lit("")
+    is_ = lambda w, s: F.struct(w.alias("website"), s.alias("source"))
+    out_of = lambda u: u.startswith("http") & ~_any(F.lower(u), U.PLATFORMS)
+    first = lambda keep: F.try_element_at(F.filter(F.transform(page["links"], lambda x: F.struct(F.trim(x["href"]).alias("h"), F.lower(F.trim(x["text"])).alias("t"))), keep), F.lit(1))["h"]
+    redirect = F.regexp_extract(first(lambda x: x["h"].contains("linkedin.com/redir/redirect") & x["h"].rlike("[?&]url=[^&#]")), "[?&]url=([^&#]+)", 1)
+    redirect = F.nullif(F.coalesce(F.try_url_decode(redirect), redirect), F.lit(""))
+    told = F.nullif(F.regexp_replace(F.regexp_extract(page["text"], r"\bWebsite\s+(https?://[^\s]+)", 1), r"/+\)?$|\)$", ""), F.lit(""))
+    button = first(lambda x: x["t"].isin(*V.WEBSITE_LINKS) & out_of(x["h"]))
+    other = first(lambda x: out_of(x["h"]) & ~_any(F.lower(x["h"]), V.NO_WEBSITE_HOSTS))
+    by_host = F.when(h.contains("clutch.co"), F.lit("clutch")).when(h.contains("goodfirms.co"), F.lit("goodfirms")).otherwise(F.lit("schema"))
+    own = h.contains("linkedin.com") & F.coalesce(redirect, told).isNotNull()
+    return (
+        F.when(F.coalesce(url, none) == "", is_(none, none)).when(~U.is_platform(url), is_(url, F.lit("homepage"))).when(own, is_(F.coalesce(redirect, told), F.lit("linkedin")))
+        .when(button.isNotNull(), is_(button, by_host)).when(other.isNotNull(), is_(other, F.lit("inferred"))).otherwise(is_(none, none))
+    )
+
+
+def _roles(text: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, V.ROLES)), lambda r: F.rlike(text, F.concat(F.lit(r"\b"), r, F.lit(r"\b"))))
+
+
+def snippet_profile(title: Column, snippet: Column, url: Column) -> Column:
+    """Company profile from a search result alone: confidence 0.4."""
+    text = F.lower(F.concat(title, F.lit(" "), snippet))
+    own = ~U.is_platform(F.coalesce(url, F.lit("")))
+    none = F.array().cast("array<string>")
+    return F.struct(
+        snippet.alias("description"), F.lit("search_snippet").alias("description_source"), F.transform(_roles(text), F.initcap).alias("positions"), none.alias("technologies"), none.alias("certifications"), none.alias("partners"),
+        F.when(own, url).otherwise(F.lit("")).alias("website"), F.when(own, F.lit("homepage")).otherwise(F.lit("")).alias("website_source"), C.organisation(text, url).alias("company_type"), F.lit(0.4).alias("confidence"),
+    )
+
+
+def meta(page: Column, name: str) -> Column:
+    """Content of the first meta tag of a name or property; empty if there is none."""
+    return F.coalesce(F.try_element_at(F.filter(page["metas"], lambda m: m["name"] == name), F.lit(1))["content"], F.lit(""))
+
+
+def page_profile(page: Column, url: Column, concepts: Column) -> Column:
+    """Company profile from a homepage; concepts: terms that count as technologies."""
+    said = lambda *terms: F.array_join(F.transform(F.filter(page["links"], lambda x: _any(F.lower(x["href"]), terms) | _any(F.lower(x["text"]), terms)), lambda x: F.concat(F.lit(" "), x["text"], F.lit(" ("), x["href"], F.lit(")"))), "")
+    about = F.array_join(F.transform(F.filter(page["links"], lambda x: _any(F.lower(x["href"]), ("about", "who-we-are")) | F.lower(x["text"]).contains("about")), lambda x: F.concat(F.lit(" "), x["text"], F.lit(" ("), x["href"], F.lit(")"))), "")
+    services, careers = said("services", "solutions", "what-we-do", "work"), said("careers", "jobs", "join-us", "vacancy")
+    home = F.substring(page["body"], 1, 8000)
+    full = F.lower(F.concat_ws(" ", home, about, services, careers))
+    site = company_website(page, url)
+    own = F.trim(meta(page, "description"))
+    text = F.trim(F.when(own != "", own).otherwise(F.trim(meta(page, "og:description"))))
+    extra = F.concat(F.when(F.trim(meta(page, "keywords")) != "", F.concat(F.lit(" Keywords: "), F.trim(meta(page, "keywords")), F.lit("."))).otherwise(F.lit("")), F.when(page["ld_text"] != "", F.concat(F.lit(" JSON-LD:  "), page["ld_text"], F.lit("."))).otherwise(F.lit("")))
+    description = F.trim(F.concat(text, extra))
+    found = F.filter(concepts, lambda c: F.rlike(full, F.concat(F.lit(r"\b\Q"), F.lower(c), F.lit(r"\E\b"))))
+    roles, words = _roles(full), F.size(F.filter(F.split(home, " "), lambda w: w != ""))
+    points = [(page["ld"], 0.1), (page["schema"], 0.1), (F.exists(page["metas"], lambda m: m["name"].startswith("og:")), 0.1), (F.size(page["headings"]) > 0, 0.05), (page["footer"], 0.05), (site["website"].contains("."), 0.1),
+              (description != "", 0.1), (F.size(found) > 0, 0.1), (F.size(roles) > 0, 0.1), ((services != "") | (about != ""), 0.1)]
+    score = F.lit(0.4) + F.when(words > 300, 0.2).when(words > 100, 0.1).when(words < 30, -0.1).otherwise(0.0) + sum((F.when(c, p).otherwise(0.0) for c, p in points), F.lit(0.0))
+    held = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(full, t))
+    return F.struct(
+        description.alias("description"), F.when(own != "", F.lit("meta_description")).when(meta(page, "og:description") != "", F.lit("og_description")).otherwise(F.lit("meta_description")).alias("description_source"),
+        F.transform(roles, F.initcap).alias("positions"), F.transform(found, N.concept).alias("technologies"), F.transform(held(V.CERTIFICATIONS), F.upper).alias("certifications"), F.transform(held(V.PARTNERS), F.initcap).alias("partners"),
+        site["website"].alias("website"), site["source"].alias("website_source"), C.organisation(full, url).alias("company_type"), F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.1), score)), 2).alias("confidence"),
+    )
+
+
+def search_results(page: Column, most: int = 10) -> Column:
+    """struct(parser, results) of a recorded result page. Strategies in order: links around a
+    third-level heading, item lists of structured data, any outside link; the first that leaves
+    a result that is not rejected counts. Ranks are places among what the strategy found."""
+    kind = "array<struct<url:string,title:string,snippet:string>>"
+
+    def target(href: Column) -> Column:
+        q = F.regexp_extract(href, r"^/url\?(?:.*&)?q=([^&#]+)", 1)
+        return F.when(q != "", F.coalesce(F.try_url_decode(q), q)).when(href.rlike("(?i)^https?://"), href)
+
+    def row(u: Column, t: Column, s: Column) -> Column:
+        return F.struct(u.alias("url"), t.alias("title"), s.alias("snippet"))
+
+    null = F.lit(None).cast("string")
+    links = F.filter(F.transform(page["links"], lambda x: F.struct(target(F.trim(x["href"])).alias("u"), x["text"].alias("t"), x["heading"].alias("h"), x["around"].alias("a"))), lambda x: x["u"].isNotNull() & ~C.is_skipped_host(x["u"]))
+
+    def near(x: Column) -> Column:
+        """Text around a link without its heading."""
+        at = F.position(x["h"], x["a"])
+        rest = F.when(at > 0, F.concat(F.substring(x["a"], F.lit(1), at - 1), F.substring(x["a"], at + F.length(x["h"]), F.length(x["a"])))).otherwise(x["a"])
+        return F.nullif(F.substring(F.trim(rest), 1, 400), F.lit(""))
+
+    ways = {
+        "SemanticParser": F.transform(F.filter(links, lambda x: x["h"] != ""), lambda x: row(x["u"], x["h"], near(x))),
+        "JsonLdParser": F.transform(page["ld_items"], lambda x: row(x["url"], x["title"], null)),
+        "AnchorParser": F.transform(F.filter(links, lambda x: F.length(x["t"]) >= 5), lambda x: row(x["u"], x["t"], null)),
+    }
+    out = F.struct(F.lit("none").alias("parser"), F.array().cast("array<struct<url:string,title:string,snippet:string,rank:int,quality:string>>").alias("results"))
+    for name, found in reversed(ways.items()):
+        ranked = F.transform(F.slice(found.cast(kind), 1, most), lambda x, i: F.struct(x["url"].alias("url"), x["title"].alias("title"), x["snippet"].alias("snippet"), (i + 1).alias("rank"), C.result_quality(x["url"], x["title"], x["snippet"]).alias("quality")))
+        good = F.filter(ranked, lambda x: x["quality"] != "Rejected")
+        out = F.when(F.size(good) > 0, F.struct(F.lit(name).alias("parser"), good.alias("results"))).otherwise(out)
+    return out
 
 
 def people(page: Column) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadweave.functions import url as U
+from leadweave.functions import values as V
+
 #: Words that end a company's name without being part of it.
 LEGAL = ("inc", "incorporated", "ltd", "limited", "llc", "corp", "corporation", "co", "plc", "pvt", "gmbh", "ag", "sa", "bv")
-PLACES = ("india", "international", "global", "worldwide", "americas", "america", "europe", "european", "asia", "asian", "apac")
+PLACES = ("india", "india pvt", "international", "global", "worldwide", "americas", "america", "europe", "european", "asia", "asian", "apac")
 
 
 def _tail(words: tuple[str, ...]) -> str:
@@ -16,12 +19,16 @@ def _tail(words: tuple[str, ...]) -> str:
 
 def company_name(name: Column) -> Column:
     """Name without punctuation and without legal, place and again legal words at its end.
-    If nothing would be left, the cleaned name."""
+    If nothing would be left, the cleaned name. Known brands in their own spelling."""
     clean = F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"(?U)[^\w\s\-]", "")), r"\s+", " ")
     out = clean
     for words in (LEGAL, PLACES, LEGAL):
         out = F.regexp_replace(out, _tail(words), "")
-    return F.when(out == "", clean).otherwise(out)
+    low = F.lower(out)
+    named = F.when(out == "", clean).otherwise(out)
+    for token, brand in V.NAME_OVERRIDES.items():
+        named = F.when(low.isin(token, brand.lower()), F.lit(brand)).otherwise(named)
+    return named
 
 
 def name_key(name: Column) -> Column:
@@ -39,17 +46,22 @@ def industry(text: Column) -> Column:
 
 
 def slug(name: Column, joiner: str = "") -> Column:
-    s = F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", joiner)
-    return F.regexp_replace(s, "^-+|-+$", "") if joiner == "-" else s
+    """Letters and digits of a name; without a joiner, without the words that most names share."""
+    s = F.lower(F.trim(name))
+    if joiner == "-":
+        return F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(s, r"\b(?:" + "|".join(V.CANDIDATE_STOP) + r")\b", ""), "[^a-z0-9]", joiner)
 
 
 def tidy(text: Column) -> Column:
     """White space collapsed, punctuation at the edges gone."""
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[\s\-|:,.;]+|[\s\-|:,.;]+$", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), r"^[ \-|:.,]+|[ \-|:.,]+$", "")
 
 
 def title_parts(title: Column) -> Column:
-    return F.filter(F.transform(F.split(title, r"\s*[|\-–—:»]\s+"), tidy), lambda x: x != "")
+    """Parts of a result's title between separators with blanks around them, or after a colon."""
+    parts = F.split(tidy(title), r"\s+\|\s+|\s+[-–]\s+|\s+:\s+|:\s+")
+    return F.filter(F.transform(parts, tidy), lambda x: x != "")
 
 
 def without_repeats(text: Column) -> Column:
@@ -59,21 +71,115 @@ def without_repeats(text: Column) -> Column:
 
 
 def concept(text: Column) -> Column:
-    """A concept's label: version at the end dropped, title case."""
-    return title_case(F.regexp_replace(F.trim(text), r"(?i)\s+v[0-9]+(?:\.[0-9]+)*$", ""))
+    """A concept's label: a known one, whatever its version; else the text in title case."""
+    low = F.regexp_replace(F.lower(F.trim(text)), r"\s*v[0-9]+(?:\.[0-9]+)*$", "")
+    out = title_case(F.trim(text))
+    for k, label in V.CONCEPTS.items():
+        out = F.when(low == k, F.lit(label)).otherwise(out)
+    return out
 
 
 def query_key(query: Column) -> Column:
-    """Key under which near-equal queries meet: plural forms and company words unified."""
-    q = F.regexp_replace(F.lower(F.trim(query)), r"\s+", " ")
-    for a, b in ((r"\bcompanies\b", "company"), (r"\bfirms\b", "firm"), (r"\bagencies\b", "agency")):
-        q = F.regexp_replace(q, a, b)
-    return F.regexp_replace(q, "s$", "")
+    """Key under which near-equal queries meet: company words in the singular, no plural s."""
+    q = F.replace(F.replace(F.lower(F.trim(query)), F.lit("companies"), F.lit("company")), F.lit("firms"), F.lit("firm"))
+    return F.when(q.endswith("s") & ~q.endswith("ss"), F.substring(q, F.lit(1), F.length(q) - 1)).otherwise(q)
 
 
 def is_sentence(text: Column) -> Column:
-    """More a sentence than a name."""
-    return (F.size(F.split(F.trim(text), r"\s+")) > 8) | F.lower(text).rlike(r"^(?:the|a|an|we|our|how|what|why|when|find|get|learn|discover)\s") | text.rlike(r"[.!?]$")
+    """More a phrase than a name: by its start, a question mark, or an informational term."""
+    low, out = F.lower(text), text.contains("?")
+    for s in V.SENTENCE_STARTS:
+        out = out | low.startswith(s)
+    for s in V.SENTENCE_TERMS:
+        out = out | low.contains(s)
+    return out
+
+
+def _holds(text: Column, terms) -> Column:
+    out = F.lit(False)
+    for t in terms:
+        out = out | text.contains(t)
+    return out
+
+
+def is_informational(text: Column) -> Column:
+    """Whether a title holds a term of articles and learning pages."""
+    return F.coalesce(_holds(F.lower(text), V.INFORMATIONAL_TERMS), F.lit(False))
+
+
+def informational_term(text: Column) -> Column:
+    """The first listed informational term that the text holds; null if none."""
+    low = F.lower(text)
+    return F.get(F.filter(F.array(*map(F.lit, V.INFORMATIONAL_TERMS)), lambda t: F.contains(low, t)), F.lit(0))
+
+
+def is_company_name(name: Column) -> Column:
+    """Two characters at least, and no placeholder."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    return (F.length(n) >= 2) & ~F.lower(n).isin(*V.NAME_PLACEHOLDERS)
+
+
+def guessed_company(title: Column, url: Column) -> Column:
+    """Company name of a search result: known host, a title part that is the host's name, the
+    host for informational titles, parts with business words, the last part that is no phrase,
+    the host."""
+    host_name = U.company_from_host(url)
+    host_name = F.when((host_name == "") & U.is_platform(url), U.profile_name(url)).otherwise(host_name)
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    parts = F.filter(title_parts(title), lambda p: ~F.lower(p).isin(*V.TITLE_NOISE))
+    business = F.filter(parts, lambda p: _holds(F.lower(p), V.BUSINESS_HINTS))
+    names = F.filter(parts, lambda p: ~is_sentence(p))
+    guess = F.coalesce(F.try_element_at(names, F.lit(-1)), host_name)
+    known = host_name != ""
+    same = F.exists(parts, lambda p: (plain(p) == plain(host_name)) & (plain(p) != ""))
+    out = F.when(is_company_name(guess), guess).otherwise(host_name)
+    out = F.when(F.size(business) > 0, F.when(known, host_name).otherwise(F.get(business, F.lit(0)))).otherwise(out)
+    out = F.when(known & (same | is_informational(title)), host_name).otherwise(out)
+    out = F.when(F.trim(F.coalesce(title, F.lit(""))) == "", host_name).otherwise(out)
+    return U.override(U.domain_token(U.netloc(url)), out)
+
+
+def profile_title_name(title: Column) -> Column:
+    """Person's name from a profile's title: what stands before the first separator."""
+    return F.trim(F.get(F.split(F.coalesce(title, F.lit("")), r"\s+-\s+|\s+\|\s+|\s*,\s+"), F.lit(0)))
+
+
+def decomposed(text: Column) -> Column:
+    """Text with compatibility forms and marks taken apart (NFKD): Spark has no expression for it."""
+    import unicodedata
+
+    import pandas as pd
+
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+    return F.pandas_udf(run, "string")(text)
+
+
+def rooted(text: Column) -> Column:
+    """Words in lower case, possessives and punctuation (marks too) gone, common roots unified."""
+    t = F.lower(decomposed(F.coalesce(text, F.lit(""))))
+    t = F.regexp_replace(F.regexp_replace(t, r"'s\b|s'\b", ""), r"(?U)[^\p{L}\p{N}_\s]", " ")
+    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    roots = F.create_map(*[F.lit(x) for kv in V.ROOTS.items() for x in kv])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(roots, w), w)), " ")
+
+
+def without_location(keyword: Column) -> tuple[Column, Column]:
+    """Keyword (lower case) without a place at its end, and the place in title case (or empty)."""
+    words = F.filter(F.split(F.lower(F.trim(keyword)), r"\s+"), lambda w: w != "")
+    last = F.try_element_at(words, F.lit(-1))
+    has = (F.size(words) > 1) & last.isin(*V.LOCATIONS)
+    rest = F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    return F.when(has, rest).otherwise(F.lower(F.trim(keyword))), F.when(has, title_case(last)).otherwise(F.lit(""))
+
+
+def is_literal_match(blocks: Column, keyword: Column) -> Column:
+    """Whether the texts (an array) hold the keyword or its first word, roots unified; no keyword: yes."""
+    key = rooted(without_location(keyword)[0])
+    target = rooted(F.array_join(F.filter(blocks, lambda b: F.coalesce(b, F.lit("")) != ""), " "))
+    first = F.get(F.split(key, " "), F.lit(0))
+    return F.when(F.coalesce(keyword, F.lit("")) == "", F.lit(True)).when(key == "", F.lit(False)).otherwise(F.contains(target, key) | F.contains(target, first))
 
 
 def stripped_html(html: Column) -> Column:

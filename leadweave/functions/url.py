@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadweave.functions import values as V
+
 #: Query parameters that only track visitors.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "referrer", "source", "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "_ga", "yclid", "dclid")
 #: Query parameters that tell pages apart when crawling.
@@ -89,10 +91,10 @@ def tld(host_: Column) -> Column:
 
 def domain_token(host_: Column) -> Column:
     """The label that carries the name: below co.uk and the like one further left."""
-    labels = F.split(_without_www(F.lower(host_)), r"\.")
+    labels = F.filter(F.split(F.lower(host_), r"\."), lambda x: ~x.isin("", "www"))
     n = F.size(labels)
-    compound = (n >= 3) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL)
-    return F.when(n < 2, labels[0]).when(compound, F.try_element_at(labels, F.lit(-3))).otherwise(F.try_element_at(labels, F.lit(-2)))
+    compound = (n >= 3) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL) & (F.length(F.try_element_at(labels, F.lit(-1))) == 2)
+    return F.when(n == 0, F.lit("")).when(n < 2, F.get(labels, F.lit(0))).when(compound, F.try_element_at(labels, F.lit(-3))).otherwise(F.try_element_at(labels, F.lit(-2)))
 
 
 def plain_domain_token(host_: Column) -> Column:
@@ -144,9 +146,69 @@ def is_valid_result(url: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def is_government(host_: Column) -> Column:
-    return F.coalesce(F.lower(host_).rlike(r"(^|\.)(?:gov|nic|mil)(\.|$)"), F.lit(False))
+def is_government(url: Column) -> Column:
+    """Whether the host ends with a government suffix; or has a one-label suffix as a label."""
+    h = netloc(url)
+    ends = [h.endswith(x) for x in V.GOVERNMENT_SUFFIXES]
+    own = F.array_contains(F.split(h, r"\."), "gov")
+    out = own
+    for e in ends:
+        out = out | e
+    return F.coalesce(out, F.lit(False))
 
 
 def is_forum(url: Column) -> Column:
-    return F.coalesce(F.lower(url).rlike(r"reddit\.com|quora\.com|stackoverflow\.com|stackexchange\.com|discourse|forum"), F.lit(False))
+    """Whether a forum's domain stands anywhere in the URL."""
+    u = F.lower(url)
+    out = F.lit(False)
+    for d in V.FORUM_DOMAINS:
+        out = out | u.contains(d)
+    return F.coalesce(out, F.lit(False))
+
+
+def is_non_company(url: Column) -> Column:
+    """Whether the host, its name or one of its labels is listed as no company; so is no host."""
+    h = _without_www(netloc(F.coalesce(url, F.lit(""))))
+    token = domain_token(h)
+    labels = F.filter(F.split(h, r"\."), lambda x: ~x.isin(*V.SUFFIX_LABELS))
+    listed = h.isin(*V.NON_COMPANY_DOMAINS) | token.isin(*V.NON_COMPANY_DOMAINS) | F.exists(labels, lambda x: x.isin(*V.NON_COMPANY_DOMAINS))
+    return F.coalesce((h == "") | (token == "") | listed, F.lit(True))
+
+
+def source_label(url: Column) -> Column:
+    """Label of the source that a result's host stands for."""
+    h, out = netloc(url), F.lit(V.SOURCE_LABEL)
+    for k, label in reversed(V.SOURCE_LABELS.items()):
+        out = F.when(h.contains(k), F.lit(label)).otherwise(out)
+    return out
+
+
+def spoken(token: Column) -> Column:
+    """Words of a host label or a path's part, each with a capital first."""
+    words = F.filter(F.split(token, "[-_]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), " ")
+
+
+def override(token: Column, otherwise: Column) -> Column:
+    """The name that a host label stands for, else another."""
+    out = otherwise
+    for k, name in V.NAME_OVERRIDES.items():
+        out = F.when(token == k, F.lit(name)).otherwise(out)
+    return out
+
+
+def profile_name(url: Column) -> Column:
+    """Company name from the path of a profile page; empty for others."""
+    h, p, out = netloc(url), F.lower(path(url)), F.lit("")
+    parts = F.filter(F.split(p, "/"), lambda x: x != "")
+    for domain, prefix in reversed(V.PROFILE_PATHS):
+        inner = prefix.strip("/")
+        name = F.get(parts, F.lit(len(inner.split("/"))))
+        out = F.when(h.contains(domain) & p.contains(inner) & name.isNotNull(), spoken(name)).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def company_from_host(url: Column) -> Column:
+    """Company name from the host's label; empty on platforms."""
+    token = domain_token(netloc(url))
+    return F.when(is_platform(url) | (token == ""), F.lit("")).otherwise(override(token, spoken(token)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.functions import names as N
+from leadweave.functions import values as V
+
 
 def with_default(left: DataFrame, right: DataFrame, key: str, order: str, default: Column, name: str) -> DataFrame:
     """Left join with the last right row of each key; a default where there is none."""
@@ -19,20 +22,26 @@ def listed(df: DataFrame, key: Column, blocklist: DataFrame, column: str, keep:
     return df.join(b, key == F.col("_b"), "left_semi" if keep else "left_anti")
 
 
+#: Terms up to which a dictionary travels to the texts.
+SMALL_DICTIONARY = 50_000
+
+
 def term_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, longest: int = 3) -> DataFrame:
     """key, term, hits of dictionary terms (up to so many words) in texts.
 
-    Texts become n-grams and meet the dictionary in a hash join: the cost follows the
-    texts' length, not texts times terms.
+    Texts become n-grams and meet the dictionary in a hash join, before anything is grouped:
+    only hits are shuffled. The dictionary is broadcast if it is small (it is counted).
     """
     w = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     d = docs.select(F.col(key), w.alias("w"))
+    t = terms.select(F.lower(term).alias("_t"), F.col(term).alias("term")).distinct()
+    if t.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
+        t = F.broadcast(t)
     g = d.select(key, F.explode("w").alias("_t"))
     for n in range(2, longest + 1):
         at = F.sequence(F.lit(1), F.size("w") - (n - 1))
         g = g.unionByName(d.filter(F.size("w") >= n).select(key, F.explode(F.transform(at, _gram(n))).alias("_t")))
-    t = terms.select(F.lower(term).alias("_t"), F.col(term).alias("term")).distinct()
-    return g.groupBy(key, "_t").agg(F.count(F.lit(1)).alias("hits")).join(t, "_t").select(key, "term", "hits")
+    return g.join(t, "_t").groupBy(key, "term").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def _gram(n: int):
@@ -48,18 +57,63 @@ def best_class(hits: DataFrame, key: str, classes: DataFrame) -> DataFrame:
 
 
 def closest_domain(keywords: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Domain of a keyword: an exact key, an exact term, else the shortest term that contains
-    it (by the ontology's order). Keywords and ontology meet on whole words."""
-    k = keywords.select("keyword", F.lower(F.trim("keyword")).alias("q"))
+    """keyword, domain: an exact key, an exact term, else the shortest key or term that contains
+    the keyword (then by the ontology's order); null if there is none.
+
+    The ontology is a dictionary: it travels to the keywords, which are tested one by one.
+    """
+    k = keywords.select("keyword", F.lower(F.trim("keyword")).alias("q")).filter("q <> ''").distinct()
     o = ontology.select("domain", F.lower("term").alias("term"), "ordinal")
-    words = lambda c: F.array_distinct(F.filter(F.split(c, "[^a-z0-9]+"), lambda x: x != ""))
-    by_key = k.join(o.select("domain", F.lower("domain").alias("q")).distinct(), "q").select("keyword", "domain", F.lit(0).alias("rank"), F.lit(0).alias("len"), F.lit(0).alias("ordinal"))
-    by_term = k.join(o.withColumnRenamed("term", "q"), "q").select("keyword", "domain", F.lit(1).alias("rank"), F.length("q").alias("len"), "ordinal")
-    inside = k.select("keyword", "q", F.explode(words(F.col("q"))).alias("w")).join(o.select("*", F.explode(words(F.col("term"))).alias("w")), "w").filter(F.col("term").contains(F.col("q")))
-    inside = inside.select("keyword", "domain", F.lit(2).alias("rank"), F.length("term").alias("len"), "ordinal")
-    best = Window.partitionBy("keyword").orderBy("rank", "len", "ordinal", "domain")
-    found = by_key.unionByName(by_term).unionByName(inside).withColumn("_n", F.row_number().over(best)).filter("_n = 1")
-    return keywords.join(found.select("keyword", "domain"), "keyword", "left")
+    keys = o.groupBy("domain").agg(F.min("ordinal").alias("ordinal")).select("domain", F.lower("domain").alias("term"), (F.col("ordinal") - 0.5).alias("ordinal"), F.lit(0).alias("exact"))
+    entries = keys.unionByName(o.select("domain", "term", F.col("ordinal").cast("double").alias("ordinal"), F.lit(1).alias("exact")))
+    label = F.lower(N.concept(F.col("q")))
+    same = F.col("term").isin(F.col("q"), F.col("label"))
+    met = k.withColumn("label", label).join(F.broadcast(entries), F.contains(F.col("term"), F.col("q")) | (F.col("term") == F.col("label")))
+    rank = F.when(same, F.col("exact")).otherwise(2)
+    size = F.when(same, F.lit(0)).otherwise(F.length("term"))
+    found = met.groupBy("keyword").agg(F.min(F.struct(rank.alias("rank"), size.alias("size"), "ordinal", "domain")).alias("b"))
+    return keywords.join(found.select("keyword", F.col("b.domain").alias("domain")), "keyword", "left")
+
+
+def resolved_intent(keywords: DataFrame, ontology: DataFrame) -> DataFrame:
+    """keyword, primary_domain, concepts, positions, services, products, confidence: the domains
+    of the keyword and of its words together; made-up terms for keywords without any."""
+    low = F.lower(F.trim("keyword"))
+    words = F.filter(F.split(low, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*V.DOMAIN_NOISE))
+    k = keywords.select(F.col("keyword").alias("kw"), low.alias("q"), words.alias("w")).distinct()
+    asked = k.select("kw", F.posexplode(F.concat(F.array("q"), "w")).alias("place", "keyword"))
+    found = asked.join(closest_domain(asked.select("keyword").distinct(), ontology), "keyword").filter("domain IS NOT NULL").groupBy("kw", "domain").agg(F.min("place").alias("place"))
+    terms = ontology.groupBy("domain").agg(*[F.array_sort(F.collect_set(F.when(F.col("channel") == c, F.col("term")))).alias(c) for c in ("concepts", "positions", "services", "products")])
+    sets = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    g = found.join(terms, "domain").groupBy("kw").agg(F.array_sort(F.collect_list(F.struct("place", "domain"))).alias("d"), *[sets(c) for c in ("concepts", "positions", "services", "products")])
+    g = g.select("kw", F.array_join(F.transform("d", lambda x: N.title_case(x["domain"])), " + ").alias("primary_domain"), "concepts", "positions", "services", "products", F.when(F.size("d") == 1, 1.0).otherwise(0.7).alias("confidence"))
+    name = N.concept(F.col("q"))
+    made = lambda *ends: F.array_sort(F.array_distinct(F.array(*[N.concept(F.concat(name, F.lit(" " + e))) for e in ends])))
+    own = F.array_sort(F.array_distinct(F.concat(F.array(name), F.transform("w", N.concept), F.col("w"))))
+    alone = k.join(g.select("kw"), "kw", "left_anti").select(
+        "kw", name.alias("primary_domain"), own.alias("concepts"), made("Developer", "Engineer", "Specialist").alias("positions"), made("Development", "Consulting", "Solutions", "Services").alias("services"),
+        F.array().cast("array<string>").alias("products"), F.lit(0.4).alias("confidence"),
+    )
+    return g.unionByName(alone).withColumnRenamed("kw", "keyword")
+
+
+#: Weights of an ontology's channels.
+CHANNEL_WEIGHTS = {"concepts": 2.0, "products": 1.5, "services": 1.5, "positions": 1.0}
+
+
+def ontology_industry(docs: DataFrame, key: str, text: str, ontology: DataFrame) -> DataFrame:
+    """key, industry, score: the domain with the most weighted hits by the root of its number of
+    terms; the first in the ontology of equal ones; texts without a hit are Unknown."""
+    weight = F.lit(0.0)
+    for c, w in CHANNEL_WEIGHTS.items():
+        weight = F.when(F.col("channel") == c, F.lit(w)).otherwise(weight)
+    size = ontology.groupBy("domain").agg(F.count(F.lit(1)).alias("terms"), F.min("ordinal").alias("first"))
+    hits = term_hits(docs, key, text, ontology, "term")
+    g = hits.join(ontology.select("term", "domain", weight.alias("weight")), "term").groupBy(key, "domain").agg(F.sum(F.col("hits") * F.col("weight")).alias("s"))
+    g = g.join(size, "domain").withColumn("score", F.col("s") / F.sqrt(F.greatest(F.lit(1), "terms")))
+    best = g.groupBy(key).agg(F.max(F.struct("score", (-F.col("first")).alias("o"), "domain")).alias("b"))
+    out = docs.select(key).join(best, key, "left")
+    return out.select(key, F.coalesce(N.title_case(F.col("b.domain")), F.lit("Unknown")).alias("industry"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
 def promoted(learned: DataFrame, ontology: DataFrame, confidence: float = 0.75, accepted: int = 3) -> DataFrame:

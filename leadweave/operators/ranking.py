@@ -32,9 +32,53 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def per_group(df: DataFrame, groups: list[str], n: int, *order: Column) -> DataFrame:
-    """The first n of each group; Spark limits groups before the shuffle already."""
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("_place") <= n).drop("_place")
+def per_group(df: DataFrame, groups: list[str], n: int, *order: Column, name: str | None = None) -> DataFrame:
+    """The first n of each group, with their places if a name is given; Spark limits groups
+    before the shuffle already."""
+    d = df.withColumn("_place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("_place") <= n)
+    return d.withColumnRenamed("_place", name) if name else d.drop("_place")
+
+
+def priority_queue(requests: DataFrame, priorities: DataFrame | None = None) -> DataFrame:
+    """Requests (priority, depth, ts, seq, provider) in the order in which a queue hands them out.
+    priorities (provider, priority): new ones for all waiting requests of a provider."""
+    d = requests
+    if priorities is not None:
+        new = priorities.groupBy("provider").agg(F.max("priority").alias("_new"))
+        d = d.join(new, "provider", "left").withColumn("priority", F.coalesce("_new", "priority")).drop("_new")
+    return d.orderBy(F.desc("priority"), "depth", "ts", "seq")
+
+
+def provider_order(providers: DataFrame) -> DataFrame:
+    """provider, place: by position in the list (from 0), ten later below a success rate of 0.2,
+    one earlier above 0.8 if free, a hundred later if unhealthy or open; then by success rate.
+    Columns: provider, position, queries, failures, cost, healthy, breaker."""
+    rate = F.when(F.coalesce(F.col("queries"), F.lit(0)) > 0, (F.col("queries") - F.col("failures")) / F.col("queries")).otherwise(1.0)
+    i = F.col("position") + F.when(rate < 0.2, 10).when((rate > 0.8) & (F.col("position") > 0) & (F.col("cost") == 0), -1).otherwise(0)
+    i = i + F.when(~F.coalesce(F.col("healthy"), F.lit(True)) | (F.coalesce(F.col("breaker"), F.lit("CLOSED")) == "OPEN"), 100).otherwise(0)
+    d = providers.select("provider", "position", i.alias("_i"), rate.alias("success_rate"))
+    return d.withColumn("place", F.row_number().over(Window.orderBy("_i", F.desc("success_rate"), "position"))).select("provider", "place", "success_rate")  # a row for each provider
+
+
+def explored(ordered: DataFrame, run: str, seed: int = 0, share: float = 0.1) -> DataFrame:
+    """In a share of the runs (column `run`) one free provider, drawn by a hash, moves to the front of
+    the free ones. Columns: run, provider, place, cost."""
+    def draw(*keys) -> Column:
+        return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+
+    free = F.col("cost") == 0
+    per_run = Window.partitionBy(run)
+    d = ordered.withColumn("_first", F.min(F.when(free, F.col("place"))).over(per_run)).withColumn("_free", F.count_if(free).over(per_run))
+    luck = F.when(free & (F.col("place") > F.col("_first")), draw(F.col(run), F.col("provider")))
+    d = d.withColumn("_luck", luck).withColumn("_best", F.max("_luck").over(per_run))
+    go = (draw(F.col(run)) < share) & (F.col("_free") > 1) & (F.col("_luck") == F.col("_best"))
+    key = F.when(F.coalesce(go, F.lit(False)), F.col("_first") - 0.5).otherwise(F.col("place").cast("double"))
+    return d.withColumn("_key", key).withColumn("place", F.row_number().over(per_run.orderBy("_key"))).select(*ordered.columns)
+
+
+def renumbered(df: DataFrame, *order: Column, groups: list[str], name: str = "rank") -> DataFrame:
+    """Places from 1 in each group after a merge."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
 
 
 def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) -> DataFrame:
@@ -43,15 +87,26 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) ->
     return df.filter(F.col(weight) > 0).orderBy(F.desc(F.log(u) / F.col(weight)), key).limit(n)
 
 
-def nearest_concepts(items: DataFrame, words: Column, concept: DataFrame, n: int, key: str) -> DataFrame:
+def nearest_concepts(items: DataFrame, words: Column, concept: DataFrame, n: int, key: str, most: int = 10_000) -> DataFrame:
     """For each item the n concepts by 0.6 word overlap (Jaccard) and 0.4 yield (roi / 10).
 
-    concept(term, roi) meets items over common words (an equi join on exploded words), so
-    pairs without a common word are never made.
+    concept(term, roi) is a dictionary: up to `most` terms (they are counted) travel as one row
+    of words and terms, and each item is scored against those that share a word with it; no
+    pair is shuffled. Larger dictionaries meet the items over words, pairs without a common
+    word are never made, and a term's number stands for its text.
     """
+    once = concept.groupBy("term").agg(F.max("roi").cast("double").alias("roi"))
+    c = once.select("term", "roi", F.array_distinct(F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != "")).alias("v"))
     i = items.select(F.col(key).alias("k"), F.array_distinct(words).alias("w"))
-    c = concept.select("term", "roi", F.array_distinct(F.split(F.lower("term"), r"\s+")).alias("v"))
-    both = i.select("k", F.size("w").alias("nw"), F.explode("w").alias("x")).join(c.select("term", "roi", F.size("v").alias("nv"), F.explode("v").alias("x")), "x")
-    g = both.groupBy("k", "term", "roi", "nw", "nv").agg(F.count(F.lit(1)).alias("common"))
-    g = g.withColumn("score", 0.6 * F.col("common") / (F.col("nw") + F.col("nv") - F.col("common")) + 0.4 * F.col("roi") / 10)
+    score = lambda common, nw, nv, roi: 0.6 * common / (nw + nv - common) + 0.4 * roi / 10
+    if once.limit(most + 1).count() <= most:
+        table = c.agg(F.array_sort(F.collect_list(F.struct("term", "roi", "v"))).alias("c"))
+        scored = F.transform("c", lambda x: F.struct(F.size(F.array_intersect("w", x["v"])).cast("long").alias("common"), x["term"].alias("term"), x["roi"].alias("roi"), F.size(x["v"]).alias("nv")))
+        scored = F.transform(F.filter(scored, lambda x: x["common"] > 0), lambda x: F.struct((-score(x["common"], F.size("w"), x["nv"], x["roi"])).alias("s"), x["term"].alias("term"), x["common"].alias("common")))
+        best = i.join(F.broadcast(table)).select("k", F.explode(F.slice(F.array_sort(scored), 1, n)).alias("x"))  # one row beside each
+        return best.select(F.col("k").alias(key), F.col("x.term").alias("term"), F.col("x.common").alias("common"), (-F.col("x.s")).alias("score"))
+    c = c.withColumn("id", F.xxhash64("term"))
+    both = i.select("k", F.size("w").alias("nw"), F.explode("w").alias("x")).join(c.select("id", F.size("v").alias("nv"), "roi", F.explode("v").alias("x")), "x")
+    g = both.groupBy("k", "id", "nw", "nv", "roi").agg(F.count(F.lit(1)).alias("common")).join(c.select("id", "term"), "id")
+    g = g.withColumn("score", score(F.col("common"), F.col("nw"), F.col("nv"), F.col("roi")))
     return per_group(g, ["k"], n, F.desc("score"), F.col("term")).select(F.col("k").alias(key), "term", "common", "score")

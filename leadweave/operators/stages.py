@@ -12,6 +12,7 @@ from leadweave.functions import classify as C
 from leadweave.functions import contact as E
 from leadweave.functions import names as N
 from leadweave.functions import url as U
+from leadweave.functions import values as V
 from leadweave.operators.dedup import by_name_and_website, distinct_items, distinct_people
 from leadweave.operators.merge import merge_by_key
 from leadweave.schemas import MASTER
@@ -77,16 +78,24 @@ def rescue(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.filter(~listing), flagged.filter(listing)
 
 
+def _probe(table: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the last by the column ord, where the table has one, then by content."""
+    row = F.struct(*[c for c in table.columns if c != key])
+    order = F.struct(*(["ord"] if "ord" in table.columns else []), F.to_json(row).alias("_j"))
+    return table.groupBy(key).agg(F.max_by(row, order).alias("_r")).select(key, "_r.*")
+
+
 def verify(leads: DataFrame, mx: DataFrame, sites: DataFrame) -> StageResult:
-    """Joins pre-fetched probes: mx(domain, has_mx, reason), site(url, status, reason)."""
-    d = leads.withColumn("_id", F.xxhash64("company_name", "website", F.to_json(F.struct("emails", "phones"))))
+    """Joins pre-fetched probes: mx(domain, has_mx, reason), site(url, status, reason); the last
+    row of a key counts (column ord)."""
+    d = leads.withColumn("_id", F.sha2(F.to_json(F.struct("company_name", "website", "emails", "phones")), 256))
     asked = d.select("_id", F.explode("emails").alias("e")).distinct().withColumn("domain", U.address_domain(F.col("e")))
-    found = asked.join(mx.dropDuplicates(["domain"]), "domain", "left").groupBy("_id").agg(
+    found = asked.join(_probe(mx, "domain"), "domain", "left").groupBy("_id").agg(
         F.array_sort(F.collect_set(F.when(F.coalesce("has_mx", F.lit(False)), F.col("e")))).alias("verified_emails"),
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("e", F.coalesce("reason", F.lit("not_probed")).alias("reason"))))).alias("email_notes"),
     )
     d = d.join(found, "_id", "left")
-    site = sites.dropDuplicates(["url"]).select(F.col("url").alias("website"), F.col("status"))
+    site = _probe(sites, "url").select(F.col("url").alias("website"), F.col("status"))
     d = d.join(site, "website", "left")
     d = d.withColumns({
         "verified_emails": _list("verified_emails"), "verified_phones": F.filter(_list("phones"), E.is_phone),
@@ -98,17 +107,18 @@ def verify(leads: DataFrame, mx: DataFrame, sites: DataFrame) -> StageResult:
 
 
 def enrich(leads: DataFrame, registry: DataFrame, whois: DataFrame) -> DataFrame:
-    """Registry and WHOIS tables joined on; the last registry row of a name counts (column ord)."""
+    """Registry and WHOIS tables joined on; the last row of a name or domain counts (column ord)."""
     last = registry.groupBy("company_name").agg(F.max_by(F.struct("matched", "reason", "registered_name"), "ord").alias("r"))
     default = F.struct(F.lit(False).alias("matched"), F.lit("not_processed").alias("reason"), F.lit(None).cast("string").alias("registered_name"))
     d = leads.join(last, "company_name", "left").withColumn("corporate_registry", F.coalesce("r", default)).drop("r")
-    w = whois.dropDuplicates(["domain"]).select(F.col("domain").alias("_d"), F.struct("registrar", "creation_date", "org", "country").alias("whois"))
+    w = _probe(whois, "domain").select(F.col("domain").alias("_d"), F.struct("registrar", "creation_date", "org", "country").alias("whois"))
     return d.join(w, U.lead_domain(F.col("website")) == F.col("_d"), "left").drop("_d")
 
 
-def domain_candidates(name: Column, tlds: tuple[str, ...] = ("com", "in", "io", "co")) -> Column:
+def domain_candidates(name: Column) -> Column:
     """Hosts a company of this name may use (nothing is probed)."""
-    return F.transform(F.array(*map(F.lit, tlds)), lambda t: F.concat(N.slug(name), F.lit("."), t))
+    s = N.slug(name)
+    return F.when(s == "", F.array().cast(STRINGS)).otherwise(F.array(*[F.concat(s, F.lit(t)) for t in V.CANDIDATE_SUFFIXES]))
 
 
 def is_registry_candidate(name: Column) -> Column:
@@ -146,7 +156,7 @@ def own_emails(emails: Column, website: Column) -> Column:
 def polish(leads: DataFrame) -> StageResult:
     d = leads.withColumns({"phones": distinct_items(_list("phones")), "emails": own_emails(distinct_items(_list("emails")), F.coalesce("website", F.lit(""))), "people": F.filter(distinct_people(F.col("people")), lambda p: ~E.is_garbage_name(F.coalesce(p["name"], F.lit(""))))})
     nothing = (F.size("emails") == 0) & (F.size("phones") == 0) & (F.coalesce(F.size("people"), F.lit(0)) <= 0) & _empty("linkedin")
-    d = d.withColumn("drop_reason", F.when(C.is_article(F.col("company_name"), F.col("website")), F.lit("article_or_directory_page")).when(nothing, F.lit("nothing_usable_after_polish")))
+    d = d.withColumn("drop_reason", F.when(C.is_polish_article(F.col("company_name"), F.col("website")), F.lit("article_or_directory_page")).when(nothing, F.lit("nothing_usable_after_polish")))
     return StageResult(d.filter("drop_reason IS NULL").drop("drop_reason"), d.filter("drop_reason IS NOT NULL"), _tally(d, dropped=F.col("drop_reason").isNotNull()))
 
 
@@ -176,3 +186,51 @@ def coverage(leads: DataFrame) -> DataFrame:
     """Rows, and per cent with e-mails and phones to one decimal (half even); 0 for no rows."""
     share = lambda c: F.coalesce(F.bround(100 * F.count_if(F.size(_list(c)) > 0) / F.nullif(F.count(F.lit(1)), F.lit(0)), 1), F.lit(0.0))
     return leads.agg(F.count(F.lit(1)).alias("total"), share("emails").alias("pct_email"), share("phones").alias("pct_phone"))
+
+
+def without_debug(df: DataFrame, *more: str) -> DataFrame:
+    """Without the columns that only help to find faults."""
+    return df.drop(*V.DEBUG_FIELDS, *more)
+
+
+def json_or(text: Column, kind: str, default: Column) -> Column:
+    """JSON text as a value of a type; the default for null or broken text."""
+    return F.coalesce(F.from_json(text, kind), default)
+
+
+def card(company: str = "c", page: str = "p") -> Column:
+    """Lead card from a discovered company and what its pages gave (both structs)."""
+    c, p = (lambda n: F.col(f"{company}.{n}")), (lambda n: F.col(f"{page}.{n}"))
+    known = lambda x: F.nullif(F.nullif(x, F.lit("")), F.lit("Unknown"))
+    score = F.coalesce(c("relevance_score"), p("completeness"))
+    return F.struct(
+        c("company").alias("company_name"), p("website").alias("website"), c("linkedin").alias("linkedin"), F.coalesce(known(p("industry_detected")), known(c("industry_detected")), c("industry")).alias("industry"), c("location").alias("location"),
+        p("contact_page").alias("contact_page"), p("about_page").alias("about_page"), p("team_page").alias("team_page"), p("emails").alias("emails"), p("phones").alias("phones"), p("social_links").alias("social_links"), p("people").alias("people"), c("source").alias("source"),
+        score.alias("confidence_score"), C.quality_label(score).alias("lead_quality"), F.coalesce(p("company_type"), F.lit("Unknown")).alias("company_type"), F.coalesce(c("relevance_score"), F.lit(0)).alias("relevance_score"), F.coalesce(c("relevance_tier"), F.lit("LOW")).alias("relevance_tier"),
+    )
+
+
+def quality_distribution(leads: DataFrame) -> DataFrame:
+    """Leads by quality, and their mean confidence; 0 without leads."""
+    kinds = [F.count_if(F.col("lead_quality") == k).alias(k.lower()) for k in ("High", "Medium", "Low")]
+    return leads.agg(F.count(F.lit(1)).alias("total"), *kinds, F.coalesce(F.avg("confidence_score"), F.lit(0.0)).alias("avg_confidence"))
+
+
+def social_counts(leads: DataFrame, links: str = "social") -> DataFrame:
+    """Rows, those whose profile link was found or guessed, and those with any link. links: a
+    map of network to struct(source)."""
+    source = F.try_element_at(F.col(links), F.lit("linkedin"))["source"]
+    return leads.agg(F.count(F.lit(1)).alias("rows"), F.count_if(source == "found_on_site").alias("found"), F.count_if(source == "slug_guess").alias("guessed"), F.count_if(F.coalesce(F.size(F.col(links)), F.lit(0)) > 0).alias("with_any"))
+
+
+def chain(leads: DataFrame, *steps) -> tuple[DataFrame, list[DataFrame]]:
+    """Runs stages one after the other (DataFrame to StageResult or to DataFrame): what all of them
+    kept, and the rejects of each that has some."""
+    rejects = []
+    for step in steps:
+        out = step(leads)
+        if isinstance(out, StageResult):
+            rejects.append(out.rejects)
+            out = out.kept
+        leads = out
+    return leads, rejects

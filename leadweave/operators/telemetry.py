@@ -1,7 +1,9 @@
 """Health, yield and feedback over outcome logs (entity, ord, ts, outcome, latency).
 
-Windows are partitioned by entity; folds that aren't associative (clamped weights, scored
-breakers) run over each entity's ordered events.
+Windows are partitioned by entity; folds that aren't associative (clamped weights, breakers,
+buckets) run over each entity's ordered events. A fold holds the events of one entity in one
+row (some 24 bytes each): entities are providers, hosts or users, whose logs stay below some
+ten million events; longer ones are folded by day, with the state of the day before.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadweave.functions import values as V
+
 #: Points of an outcome, and outcomes that count as failures.
 POINTS = {"accepted_company": 5, "contact_found": 3, "homepage_crawled": 2, "search_hit": 1, "zero_result": -1, "unavailable": -2, "captcha": -3, "parser_failure": 0}
 FAILING = ("zero_result", "unavailable", "captcha")
@@ -94,10 +98,65 @@ def feedback(df: DataFrame, key: str, order: str, outcome: str = "outcome", resu
     return d.groupBy(key).agg(F.sum("_points").cast("long").alias("score"), F.count(F.lit(1)).alias("queries_run"), F.count_if(o == "accepted_company").alias("leads_found"), F.count_if(o.isin(*FAILING) & after).alias("failures"))
 
 
-def feedback_weight(runs: Column, leads: Column, failures: Column, days: Column, template_runs: int = 50) -> Column:
-    """Weight of a query from its history: recovers with time after many failures, else by yield."""
-    roi = leads / F.greatest(runs, F.lit(1))
-    return F.when(failures >= 30, 1 - 0.999 * F.exp(-0.02 * days)).when(runs >= template_runs, F.greatest(F.lit(0.2), F.least(F.lit(2.0), 1 + 0.1 * roi))).otherwise(F.lit(1.0))
+def _recovering(days: Column) -> Column:
+    """Weight after many failures: close to none at first, back with time."""
+    return F.greatest(F.lit(0.001), 1 - 0.999 * F.exp(-0.02 * days))
+
+
+def feedback_weight(failures: Column, days: Column, template_runs: Column, template_score: Column, template_failures: Column, template_days: Column) -> Column:
+    """Weight of a query: low after 30 failures of its own or 50 of its template (days: since the
+    last run), else by the template's points for each run; 1 without a template's history."""
+    roi = template_score / F.nullif(template_runs, F.lit(0))
+    by_roi = F.greatest(F.lit(0.2), F.least(F.lit(2.0), 1 + 0.1 * roi))
+    return F.when(failures >= 30, _recovering(days)).when(F.coalesce(template_runs, F.lit(0)) <= 0, F.lit(1.0)).when(template_failures >= 50, _recovering(template_days)).otherwise(by_roi)
+
+
+def template_report(df: DataFrame, template: Column, outcome: str = "outcome", n: int = 10) -> DataFrame:
+    """template, runs, leads, roi: the n templates with the most leads for each run."""
+    g = df.withColumn("template", template).filter("template IS NOT NULL").groupBy("template").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col(outcome) == "accepted_company").alias("leads"))
+    return g.withColumn("roi", F.col("leads") / F.col("runs")).orderBy(F.desc("roi"), "template").limit(n)
+
+
+def source_ratings(feedback_: DataFrame, key: str) -> DataFrame:
+    """key, score (points for each run), stars (1 to 5), queries_run; from feedback()."""
+    score = F.coalesce(F.col("score") / F.nullif(F.col("queries_run"), F.lit(0)), F.lit(0.0))
+    stars = F.when(score >= 3, 5).when(score >= 1, 4).when(score >= 0, 3).when(score >= -1, 2).otherwise(1)
+    return feedback_.select(key, score.alias("score"), stars.alias("stars"), "queries_run")
+
+
+def parser_report(df: DataFrame, parser: str, succeeded: Column, millis: str) -> DataFrame:
+    """parser, successes, failures, success_rate, avg_time_ms (of successes)."""
+    ok = F.coalesce(succeeded, F.lit(False))
+    g = df.groupBy(parser).agg(F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), F.sum(F.when(ok, F.col(millis))).alias("_t"))
+    rate, mean = F.col("successes") / (F.col("successes") + F.col("failures")), F.coalesce(F.col("_t") / F.nullif(F.col("successes"), F.lit(0)), F.lit(0.0))
+    return g.select(parser, "successes", "failures", rate.alias("success_rate"), mean.alias("avg_time_ms"))
+
+
+def best_and_worst_parser(report: DataFrame, parser: str) -> DataFrame:
+    """best, worst (by success rate, the first by name of equal ones) and the mean time of all successes."""
+    name, rate = F.col(parser), F.col("success_rate")
+    return report.agg(
+        F.min(F.struct((-rate).alias("r"), name.alias("n")))["n"].alias("best"), F.min(F.struct(rate.alias("r"), name.alias("n")))["n"].alias("worst"),
+        F.coalesce(F.sum(F.col("successes") * F.col("avg_time_ms")) / F.nullif(F.sum("successes"), F.lit(0)), F.lit(0.0)).alias("avg_parse_ms"),
+    )
+
+
+def exploring_score(queries: Column, leads: Column, accepted: Column, succeeded: Column, failures: Column, latency: Column, cost: Column) -> Column:
+    """Score 1 to 100 of a provider: yield, acceptance, success, speed and safety, a bonus while
+    it has few queries, less for what it costs; 100 without queries."""
+    of = lambda c: c / queries * 100.0
+    base = 0.35 * of(leads) + 0.20 * of(accepted) + 0.10 * of(succeeded) + 0.25 * F.greatest(F.lit(0.0), 100.0 - latency * 8.0) + 0.10 * F.greatest(F.lit(0.0), 100.0 - of(failures))
+    base = F.when(queries < 3, F.greatest(F.lit(20.0), base)).otherwise(base)
+    score = base + 15.0 / F.sqrt(queries) - F.when(cost > 0, 20.0 * cost).otherwise(0.0)
+    return F.when(F.coalesce(queries, F.lit(0)) == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(100.0), score)))
+
+
+def balance_score(alive: Column, score: Column, requests: Column, successes: Column, failures: Column, megabytes: Column, blocked: Column) -> Column:
+    """Scheduling score of a worker: health, score of its route, success, less failures and memory."""
+    rate = F.when(requests > 0, successes / requests).otherwise(1.0)
+    memory = F.when(megabytes > 300, F.least(megabytes / 300.0 - 1.0, F.lit(1.0))).otherwise(0.0)
+    out = 0.30 * F.when(alive, 1.0).otherwise(0.0) + 0.25 * score / 100.0 + 0.25 * rate - 0.10 * F.least(failures * 0.2, F.lit(1.0)) - 0.10 * memory
+    return F.when(blocked, F.lit(0.0)).otherwise(out)
 
 
 def provider_report(df: DataFrame, entity: str, latency: str, **classes: Column) -> DataFrame:
@@ -117,7 +176,8 @@ def provider_score(accepted: Column, homepages: Column, parser: Column, http: Co
 def rejection_report(df: DataFrame, reason: Column) -> DataFrame:
     """Counts by stage (what stands before the first underscore) and reason, and shares of all."""
     g = df.select(F.substring_index(reason, "_", 1).alias("stage"), reason.alias("reason")).groupBy("stage", "reason").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each reason
+    total = g.agg(F.sum("n").alias("_total"))  # one row
+    return g.join(F.broadcast(total)).select("stage", "reason", "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def clamped_fold(df: DataFrame, entity: str, order: str, delta: Column, start: float = 1.0, low: float = 1.0, high: float = 50.0) -> DataFrame:
@@ -146,6 +206,93 @@ def breaker_states(df: DataFrame, entity: str, order: str, ts: Column, failed: C
     return g.select(entity, F.aggregate("e", start, step).alias("b")).select(entity, F.col("b.s").alias("state"), F.col("b.p").alias("points"), F.col("b.trips").alias("trips"))
 
 
+def _events_of(df: DataFrame, entity: str, order: str, **fields: Column) -> DataFrame:
+    """entity, _log: its events in order, one array."""
+    e = F.struct(F.col(order).alias("o"), *[c.alias(k) for k, c in fields.items()])
+    return df.groupBy(entity).agg(F.array_sort(F.collect_list(e)).alias("_log"))
+
+
+def score_fold(df: DataFrame, entity: str, order: str, outcome: Column, start: float = 100.0) -> DataFrame:
+    """entity, score (0 to 100), events: points of each outcome in order, kept within bounds after each."""
+    step = F.lit(V.SCORE_STEP)
+    for k, v in V.SCORE_STEPS.items():
+        step = F.when(outcome == k, F.lit(v)).otherwise(step)
+    g = _events_of(df, entity, order, d=step)
+    w = F.aggregate("_log", F.lit(start), lambda a, x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), a + x["d"])))
+    return g.select(entity, w.alias("score"), F.size("_log").cast("long").alias("events"))
+
+
+def ratio_breaker(df: DataFrame, entity: str, order: str, ts: Column, failed: Column, window: int = 20, least: int = 6, share: float = 0.8, waits: tuple[int, ...] = (60, 120, 300, 600), probes: int = 2) -> DataFrame:
+    """entity, state (CLOSED, OPEN, PROBE), opens, backoff: opens when so large a share of the last
+    outcomes failed; after the wait, so many successes in a row close it and a failure opens it
+    for the next longer wait. Events while it is open don't count. ts: seconds."""
+    g = _events_of(df, entity, order, t=ts.cast("double"), f=F.coalesce(failed, F.lit(False)))
+    none = F.array().cast("array<boolean>")
+    wait = lambda k: F.element_at(F.array(*[F.lit(float(w)) for w in waits]), F.least(k + 1, F.lit(len(waits))).cast("int"))
+
+    def state(until, probing, good, step, opens, last):
+        return F.struct(until.cast("double").alias("until"), probing.alias("probing"), good.cast("int").alias("good"), step.cast("int").alias("step"), opens.cast("long").alias("opens"), last.alias("last"))
+
+    def fold(a: Column, x: Column) -> Column:
+        shut = x["t"] < a["until"]
+        probing = a["probing"] | ((a["until"] > 0) & ~shut)
+        good = F.when(a["probing"], a["good"]).otherwise(0)
+        last = F.slice(F.concat(F.array(x["f"]), a["last"]), 1, window)
+        full = F.size(last) >= least
+        bad = F.size(F.filter(last, lambda y: y)) / F.size(last) >= share
+        closed = state(F.lit(0.0), F.lit(False), F.lit(0), F.lit(0), a["opens"], none)
+        again = state(x["t"] + wait(a["step"] + 1), F.lit(False), F.lit(0), a["step"] + 1, a["opens"] + 1, a["last"])
+        opened = state(x["t"] + wait(a["step"]), F.lit(False), F.lit(0), a["step"], a["opens"] + 1, last)
+        more = state(a["until"], F.lit(True), good + 1, a["step"], a["opens"], a["last"])
+        on = state(a["until"], F.lit(False), F.lit(0), a["step"], a["opens"], last)
+        return F.when(shut, a).when(probing, F.when(x["f"], again).when(good + 1 >= probes, closed).otherwise(more)).when(full & bad, opened).otherwise(on)
+
+    start = state(F.lit(0.0), F.lit(False), F.lit(0), F.lit(0), F.lit(0), none)
+    b = F.aggregate("_log", start, fold)
+    kind = F.when(F.col("b.probing"), F.lit("PROBE")).when(F.col("b.until") > F.col("end"), F.lit("OPEN")).when(F.col("b.until") > 0, F.lit("PROBE")).otherwise(F.lit("CLOSED"))
+    return g.select(entity, b.alias("b"), F.element_at("_log", -1)["t"].alias("end")).select(entity, kind.alias("state"), F.col("b.opens").alias("opens"), F.col("b.step").alias("backoff"))
+
+
+def streak_breaker(df: DataFrame, entity: str, order: str, ts: Column, failed: Column, limit: int, cooldown: float, restart: bool = False) -> DataFrame:
+    """entity, opens, skipped, streak: opens at so many failures in a row for a while; events
+    while it is open are skipped. restart: whether the count starts anew after the wait (else
+    the next failure opens it again). ts: seconds."""
+    g = _events_of(df, entity, order, t=ts.cast("double"), f=F.coalesce(failed, F.lit(False)))
+
+    def fold(a: Column, x: Column) -> Column:
+        shut = x["t"] < a["until"]
+        before = F.when(F.lit(restart) & (a["until"] > 0) & ~shut, 0).otherwise(a["n"])
+        n = F.when(x["f"], before + 1).otherwise(0)
+        trip = x["f"] & (n >= limit)
+        until = F.when(trip, x["t"] + cooldown).when(F.lit(restart), F.lit(0.0)).otherwise(a["until"])
+        return F.struct(F.when(shut, a["n"]).otherwise(n).alias("n"), F.when(shut, a["until"]).otherwise(until).alias("until"), (a["opens"] + (trip & ~shut).cast("long")).alias("opens"), (a["skipped"] + shut.cast("long")).alias("skipped"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("until"), zero.alias("opens"), zero.alias("skipped"))
+    return g.select(entity, F.aggregate("_log", start, fold).alias("b")).select(entity, F.col("b.opens").alias("opens"), F.col("b.skipped").alias("skipped"), F.col("b.n").alias("streak"))
+
+
+def throttle_fold(df: DataFrame, entity: str, order: str, status: Column, blocked: Column, seconds: Column, start: float = 1.0) -> DataFrame:
+    """entity, rate: requests a second after each answer in order: less after refusals, blocks and
+    slow answers, a little more after fast ones, within bounds."""
+    g = _events_of(df, entity, order, s=F.coalesce(status == 429, F.lit(False)), b=F.coalesce(blocked, F.lit(False)), t=seconds.cast("double"))
+
+    def fold(a: Column, x: Column) -> Column:
+        slow, fast = F.greatest(F.lit(0.1), a * 0.8), F.least(F.lit(2.0), a * 1.1)
+        return F.when(x["s"], F.greatest(F.lit(0.05), a * 0.4)).when(x["b"], F.greatest(F.lit(0.05), a * 0.5)).when(x["t"] > 2.0, slow).when(x["t"] < 0.8, fast).otherwise(a)
+
+    return g.select(entity, F.aggregate("_log", F.lit(start), fold).alias("rate"))
+
+
+def snapshot(df: DataFrame, entity: str, order: str, outcome: str, keep: int = 50) -> DataFrame:
+    """entity, events, by_outcome (map of counts), last (its last outcomes in order): the state
+    that a restart needs. Blocks and cooldowns are not part of it: they start anew."""
+    n = Window.partitionBy(entity).orderBy(F.desc(order))
+    last = df.withColumn("_n", F.row_number().over(n)).filter(F.col("_n") <= keep).groupBy(entity).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(outcome).alias("x")))), lambda r: r["x"]).alias("last"))
+    counts = df.groupBy(entity, outcome).agg(F.count(F.lit(1)).alias("n")).groupBy(entity).agg(F.sum("n").alias("events"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(outcome).alias("k"), F.col("n").alias("v"))))).alias("by_outcome"))
+    return counts.join(last, entity)
+
+
 def token_bucket(df: DataFrame, entity: str, order: str, ts: Column, rate: float, burst: float) -> DataFrame:
     """Requests let through by a bucket that fills at a rate up to a burst."""
     g = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), ts.cast("double").alias("t")))).alias("e"))

@@ -11,7 +11,8 @@ from leadweave.schemas import LEAD
 def json_records(spark: SparkSession, paths: str | list[str], schema: str = LEAD) -> tuple[DataFrame, DataFrame]:
     """Records of JSON arrays (files or globs) with their file, and the texts that are no arrays.
 
-    A file is one array and thus one row, whichever way it is read.
+    A file is one array and thus one row, whichever way it is read; files of 2 GB and more
+    don't fit a row and must be split, or written as a record a line.
     """
     d = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("source_file"), F.col("value").alias("raw"))
     array = F.when(F.ltrim("raw").startswith("["), F.from_json("raw", f"array<struct<{_as_fields(schema)}>>", {"mode": "PERMISSIVE"}))
@@ -79,3 +80,17 @@ def search_results(responses: DataFrame, body: str = "body") -> DataFrame:
 
     out = d.select(*[c for c in responses.columns if c != body], (F.col("_i") + 1).alias("rank"), first("url", "link", "href", "uri").alias("url"), first("title", "name", "heading").alias("title"), F.substring(first("snippet", "description", "body", "summary", "extract"), 1, 400).alias("snippet"))
     return out.filter("url IS NOT NULL")
+
+
+def csv_records(spark: SparkSession, *paths: str, **options: str) -> DataFrame:
+    """CSV files with a header; all columns are text unless a schema is given as an option."""
+    schema = options.pop("schema", None)
+    r = spark.read.options(header="true", **options)
+    return (r.schema(schema) if schema else r).csv(list(paths))
+
+
+def recorded_search(tasks: DataFrame, responses: DataFrame, pages: int = 1) -> DataFrame:
+    """Rows of recorded answers (source, query, page, body) to search tasks (source, query): the
+    first pages of each. Live providers write such a table; nothing is fetched here."""
+    asked = tasks.select("source", "query").distinct()
+    return search_results(responses.filter(F.col("page") <= pages).join(asked, ["source", "query"], "left_semi"))

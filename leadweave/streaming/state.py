@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,12 +62,40 @@ def bucket(events: DataFrame, rate: float, burst: float) -> DataFrame:
     return events.groupBy("entity").applyInPandasWithState(run, "entity string, passed long", "tokens double, last double, passed long", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Pages of one domain that a crawl takes.
+PAGES_A_DOMAIN = 15
+
+
 def frontier(pages: DataFrame, ts: str, delay: str = "1 hour") -> DataFrame:
     """Pages whose crawl URL was not seen before within the watermark, with their content's hash."""
     d = pages.withWatermark(ts, delay).withColumn("crawl_url", U.crawl_canonical(F.col("url")))
     return d.dropDuplicatesWithinWatermark(["crawl_url"]).withColumn("content_hash", F.sha2(N.stripped_html(F.col("html")), 256))
 
 
+def within_budget(pages: DataFrame, most: int = PAGES_A_DOMAIN) -> DataFrame:
+    """domain, ord, url of a stream's pages (ord, url) while their domain has had fewer than so
+    many; the count of each domain is the state. In a trigger, pages go by ord."""
+    d = pages.select(U.host(F.col("url")).alias("domain"), "ord", "url")
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        had = state.get[0] if state.exists else 0
+        for part in parts:
+            take = part.sort_values("ord").head(max(0, most - had))
+            had += len(take)
+            yield take[["domain", "ord", "url"]]
+        state.update((had,))
+
+    return d.groupBy("domain").applyInPandasWithState(run, "domain string, ord long, url string", "had long", "append", GroupStateTimeout.NoTimeout)
+
+
+def crawl_budget(pages: DataFrame, order: str, most: int = PAGES_A_DOMAIN) -> DataFrame:
+    """In batch: the first page of each crawl URL, and of these the first so many of each domain."""
+    d = pages.withColumn("crawl_url", U.crawl_canonical(F.col("url"))).withColumn("domain", U.host(F.col("url")))
+    first = Window.partitionBy("crawl_url").orderBy(order)
+    d = d.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return d.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy(order))).filter(F.col("_n") <= most).drop("_n")
+
+
 def windowed(events: DataFrame, ts: str, keys: list[str], delay: str, size: str, slide: str | None = None, **aggs: Column) -> DataFrame:
     """Extension: tumbling or sliding windows with late data up to a delay."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)

@@ -44,7 +44,9 @@ def test_hosts(of):
     assert of(U.cache_key, ["https://www.acme.com/x", "https://linkedin.com/company/A"]) == ["acme.com", "https://linkedin.com/company/a"]
     assert of(U.unwrapped, ["https://g.com/url?q=https%3A%2F%2Fa.com%2F&x=1", "https://b.com/ck?u=a1aHR0cHM6Ly9hLmNvbS8", "https://c.com/"]) == ["https://a.com/", "https://a.com/", "https://c.com/"]
     assert of(U.is_valid_result, ["https://a.com/x", "ftp://a.com", "https://a", "https://a.com/search?q", "https://a .com", None, "https://www.google.com/x"]) == [True, False, False, False, False, False, False]
-    assert of(U.is_government, ["x.gov", "a.gov.in", "govern.com"]) == [True, True, False]
+    assert of(U.is_government, ["https://x.gov", "http://a.gov.in/x", "https://a.govt.nz", "https://gov.example.com", "https://govern.com", "https://x.mil", None]) == [True, True, True, True, False, False, False]
+    assert of(U.is_forum, ["https://www.reddit.com/r", "https://medium.com/a", "https://acme.com/?u=dev.to", "https://acme.com/forum", None]) == [True, True, True, False, False]
+    assert of(U.domain_token, ["foo.co.com", "www.acme.co.in", ""]) == ["co", "acme", ""]
 
 
 def test_emails(of):

@@ -1,5 +1,6 @@
 """Operators and stages against plain Python models."""
 
+import math
 import random
 
 import pytest
@@ -131,12 +132,38 @@ def test_lookup(spark):
 
 
 def test_planner(spark):
-    k = spark.createDataFrame([("erp software in Pune",), ("chatbots",)], "keyword string")
+    k = spark.createDataFrame([("erp software Pune",), ("chatbots",), ("Python  noida",)], "keyword string")
     got = planner.plan(k, "hybrid", 6).collect()
-    mine = sorted([x for x in got if x.keyword.startswith("erp")], key=lambda x: (-x.weight, x.ord))
-    assert len(mine) == 6 and mine[0].query == "erp software in Pune" and any("Pune" in x.query for x in mine[1:]) and not any("-site:" in x.query for x in got)
-    e = spark.createDataFrame([("chatbots", "chatbot company", 0), ("chatbots", "chatbot companies", 1), ("chatbots", "bots", 2)], "key string, expansion string, ordinal int")
-    assert [x.query for x in planner.variants(k, e).orderBy("ord").collect() if x.keyword == "chatbots"] == ["chatbots", "chatbot company", "bots"]
+    mine = sorted([x for x in got if x.keyword.startswith("erp")], key=lambda x: x.priority)
+    assert len(mine) == 6 and mine[0].query == "erp software Pune" and not any("site:" in x.query for x in mine)
+    exact = {x.query: x.source for x in planner.plan(k, "exact", None).collect() if x.keyword == "chatbots"}
+    assert len(exact) == 10 and exact["chatbots company"] == "google" and exact["site:clutch.co chatbots"] == "clutch"
+    c = spark.createDataFrame([("crm", ["crm software", "lead tracking", "sales", "other"], ["hardware_development"])], "keyword string, c array<string>, d array<string>")
+    semantic = [x.query for x in planner.plan(c, "semantic", None, "c", "d").orderBy("priority").collect()]
+    assert semantic[:3] == ["crm", "crm software companies", "crm startups"] and "PCB design company" in semantic and "sales startups" in semantic and not any("other" in x for x in semantic)
+    assert len(semantic) == len({x.lower() for x in semantic})
+
+
+def test_variants(spark):
+    cases = {
+        "python": ["python", "python development company", "python software company", "python consulting firm"], "chatbots": ["chatbots", "chatbots companies", "chatbots startups", "chatbots solutions", "chatbots agency"],
+        "data engineer": ["data engineer", "data engineering company", "data engineering consultancy", "big data company", "ETL consulting company"], "crm": ["crm", "crm company", "crm software company", "crm solutions provider", "crm vendor"],
+        "seo": ["seo", "seo company", "seo agency", "seo firm"], "officer": ["officer", "officer company", "officer firm"], "bakery firm": ["bakery firm"], "": [],
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "k string")
+    assert {r.k: r.v for r in d.select("k", planner.variants(F.col("k")).alias("v")).collect()} == cases
+
+
+def test_company_and_contact_queries(spark):
+    d = spark.createDataFrame([("python", "Noida")], "keyword string, location string")
+    b2b = [r.query for r in planner.company_queries(d).orderBy("place").collect()]
+    assert len(b2b) == 20 and b2b[:4] == ["python Noida", "top python in Noida", "python Noida website", "python Noida pvt ltd"] and not any("site:" in q for q in b2b)
+    every = [r.query for r in planner.company_queries(d, "b2c", 100).orderBy("place").collect()]
+    assert every[0] == "python near Noida" and every[-1] == "site:sulekha.com python consulting firm Noida" and len(every) == 4 * 7
+    q = spark.range(1).select(*[planner.contact_queries(F.lit("Acme"), F.lit(w), F.lit(lead), F.lit(c)).alias(n) for n, w, lead, c in (("all", False, False, False), ("web", True, True, False), ("none", False, False, True))]).first()
+    assert len(q["all"]) == 6 and q.web == ['"Acme" "our team" OR "meet the team" OR "leadership"', '"Acme" "about us" founder CEO'] and q.none == []
+    t = spark.createDataFrame([('site:clutch.co "crm" Pune',), ("best crm Pune",), ("crm Pune",), ("crm",)], "q string").select("q", planner.matching_template(F.col("q")).alias("t"))
+    assert {r.q: r.t for r in t.collect()} == {'site:clutch.co "crm" Pune': 'site:clutch.co "{keyword}" {location}', "best crm Pune": "best {keyword} {location}", "crm Pune": "{keyword} {location}", "crm": None}
 
 
 def test_health_numbers(spark):
@@ -153,8 +180,11 @@ def test_feedback(spark):
     log = spark.createDataFrame([("s", 0, "accepted_company", 0), ("s", 1, "zero_result", 0), ("t", 0, "zero_result", 0), ("t", 1, "search_hit", 25), ("t", 2, "captcha", 0)], "key string, ord int, outcome string, results int")
     got = {x.key: (x.score, x.queries_run, x.leads_found, x.failures) for x in T.feedback(log, "key", "ord", results="results").collect()}
     assert got == {"s": (4, 2, 1, 1), "t": (6, 3, 0, 2)}
-    w = spark.range(1).select(T.feedback_weight(F.lit(30), F.lit(0), F.lit(30), F.lit(0.0)).alias("x")).first().x
-    assert w < 1
+    w = lambda *a: spark.range(1).select(T.feedback_weight(*[F.lit(x) for x in a]).alias("x")).first().x
+    assert w(30, 0.0, None, None, None, None) == pytest.approx(0.001) and w(0, 0.0, None, None, None, None) == 1.0 and w(30, 100.0, None, None, None, None) == pytest.approx(1 - 0.999 * math.exp(-2))
+    assert [w(3, 0.0, 10, s, f, 0.0) for s, f in ((100, 0), (-100, 0), (5, 0), (5, 50))] == pytest.approx([2.0, 0.2, 1.05, 0.001])
+    r = T.source_ratings(T.feedback(log, "key", "ord", results="results"), "key").orderBy("key").collect()
+    assert [(x.key, x.score, x.stars) for x in r] == [("s", 2.0, 4), ("t", 2.0, 4)]
 
 
 def events(n=400):
@@ -231,3 +261,129 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "i" in sinks.report("T", d.select("i"))
     with pytest.raises(ValueError):
         sinks.report("T", spark.range(300))
+
+
+def log_rows(n=300, seed=5):
+    r = random.Random(seed)
+    return [(r.choice("abc"), i, float(i * 20), r.random() < (0.9 if i // 60 % 2 else 0.2), r.choice(["valid_results", "captcha", "timeout", "zero_results", "odd"])) for i in range(n)]
+
+
+LOG = "e string, ord int, t double, failed boolean, outcome string"
+
+
+def test_ratio_breaker_equals_model(spark):
+    got = {x.e: (x.state, x.opens, x.backoff) for x in T.ratio_breaker(spark.createDataFrame(log_rows(), LOG), "e", "ord", F.col("t"), F.col("failed")).collect()}
+    for e in "abc":
+        until, probe, good, step, opens, last, t = 0.0, False, 0, 0, 0, [], 0.0
+        for _, _, t, failed, _ in (x for x in log_rows() if x[0] == e):
+            if t < until:
+                continue
+            if until > 0 and not probe:
+                probe, good = True, 0
+            if probe:
+                if failed:
+                    step, probe, opens = step + 1, False, opens + 1
+                    until = t + (60, 120, 300, 600)[min(step, 3)]
+                else:
+                    good += 1
+                    if good >= 2:
+                        until, probe, good, step, last = 0.0, False, 0, 0, []
+                continue
+            last = (last + [failed])[-20:]
+            if len(last) >= 6 and sum(last) / len(last) >= 0.8:
+                until, opens = t + (60, 120, 300, 600)[min(step, 3)], opens + 1
+        state = "PROBE" if probe else "OPEN" if until > t else "PROBE" if until > 0 else "CLOSED"
+        assert got[e] == (state, opens, step) and opens > 0
+
+
+@pytest.mark.parametrize("restart", [True, False])
+def test_streak_breaker_equals_model(spark, restart):
+    got = {x.e: (x.opens, x.skipped, x.streak) for x in T.streak_breaker(spark.createDataFrame(log_rows(), LOG), "e", "ord", F.col("t"), F.col("failed"), 3, 200.0, restart).collect()}
+    for e in "abc":
+        n, until, opens, skipped = 0, 0.0, 0, 0
+        for _, _, t, failed, _ in (x for x in log_rows() if x[0] == e):
+            if t < until:
+                skipped += 1
+                continue
+            if restart and until > 0:
+                n, until = 0, 0.0
+            n = n + 1 if failed else 0
+            if failed and n >= 3:
+                until, opens = t + 200.0, opens + 1
+        assert got[e] == (opens, skipped, n) and opens > 0
+
+
+def test_score_and_throttle_folds(spark):
+    d = spark.createDataFrame(log_rows(), LOG)
+    steps = {"valid_results": 8, "captcha": -10, "timeout": -5, "zero_results": 0, "odd": -5}
+    score = {x.e: x.score for x in T.score_fold(d, "e", "ord", F.col("outcome")).collect()}
+    rate = {x.e: x.rate for x in T.throttle_fold(d, "e", "ord", F.when(F.col("outcome") == "captcha", 429), F.col("outcome") == "odd", F.when(F.col("failed"), 3.0).otherwise(0.5)).collect()}
+    for e in "abc":
+        s, r = 100.0, 1.0
+        for _, _, _, failed, o in (x for x in log_rows() if x[0] == e):
+            s = min(100.0, max(0.0, s + steps[o]))
+            r = max(0.05, r * 0.4) if o == "captcha" else max(0.05, r * 0.5) if o == "odd" else max(0.1, r * 0.8) if failed else min(2.0, r * 1.1)
+        assert score[e] == s and rate[e] == pytest.approx(r)
+    snap = {x.e: x for x in T.snapshot(d, "e", "ord", "outcome", 5).collect()}
+    mine = [x for x in log_rows() if x[0] == "a"]
+    assert snap["a"]["last"] == [x[4] for x in mine[-5:]] and snap["a"].events == len(mine) and sum(snap["a"].by_outcome.values()) == len(mine)
+
+
+def test_provider_scores_and_order(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(T.exploring_score(*[F.lit(x) for x in (0, 0, 0, 0, 0, 0.0, 0)])) == 100.0
+    assert one(T.exploring_score(*[F.lit(x) for x in (4, 2, 1, 4, 0, 2.0, 0)])) == pytest.approx(0.35 * 50 + 0.2 * 25 + 0.1 * 100 + 0.25 * 84 + 0.1 * 100 + 7.5)
+    assert one(T.balance_score(F.lit(True), F.lit(100.0), F.lit(10), F.lit(5), F.lit(2), F.lit(450.0), F.lit(False))) == pytest.approx(0.3 + 0.25 + 0.125 - 0.04 - 0.05)
+    p = spark.createDataFrame([("a", 0, 10, 9, 0, True, "CLOSED"), ("b", 1, 10, 0, 0, True, "CLOSED"), ("c", 2, 0, 0, 0, True, "OPEN"), ("d", 3, 10, 5, 1, True, "CLOSED")], "provider string, position int, queries int, failures int, cost int, healthy boolean, breaker string")
+    order = ranking.provider_order(p).orderBy("place").collect()
+    assert [x.provider for x in order] == ["b", "d", "a", "c"]
+    runs = ranking.provider_order(p).join(p.select("provider", "cost"), "provider").crossJoin(spark.range(400).withColumnRenamed("id", "run")).select("run", "provider", "place", "cost")
+    first = ranking.explored(runs, "run").filter("place = 1").groupBy("provider").count().collect()
+    assert {x.provider: x["count"] for x in first}["b"] > 300 and len(first) == 3
+    q = spark.createDataFrame([("x", 1, 0, 5.0, 1, "p"), ("y", 2, 1, 4.0, 2, "q"), ("z", 2, 0, 6.0, 3, "p")], "id string, priority int, depth int, ts double, seq int, provider string")
+    assert [x.id for x in ranking.priority_queue(q).collect()] == ["z", "y", "x"]
+    assert [x.id for x in ranking.priority_queue(q, spark.createDataFrame([("q", 9)], "provider string, priority int")).collect()] == ["y", "z", "x"]
+
+
+def test_parsers_and_distributions(spark):
+    d = spark.createDataFrame([("css", True, 10.0), ("css", False, 99.0), ("json", True, 4.0), ("json", True, 6.0), ("any", False, 1.0)], "parser string, ok boolean, ms double")
+    rep = T.parser_report(d, "parser", F.col("ok"), "ms")
+    assert {x.parser: (x.successes, x.failures, x.success_rate, x.avg_time_ms) for x in rep.collect()} == {"css": (1, 1, 0.5, 10.0), "json": (2, 0, 1.0, 5.0), "any": (0, 1, 0.0, 0.0)}
+    b = T.best_and_worst_parser(rep, "parser").first()
+    assert (b.best, b.worst, b.avg_parse_ms) == ("json", "any", pytest.approx(20 / 3))
+    t = spark.createDataFrame([('site:clutch.co "a" b', "accepted_company"), ('site:clutch.co "c" d', "zero_result"), ("best a b", "zero_result"), ("x", "zero_result")], "query string, outcome string")
+    assert [(x.template, x.runs, x.leads, x.roi) for x in T.template_report(t, planner.matching_template(F.col("query"))).collect()] == [('site:clutch.co "{keyword}" {location}', 2, 1, 0.5), ("best {keyword} {location}", 1, 0, 0.0)]
+    leads = spark.createDataFrame([("High", 80, {"linkedin": ("found_on_site",)}), ("Low", 20, {"linkedin": ("slug_guess",)}), ("Low", 30, {}), ("Medium", 50, None)], "lead_quality string, confidence_score int, social map<string,struct<source:string>>")
+    assert stages.quality_distribution(leads).first().asDict() == {"total": 4, "high": 1, "medium": 1, "low": 2, "avg_confidence": 45.0}
+    assert stages.social_counts(leads).first().asDict() == {"rows": 4, "found": 1, "guessed": 1, "with_any": 2}
+    w = spark.createDataFrame([('["a"]', 1), ("bad", 2), (None, 3)], "j string, _flags int")
+    assert [x.v for x in stages.without_debug(w.withColumn("v", stages.json_or(F.col("j"), "array<string>", F.array().cast("array<string>")))).collect()] == [["a"], [], []]
+
+
+def test_resolved_intent(spark):
+    o = spark.createDataFrame([("cloud", "concepts", "Kubernetes", 0), ("cloud", "services", "Cloud Hosting", 1), ("ai", "concepts", "Deep Learning", 2), ("ai", "positions", "ML Engineer", 3)], "domain string, channel string, term string, ordinal int")
+    k = spark.createDataFrame([("cloud",), ("deep learning hosting",), ("quilts",)], "keyword string")
+    got = {x.keyword: x for x in lookup.resolved_intent(k, o).collect()}
+    assert (got["cloud"].primary_domain, got["cloud"].confidence, got["cloud"].services) == ("Cloud", 1.0, ["Cloud Hosting"])
+    assert got["deep learning hosting"].primary_domain == "Ai + Cloud" and got["deep learning hosting"].confidence == 0.7 and got["deep learning hosting"].concepts == ["Deep Learning", "Kubernetes"]
+    assert (got["quilts"].primary_domain, got["quilts"].confidence) == ("Quilts", 0.4) and "Quilts Services" in got["quilts"].services
+    docs = spark.createDataFrame([(1, "Deep learning and kubernetes, kubernetes"), (2, "nothing")], "id int, text string")
+    assert {x.id: x.industry for x in lookup.ontology_industry(docs, "id", "text", o).collect()} == {1: "Cloud", 2: "Unknown"}
+
+
+def test_probe_tables_take_the_last_row(spark):
+    d = spark.createDataFrame([("Acme", "https://acme.com", ["a@acme.com"], ["+1 212 555 0199"])], "company_name string, website string, emails array<string>, phones array<string>")
+    mx = spark.createDataFrame([("acme.com", False, "old", 1), ("acme.com", True, "ok", 2)], "domain string, has_mx boolean, reason string, ord int")
+    sites = spark.createDataFrame([("https://acme.com", 500, "x"), ("https://acme.com", 200, "x")], "url string, status int, reason string")
+    r = stages.verify(d, mx, sites).kept.first()
+    assert r.verified_emails == ["a@acme.com"] and r.email_notes == {"a@acme.com": "ok"} and r.website_reachable is False
+    kept, rejects = stages.chain(spark.createDataFrame([(1, "Acme", "https://acme.com", ["a@acme.com"], [], None)], "ord int, company_name string, website string, emails array<string>, phones array<string>, people array<struct<name:string,designation:string>>"), stages.clean, stages.finalize)
+    assert kept.count() == 1 and len(rejects) == 2
+
+
+def test_crawl_budget(spark):
+    from leadweave.streaming import state
+
+    d = spark.createDataFrame([(i, f"https://a.com/{i % 20}") for i in range(40)] + [(99, "https://b.com/")], "ord long, url string")
+    got = state.crawl_budget(d, "ord").collect()
+    assert sorted(x.ord for x in got) == [*range(15), 99]
