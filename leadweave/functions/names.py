@@ -123,19 +123,23 @@ def guessed_company(title: Column, url: Column) -> Column:
     """Company name of a search result: known host, a title part that is the host's name, the
     host for informational titles, parts with business words, the last part that is no phrase,
     the host."""
-    host_name = U.company_from_host(url)
-    host_name = F.when((host_name == "") & U.is_platform(url), U.profile_name(url)).otherwise(host_name)
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    on_host = F.when(U.is_platform(url), U.profile_name(url)).otherwise(U.company_from_host(url))
     parts = F.filter(title_parts(title), lambda p: ~F.lower(p).isin(*V.TITLE_NOISE))
-    business = F.filter(parts, lambda p: _holds(F.lower(p), V.BUSINESS_HINTS))
-    names = F.filter(parts, lambda p: ~is_sentence(p))
-    guess = F.coalesce(F.try_element_at(names, F.lit(-1)), host_name)
-    known = host_name != ""
-    same = F.exists(parts, lambda p: (plain(p) == plain(host_name)) & (plain(p) != ""))
-    out = F.when(is_company_name(guess), guess).otherwise(host_name)
-    out = F.when(F.size(business) > 0, F.when(known, host_name).otherwise(F.get(business, F.lit(0)))).otherwise(out)
-    out = F.when(known & (same | is_informational(title)), host_name).otherwise(out)
-    out = F.when(F.trim(F.coalesce(title, F.lit(""))) == "", host_name).otherwise(out)
+
+    def guessed(v: Column) -> Column:
+        host_name = v["host"]
+        business = F.filter(v["parts"], lambda p: _holds(F.lower(p), V.BUSINESS_HINTS))
+        guess = F.coalesce(F.try_element_at(F.filter(v["parts"], lambda p: ~is_sentence(p)), F.lit(-1)), host_name)
+        same = F.exists(v["parts"], lambda p: (plain(p) == plain(host_name)) & (plain(p) != ""))
+        first = F.get(business, F.lit(0))
+        return (
+            F.when(F.trim(F.coalesce(v["title"], F.lit(""))) == "", host_name).when((host_name != "") & (same | is_informational(v["title"])), host_name)
+            .when(first.isNotNull(), F.when(host_name != "", host_name).otherwise(first)).when(is_company_name(guess), guess).otherwise(host_name)
+        )
+
+    # the parts and the host's name are made once, whatever asks for them
+    out = F.transform(F.array(F.struct(on_host.alias("host"), parts.alias("parts"), title.alias("title"))), guessed)[0]
     return U.override(U.domain_token(U.netloc(url)), out)
 
 

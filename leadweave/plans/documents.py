@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadweave.functions import classify as C
 from leadweave.functions import contact as E
 from leadweave.functions import names as N
-from leadweave.operators import dedup, lookup, planner, ranking, stages
+from leadweave.operators import dedup, lookup, ranking, stages
 
 #: Dictionaries whose terms occur in the supplied texts: label -> terms, in order.
 CLASSES = {"english": ("the", "and", "that", "with"), "french": ("que", "les", "dans", "pour"), "spanish": ("los", "del", "para", "una"), "german": ("und", "die", "der", "nicht")}
@@ -103,13 +103,7 @@ def lead_master(spark, sf_dir):
     return m.select("domain", "company_name", "industry", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "merged")
 
 
-def search_plan(spark, sf_dir):
-    """Search tasks planned from the part types."""
-    k = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_type").alias("keyword")).distinct()
-    return planner.plan(k, "semantic", 4).select("keyword", "query", "weight", "ord")
-
-
-QUERIES = {f.__name__: f for f in (extract_emails, classify_emails, extract_phones, dedup_keep_first_text, lookup_left_default, labelled_semi, labelled_anti, keyword_argmax, quality_penalty, coverage_matrix, jaccard_topk, text_person_lines, clean_flags, lead_master, search_plan)}
+QUERIES = {f.__name__: f for f in (extract_emails, classify_emails, extract_phones, dedup_keep_first_text, lookup_left_default, labelled_semi, labelled_anti, keyword_argmax, quality_penalty, coverage_matrix, jaccard_topk, text_person_lines, clean_flags, lead_master)}
 
 _EM = E.EMAIL_IN_TEXT
 _STATUS = r"CASE WHEN regexp_matches(lower(email), '\.(png|jpg|jpeg|gif|svg|webp)$|^your@email\.com$|^(test|example|sample|noreply|no-reply)@') THEN 'junk' WHEN NOT regexp_matches(email, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$') THEN 'malformed' ELSE 'ok' END"
@@ -151,3 +145,13 @@ ORACLES["clean_flags"] = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0
     f AS (SELECT 'directory_or_article_page' AS tag FROM k WHERE {_LISTING} UNION ALL SELECT 'email_' || status FROM m WHERE status <> 'ok'
       UNION ALL SELECT 'sparse_no_contact_channel' FROM k WHERE site = '' AND len(p) = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = k.doc_id AND status = 'ok') AND (length(name) < 2 OR {_LISTING}))
     SELECT tag, count(*) AS n FROM f GROUP BY tag"""
+
+ORACLES["lead_master"] = f"""WITH d AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'Top 10 widget makers' ELSE trim(left({_FIRST_LINE}, 24)) END AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'https://www.' || lower(source) || '.example.com/' END AS site, regexp_extract_all(text, '{_EM}') || CASE WHEN doc_id % 5 = 0 THEN ['logo@2x.png', 'info@example'] ELSE [] END AS e, {_PHONES} AS p FROM documents),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), lower(site) ORDER BY doc_id) AS rn FROM d) WHERE rn = 1),
+    c AS (SELECT *, list_filter(e, lambda email: ({_STATUS}) = 'ok') AS ok, list_filter(p, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 7) AS ph FROM k WHERE NOT ({_LISTING}) AND len(list_filter(e, lambda email: ({_STATUS}) <> 'ok')) = 0),
+    f AS (SELECT * FROM c WHERE (len(ok) > 0 OR len(ph) > 0 OR site <> '') AND NOT regexp_matches(lower(trim(name)), '^list of\\b|^what is\\b|^what are\\b|^how to\\b|^why\\b|^the \\w+ of\\b|^guide to\\b|\\bguide$|^top\\s+\\d*|^\\d+\\s+(top|best|different)|companies\\s+in\\b|companies\\s+to\\s+know|jobs\\s+in\\b|^popular\\b|^best\\b.*\\(?\\d{{4}}\\)?$|largest\\s+\\w+\\s+by\\b|^does\\b|^is\\b.*\\?$|vs\\s+human|^free\\b.*writer')
+      AND lower(trim(name)) NOT IN ('artificial intelligence', 'ai', 'artificial intelligence (ai)') AND name <> '' AND site <> ''),
+    m AS (SELECT *, lower(source) || '.example.com' AS domain, CASE WHEN length(lang) <= 3 THEN upper(lang) ELSE lang END AS ind FROM f)
+    SELECT domain, arg_min(name, doc_id) AS company_name, arg_min(ind, doc_id) FILTER (ind IS NOT NULL) AS industry,
+      array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list(ok)), lambda x: lower(trim(x))), lambda x: regexp_matches(x, '^[\\w.-]+@[\\w.-]+\\.\\w+$')))), ',') AS emails,
+      array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list(ph)), lambda x: regexp_replace(trim(x), '[\\s\\-()]', '', 'g')), lambda x: regexp_matches(x, '^\\+?[0-9]{{7,15}}$')))), ',') AS phones, count(*) AS merged FROM m GROUP BY domain"""

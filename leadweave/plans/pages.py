@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +26,7 @@ def _part(n: int, u: str = "url") -> str:
     return f"regexp_extract({u}, {_P}, {n})"
 
 
-_TRACK = ", ".join(f"'{t}'" for t in U.TRACKING)
+_TRACK = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'referrer', 'source', 'fbclid', 'gclid', 'msclkid', 'mc_cid', 'mc_eid', '_ga', 'yclid', 'dclid'"
 CANON_SQL = f"""(lower({_part(1)}) || '://' || regexp_replace(lower({_part(2)}), '^www\\.', '') || regexp_replace({_part(3)}, '/+$', '') ||
   CASE WHEN len(list_filter(string_split({_part(4)}, '&'), lambda x: regexp_matches(x, '^[^=]+=.+$') AND split_part(x, '=', 1) NOT IN ({_TRACK}))) > 0
   THEN '?' || array_to_string(list_sort(list_filter(string_split({_part(4)}, '&'), lambda x: regexp_matches(x, '^[^=]+=.+$') AND split_part(x, '=', 1) NOT IN ({_TRACK}))), '&') ELSE '' END)"""
@@ -39,32 +37,51 @@ CRAWL_SQL = f"""('https://' || regexp_replace({_part(2, _LOW)}, '^www\\.', '') |
 HOST_SQL = f"regexp_replace(lower({_part(2)}), '^www\\.', '')"
 
 
-def _any(col: str, terms) -> str:
-    return f"regexp_matches({col}, '{'|'.join(re.escape(t) for t in terms)}')"
-
-
-_JOB = _any("p", ("/job/", "/jobs/", "/careers/", "/join-us", "/careers-at/"))
-_LEARN = f"({_any('p', C.LEARNING_PATHS)} OR {_any('t', C.LEARNING_TITLES)})"
-PAGE_TYPE_SQL = f"""CASE
-  WHEN {_any('h', C.SOCIAL)} THEN CASE WHEN contains(u, 'linkedin.com/company') THEN 'COMPANY_PROFILE' ELSE 'SOCIAL' END
-  WHEN {_any('u', C.PROFILES)} THEN 'COMPANY_PROFILE'
-  WHEN contains(u, 'github.com/') AND regexp_matches(p, '^/[^/]+/?$') THEN 'COMPANY_PROFILE'
-  WHEN trim(p, '/') <> '' AND {_any("('/' || trim(p, '/'))", C.LISTING_PATHS)} THEN 'DIRECTORY_LIST'
-  WHEN {_any('t', C.LISTING_TITLES)} THEN 'DIRECTORY_LIST'
-  WHEN {_any('h', ('play.google.com', 'apps.apple.com', 'chromewebstore.google.com', 'amazon.com', 'ebay.com'))} THEN 'MARKETPLACE'
-  WHEN {_any('h', ('indeed.com', 'glassdoor.com'))} THEN CASE WHEN contains(p, 'job') OR contains(u, 'viewjob') THEN 'JOB_POSTING' ELSE 'CAREERS' END
-  WHEN {_JOB} THEN CASE WHEN regexp_matches(p, '[0-9]+$') OR {_any('u', ('jobid', 'job_id'))} THEN 'JOB_POSTING' ELSE 'CAREERS' END
-  WHEN contains(h, 'docs.') OR {_any('p', ('/docs/', '/documentation/', '/api-reference/'))} THEN 'DOCUMENTATION'
-  WHEN {_any('h', ('stackoverflow.com', 'quora.com', 'discourse', 'reddit.com'))} OR contains(p, 'forum') THEN 'FORUM'
-  WHEN contains(h, 'blog') OR {_any('p', ('/blog', '/blogs/', '/post/'))} THEN 'BLOG'
+# The lists of the SQL are written out here once more, so that a slip in the library's shows.
+_NO_COMPANY = "'" + "','".join("""collegedunia careers360 shiksha getmyuni collegesearch engineering360 entrancezone collegevidya wikipedia britannica investopedia encyclopedia merriam-webster
+    python.org pypi.org programiz w3.org geeksforgeeks tutorialspoint w3schools javatpoint coursera udemy edx khanacademy skillshare freecodecamp codecademy simplilearn pluralsight udacity nptel
+    google play apple microsoft whatsapp x quora reddit stackoverflow stackexchange zhihu medium substack hashnode dev youtube youtu techcrunch theverge wired forbes businessinsider
+    economictimes hindustantimes timesofindia businessstandard thehindu livemint glassdoor indeed naukri shine ambitionbox linkedin npmjs pypi github g2 capterra trustpilot getapp sulekha
+    indiamart tradeindia""".split()) + "'"
+_INFO = r"admission|college|universit|fees|fee structure|placement|syllabus|scholarship|exam|entrance|cutoff|tutorial|course|learn|documentation|docs|guide|introduction|beginner|cheatsheet|how to|step by step|wikipedia|definition|what is|meaning|overview|history|encyclopedia|explained|types of|blog|news|article|magazine|podcast|forum|community|discussion|question|answer|faq|thread|ranking|top 10|top 5|top 7|top 15|top 20|comparison|best |vs |versus|review|jobs|job openings|careers|hiring|vacanc|internship"
+_PLATFORM = r"linkedin\.com|clutch\.co|goodfirms\.co|justdial\.com|crunchbase\.com|wellfound\.com|angel\.co|apollo\.io|zoominfo\.com|yellowpages\.com|yelp\.com|indiamart\.com|tradeindia\.com|sulekha\.com|chromewebstore\.google\.com|play\.google\.com|apps\.apple\.com|workspace\.google\.com"
+_JOB = r"regexp_matches(p, '/job/|/jobs/|/careers/|/join-us|/careers-at/')"
+_LEARN = rf"(regexp_matches(p, 'what-is-|what_is_|tutorial|course|learn|guide|blog|news|article|definition|ranking|admission|fees|placement|college|university') OR regexp_matches(t, '{_INFO}'))"
+LISTED_SQL = f"(hn = '' OR tok = '' OR hn IN ({_NO_COMPANY}) OR tok IN ({_NO_COMPANY}) OR len(list_filter(string_split(hn, '.'), lambda x: x NOT IN ('com', 'org', 'net', 'edu', 'gov', 'co', 'in', 'io', 'tech', 'ai', 'app', 'info', 'biz') AND x IN ({_NO_COMPANY}))) > 0)"
+PLATFORM_SQL = f"regexp_matches(h, '{_PLATFORM}')"
+PAGE_TYPE_SQL = rf"""CASE
+  WHEN regexp_matches(h, 'linkedin\.com|facebook\.com|twitter\.com|x\.com|instagram\.com|youtube\.com|reddit\.com|pinterest\.com') THEN CASE WHEN contains(u, 'linkedin.com/company') THEN 'COMPANY_PROFILE' ELSE 'SOCIAL' END
+  WHEN regexp_matches(u, 'clutch\.co/profile/|goodfirms\.co/company/|crunchbase\.com/organization/|wellfound\.com/company/|zoominfo\.com/c/|apollo\.io/companies/') THEN 'COMPANY_PROFILE'
+  WHEN contains(u, 'github.com/') AND (regexp_matches(p, '^/+orgs/+[^/]+/*$') OR (regexp_matches(p, '^/+[^/]+/*$') AND trim(p, '/') NOT IN ('features', 'marketplace', 'pricing', 'trending', 'explore', 'topics', 'collections', 'login', 'join', 'search', 'about'))) THEN 'COMPANY_PROFILE'
+  WHEN regexp_matches(h, 'clutch\.co|goodfirms\.co') AND regexp_matches(p, '/search|/companies|/directory') THEN 'DIRECTORY_LIST'
+  WHEN contains(h, 'crunchbase.com') AND contains(p, '/discover/') THEN 'DIRECTORY_LIST'
+  WHEN trim(p, '/') <> '' AND regexp_matches('/' || trim(p, '/'), '/search|/directory|/directories|/category|/categories|/best|/top|/profiles') THEN 'DIRECTORY_LIST'
+  WHEN regexp_matches(t, 'top companies|best companies|top software|best software|directories|directory list|list of best') THEN 'DIRECTORY_LIST'
+  WHEN regexp_matches(h, 'play\.google\.com|apps\.apple\.com|chromewebstore\.google\.com|amazon\.com|ebay\.com') THEN 'MARKETPLACE'
+  WHEN regexp_matches(h, 'indeed\.com|glassdoor\.com') THEN CASE WHEN contains(p, 'job') OR contains(u, 'viewjob') THEN 'JOB_POSTING' ELSE 'CAREERS' END
+  WHEN {_JOB} THEN CASE WHEN regexp_matches(p, '[0-9]+$') OR regexp_matches(u, 'jobid|job_id') THEN 'JOB_POSTING' ELSE 'CAREERS' END
+  WHEN contains(h, 'docs.') OR regexp_matches(p, '/docs/|/documentation/|/api-reference/') THEN 'DOCUMENTATION'
+  WHEN regexp_matches(h, 'stackoverflow\.com|quora\.com|discourse|reddit\.com') OR contains(p, 'forum') THEN 'FORUM'
+  WHEN contains(h, 'blog') OR regexp_matches(p, '/blog|/blogs/|/post/') THEN 'BLOG'
   WHEN contains(h, 'wikipedia.org') THEN 'ARTICLE'
-  WHEN {_any('h', ('techcrunch.com', 'forbes.com', 'nytimes.com', 'bloomberg.com', 'reuters.com', 'medium.com'))} THEN 'NEWS'
-  WHEN {_LEARN} AND {_any('u', ('news', 'press'))} THEN 'NEWS'
+  WHEN regexp_matches(h, 'techcrunch\.com|forbes\.com|nytimes\.com|bloomberg\.com|reuters\.com|medium\.com') THEN 'NEWS'
+  WHEN {_LEARN} AND regexp_matches(u, 'news|press') THEN 'NEWS'
   WHEN {_LEARN} AND contains(u, 'blog') THEN 'BLOG'
   WHEN {_LEARN} THEN 'ARTICLE'
-  WHEN NOT {_any('h', U.PLATFORMS)} AND p IN ('', '/', '/index.html', '/index.php', '/home') THEN 'COMPANY_HOMEPAGE'
+  WHEN NOT {PLATFORM_SQL} AND NOT {LISTED_SQL} AND p IN ('', '/', '/index.html', '/index.php', '/home') THEN 'COMPANY_HOMEPAGE'
   ELSE 'UNKNOWN' END"""
-_TYPED = f"(SELECT *, lower(url) AS u, {_part(2, 'lower(url)')} AS h, {_part(3, 'lower(url)')} AS p, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS t FROM {{0}})"
+CLASS_SQL = f"""CASE WHEN k = 'UNKNOWN' THEN 'UNKNOWN' WHEN k IN ('COMPANY_HOMEPAGE', 'COMPANY_PROFILE') THEN 'ALLOW' WHEN k IN ('CAREERS', 'JOB_POSTING') AND NOT {PLATFORM_SQL} AND NOT {LISTED_SQL} THEN 'ALLOW'
+        WHEN k = 'DIRECTORY_LIST' THEN 'DIRECTORY_LIST' ELSE 'REJECT' END"""
+
+
+def typed_sql(rows: str) -> str:
+    """Rows (url, title) with lower-case url u, host h, path p, title t, host without www. hn, its name tok."""
+    labels = "list_filter(string_split(hn, '.'), lambda x: x NOT IN ('', 'www'))"
+    return f"""(SELECT *, CASE WHEN len(l) = 0 THEN '' WHEN len(l) < 2 THEN l[1] WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('co', 'com', 'org', 'net', 'edu', 'gov', 'ac') THEN l[-3] ELSE l[-2] END AS tok
+      FROM (SELECT *, {labels} AS l FROM (SELECT *, regexp_replace(h, '^www\\.', '') AS hn FROM (SELECT *, lower(url) AS u, {_part(2, 'lower(url)')} AS h, {_part(3, 'lower(url)')} AS p, lower(title) AS t FROM {rows}))))"""
+
+
+_TITLED = "(SELECT *, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM {0})"
 
 
 def page_type_counts(spark, sf_dir):
@@ -142,7 +159,7 @@ _FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {CANON_SQL}
 _STRIP = r"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 _HOSTED = f"(SELECT page_id, {HOST_SQL} AS host FROM pages)"
 ORACLES = {
-    "page_type_counts": f"SELECT {PAGE_TYPE_SQL} AS page_type, count(*) AS n FROM {_TYPED.format(_FIRST)} GROUP BY 1",
+    "page_type_counts": f"SELECT {PAGE_TYPE_SQL} AS page_type, count(*) AS n FROM {typed_sql(_TITLED.format(_FIRST))} GROUP BY 1",
     "url_canonical": f"SELECT page_id, {CANON_SQL} AS canonical FROM pages",
     "crawl_canonical": f"SELECT page_id, {CRAWL_SQL} AS canonical FROM pages",
     "url_keep_first": f"SELECT page_id, {CANON_SQL} AS canonical FROM {_FIRST}",
@@ -151,8 +168,7 @@ ORACLES = {
         CASE WHEN regexp_matches(host, '[^.]+\\.(co|com|org|net|edu|gov|ac)\\.[^.]+$') THEN regexp_extract(host, '[^.]+\\.[^.]+\\.[^.]+$') ELSE regexp_extract(host, '[^.]+\\.[^.]+$') END AS base_domain,
         replace(n, 'www.', '') AS lead_domain, s IN ('http', 'https') AND contains(n, '.') AND NOT regexp_matches(url, '[\\s!]') AND NOT starts_with(p, '/search') AND NOT regexp_matches(n, '(^|\\.)google\\.') AS valid
         FROM (SELECT page_id, url, {HOST_SQL} AS host, lower({_part(2)}) AS n, lower({_part(1)}) AS s, {_part(3)} AS p FROM pages)""",
-    "result_classes": f"""SELECT page_id, CASE WHEN k = 'UNKNOWN' THEN 'UNKNOWN' WHEN k IN ('COMPANY_HOMEPAGE', 'COMPANY_PROFILE') THEN 'ALLOW' WHEN k IN ('CAREERS', 'JOB_POSTING') AND NOT {_any('h', U.PLATFORMS)} THEN 'ALLOW'
-        WHEN k = 'DIRECTORY_LIST' THEN 'DIRECTORY_LIST' ELSE 'REJECT' END AS class FROM (SELECT page_id, h, {PAGE_TYPE_SQL} AS k FROM {_TYPED.format('pages')})""",
+    "result_classes": f"SELECT page_id, {CLASS_SQL} AS class FROM (SELECT *, {PAGE_TYPE_SQL} AS k FROM {typed_sql(_TITLED.format('pages'))})",
     "domain_merge": f"""SELECT domain, arg_min(title, page_id) FILTER (title IS NOT NULL) AS company_name, arg_min(url, page_id) AS website, array_to_string(list_sort(list_distinct(list(c))), ',') AS urls, min(page_id) AS first_ord, count(*) AS merged
         FROM (SELECT *, replace(lower({_part(2)}), 'www.', '') AS domain, nullif(regexp_extract(html, '<title>([^<]*)', 1), '') AS title, {CRAWL_SQL} AS c FROM pages) GROUP BY domain""",
     "round_robin_hosts": f"SELECT page_id, host, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) AS INT) AS turn FROM {_HOSTED}",
