@@ -32,7 +32,7 @@ def term_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str,
     Texts become n-grams and meet the dictionary in a hash join, before anything is grouped:
     only hits are shuffled. The dictionary is broadcast if it is small (it is counted).
     """
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     d = docs.select(F.col(key), w.alias("w"))
     t = terms.select(F.lower(term).alias("_t"), F.col(term).alias("term")).distinct()
     if t.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
