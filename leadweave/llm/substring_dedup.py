@@ -263,4 +263,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_substring_dedup": op9_substring_dedup}
-ORACLES: dict[str, str] = {}
+#: All windows at once: fit for small tables.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' '))) AS k FROM d WHERE len(w) >= 50)),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM k JOIN (SELECT k, min(doc_id) AS least FROM k GROUP BY k) USING (k), range(50) r(j) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(g.p) AS gone, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (g.p IS NULL), '') AS t FROM words LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+ORACLES = {"op9_substring_dedup": ORACLE}
