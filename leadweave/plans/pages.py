@@ -177,3 +177,18 @@ ORACLES = {
     "request_fingerprints": "SELECT page_id, sha1('GET:' || url || '::web') AS fingerprint FROM pages",
     "html_links": """SELECT page_id, CAST(len(h) AS BIGINT) AS links, array_to_string(h, ' ') AS hrefs FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>|<!--.*?-->', '', 'g'), '<a href="([^"]*)"', 1) AS h FROM pages)""",
 }
+
+#: Text of a page: scripts, styles and comments out, tags as blanks, entities as characters.
+_CLEAN = r"""regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"""
+_PLAIN = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_ONCE = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+_DIGITS = "length(regexp_replace(x, '[^0-9]', '', 'g'))"
+_DATES = r"^\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4}$|^\d{4}\s*[-–]\s*\d{4}$|^\d{4}\s*[-–]\s*\d{4}\s+\d{4}$|^\d{1,2}\.\d{2}\s*[-–]\s*\d{2}\.\d{2}$|^\d{4}$|^\d{8}$"
+_SIGNAL = " + ".join(f"CASE WHEN contains(l, '{k}') THEN {n} ELSE 0 END" for k, n in (("contact", 20), ("about", 15), ("services", 15), ("products", 15), ("careers", 15), ("privacy", 10), ("linkedin.com/company/", 20)))
+ORACLES["html_profile"] = f"""SELECT page_id, title, CAST(least(5, h) AS INT) AS headings, array_to_string({_ONCE('e')}, ',') AS emails, array_to_string({_ONCE('p')}, ',') AS phones,
+    CASE WHEN regexp_matches(l, 'contact|about|team|leadership|people|career|jobs|privacy|service|product') THEN '?' ELSE '{{}}' END AS subpages, CASE WHEN regexp_matches(l, '(linkedin|twitter|facebook|instagram|youtube|github)\\.com') THEN '?' ELSE '{{}}' END AS social,
+    CAST(least(100, s) AS INT) AS score, CASE WHEN s >= 80 THEN 'ALLOW' WHEN s >= 50 THEN 'LIKELY_COMPANY' ELSE 'REJECT' END AS class
+    FROM (SELECT *, {_SIGNAL} + CASE WHEN regexp_matches(lower(t), 'copyright|©') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(lower(t), '[\\w.-]+@[\\w.-]+\\.\\w+') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(t, '\\+?[0-9]{{1,3}}[-.\\s]?\\(?[0-9]{{2,3}}\\)?[-.\\s]?[0-9]{{3}}[-.\\s]?[0-9]{{4}}') THEN 15 ELSE 0 END AS s,
+        list_transform(regexp_extract_all(t, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), lambda x: lower(trim(x))) AS e,
+        list_filter(list_transform(regexp_extract_all(t, '\\+?[0-9][0-9 ().-]{{6,18}}[0-9]'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '{_DATES}') AND {_DIGITS} BETWEEN 7 AND 15 AND regexp_matches(x, '^[+\\d(][\\d\\s\\-().]{{5,20}}[\\d]$')) AS p
+      FROM (SELECT page_id, {_PLAIN("regexp_extract(c, '(?s)<title>(.*?)</title>', 1)")} AS title, len(regexp_extract_all(c, '<h[12][^>]*>')) AS h, {_PLAIN('c')} AS t, lower(array_to_string(regexp_extract_all(c, '(?s)<a href="[^"]*".*?</a>'), ' ')) AS l FROM (SELECT page_id, {_CLEAN} AS c FROM pages)))"""
