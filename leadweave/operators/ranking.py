@@ -87,26 +87,21 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) ->
     return df.filter(F.col(weight) > 0).orderBy(F.desc(F.log(u) / F.col(weight)), key).limit(n)
 
 
-def nearest_concepts(items: DataFrame, words: Column, concept: DataFrame, n: int, key: str, most: int = 10_000) -> DataFrame:
+def nearest_concepts(items: DataFrame, words: Column, concept: DataFrame, n: int, key: str, small: int = 1_000_000) -> DataFrame:
     """For each item the n concepts by 0.6 word overlap (Jaccard) and 0.4 yield (roi / 10).
 
-    concept(term, roi) is a dictionary: up to `most` terms (they are counted) travel as one row
-    of words and terms, and each item is scored against those that share a word with it; no
-    pair is shuffled. Larger dictionaries meet the items over words, pairs without a common
-    word are never made, and a term's number stands for its text.
+    concept(term, roi) is a dictionary: its words (they are counted) travel to the items while
+    there are at most `small`; else both meet in a shuffled join. Pairs without a common word are
+    never made, common words are counted before anything is shuffled, and a term's number stands
+    for its text until the first n are chosen.
     """
-    once = concept.groupBy("term").agg(F.max("roi").cast("double").alias("roi"))
-    c = once.select("term", "roi", F.array_distinct(F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != "")).alias("v"))
+    c = concept.groupBy("term").agg(F.max("roi").cast("double").alias("roi"))
+    c = c.select(F.xxhash64("term").alias("id"), "term", "roi", F.array_distinct(F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != "")).alias("v"))
+    by_word = c.select("id", F.explode("v").alias("x"))
+    if by_word.limit(small + 1).count() <= small:
+        by_word = F.broadcast(by_word)
     i = items.select(F.col(key).alias("k"), F.array_distinct(words).alias("w"))
-    score = lambda common, nw, nv, roi: 0.6 * common / (nw + nv - common) + 0.4 * roi / 10
-    if once.limit(most + 1).count() <= most:
-        table = c.agg(F.array_sort(F.collect_list(F.struct("term", "roi", "v"))).alias("c"))
-        scored = F.transform("c", lambda x: F.struct(F.size(F.array_intersect("w", x["v"])).cast("long").alias("common"), x["term"].alias("term"), x["roi"].alias("roi"), F.size(x["v"]).alias("nv")))
-        scored = F.transform(F.filter(scored, lambda x: x["common"] > 0), lambda x: F.struct((-score(x["common"], F.size("w"), x["nv"], x["roi"])).alias("s"), x["term"].alias("term"), x["common"].alias("common")))
-        best = i.join(F.broadcast(table)).select("k", F.explode(F.slice(F.array_sort(scored), 1, n)).alias("x"))  # one row beside each
-        return best.select(F.col("k").alias(key), F.col("x.term").alias("term"), F.col("x.common").alias("common"), (-F.col("x.s")).alias("score"))
-    c = c.withColumn("id", F.xxhash64("term"))
-    both = i.select("k", F.size("w").alias("nw"), F.explode("w").alias("x")).join(c.select("id", F.size("v").alias("nv"), "roi", F.explode("v").alias("x")), "x")
-    g = both.groupBy("k", "id", "nw", "nv", "roi").agg(F.count(F.lit(1)).alias("common")).join(c.select("id", "term"), "id")
-    g = g.withColumn("score", score(F.col("common"), F.col("nw"), F.col("nv"), F.col("roi")))
+    g = i.select("k", F.size("w").alias("nw"), F.explode("w").alias("x")).join(by_word, "x").groupBy("k", "nw", "id").agg(F.count(F.lit(1)).alias("common"))
+    g = g.join(c.select("id", "term", "roi", F.size("v").alias("nv")), "id")
+    g = g.withColumn("score", 0.6 * F.col("common") / (F.col("nw") + F.col("nv") - F.col("common")) + 0.4 * F.col("roi") / 10)
     return per_group(g, ["k"], n, F.desc("score"), F.col("term")).select(F.col("k").alias(key), "term", "common", "score")
