@@ -34,7 +34,7 @@ from leadweave.llm.common import batch_slices, pick
 
 CAPACITY, END_ID = 2048, 1
 BYTES_A_GROUP = {True: 8 << 20, False: 64 << 20}  # of texts; with ids, and without
-CACHED_WORDS, CACHED_CHARS = 300_000, 48
+CACHED_WORDS, CACHED_CHARS = 100_000, 48
 
 
 #: How a vocabulary cuts texts for which words are tokenised here.
@@ -261,6 +261,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     schema = ", ".join(f"{n} {cut.schema[n].dataType.simpleString()}" for n in names) + ", sequence_id long, offset long"
 
     def place(t: pa.Table) -> pa.Table:
+        _tokenizers.clear()  # a worker that has cut texts before needs their words no more
         return _place(t, capacity)
 
     return cut.groupBy("pack_group").applyInArrow(place, schema)
