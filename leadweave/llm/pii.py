@@ -2,9 +2,10 @@
 
 Candidate spans of four kinds come from patterns: the base ones and looser forms (written
 out e-mail, defanged addresses, phone numbers without a country code, card numbers whose
-check digit is off). Three labelers vote on each: the strict regex, a gazetteer (top-level
-domains, address ranges, issuers, area codes) and the words right before the span. Votes
-are counted by pattern (at most 64 cells, whatever the corpus), expectation-maximisation
+check digit is off). Long runs of code characters are candidates of a fifth kind, secrets,
+which has no base form. Three labelers vote on each: the strict regex, a gazetteer (top-level
+domains, address ranges, issuers, area codes, forms of keys) and the words right before the
+span. Votes are counted by pattern (at most 80 cells, whatever the corpus), expectation-maximisation
 over those cells estimates how reliable each labeler is for each kind, and a logistic
 span classifier is trained on the cells with its posteriors. Its score is applied to each
 candidate as an expression. Base spans always stay; a looser candidate joins them if
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from leadweave.llm.common import materialize, pick
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 THRESHOLD, MIN_VOTES, BEFORE = 0.5, 2, 32
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -45,8 +47,11 @@ LOOSE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\[\.\][0-9]++){3}",
     "phone": r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
 }
-LOOSE_NEEDS = {"email": r"[\[(]at[\])]", "ip": r"\[\.\]", "phone": r"[0-9]{3}[.-][0-9]{4}"}
+LOOSE_NEEDS = {"email": r"[\[(]at[\])]", "ip": r"\[\.\]", "phone": r"[0-9]{3}[.-][0-9]{4}", "secret": LOOSE["secret"]}
+#: Looser forms that count as strict.
+STRICT = {"secret": r"^[0-9a-f]{32,}$|^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+_]+$"}
 
 #: Gazetteers and context words.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|co|us|ca|in|biz|dev|app"
@@ -55,12 +60,14 @@ GAZETTEER = {
     "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-2][0-9])\b",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
     "phone": r"^(?:\+[1-9]|\(?[2-9][0-9]{2})",
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:AKIA|ASIA|AIza|gh[pousr]_|sk[-_]|xox[abp]-|eyJ).*)$",
 }
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|mailto|contact|write\x20to|courriel|correo)[^\n]*$",
     "ip": r"(?i)(?:\bip\b|host|server|address|login|client)[^\n]*$",
     "card": r"(?i)(?:card|visa|credit|payment|karte|carte|tarjeta)[^\n]*$",
     "phone": r"(?i)(?:phone|\btel\b|call|mobile|fax|whatsapp|telefon)[^\n]*$",
+    "secret": r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd|bearer|credential)[^\n]*$",
 }
 
 
@@ -171,8 +178,9 @@ def _candidates(text: Column, kind: str, loose: bool) -> Column:
     def candidate(x: Column) -> Column:
         m = x["m"]
         base = F.lit(False) if loose else F.coalesce(valid(kind, m), F.lit(False))
+        strict = m.rlike(STRICT[kind]) if kind in STRICT else base
         return F.struct(
-            x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), (x["s"] + F.length(m)).alias("e"), base.alias("base"),
+            x["s"].alias("s"), F.lit(ALL_KINDS.index(kind)).alias("kind"), (x["s"] + F.length(m)).alias("e"), base.alias("base"), strict.alias("strict"),
             m.rlike(GAZETTEER[kind]).alias("listed"), x["before"].rlike(CONTEXT[kind]).alias("told"), m.rlike(r"[\x20()-]").alias("spaced"),
         )
 
@@ -181,7 +189,7 @@ def _candidates(text: Column, kind: str, loose: bool) -> Column:
         # a failing match is no candidate, but for card numbers of the right length
         other = (lambda c: c["base"] | (c["e"] - c["s"]).between(14, 37)) if kind == "card" else (lambda c: c["base"])
         out = F.filter(out, other)
-    return F.when(text.rlike(needs), out).otherwise(F.array().cast("array<struct<s:int,kind:int,e:int,base:boolean,listed:boolean,told:boolean,spaced:boolean>>"))
+    return F.when(text.rlike(needs), out).otherwise(F.array().cast("array<struct<s:int,kind:int,e:int,base:boolean,strict:boolean,listed:boolean,told:boolean,spaced:boolean>>"))
 
 
 def _sigmoid(z: float) -> float:
@@ -208,13 +216,13 @@ def em(cells: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float
 def span_classifier(cells: list[tuple[int, tuple[int, ...], int, int]], steps: int = 300) -> list[float]:
     """Logistic weights over constant, three votes, spacing and kinds, from cells of
     (kind, votes, spaced, count); the targets are the posteriors of the kind's cells."""
-    width = 5 + len(KINDS)
-    w = [0.0, 1.0, 0.5, 0.5, 0.0] + [0.0] * len(KINDS)
+    width = 5 + len(ALL_KINDS)
+    w = [0.0, 1.0, 0.5, 0.5, 0.0] + [0.0] * len(ALL_KINDS)
     rows = []
-    for kind in range(len(KINDS)):
+    for kind in range(len(ALL_KINDS)):
         own = [c for c in cells if c[0] == kind]
         if own:
-            rows += [([1.0, *map(float, v), float(s)] + [float(k == kind) for k in range(len(KINDS))], p, n) for (_, v, s, n), p in zip(own, em([(c[1], c[3]) for c in own]))]
+            rows += [([1.0, *map(float, v), float(s)] + [float(k == kind) for k in range(len(ALL_KINDS))], p, n) for (_, v, s, n), p in zip(own, em([(c[1], c[3]) for c in own]))]
     total = sum(math.log1p(n) for *_, n in rows)
     for _ in range(steps if rows else 0):
         g = [-0.01 * x for x in w]
@@ -229,16 +237,16 @@ def span_classifier(cells: list[tuple[int, tuple[int, ...], int, int]], steps: i
 def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and spans: array<struct<s, kind, e, base>> in order, of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = F.concat(*[_candidates(text, k, loose) for loose in (False, True) for k in KINDS if not loose or k in LOOSE])
+    every = F.concat(*[_candidates(text, k, loose) for loose in (False, True) for k in (LOOSE if loose else KINDS)])
     found = materialize(pick(docs, "doc_id", "text").select("doc_id", every.alias("c")), "pii")
-    cells = found.select(F.explode("c").alias("c")).select("c.*").groupBy("kind", "base", "listed", "told", "spaced").count().collect()
-    w = span_classifier(sorted((r.kind, (int(r.base), int(r.listed), int(r.told)), int(r.spaced), r["count"]) for r in cells))
+    cells = found.select(F.explode("c").alias("c")).select("c.*").groupBy("kind", "strict", "listed", "told", "spaced").count().collect()
+    w = span_classifier(sorted((r.kind, (int(r.strict), int(r.listed), int(r.told)), int(r.spaced), r["count"]) for r in cells))
 
     base_of = [F.filter("c", lambda c, k=k: c["base"] & (c["kind"] == k)) for k in range(len(KINDS))]
     found = found.select("doc_id", "c", *[b.alias(f"base{k}") for k, b in enumerate(base_of)])
 
     def joins(c: Column) -> Column:
-        votes = [c[k].cast("int") for k in ("base", "listed", "told")]
+        votes = [c[k].cast("int") for k in ("strict", "listed", "told")]
         z = F.lit(w[0]) + sum(v * F.lit(a) for v, a in zip(votes, w[1:4])) + c["spaced"].cast("int") * F.lit(w[4]) + F.element_at(F.array(*map(F.lit, w[5:])), c["kind"] + 1)
         meets = F.lit(False)
         for k in range(len(KINDS)):
@@ -250,17 +258,19 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _written(spans: Column) -> Column:
-    name = lambda c: F.element_at(F.array(*map(F.lit, KINDS)), c["kind"] + 1)
+    name = lambda c: F.element_at(F.array(*map(F.lit, ALL_KINDS)), c["kind"] + 1)
     return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", name(c), c["s"].cast("string"), c["e"].cast("string"))), ",")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four kinds by contract; then n_spans (all spans, added ones and secrets too) and the secrets."""
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    base = F.filter("spans", lambda c: c["base"])
-    found = found.select("doc_id", "spans", base.alias("base"))
+    personal, secret = (lambda c: c["kind"] < len(KINDS)), (lambda c: c["kind"] == len(KINDS))
+    found = found.select("doc_id", F.filter("spans", personal).alias("spans"), F.filter("spans", lambda c: c["base"]).alias("base"), F.filter("spans", secret).alias("secrets"))
     of = lambda k: F.filter("base", lambda c: c["kind"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    every = (F.size("spans") + F.size("secrets")).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), every, _written(F.col("secrets")).alias("secrets"))
 
 
 QUERIES = {"op4_pii": op4_pii}

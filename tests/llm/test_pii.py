@@ -82,7 +82,7 @@ def test_added_spans_by_brute_force(spark, texts):
         base = [x for x in r.spans if x.base]
         for x in r.spans:
             assert x.base or not any(b.s < x.e and x.s < b.e for b in base)
-            assert x.base or re.search(pii.LOOSE.get(KINDS[x.kind], pii.BASE["card"]), texts[r.doc_id][x.s : x.e])
+            assert x.base or re.search(pii.LOOSE.get(pii.ALL_KINDS[x.kind], pii.BASE["card"]), texts[r.doc_id][x.s : x.e])
 
 
 def test_many_matches_in_one_text(spark):
@@ -104,16 +104,27 @@ def test_method_adds_spans_that_two_labelers_tell(spark):
     assert [got[i] for i in range(6)] == [["(212) 555-0199"], [], ["4111 1111 1111 1112"], [], ["joe [at] example [dot] com"], ["10[.]0[.]0[.]7"]]
 
 
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    t = [f'token = "{key}"', f"sha {key} of a file", "an extraordinarilylongwordwithoutdigits", "https://example.com/a-very-long-path-of-words", "password: Abcdefgh1234567890XyZ", "x" * 50_000] + [f'api_key="{i:040x}" a{i}@b.com' for i in range(1 << 80, (1 << 80) + 30)]
+    got = {r.doc_id: [t[r.doc_id][x.s : x.e] for x in r.spans if x.kind == 4] for r in find_pii(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    assert got[0] == [key] and got[2] == got[3] == got[5] == [] and got[4] == ["Abcdefgh1234567890XyZ"]
+    assert all(len(got[i]) == 1 for i in range(6, 36))
+    q = {r.doc_id: r for r in op4_pii(spark, "/root/testdata/sf0.01").collect()}
+    some = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text rlike 'token = \"[0-9a-f]{40}'").select("doc_id").collect()
+    assert some and all(q[r.doc_id].secrets and q[r.doc_id].n_spans > 0 for r in some)
+
+
 def test_em_finds_the_reliable_labeler():
     cells = [((1, 1, 1), 300), ((1, 1, 0), 100), ((0, 0, 0), 300), ((0, 0, 1), 100), ((1, 0, 1), 10), ((0, 1, 0), 10)]
     p = em(cells)
     assert p[0] > 0.95 and p[1] > 0.9 and p[2] < 0.05 and p[3] < 0.1
-    assert len(span_classifier([])) == 5 + len(KINDS)
+    assert len(span_classifier([])) == 5 + len(pii.ALL_KINDS)
 
 
 def test_query_columns(spark):
     r = op4_pii(spark, "/root/testdata/sf0.001")
-    assert r.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert r.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "secrets"]
     docs = {x.doc_id: x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for x in r.collect():
         want = base_spans(docs[x.doc_id] or "")
