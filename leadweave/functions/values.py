@@ -363,3 +363,12 @@ PAGE_KINDS = (
 PAGE_UNKNOWN = ("UNKNOWN", 0.40)
 CODE_PAGES = ("features", "marketplace", "pricing", "trending", "explore", "topics", "collections", "login", "join", "search", "about")
 ROOT_PATHS = ("", "/", "/index.html", "/index.php", "/home")
+#: Other words that a term also stands for.
+SYNONYMS = {
+    "electronics": ("electrónica", "electrónico", "electrónicos"), "electronic": ("electrónica", "electrónico", "electrónicos"), "development": ("desarrollo", "desarrollador", "desarrolladores"),
+    "developer": ("desarrollo", "desarrollador", "desarrolladores"), "engineering": ("ingeniería", "ingeniero", "ingenieros"), "engineer": ("ingeniería", "ingeniero", "ingenieros"), "design": ("diseño", "diseñador"),
+    "services": ("servicios",), "company": ("compañía", "empresa", "empresas"), "software": ("software", "programa", "programación"), "hardware": ("hardware", "equipos"),
+    "embedded systems": ("sistemas embebidos", "sistemas empotrados", "embebidos"), "automation": ("automatización", "control"), "robotics": ("robótica",), "custom software": ("software a medida", "desarrollo a medida"),
+    "hardware development": ("desarrollo de hardware",), "software development": ("desarrollo de software", "desarrollo software"), "electronics manufacturing": ("fabricación electrónica", "fabricación de electrónica"),
+    "electronics design": ("diseño electrónico", "diseño de electrónica"), "hardware design": ("diseño de hardware",),
+}

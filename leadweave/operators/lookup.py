@@ -126,13 +126,3 @@ def learned_terms(seen: DataFrame) -> DataFrame:
     """Statistics of observed terms (keyword, term, target_field, accepted boolean, day)."""
     g = seen.groupBy("keyword", "term", "target_field").agg(F.count(F.lit(1)).alias("seen"), F.count_if("accepted").alias("accepted"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))
     return g.withColumn("confidence", F.bround(F.col("accepted") / F.col("seen"), 2))
-
-
-def profile_match(hits: Column, weights: dict[str, float], total: float | None = None) -> Column:
-    """Score 0 to 100 of matched channels (map channel -> matched), truncated."""
-    s = sum((F.when(F.coalesce(F.try_element_at(hits, F.lit(k)), F.lit(False)), F.lit(w)).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    return (s / F.lit(total or sum(weights.values())) * 100).cast("int")
-
-
-def match_tier(score: Column) -> Column:
-    return F.when(score >= 80, F.lit("strong")).when(score >= 60, F.lit("good")).when(score >= 40, F.lit("weak")).otherwise(F.lit("reject"))

@@ -312,3 +312,14 @@ def quarantine_seconds(step: Column, table: tuple[int, ...] = (30, 60, 120, 300)
 
 def still_valid(ts: Column, as_of: Column, seconds: int) -> Column:
     return F.unix_seconds(as_of) - F.unix_seconds(ts) < seconds
+
+
+def search_report(df: DataFrame, provider: str, results: Column, accepted: Column, merged: Column, millis: str, **outcomes: Column) -> DataFrame:
+    """provider, searches, results, merged, accepted, yield (accepted for each search), counts of the
+    outcomes, and mean, median and 95th percentile of the time: the whole of a search run, by provider."""
+    n = F.count(F.lit(1))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return df.groupBy(provider).agg(
+        n.alias("searches"), total(results).alias("results"), total(merged).alias("merged"), total(accepted).alias("accepted"), (F.coalesce(F.sum(accepted), F.lit(0)) / n).alias("yield"), *[F.count_if(c).alias(k) for k, c in outcomes.items()],
+        F.coalesce(F.avg(millis), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.percentile(millis, F.lit(0.5)), F.lit(0.0)).alias("median_ms"), F.coalesce(F.percentile(millis, F.lit(0.95)), F.lit(0.0)).alias("p95_ms"),
+    )
