@@ -1,7 +1,8 @@
 """A training corpus from documents: the stages in order, and the whole of them.
 
-Each stage works on what the one before it kept and is written as Parquet between. The
-last returns the packed pieces with their ids; all others return documents.
+Each stage works on what the one before it kept and is written as Parquet between; a stage's
+own tables, and what it read, go as soon as it is written. The last returns the packed pieces
+with their ids; all others return documents.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leadweave.llm import stages
-from leadweave.llm.common import materialize
+from leadweave.llm.common import release, settled
 from leadweave.llm.packing import pack
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -52,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before = docs
+        docs = settled(lambda stage=stage, docs=before: stage(spark, docs, sf_dir), name.split()[0].lower())
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
