@@ -179,7 +179,7 @@ ORACLES = {
         f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(1.0 AS DOUBLE) AS w FROM events UNION ALL SELECT f.user_id, e.i, least(50.0, greatest(1.0, f.w + e.d)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
         SELECT user_id, arg_max(w, i) AS weight, max(i) AS steps FROM f GROUP BY user_id""",
     "funnel": "SELECT CAST(ts AS DATE) AS day, count(*) AS total, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("signup", "view", "click", "purchase", "error")) + " FROM events GROUP BY 1",
-    "freshness_scores": f"""SELECT user_id, CASE WHEN age IS NULL THEN 0.0 WHEN age <= 120 THEN 1.0 WHEN age <= 600 THEN 0.8 WHEN age <= 1800 THEN 0.5 WHEN age <= 3600 THEN 0.2 ELSE 0.0 END AS freshness, round_even(CASE WHEN age IS NULL THEN base * 0.5 ELSE base * pow(0.995, age / 1440) END, 6) AS score
+    "freshness_scores": f"""SELECT user_id, CAST(CASE WHEN age IS NULL THEN 0.0 WHEN age <= 120 THEN 1.0 WHEN age <= 600 THEN 0.8 WHEN age <= 1800 THEN 0.5 WHEN age <= 3600 THEN 0.2 ELSE 0.0 END AS DOUBLE) AS freshness, round_even(CASE WHEN age IS NULL THEN base * 0.5 ELSE base * pow(0.995, age / 1440) END, 6) AS score
         FROM (SELECT user_id, (max(max({_SEC})) OVER () - max(CASE WHEN event_type = 'purchase' THEN {_SEC} END)) / 60.0 AS age, avg(value) AS base FROM events GROUP BY user_id)""",
     "upsert_last_wins": "SELECT c_custkey, c_name, c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1000 ELSE 0 END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS ord FROM customer",
     "best_record_merge": """SELECT k, ord, relevance_score, coalesce(website, first) AS website FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY relevance_score DESC, ord) AS rn, first_value(website IGNORE NULLS) OVER (PARTITION BY k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first
