@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import batch_slices, broadcast_if_small, materialize, pick, release
+from leadweave.llm.common import batch_slices, broadcast_if_small, give_back, materialize, pick, release
 from leadweave.llm.words import gram_hashes, mix64, words
 
 SHINGLE, PERCENT = 5, 80
@@ -226,6 +226,7 @@ def _members(lead: np.ndarray, level: np.ndarray, doc: np.ndarray) -> tuple[np.n
 def _bundles(t: pa.Table) -> pa.Table:
     """Members of bundles from one bucket: lead (the smallest document of a signature), level,
     document, and how many signatures put it there. A signature of one document makes none."""
+    give_back()
     sig, ids, known = [], [], []
     for n, m, data in zip(t.column("n").to_pylist(), t.column("docs").to_pylist(), t.column("data").to_pylist()):
         if n < 0:
@@ -396,6 +397,7 @@ def _searched(how: str):
     """
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         lead, level, x, y, side, doc, label, own, size = (t.column(c).to_numpy() for c in ("lead", "level", "x", "y", "side", "doc_id", "label", "own", "size"))
         order = np.lexsort((y, x, level, lead))
         cut, point, out = _runs(*(c[order] for c in (lead, level, x, y))), t.column("point").combine_chunks(), [[], [], []]

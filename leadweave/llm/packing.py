@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import batch_slices, pick
+from leadweave.llm.common import batch_slices, give_back, pick
 
 CAPACITY, END_ID = 2048, 1
 BYTES_A_GROUP = {True: 8 << 20, False: 64 << 20}  # of texts; with ids, and without
@@ -261,7 +261,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     schema = ", ".join(f"{n} {cut.schema[n].dataType.simpleString()}" for n in names) + ", sequence_id long, offset long"
 
     def place(t: pa.Table) -> pa.Table:
-        _tokenizers.clear()  # a worker that has cut texts before needs their words no more
+        if _tokenizers:  # a worker that has cut texts before needs their words no more
+            _tokenizers.clear()
+            give_back()
         return _place(t, capacity)
 
     return cut.groupBy("pack_group").applyInArrow(place, schema)

@@ -64,9 +64,10 @@ def size_class(size: Column) -> Column:
     return (octave * 16 + scaled - 16).cast("int")
 
 
-def in_order(rows: DataFrame, *by: Column | str, weight: str | None = None, label: str = "order") -> tuple[DataFrame, DataFrame, int]:
+def in_order(rows: DataFrame, *by: Column | str, weight: str | None = None, label: str = "order") -> tuple[DataFrame, DataFrame, int, DataFrame]:
     """rows sorted and written, with part and place (in the order), one row of `before` for each
-    part, and the total. The parts are those of the sort; before: rows, or weights, ahead of a part."""
+    part, the total, and the written table. The parts are those of the sort; before: rows, or
+    weights, ahead of a part."""
     one = F.lit(1).cast("long") if weight is None else F.col(weight)
     ordered = materialize(rows.orderBy(*by).withColumn("place", F.monotonically_increasing_id()), label)
     ordered_ = ordered.withColumn("part", F.shiftright("place", 33).cast("long"))
@@ -76,16 +77,18 @@ def in_order(rows: DataFrame, *by: Column | str, weight: str | None = None, labe
     for p, n in sums:
         starts.append((p, total))
         total += n
-    return ordered_, rows.sparkSession.createDataFrame(starts or [(-1, 0)], "part long, before long"), total
+    return ordered_, rows.sparkSession.createDataFrame(starts or [(-1, 0)], "part long, before long"), total, ordered
 
 
 def cells(keys: DataFrame, name: str, bits: int = BITS) -> DataFrame:
     """value, cell: the place of the middle of each value's rows among all rows."""
     counts = keys.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ordered, starts, total = in_order(counts, F.col("value").asc_nulls_first(), weight="n", label="shard-values")
+    ordered, starts, total, table = in_order(counts, F.col("value").asc_nulls_first(), weight="n", label="shard-values")
     own = F.sum("n").over(Window.partitionBy("part").orderBy("place")) - F.col("n")
     at = ordered.withColumn("own", own).join(F.broadcast(starts), "part").withColumn("at", 2 * (F.col("before") + F.col("own")) + F.col("n"))
-    return materialize(at.select("value", F.expr(f"at * {1 << bits}L div {2 * max(1, total)}L").alias("cell")), "shard-cells")
+    out = materialize(at.select("value", F.expr(f"at * {1 << bits}L div {2 * max(1, total)}L").alias("cell")), "shard-cells")
+    release(table)
+    return out
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -103,7 +106,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         c = broadcast_if_small(made[-1]).withColumnRenamed("cell", f"c{i}")
         placed = placed.join(c, F.col(d).eqNullSafe(F.col("value"))).drop("value")
     placed = placed.select("doc_id", "size", "text_crc32", curve("c0", "c1", "c2").alias("curve"))
-    ordered, starts, total = in_order(placed, "curve", "text_crc32", "size", "doc_id", label="shard-order")
+    ordered, starts, total, _ = in_order(placed, "curve", "text_crc32", "size", "doc_id", label="shard-order")
     at = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     out = ordered.join(F.broadcast(starts), "part").withColumn("position", F.col("before") + at)
     which = F.expr(f"position * {shards}L div {max(1, total)}L")

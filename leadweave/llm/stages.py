@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from leadweave.llm.common import SPACE, batch_slices, materialize, numbered, pick
+from leadweave.llm.common import SPACE, batch_slices, broadcast_if_small, materialize, numbered, pick, release
 from leadweave.llm.exact_dedup import exact_dedup
 from leadweave.llm.jaccard_join import jaccard_components
 from leadweave.llm.mixing import mix
@@ -48,10 +48,19 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts.
+
+    Where ids name rows (none is null or repeated) the ids that go are all that is joined; else
+    rows are told apart by id and digest.
+    """
     docs = documents(docs)
     decided = materialize(exact_dedup(docs), "decided")
     own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    twice = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
+    if not twice:
+        gone = materialize(decided.filter(~own).select("doc_id"), "gone")
+        release(decided)
+        return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*COLUMNS)
     gone = decided.filter(~own).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
     repeated = decided.filter(own & ~F.col("kept")).limit(1).count() > 0
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256)
@@ -66,7 +75,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
     docs = documents(docs)
     gone = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "near"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(broadcast_if_small(materialize(gone, "near")), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeat_to_weights(docs: DataFrame) -> DataFrame:

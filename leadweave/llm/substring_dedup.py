@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import batch_slices, materialize, pick, release
+from leadweave.llm.common import batch_slices, give_back, materialize, pick, release
 from leadweave.llm.words import gram_hashes, rolling_hashes, sliding_min, words
 
 WINDOW, GRAM = 50, 10
@@ -130,6 +130,8 @@ def _packed(buckets: int, hot_buckets: int):
                     cols = list(zip(*out[s : s + 4000]))
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "kind", "d", "key", "at", "n", "data"])
+        seen_hot.clear()
+        give_back()
 
     return run
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from leadweave.llm.common import BATCH_BYTES, BATCH_SETTING, leftovers, materialize, release, scratch_root
 from leadweave.llm.quality import THRESHOLD, fit, score
 from leadweave.llm.stages import COLUMNS, documents, repeat_to_weights
 
@@ -109,3 +110,41 @@ def test_edges(spark):
         assert e.count() == 0
     twice = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 4, "doc_id long, text string, lang string, source string, n_chars long")
     assert repeat_to_weights(twice).count() == 6
+
+
+def test_run_leaves_one_table(spark):
+    """A stage's own tables, and what it read, go when it is written."""
+    before = leftovers()
+    out = cp.run(spark, SF)
+    left = leftovers() - before
+    assert len(left) == 1 and "lw-mixing" in next(iter(left))
+    assert out.count() > 0
+
+
+def test_scratch_is_shared_or_refused(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session())
+    t = materialize(spark.range(3), "t")
+    assert t.count() == 3 and len(leftovers()) >= 1
+    n = len(leftovers())
+    release(t, t, spark.range(1))
+    assert len(leftovers()) == n - 1
+
+
+def test_batches_are_small_unless_told(spark):
+    documents(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert spark.conf.get(BATCH_SETTING) == BATCH_BYTES
+    spark.conf.set(BATCH_SETTING, "32m")
+    documents(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert spark.conf.get(BATCH_SETTING) == "32m"
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
