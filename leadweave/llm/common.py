@@ -22,17 +22,6 @@ _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Bytes of the batches that go to Python workers, unless the session has a setting of its own.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Smaller batches for Python workers where the session has the default of 64 MB: texts of
-    several tasks are in memory at once, in the JVM's buffers and in the workers."""
-    if spark.conf.get(BATCH_SETTING, None) in ("64m", "67108864b", "67108864"):
-        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
-
-
 def give_back() -> None:
     """In a worker: memory that is free goes back to the system; workers live on between stages."""
     import ctypes
@@ -53,7 +42,6 @@ def pick(df: DataFrame, *names: str, types: dict[str, DataType] | None = None) -
     differing in letter case only or named twice, can't make a name ambiguous. A column
     that the table lacks is null.
     """
-    small_batches(df.sparkSession)
     kinds = {**TYPES, **(types or {})}
     have = df.columns
     plain = df.toDF(*[f"_p{i}" for i in range(len(have))])

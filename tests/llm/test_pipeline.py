@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from leadweave.llm.common import BATCH_BYTES, BATCH_SETTING, leftovers, materialize, release, scratch_root
+from leadweave.llm.common import leftovers, materialize, release, scratch_root
 from leadweave.llm.quality import THRESHOLD, fit, score
 from leadweave.llm.stages import COLUMNS, documents, repeat_to_weights
 
@@ -139,12 +139,3 @@ def test_scratch_is_shared_or_refused(spark, monkeypatch):
     n = len(leftovers())
     release(t, t, spark.range(1))
     assert len(leftovers()) == n - 1
-
-
-def test_batches_are_small_unless_told(spark):
-    documents(spark.read.parquet(f"{SF}/documents.parquet"))
-    assert spark.conf.get(BATCH_SETTING) == BATCH_BYTES
-    spark.conf.set(BATCH_SETTING, "32m")
-    documents(spark.read.parquet(f"{SF}/documents.parquet"))
-    assert spark.conf.get(BATCH_SETTING) == "32m"
-    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
