@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadweave.functions import url as U
 from leadweave.functions import values as V
 
 #: Patterns that lead data is judged by.
 EMAIL_IN_TEXT = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE_IN_TEXT = r"\+?[0-9][0-9 ().-]{6,18}[0-9]"
+PHONE_IN_TEXT = r"(\+?[\d(][\d\s\-().]{5,20}[\d])"
 CLEAN_EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 JUNK_EMAIL = r"(?i)\.(png|jpg|jpeg|gif|svg|webp)$|^your@email\.com$|^(test|example|sample|noreply|no-reply)@"
 ESCAPE_LEFT = r"(?i)^u00[0-9a-f]{2}"
@@ -59,7 +60,7 @@ def is_phone(text: Column) -> Column:
 
 def phones_in(text: Column) -> Column:
     """Valid phone numbers of a text in order, each once."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE_IN_TEXT), F.lit(0)), lambda x: F.trim(x))
+    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE_IN_TEXT), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.filter(found, is_phone))
 
 
@@ -78,9 +79,11 @@ def merge_phones(phones: Column) -> Column:
 
 def is_person(name: Column) -> Column:
     """Plausibly a human name: 2 to 5 words of letters, no noise word."""
-    n = F.trim(F.regexp_replace(F.trim(name), AUTHOR_PREFIX, ""))
-    ok = F.size(F.split(n, r"\s+")).between(2, 5) & n.rlike(r"^[A-Za-z][A-Za-z.\-' ]{1,59}$") & ~F.lower(n).rlike("|".join(NAME_NOISE))
-    return F.coalesce(ok, F.lit(False))
+
+    def good(n: Column) -> Column:  # the cheap tests first: most texts are no names
+        return F.length(n).between(2, 60) & n.rlike(r"^[A-Za-z][A-Za-z.\-' ]{1,59}$") & F.size(F.split(n, r"\s+")).between(2, 5) & ~F.lower(n).rlike("|".join(NAME_NOISE))
+
+    return F.coalesce(U.bound(F.trim(F.regexp_replace(F.trim(name), AUTHOR_PREFIX, "")), good), F.lit(False))
 
 
 def is_person_record(name: Column, designation: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,18 +18,17 @@ from leadweave.functions import url as U
 from leadweave.functions import values as V
 
 PAGE = (
-    "title string, description string, headings array<string>, links array<struct<href:string,text:string,footer:boolean,heading:string,around:string>>, blocks array<string>, text string, "
+    "title string, description string, headings array<string>, links array<struct<href:string,text:string,footer:boolean,heading:string,around:string,url:string,host:string>>, blocks array<string>, text string, parts array<string>, base string, host string, "
     "ld_emails array<string>, ld_phones array<string>, body string, lang string, metas array<struct<name:string,content:string>>, classes array<string>, elements int, "
     "ld boolean, schema boolean, footer boolean, ld_text string, ld_items array<struct<url:string,title:string>>"
 )
-#: Page kinds by words in a link, in order.
-SUBPAGES = {"contact_page": ("contact",), "about_page": ("about",), "team_page": ("team", "leadership", "people"), "careers_page": ("career", "jobs"), "privacy_page": ("privacy",), "services_page": ("service", "product")}
-SOCIAL = ("linkedin", "twitter", "facebook", "instagram", "youtube", "github")
 #: Points of homepage signals.
 SIGNALS = {"contact": 20, "about": 15, "services": 15, "products": 15, "careers": 15, "privacy": 10}
 #: Fields of structured data that describe a company.
 LD_FIELDS = ("description", "keywords", "industry", "knowsAbout", "about", "name", "serviceType")
-_BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "td", "span", "section", "article"}
+#: Elements that a person's name or title may be the text of; and such as may be a page's footer.
+_BLOCKS = {"h1", "h2", "h3", "h4", "p", "span", "div"}
+_FOOTERS = {"footer", "div", "section"}
 
 
 class _Page(HTMLParser):
@@ -35,7 +36,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.title, self.description, self.lang, self.ld_text = "", "", "", ""
         self.headings, self.links, self.blocks, self.text, self.body, self.metas, self.ld_items = [], [], [], [], [], [], []
-        self.emails, self.phones, self.skip, self.footer, self.open, self.ld, self.item = [], [], 0, 0, [], None, None
+        self.emails, self.phones, self.skip, self.footers, self.open, self.ld, self.item = [], [], 0, [], [], None, None
         self.classes, self.elements, self.has = set(), 0, set()
 
     def handle_starttag(self, tag, attrs):
@@ -59,13 +60,15 @@ class _Page(HTMLParser):
                 self.metas.append((name.lower(), a.get("content", "")))
                 if name.lower() == "description" and a.get("name"):
                     self.description = self.description or a.get("content", "")
-        elif tag == "footer":
-            self.footer += 1
         elif tag == "a" and a.get("href"):
             around = next((parts for t, parts in reversed(self.open) if t == "div"), None)
-            self.links.append([a["href"], "", self.footer > 0, "", around])
+            self.links.append([a["href"], "", any(f for _, f in self.footers), "", around])
+        if tag in _FOOTERS:
+            self.footers.append((tag, tag == "footer" or "footer" in a.get("class", "").lower().split() or "footer" in a.get("id", "").lower()))
         if tag in ("title", "h1", "h2", "h3", "a") or tag in _BLOCKS:
             self.open.append((tag, []))
+            if tag in _BLOCKS:
+                self.blocks.append(self.open[-1][1])
         self.item = a.get("itemprop")
         if self.item in ("email", "telephone") and a.get("content"):
             (self.emails if self.item == "email" else self.phones).append(a["content"])
@@ -77,8 +80,9 @@ class _Page(HTMLParser):
             if self.ld is not None:
                 self._ld("".join(self.ld))
                 self.ld = None
-        elif tag == "footer" and self.footer:
-            self.footer -= 1
+        if tag in _FOOTERS:
+            last = next((i for i in range(len(self.footers) - 1, -1, -1) if self.footers[i][0] == tag), None)
+            del self.footers[len(self.footers) if last is None else last :]
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None:
             return
@@ -93,8 +97,6 @@ class _Page(HTMLParser):
             self.links[-1][3] = self.links[-1][3] or body
         elif tag == "a" and self.links:
             self.links[-1][1] = self.links[-1][1] or body
-        if tag in _BLOCKS and body:
-            self.blocks.append(body)
 
     def handle_data(self, data):
         if self.skip:
@@ -136,28 +138,40 @@ class _Page(HTMLParser):
         self.ld_text = " ".join(filter(None, (self.ld_text, " ".join(said))))
 
 
-def parse(html: str | None) -> dict:
+def _joined(base: str, href: str) -> tuple[str | None, str | None]:
+    """A link as an absolute address, and its host."""
+    try:
+        url = urljoin(base, href)
+        return url, urlsplit(url).netloc.lower()
+    except ValueError:
+        return None, None
+
+
+def parse(html: str | None, base: str | None = None) -> dict:
+    base = base or ""
     p = _Page()
     p.feed(html or "")
     p.close()
     once = lambda x: list(dict.fromkeys(x))
     plain = lambda parts: " ".join(" ".join(parts).split())
-    links = [{"href": h, "text": t, "footer": f, "heading": h3, "around": plain(around or [])[:2000]} for h, t, f, h3, around in p.links]
+    links = [{"href": h, "text": t, "footer": f, "heading": h3, "around": plain(around or [])[:2000], **dict(zip(("url", "host"), _joined(base, h)))} for h, t, f, h3, around in p.links]
+    blocks = [" ".join(filter(None, (x.strip() for x in parts))) for parts in p.blocks]
     return {
-        "title": p.title, "description": p.description, "headings": p.headings, "links": links, "blocks": p.blocks, "text": plain(p.text), "ld_emails": once(p.emails), "ld_phones": once(p.phones),
+        "title": p.title, "description": p.description, "headings": p.headings, "links": links, "blocks": blocks, "text": plain(p.text), "parts": p.text, "base": base, "host": _joined(base, "")[1] or "", "ld_emails": once(p.emails), "ld_phones": once(p.phones),
         "body": plain(p.body), "lang": p.lang or "en", "metas": [{"name": n, "content": c} for n, c in p.metas], "classes": sorted(p.classes)[:20], "elements": p.elements,
         "ld": "ld" in p.has, "schema": "schema" in p.has, "footer": "footer" in p.has, "ld_text": p.ld_text, "ld_items": [{"url": u, "title": t} for u, t in p.ld_items],
     }
 
 
-def parsed(html: Column) -> Column:
-    """Struct of a page's parts. The UDF is made when a session is there."""
+def parsed(html: Column, url: Column | None = None) -> Column:
+    """Struct of a page's parts; links are absolute where the page's address is given. The UDF
+    is made when a session is there."""
     names = list(parse(""))
 
-    def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h) for h in pages], columns=names)
+    def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse(h, u) for h, u in zip(pages, bases)], columns=names)
 
-    return F.pandas_udf(run, PAGE)(html)
+    return F.pandas_udf(run, PAGE)(html, F.lit("") if url is None else url)
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -175,34 +189,53 @@ def page_emails(page: Column) -> Column:
 
 
 def page_phones(page: Column) -> Column:
-    return F.array_distinct(F.concat(F.filter(page["ld_phones"], E.is_phone), E.phones_in(page["text"])))
+    """Numbers of structured data and the text, each once; a number doesn't run over a line's end."""
+    return F.array_distinct(F.concat(F.filter(page["ld_phones"], E.is_phone), E.phones_in(F.array_join(page["parts"], " "))))
+
+
+def _first_of(links: Column, kinds: dict[str, Callable[[Column], Column]]) -> Column:
+    """map of each kind to the address of the first link that it takes."""
+    first = lambda hit: F.try_element_at(F.filter(links, hit), F.lit(1))["url"]
+    found = F.create_map(*[c for k, hit in kinds.items() for c in (F.lit(k), first(hit))])
+    return F.map_filter(found, lambda _, v: v.isNotNull())
+
+
+def _at(domain: str) -> Callable[[Column], Column]:
+    return lambda link: link["host"].contains(domain)
+
+
+def _with(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda link: _named(link, words)
 
 
 def social_links(page: Column) -> Column:
-    """First link of each network."""
-    first = lambda n: F.try_element_at(F.filter(page["links"], lambda x: F.lower(x["href"]).rlike(rf"(?:^|[/.]){n}\.com")), F.lit(1))["href"]
-    return F.map_filter(F.create_map(*[c for n in SOCIAL for c in (F.lit(n), first(n))]), lambda _, v: v.isNotNull())
+    """First link to each network, by its domain; of a page parsed with its address."""
+    return _first_of(page["links"], {d: _at(d) for d in V.SOCIAL_DOMAINS})
+
 
+def _named(link: Column, words: tuple[str, ...]) -> Column:
+    return _any(F.lower(link["text"]), words) | _any(F.lower(link["href"]), words)
 
-def subpages(page: Column, base: Column) -> Column:
-    """First link of the same host for each kind of page."""
-    def first(kind):
-        hit = lambda x: F.lower(F.concat_ws(" ", x["href"], x["text"])).rlike("|".join(SUBPAGES[kind])) & (U.host(absolute(base, x["href"])) == U.host(base)) & ~x["href"].rlike("(?i)^(?:mailto|tel|javascript):|^#")
-        return absolute(base, F.try_element_at(F.filter(page["links"], hit), F.lit(1))["href"])
 
-    return F.map_filter(F.create_map(*[c for k in SUBPAGES for c in (F.lit(k), first(k))]), lambda _, v: v.isNotNull())
+def subpages(page: Column) -> Column:
+    """First link of the same host for each kind of page, the page itself left out."""
+    bare = lambda u: F.regexp_replace(u, "/+$", "")
+    own = F.filter(page["links"], lambda x: (x["host"] == page["host"]) & (bare(x["url"]) != bare(page["base"])))
+    return _first_of(own, {k: _with(words) for k, words in V.SUBPAGE_WORDS.items()})
 
 
-def footer_links(page: Column, base: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(page["links"], lambda x: x["footer"]), lambda x: absolute(base, x["href"])))
+def footer_links(page: Column) -> Column:
+    """Links of the same host in a footer (an element of that name, class or id) that say they lead to a contact."""
+    hit = lambda x: x["footer"] & (x["host"] == page["host"]) & _named(x, V.FOOTER_WORDS)
+    return F.array_distinct(F.transform(F.filter(page["links"], hit), lambda x: x["url"]))
 
 
 def homepage_score(page: Column) -> Column:
     """Business signals of a homepage, 100 at most."""
     hit = lambda k: F.exists(page["links"], lambda x: F.lower(x["href"]).contains(k) | F.lower(x["text"]).contains(k))
-    body = F.lower(page["text"])
+    body = F.lower(F.array_join(page["parts"], ""))
     points = [(hit(k), p) for k, p in SIGNALS.items()]
-    points += [(F.exists(page["links"], lambda x: F.lower(x["href"]).contains("linkedin.com/company/")), 20), (body.rlike("copyright|©"), 10), (body.rlike(r"[\w.-]+@[\w.-]+\.\w+"), 20), (body.rlike(r"\+?[0-9]{1,3}[-.\s]?\(?[0-9]{2,3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"), 15)]
+    points += [(F.exists(page["links"], lambda x: F.lower(x["href"]).contains("linkedin.com/company/")), 20), (body.rlike("copyright|©"), 10), (body.rlike("(?U)" + V.HOMEPAGE_EMAIL), 20), (body.rlike("(?U)" + V.HOMEPAGE_PHONE), 15)]
     return F.least(F.lit(100), sum((F.when(c, p).otherwise(0) for c, p in points), F.lit(0)))
 
 
@@ -210,6 +243,15 @@ def homepage_class(score: Column) -> Column:
     return F.when(score >= 80, F.lit("ALLOW")).when(score >= 50, F.lit("LIKELY_COMPANY")).otherwise(F.lit("REJECT"))
 
 
+def homepage_verdict(html: Column, page: Column, keyword: Column | None = None) -> Column:
+    """Class of a homepage; in exact mode (a keyword is given) only of one that holds the keyword literally."""
+    out, title = homepage_class(homepage_score(page)), page["title"]
+    if keyword is not None:
+        said = F.array(title, title, F.array_join(page["parts"], ""), title)
+        out = F.when(N.is_literal_match(said, keyword), out).otherwise(F.lit("REJECT"))
+    return F.when(F.coalesce(html, F.lit("")) == "", F.lit("REJECT")).otherwise(out)
+
+
 def is_real_html(html: Column, content_type: Column | None = None) -> Column:
     """A page, not a challenge: by content type (where one is given) and the first 4096 characters."""
     head, out = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, 4096)), F.lit(True)
@@ -358,7 +400,16 @@ def search_results(page: Column, most: int = 10) -> Column:
 
 
 def people(page: Column) -> Column:
-    """Names followed by a title in the next block: array<struct<name, designation>>."""
-    title = r"(?i)\b(?:founder|ceo|cto|coo|cfo|cmo|director|president|partner|chairman|chairperson|head of|vp|vice president|manager)\b"
-    pairs = F.transform(page["blocks"], lambda b, i: F.struct(b.alias("name"), F.get(page["blocks"], i + 1).alias("designation")))
-    return F.array_distinct(F.filter(pairs, lambda p: E.is_person(p["name"]) & F.coalesce(p["designation"].rlike(title), F.lit(False))))
+    """Blocks that hold a title, with the block before as the name: array<struct<name, designation>>,
+    the designation being the first listed title; only where the name can be a person's."""
+    titles = F.array(*[F.struct(F.lit(t).alias("word"), F.lit(t.upper() if t in V.DESIGNATION_ACRONYMS else t.title()).alias("label")) for t in V.DESIGNATIONS])
+
+    def pair(b: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(page["blocks"], i - 1))
+        name = F.when(F.size(F.filter(F.split(before, r"\s+"), lambda w: w != "")).between(1, V.NAME_WORDS), before)
+        low = F.lower(b)
+        title = F.when((b != "") & (F.length(b) <= V.TITLE_LENGTH), F.get(F.filter(titles, lambda t: F.contains(low, t["word"])), F.lit(0))["label"])
+        return F.struct(name.alias("name"), title.alias("designation"))
+
+    pairs = F.filter(F.transform(page["blocks"], pair), lambda p: p["designation"].isNotNull())
+    return F.filter(pairs, lambda p: E.is_person_record(p["name"], p["designation"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,14 +22,18 @@ def company_name(name: Column) -> Column:
     """Name without punctuation and without legal, place and again legal words at its end.
     If nothing would be left, the cleaned name. Known brands in their own spelling."""
     clean = F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"(?U)[^\w\s\-]", "")), r"\s+", " ")
-    out = clean
-    for words in (LEGAL, PLACES, LEGAL):
-        out = F.regexp_replace(out, _tail(words), "")
-    low = F.lower(out)
-    named = F.when(out == "", clean).otherwise(out)
-    for token, brand in V.NAME_OVERRIDES.items():
-        named = F.when(low.isin(token, brand.lower()), F.lit(brand)).otherwise(named)
-    return named
+    brands = {k: brand for token, brand in V.NAME_OVERRIDES.items() for k in (token, brand.lower())}
+
+    def short(c: Column) -> Column:
+        out = c
+        for words in (LEGAL, PLACES, LEGAL):
+            out = F.regexp_replace(out, _tail(words), "")
+        return F.struct(c.alias("clean"), out.alias("out"))
+
+    def named(n: Column) -> Column:
+        return U.looked_up(brands, F.lower(n["out"]), F.when(n["out"] == "", n["clean"]).otherwise(n["out"]))
+
+    return U.bound(U.bound(clean, short), named)
 
 
 def name_key(name: Column) -> Column:
@@ -73,10 +78,7 @@ def without_repeats(text: Column) -> Column:
 def concept(text: Column) -> Column:
     """A concept's label: a known one, whatever its version; else the text in title case."""
     low = F.regexp_replace(F.lower(F.trim(text)), r"\s*v[0-9]+(?:\.[0-9]+)*$", "")
-    out = title_case(F.trim(text))
-    for k, label in V.CONCEPTS.items():
-        out = F.when(low == k, F.lit(label)).otherwise(out)
-    return out
+    return U.looked_up(V.CONCEPTS, low, title_case(F.trim(text)))
 
 
 def query_key(query: Column) -> Column:
@@ -152,8 +154,6 @@ def decomposed(text: Column) -> Column:
     """Text with compatibility forms and marks taken apart (NFKD): Spark has no expression for it."""
     import unicodedata
 
-    import pandas as pd
-
     def run(parts: pd.Series) -> pd.Series:
         return parts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 

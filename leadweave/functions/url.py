@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ SECOND_LEVEL = ("co", "com", "org", "net", "edu", "gov", "ac")
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value evaluated once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def looked_up(table: dict[str, str], key: Column, otherwise: Column) -> Column:
+    """A fixed table's entry for a key, else another value."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), otherwise)
+
+
 def part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
@@ -125,13 +137,24 @@ def cache_key(url: Column) -> Column:
     return F.when(is_platform(url), F.lower(url)).otherwise(_without_www(netloc(url)))
 
 
-def unwrapped(url: Column) -> Column:
-    """Target of a redirect link (?q= and a1-coded u=), else the URL."""
-    q = F.regexp_extract(url, r"[?&](?:q|url)=(https?[^&#]+)", 1)
-    coded = F.regexp_extract(url, r"[?&]u=a1([A-Za-z0-9_-]+)", 1)
-    padded = F.rpad(F.translate(coded, "-_", "+/"), (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
-    plain = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    return F.when(q != "", _decoded(q)).when((coded != "") & plain.startswith("http"), plain).otherwise(url)
+def unwrapped(href: Column) -> Column:
+    """Target of a result link of the page's own host (/url?q=), else the link; null if that is no http(s)."""
+    h = F.trim(href)
+    q = F.regexp_extract(h, r"^/url\?(?:[^#]*&)?q=([^&#]+)", 1)
+    return F.when(q != "", _decoded(q)).when(h.rlike("(?i)^https?:"), h)
+
+
+def unwrapped_code(href: Column) -> Column:
+    """Target that a link's parameter u holds as URL-safe base64, after a mark a1 or without it;
+    else the link; null if that is no http(s)."""
+
+    def target(u: Column) -> Column:
+        coded = F.translate(F.when(u.startswith("a1"), F.substring(u, 3, 1 << 30)).otherwise(u), "-_", "+/")
+        padded = F.rpad(coded, (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
+        return F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+    u = F.regexp_extract(href, r"^[^?#]*\?(?:[^#]*&)?u=([^&#]+)", 1)
+    return F.coalesce(F.when(u != "", bound(_decoded(u), target)), F.when(href.rlike("(?i)^https?:"), href))
 
 
 def address_domain(text: Column) -> Column:
@@ -191,10 +214,7 @@ def spoken(token: Column) -> Column:
 
 def override(token: Column, otherwise: Column) -> Column:
     """The name that a host label stands for, else another."""
-    out = otherwise
-    for k, name in V.NAME_OVERRIDES.items():
-        out = F.when(token == k, F.lit(name)).otherwise(out)
-    return out
+    return looked_up(V.NAME_OVERRIDES, token, otherwise)
 
 
 def profile_name(url: Column) -> Column:

@@ -342,7 +342,7 @@ PAGE_KINDS = (
     ("COMPANY_PROFILE", 0.95, (("url", ("github.com/",)), ("code_owner", ()))),
     ("DIRECTORY_LIST", 0.97, (("host", ("clutch.co", "goodfirms.co")), ("path", ("/search", "/companies", "/directory")))),
     ("DIRECTORY_LIST", 0.97, (("host", ("crunchbase.com",)), ("path", ("/discover/",)))),
-    ("DIRECTORY_LIST", 0.95, (("listing", ("/search", "/directory", "/directories", "/category", "/categories", "/best", "/top", "/profiles")),)),
+    ("DIRECTORY_LIST", 0.95, (("listing", ("/search", "/search/", "/directory", "/directories", "/category", "/categories", "/best", "/top", "/profiles")),)),
     ("DIRECTORY_LIST", 0.92, (("title", ("top companies", "best companies", "top software", "best software", "directories", "directory list", "list of best")),)),
     ("MARKETPLACE", 0.99, (("host", ("play.google.com", "apps.apple.com", "chromewebstore.google.com")),)),
     ("MARKETPLACE", 0.95, (("host", ("amazon.com", "ebay.com")),)),
@@ -372,3 +372,25 @@ SYNONYMS = {
     "hardware development": ("desarrollo de hardware",), "software development": ("desarrollo de software", "desarrollo software"), "electronics manufacturing": ("fabricación electrónica", "fabricación de electrónica"),
     "electronics design": ("diseño electrónico", "diseño de electrónica"), "hardware design": ("diseño de hardware",),
 }
+
+#: E-mail addresses and telephone numbers as a homepage's score looks for them.
+HOMEPAGE_EMAIL = r"[\w\.-]+@[\w\.-]+\.\w+"
+HOMEPAGE_PHONE = r"\+?\d{1,3}[-.\s]?\(?\d{2,3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
+#: Domains of social networks; words of footer links; words of links to pages of a site, by kind.
+SOCIAL_DOMAINS = ("linkedin.com", "twitter.com", "x.com", "facebook.com", "instagram.com")
+FOOTER_WORDS = ("contact", "about", "team", "support", "help", "info", "reach")
+SUBPAGE_WORDS = {
+    "contact_page": ("contact", "contact-us", "get-in-touch", "reach-us"),
+    "about_page": ("about", "about-us", "company", "who-we-are"),
+    "team_page": ("team", "our-team", "people", "leadership", "management", "founders", "executives", "board", "directors"),
+    "careers_page": ("careers", "jobs", "join-us", "work-with-us"),
+    "privacy_page": ("privacy", "privacy-policy", "privacy-policy", "data-protection"),
+}
+#: Words of a title, in order, and those written in capitals.
+DESIGNATIONS = (
+    "founder", "co-founder", "cofounder", "ceo", "cto", "coo", "cfo", "cmo", "director", "managing director", "president", "vice president", "vp",
+    "head of", "partner", "managing partner", "chairman", "chairperson",
+)
+DESIGNATION_ACRONYMS = ("ceo", "cto", "coo", "cfo", "cmo", "vp", "md")
+#: Length up to which a block can be a title, and words that the name before it may have.
+TITLE_LENGTH, NAME_WORDS = 120, 5

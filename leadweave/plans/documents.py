@@ -113,7 +113,7 @@ _EM = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 _STATUS = r"CASE WHEN regexp_matches(lower(email), '\.(png|jpg|jpeg|gif|svg|webp)$|^your@email\.com$|^(test|example|sample|noreply|no-reply)@') THEN 'junk' WHEN NOT regexp_matches(email, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$') THEN 'malformed' ELSE 'ok' END"
 _DIG = "length(regexp_replace(x, '[^0-9]', '', 'g'))"
 _PHONE_OK = rf"NOT regexp_matches(x, '^[0-9]{{1,2}}[.\-/][0-9]{{1,2}}[.\-/][0-9]{{4}}$|^[0-9]{{4}}\s*[-–]\s*[0-9]{{4}}$|^[0-9]{{4}}\s*[-–]\s*[0-9]{{4}}\s+[0-9]{{4}}$|^[0-9]{{1,2}}\.[0-9]{{2}}\s*[-–]\s*[0-9]{{2}}\.[0-9]{{2}}$|^[0-9]{{4}}$|^[0-9]{{8}}$') AND {_DIG} BETWEEN 7 AND 15 AND regexp_matches(x, '^[+0-9(][0-9\s\-().]{{5,20}}[0-9]$')"
-_PHONES = rf"list_filter(list_transform(regexp_extract_all(text, '\+?[0-9][0-9 ().-]{{6,18}}[0-9]'), lambda x: trim(x)), lambda x: {_PHONE_OK})"
+_PHONES = rf"list_filter(list_transform(regexp_extract_all(text, '[+]?[0-9(][0-9\s().-]{{5,20}}[0-9]'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '[\n\r]') AND {_PHONE_OK})"
 _HITS = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ordinal, CAST(len(list_filter(w, lambda x: x IN ({', '.join(repr(t) for t in terms)}))) AS DOUBLE) AS score FROM w" for i, (label, terms) in enumerate(CLASSES.items()))
 _PEN = " + ".join(f"CASE WHEN contains(t, '{k}') THEN {v} ELSE 0 END" for k, v in (("wikipedia", 40), ("college", 30), ("university", 30), ("admission", 30), ("fees", 30), ("placement", 30), ("ranking", 30), ("rankings", 30), ("blog", 25), ("tutorial", 25), ("course", 25), ("documentation", 25), ("news", 20), ("magazine", 20), ("forum", 20), ("community", 15)))
 ORACLES = {

@@ -147,14 +147,44 @@ def html_links(spark, sf_dir):
     return p.select("page_id", F.size("p.links").cast("long").alias("links"), F.array_join(F.transform("p.links", lambda x: x["href"]), " ").alias("hrefs"))
 
 
+#: Links of every kind that are judged, put into each page's menu beside its own.
+MENU_LINKS = (
+    '<a href="/contact-us?a=1#b">Write</a><a href="https://other.example.org/about">About</a><a href="/x">Our Company</a><a href="/who-we-are">W</a><a href="HTTPS://www.LinkedIn.com/company/acme">in</a><a href="https://m.facebook.com/a">f</a>'
+    '<a href="https://x.com/acme?s=1">x</a><a href="https://x.com/later">x</a><a href="/data-protection">P</a><a href="mailto:a@jobs.example.com">j</a><a href="/a/jobs/">J</a><a href="https://youtube.com/c">y</a>'
+)
+
+
+def _with_menu_links(spark, sf_dir):
+    """Each page as it is, and once more with further links in its menu."""
+    p = _pages(spark, sf_dir).select("page_id", "url", "html")
+    return p.withColumn("more", F.lit(False)).unionByName(p.select("page_id", "url", F.replace("html", F.lit("</nav>"), F.lit(MENU_LINKS + "</nav>")).alias("html"), F.lit(True).alias("more")))
+
+
 def html_profile(spark, sf_dir):
-    """Title, headings, contact fields, subpages and homepage class of each page."""
-    p = _pages(spark, sf_dir).select("page_id", "url", H.parsed(F.col("html")).alias("p"))
+    """Title, headings, contact fields, subpages, networks and homepage class of each page."""
+    p = _with_menu_links(spark, sf_dir).select("page_id", "more", H.parsed(F.col("html"), F.col("url")).alias("p"))
     s = H.homepage_score(F.col("p"))
-    return p.select("page_id", "p.title", F.size("p.headings").alias("headings"), F.array_join(H.page_emails(F.col("p")), ",").alias("emails"), F.array_join(H.page_phones(F.col("p")), ",").alias("phones"), F.to_json(H.subpages(F.col("p"), F.col("url"))).alias("subpages"), F.to_json(H.social_links(F.col("p"))).alias("social"), s.alias("score"), H.homepage_class(s).alias("class"))
+    return p.select("page_id", "more", "p.title", F.size("p.headings").alias("headings"), F.array_join(H.page_emails(F.col("p")), ",").alias("emails"), F.array_join(H.page_phones(F.col("p")), ",").alias("phones"), F.to_json(H.subpages(F.col("p"))).alias("subpages"), F.to_json(H.social_links(F.col("p"))).alias("social"), s.alias("score"), H.homepage_class(s).alias("class"))
+
+
+def exact_homepages(spark, sf_dir):
+    """Class of each page as a homepage for its own language's name, literally or not."""
+    p = _with_menu_links(spark, sf_dir).select("page_id", "more", "html", F.regexp_extract("url", "//([a-z]+)", 1).alias("word"), H.parsed(F.col("html"), F.col("url")).alias("p"))
+    return p.select("page_id", "more", H.homepage_verdict(F.col("html"), F.col("p")).alias("class"), H.homepage_verdict(F.col("html"), F.col("p"), F.col("word")).alias("exact_class"))
+
+
+def result_targets(spark, sf_dir):
+    """Each page's address out of redirect links that hold it: as a parameter, and coded with and without a mark."""
+    u = F.col("url")
+    coded = F.regexp_replace(F.translate(F.base64(F.encode(u, "UTF-8")), "+/\r\n", "-_"), "=+$", "")
+    link = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    return _pages(spark, sf_dir).select(
+        "page_id", U.unwrapped(link("/url?sa=t&q=", F.url_encode(u), "&x=1")).alias("asked"), U.unwrapped(link("https://e.example.com/url?q=", F.url_encode(u))).alias("elsewhere"),
+        U.unwrapped_code(link("https://e.example.com/ck?p=1&u=a1", coded, "&n=2")).alias("marked"), U.unwrapped_code(link("/ck?u=", coded)).alias("plain"), U.unwrapped_code(u).alias("own"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (page_type_counts, url_canonical, crawl_canonical, url_keep_first, content_hash_dedup, url_parts, result_classes, domain_merge, round_robin_hosts, host_counts, blocklist_hosts, request_fingerprints, html_links, html_profile)}
+QUERIES = {f.__name__: f for f in (page_type_counts, url_canonical, crawl_canonical, url_keep_first, content_hash_dedup, url_parts, result_classes, domain_merge, round_robin_hosts, host_counts, blocklist_hosts, request_fingerprints, html_links, html_profile, exact_homepages, result_targets)}
 _FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {CANON_SQL} ORDER BY page_id) AS rn FROM pages) WHERE rn = 1)"
 _STRIP = r"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 _HOSTED = f"(SELECT page_id, {HOST_SQL} AS host FROM pages)"
@@ -185,10 +215,24 @@ _ONCE = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"  #
 _DIGITS = "length(regexp_replace(x, '[^0-9]', '', 'g'))"
 _DATES = r"^\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4}$|^\d{4}\s*[-–]\s*\d{4}$|^\d{4}\s*[-–]\s*\d{4}\s+\d{4}$|^\d{1,2}\.\d{2}\s*[-–]\s*\d{2}\.\d{2}$|^\d{4}$|^\d{8}$"
 _SIGNAL = " + ".join(f"CASE WHEN contains(l, '{k}') THEN {n} ELSE 0 END" for k, n in (("contact", 20), ("about", 15), ("services", 15), ("products", 15), ("careers", 15), ("privacy", 10), ("linkedin.com/company/", 20)))
-ORACLES["html_profile"] = f"""SELECT page_id, title, CAST(least(5, h) AS INT) AS headings, array_to_string({_ONCE('e')}, ',') AS emails, array_to_string({_ONCE('p')}, ',') AS phones,
-    CASE WHEN regexp_matches(l, 'contact|about|team|leadership|people|career|jobs|privacy|service|product') THEN '?' ELSE '{{}}' END AS subpages, CASE WHEN regexp_matches(l, '(linkedin|twitter|facebook|instagram|youtube|github)\\.com') THEN '?' ELSE '{{}}' END AS social,
-    CAST(least(100, s) AS INT) AS score, CASE WHEN s >= 80 THEN 'ALLOW' WHEN s >= 50 THEN 'LIKELY_COMPANY' ELSE 'REJECT' END AS class
-    FROM (SELECT *, {_SIGNAL} + CASE WHEN regexp_matches(lower(t), 'copyright|©') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(lower(t), '[\\w.-]+@[\\w.-]+\\.\\w+') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(t, '\\+?[0-9]{{1,3}}[-.\\s]?\\(?[0-9]{{2,3}}\\)?[-.\\s]?[0-9]{{3}}[-.\\s]?[0-9]{{4}}') THEN 15 ELSE 0 END AS s,
-        list_transform(regexp_extract_all(t, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), lambda x: lower(trim(x))) AS e,
-        list_filter(list_transform(regexp_extract_all(t, '\\+?[0-9][0-9 ().-]{{6,18}}[0-9]'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '{_DATES}') AND {_DIGITS} BETWEEN 7 AND 15 AND regexp_matches(x, '^[+\\d(][\\d\\s\\-().]{{5,20}}[\\d]$')) AS p
-      FROM (SELECT page_id, {_PLAIN("regexp_extract(c, '(?s)<title>(.*?)</title>', 1)")} AS title, len(regexp_extract_all(c, '<h[12][^>]*>')) AS h, {_PLAIN('c')} AS t, lower(array_to_string(regexp_extract_all(c, '(?s)<a href="[^"]*".*?</a>'), ' ')) AS l FROM (SELECT page_id, {_CLEAN} AS c FROM pages)))"""
+_ENTITIES = lambda x: f"replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+_U = r"[\p{L}\p{N}\p{M}_.-]"
+_SCORED = rf"""{_SIGNAL} + CASE WHEN regexp_matches(b, 'copyright|©') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(b, '{_U}+@{_U}+\.[\p{{L}}\p{{N}}\p{{M}}_]+') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(b, '\+?[0-9]{{1,3}}[-.\s]?\(?[0-9]{{2,3}}\)?[-.\s]?[0-9]{{3}}[-.\s]?[0-9]{{4}}') THEN 15 ELSE 0 END"""
+_CLASSED = "CASE WHEN s >= 80 THEN 'ALLOW' WHEN s >= 50 THEN 'LIKELY_COMPANY' ELSE 'REJECT' END"
+_MORE = f"(SELECT page_id, url, html, false AS more FROM pages UNION ALL SELECT page_id, url, replace(html, '</nav>', '{MENU_LINKS}</nav>'), true FROM pages)"
+_READ = f"""(SELECT page_id, more, url, {_part(1)} || '://' || {_part(2)} AS root, lower({_part(2)}) AS h, {_PLAIN("regexp_extract(c, '(?s)<title>(.*?)</title>', 1)")} AS title, len(regexp_extract_all(c, '<h[12][^>]*>')) AS heads, {_PLAIN('c')} AS t,
+    {_ENTITIES("regexp_replace(c, '(<[^>]*>)+', ' ', 'g')")} AS raw, lower({_ENTITIES("regexp_replace(c, '<[^>]*>', '', 'g')")}) AS b, lower(array_to_string(regexp_extract_all(c, '(?s)<a href="[^"]*".*?</a>'), ' ')) AS l,
+    list_zip(regexp_extract_all(c, '<a href="([^"]*)"', 1), regexp_extract_all(c, '(?s)<a href="[^"]*"[^>]*>(.*?)</a>', 1)) AS pairs FROM (SELECT *, {_CLEAN} AS c FROM {_MORE}))"""
+_LINKED = """list_transform(pairs, lambda x: {'said': lower(x[1] || ' ' || x[2]), 'u': CASE WHEN regexp_matches(x[1], '^[A-Za-z]+:') THEN x[1] ELSE root || x[1] END})"""
+_HOST_OF = "lower(regexp_extract(x.u, '^[A-Za-z]+://([^/?#]*)', 1))"
+_KINDS = (("contact_page", "contact|get-in-touch|reach-us"), ("about_page", "about|company|who-we-are"), ("team_page", "team|people|leadership|management|founders|executives|board|directors"), ("careers_page", "careers|jobs|join-us|work-with-us"), ("privacy_page", "privacy|data-protection"))
+_JSON = lambda found: "'{' || array_to_string(list_filter([" + ", ".join(f"'\"{k}\":\"' || ({x})[1].u || '\"'" for k, x in found) + "], lambda x: x IS NOT NULL), ',') || '}'"
+_SUBPAGES = _JSON([(k, f"list_filter(k, lambda x: {_HOST_OF} = h AND rtrim(x.u, '/') <> rtrim(url, '/') AND regexp_matches(x.said, '{w}'))") for k, w in _KINDS])
+_SOCIAL = _JSON([(d, f"list_filter(k, lambda x: contains({_HOST_OF}, '{d}'))") for d in ("linkedin.com", "twitter.com", "x.com", "facebook.com", "instagram.com")])
+ORACLES["html_profile"] = f"""SELECT page_id, more, title, CAST(least(5, heads) AS INT) AS headings, array_to_string({_ONCE('e')}, ',') AS emails, array_to_string({_ONCE('p')}, ',') AS phones, {_SUBPAGES} AS subpages, {_SOCIAL} AS social, CAST(least(100, s) AS INT) AS score, {_CLASSED} AS class
+    FROM (SELECT *, {_SCORED} AS s, {_LINKED} AS k,
+        list_transform(list_concat(CASE WHEN more THEN ['a@jobs.example.com'] ELSE [] END, regexp_extract_all(t, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}')), lambda x: lower(trim(x))) AS e,
+        list_filter(regexp_extract_all(raw, '[+]?[0-9(][0-9\\s().-]{{5,20}}[0-9]'), lambda x: NOT regexp_matches(x, '[\\n\\r]') AND NOT regexp_matches(x, '{_DATES}') AND {_DIGITS} BETWEEN 7 AND 15 AND regexp_matches(x, '^[+\\d(][\\d\\s\\-().]{{5,20}}[\\d]$')) AS p FROM {_READ})"""
+#: The word is of ASCII letters and of no listed root, so that the page's text in lower case is all that is asked.
+ORACLES["exact_homepages"] = f"""SELECT page_id, more, {_CLASSED} AS class, CASE WHEN contains(regexp_replace(regexp_replace(b, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), regexp_extract(url, '//([a-z]+)', 1)) THEN {_CLASSED} ELSE 'REJECT' END AS exact_class FROM (SELECT *, {_SCORED} AS s FROM {_READ})"""
+ORACLES["result_targets"] = "SELECT page_id, url AS asked, 'https://e.example.com/url?q=' || url_encode(url) AS elsewhere, url AS marked, url AS plain, url AS own FROM pages"

@@ -31,7 +31,7 @@ def link_helpers(spark, sf_dir):
     """Root, cache key, redirect target and address domain of made links."""
     d = _cases(_table(spark, sf_dir, "nation", "n_nationkey"), LINKS, url=0, address=1)
     u = F.col("url")
-    return d.select("n_nationkey", "case", U.root_url(u).alias("root"), U.cache_key(u).alias("cache"), U.unwrapped(u).alias("target"), U.address_domain(F.col("address")).alias("domain"), U.plain_domain_token(U.netloc(u)).alias("token"))
+    return d.select("n_nationkey", "case", U.root_url(u).alias("root"), U.cache_key(u).alias("cache"), U.unwrapped_code(U.unwrapped(u)).alias("target"), U.address_domain(F.col("address")).alias("domain"), U.plain_domain_token(U.netloc(u)).alias("token"))
 
 
 def text_helpers(spark, sf_dir):
@@ -141,8 +141,8 @@ def page_people(spark, sf_dir):
     k = F.col("page_id").cast("string")
     html = F.concat(F.lit('<html><head><script type="application/ld+json">{"@graph": [{"email": "mailto:a'), k, F.lit('@x.com", "telephone": "+1 212 555 0199"}]}</script></head><body><p>Ann Example</p><p>Chief, CEO</p><div itemprop="email">b@x.com</div><footer><a href="/about">A</a><a href="https://y.com/z?q">Z</a></footer></body></html>'))
     base = F.lit("https://x.com/a/b")
-    d = _table(spark, sf_dir, "pages", "page_id").select("page_id", H.parsed(html).alias("p"))
-    return d.select("page_id", F.array_join(F.transform(H.people(F.col("p")), lambda x: F.concat_ws("/", x["name"], x["designation"])), "|").alias("people"), F.array_join("p.ld_emails", " ").alias("emails"), F.array_join("p.ld_phones", " ").alias("phones"), F.array_join(H.footer_links(F.col("p"), base), " ").alias("footer"))
+    d = _table(spark, sf_dir, "pages", "page_id").select("page_id", H.parsed(html, base).alias("p"))
+    return d.select("page_id", F.array_join(F.transform(H.people(F.col("p")), lambda x: F.concat_ws("/", x["name"], x["designation"])), "|").alias("people"), F.array_join("p.ld_emails", " ").alias("emails"), F.array_join("p.ld_phones", " ").alias("phones"), F.array_join(H.footer_links(F.col("p")), " ").alias("footer"))
 
 
 def merged_history(spark, sf_dir):
@@ -183,7 +183,7 @@ QUERIES = {f.__name__: f for f in (
 
 _made = lambda rows, names: f"nation, (VALUES {_values(rows)}) v(\"case\", {names})"
 _LINK_ROWS = (
-    ("https://g.com", "g.com", "https://a.com/", "acme.com", "g"), ("https://b.com", "b.com", "https://a.com/", "acme.co.uk", "b"), ("https://www.Acme.com", "acme.com", "https://www.Acme.com/a/b?c#d", "acme.com", "acme"), ("http://LinkedIn.com/company/A", "http://linkedin.com/company/a", "http://LinkedIn.com/company/A", "c.org", "linkedin"),
+    ("https://g.com", "g.com", "https://g.com/url?q=https%3A%2F%2Fa.com%2F&x=1", "acme.com", "g"), ("https://b.com", "b.com", "https://a.com/", "acme.co.uk", "b"), ("https://www.Acme.com", "acme.com", "https://www.Acme.com/a/b?c#d", "acme.com", "acme"), ("http://LinkedIn.com/company/A", "http://linkedin.com/company/a", "http://LinkedIn.com/company/A", "c.org", "linkedin"),
     ("https://clutch.co/profile/x", "https://clutch.co/profile/x", "https://clutch.co/profile/x", "", "clutch"), ("https://x.acme.org:8080", "x.acme.org:8080", "https://x.acme.org:8080/", "x.y", "acme"),
 )
 _TEXT_ROWS = (
@@ -214,7 +214,7 @@ ORACLES = {
     "best_names": """WITH a AS (SELECT c_custkey AS ord, c_custkey % 40 AS n, 'Acme ' || c_custkey % 40 || CASE WHEN c_custkey % 2 = 0 THEN ' Pvt. Ltd.' ELSE ' India' END AS company, CAST(c_custkey % 7 AS INT) AS relevance_score, CASE WHEN c_custkey % 3 = 0 THEN 'clutch' ELSE 'blog' END AS source, CASE WHEN c_custkey % 5 = 0 THEN 'https://x.com/' || c_custkey END AS website, CAST(NULL AS VARCHAR) AS linkedin FROM customer),
         b AS (SELECT * FROM a UNION ALL SELECT ord + 1000000, n, company, relevance_score, source, NULL, 'l' FROM a)
         SELECT ord, company, relevance_score, source, coalesce(website, w) AS website, coalesce(linkedin, l) AS linkedin FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY relevance_score DESC, source = 'clutch' DESC, ord) AS rn, arg_min(website, ord) FILTER (website IS NOT NULL) OVER (PARTITION BY n) AS w, arg_min(linkedin, ord) FILTER (linkedin IS NOT NULL) OVER (PARTITION BY n) AS l FROM b) WHERE rn = 1""",
-    "page_people": "SELECT page_id, 'Ann Example/Chief, CEO' AS people, 'a' || page_id || '@x.com b@x.com' AS emails, '+1 212 555 0199' AS phones, 'https://x.com/about https://y.com/z' AS footer FROM pages",
+    "page_people": "SELECT page_id, 'Ann Example/CEO' AS people, 'a' || page_id || '@x.com b@x.com' AS emails, '+1 212 555 0199' AS phones, 'https://x.com/about' AS footer FROM pages",
     "merged_history": """SELECT lower(source) || '.com' AS domain, 'Company ' || min(doc_id) AS company_name, CASE WHEN length(arg_min(lang, doc_id)) <= 3 THEN upper(arg_min(lang, doc_id)) ELSE arg_min(lang, doc_id) END AS industry, array_to_string(list_sort(list_distinct(list('a' || doc_id % 3 || '@x.com'))), ' ') AS emails, count(*) + 1 AS merged,
         (SELECT count(*) FROM (SELECT arg_min(lang, doc_id) AS l FROM documents GROUP BY source) WHERE l = 'en') AS english FROM documents GROUP BY source""",
     "signal_counts": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS events FROM events GROUP BY 1, 2",

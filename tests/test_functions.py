@@ -42,7 +42,9 @@ def test_hosts(of):
     assert of(U.domain_token, ["www.acme.co.uk", "acme.com", "a.b.acme.org", "localhost"]) == ["acme", "acme", "acme", "localhost"]
     assert of(U.base_domain, ["x.acme.co.uk", "x.acme.com", "acme.com"]) == ["acme.co.uk", "acme.com", "acme.com"]
     assert of(U.cache_key, ["https://www.acme.com/x", "https://linkedin.com/company/A"]) == ["acme.com", "https://linkedin.com/company/a"]
-    assert of(U.unwrapped, ["https://g.com/url?q=https%3A%2F%2Fa.com%2F&x=1", "https://b.com/ck?u=a1aHR0cHM6Ly9hLmNvbS8", "https://c.com/"]) == ["https://a.com/", "https://a.com/", "https://c.com/"]
+    assert of(U.unwrapped, ["/url?q=https%3A%2F%2Fa.com%2F&x=1", "/url?sa=t&q=https://a.com/", "https://g.com/url?q=https%3A%2F%2Fa.com%2F", "https://b.com/?q=x", "/search?q=https://a.com", " https://c.com/ ", "mailto:x"]) == ["https://a.com/", "https://a.com/", "https://g.com/url?q=https%3A%2F%2Fa.com%2F", "https://b.com/?q=x", None, "https://c.com/", None]
+    assert of(U.unwrapped_code, ["https://b.com/ck?u=a1aHR0cHM6Ly9hLmNvbS8", "https://b.com/ck?x=1&u=aHR0cHM6Ly9hLmNvbS8&y", "/ck?u=a1aHR0cHM6Ly9hLmNvbS8", "https://b.com/?u=john", "https://c.com/", "/x"]) == ["https://a.com/", "https://a.com/", "https://a.com/", "https://b.com/?u=john", "https://c.com/", None]
+    assert of(lambda u: F.concat(u, F.lit("")), ["https://c.com/"]) == ["https://c.com/"]
     assert of(U.is_valid_result, ["https://a.com/x", "ftp://a.com", "https://a", "https://a.com/search?q", "https://a .com", None, "https://www.google.com/x"]) == [True, False, False, False, False, False, False]
     assert of(U.is_government, ["https://x.gov", "http://a.gov.in/x", "https://a.govt.nz", "https://gov.example.com", "https://govern.com", "https://x.mil", None]) == [True, True, True, True, False, False, False]
     assert of(U.is_forum, ["https://www.reddit.com/r", "https://medium.com/a", "https://acme.com/?u=dev.to", "https://acme.com/forum", None]) == [True, True, True, False, False]
@@ -60,7 +62,7 @@ def test_phones(of):
     good = ["+911234567890", "+1 877.319.9304", "9876543210", "011-27871018", "(408)5551234"]
     bad = ["12.05.2024", "2025-2026", "1950 - 1999", "10.30-12.00", "2026", "20260705", "12-34", "1234\n5678901", "", None, "1234567890123456"]
     assert of(E.is_phone, good + bad) == [True] * 5 + [False] * 11
-    assert of(E.phones_in, ["call +1 (212) 555-0199, 12.05.2024 or +1 (212) 555-0199"]) == [["+1 (212) 555-0199"]]
+    assert of(E.phones_in, ["call +1 (212) 555-0199, 12.05.2024 or +1 (212) 555-0199", "(212) 555-0199", "12 34\n567 890", "a (02)\t1234567"]) == [["+1 (212) 555-0199"], ["(212) 555-0199"], [], ["(02)\t1234567"]]
     assert of(E.merge_phones, [["(212) 555-0199", "12"]], "array<string>") == [["2125550199"]]
 
 
@@ -107,11 +109,31 @@ def test_scores(of, spark):
 def test_html(spark):
     page = """<html><head><title>Acme</title><meta name="description" content="We make"><script type="application/ld+json">{"@graph": [{"@type": "Organization", "email": "mailto:a@acme.com", "telephone": "+1 212 555 0199"}]}</script></head>
     <body><h1>Hello</h1><a href="mailto:Sales%40acme.com?x">mail</a><a href="/careers#x">Careers</a><a href="https://www.linkedin.com/company/acme">in</a><p>Ann Example</p><p>Chief, CEO</p><footer>© <a href="/contact">Contact</a></footer></body></html>"""
-    d = spark.createDataFrame([("https://acme.com/a/b", page), ("https://acme.com", None)], "url string, html string").select("url", H.parsed(F.col("html")).alias("p"))
-    u = F.col("url")
-    got = d.select("p.title", "p.description", "p.headings", H.page_emails(F.col("p")).alias("emails"), H.page_phones(F.col("p")).alias("phones"), H.subpages(F.col("p"), u).alias("sub"), H.social_links(F.col("p")).alias("social"), H.footer_links(F.col("p"), u).alias("foot"), H.people(F.col("p")).alias("people"), H.homepage_score(F.col("p")).alias("score")).collect()
+    d = spark.createDataFrame([("https://acme.com/a/b", page), ("https://acme.com", None)], "url string, html string").select("url", H.parsed(F.col("html"), F.col("url")).alias("p"))
+    got = d.select("p.title", "p.description", "p.headings", H.page_emails(F.col("p")).alias("emails"), H.page_phones(F.col("p")).alias("phones"), H.subpages(F.col("p")).alias("sub"), H.social_links(F.col("p")).alias("social"), H.footer_links(F.col("p")).alias("foot"), H.people(F.col("p")).alias("people"), H.homepage_score(F.col("p")).alias("score")).collect()
     r = got[0]
     assert (r.title, r.description, r.headings, r.emails, r.phones) == ("Acme", "We make", ["Hello"], ["sales@acme.com", "a@acme.com"], ["+1 212 555 0199"])
-    assert r["sub"] == {"contact_page": "https://acme.com/contact", "careers_page": "https://acme.com/careers"} and r.foot == ["https://acme.com/contact"]
-    assert r.social == {"linkedin": "https://www.linkedin.com/company/acme"} and [(p.name, p.designation) for p in r.people] == [("Ann Example", "Chief, CEO")]
+    assert r["sub"] == {"contact_page": "https://acme.com/contact", "careers_page": "https://acme.com/careers#x"} and r.foot == ["https://acme.com/contact"]
+    assert r.social == {"linkedin.com": "https://www.linkedin.com/company/acme"} and [(p.name, p.designation) for p in r.people] == [("Ann Example", "CEO")]
     assert r.score == 20 + 15 + 20 + 10 and got[1].score == 0 and got[1].emails == []
+
+
+def test_links_and_people_by_rule(spark):
+    """Footers by class and id, own host, the page itself, other words, networks by domain, people by block order."""
+    page = """<body><div id="team"><h3>Ann Example</h3><span>Co-Founder and CEO</span><p>A long story. %s CEO</p></div><h4>Bob Q. Sample</h4><p>vp of sales</p><p>Our Blog</p><p>director</p><p>Head of things</p>
+    <a href="/">Company home</a><a href="https://other.com/about">About</a><a href="who-we-are?x=1#y">Us</a><a href="../Board">Board</a><a href="//acme.com/data-protection">D</a><a href="/work-with-us">W</a><a href="/about">later</a>
+    <a href="https://m.x.com/acme">x</a><a href="https://facebook.com/a?b=1">f</a><a href="https://www.facebook.com/b">f2</a><a href="https://youtube.com/c">y</a><a href="http://[bad">bad</a>
+    <div class="site footer"><a href="/help#a">H</a><section><a href="/x">Get support</a></section><a href="/y">Terms</a><a href="https://z.com/contact">c</a></div><div id="FooterBox"><a href="/reach">r</a><a href="/help#a">H</a></div><div class="footers"><a href="/info">i</a></div></body>""" % ("x" * 120)
+    d = spark.createDataFrame([("https://acme.com/a/", page)], "url string, html string").select(H.parsed(F.col("html"), F.col("url")).alias("p"))
+    r = d.select(H.subpages(F.col("p")).alias("sub"), H.social_links(F.col("p")).alias("social"), H.footer_links(F.col("p")).alias("foot"), H.people(F.col("p")).alias("people")).first()
+    assert r["sub"] == {"about_page": "https://acme.com/", "team_page": "https://acme.com/Board", "careers_page": "https://acme.com/work-with-us", "privacy_page": "https://acme.com/data-protection"}
+    assert r.social == {"x.com": "https://m.x.com/acme", "facebook.com": "https://facebook.com/a?b=1"}
+    assert r.foot == ["https://acme.com/help#a", "https://acme.com/x", "https://acme.com/reach"]
+    assert [(p.name, p.designation) for p in r.people] == [("Ann Example", "Founder"), ("Bob Q. Sample", "VP"), ("director", "Head Of")][:2]
+
+
+def test_homepage_in_exact_mode(spark):
+    page = "<title>Acme Robotics</title><body><a href='/contact'>Contact</a><a href='/about'>About</a><a href='/products'>P</a><p>a@b.com copyright</p></body>"
+    d = spark.createDataFrame([(page, "robotics"), (page, "chemistry"), (page, ""), ("", "robotics"), (None, "x")], "html string, k string")
+    got = d.select(H.homepage_verdict(F.col("html"), H.parsed(F.col("html")), F.col("k")).alias("exact"), H.homepage_verdict(F.col("html"), H.parsed(F.col("html"))).alias("any")).collect()
+    assert [(r.exact, r["any"]) for r in got] == [("ALLOW", "ALLOW"), ("REJECT", "ALLOW"), ("ALLOW", "ALLOW"), ("REJECT", "REJECT"), ("REJECT", "REJECT")]
