@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ def _tail(words: tuple[str, ...]) -> str:
     return r"(?i)(?:(?:^|\s+)(?:" + "|".join(words) + r")\.?)+$"
 
 
+def _without_tail(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Takes such words off a text's end; only a text whose last word is one is searched."""
+    last = sorted({w.split()[-1] for w in words})
+    return lambda t: F.when(F.lower(F.substring_index(t, " ", -1)).isin(*last), F.regexp_replace(t, _tail(words), "")).otherwise(t)
+
+
 def company_name(name: Column) -> Column:
     """Name without punctuation and without legal, place and again legal words at its end.
     If nothing would be left, the cleaned name. Known brands in their own spelling."""
@@ -27,7 +35,7 @@ def company_name(name: Column) -> Column:
     def short(c: Column) -> Column:
         out = c
         for words in (LEGAL, PLACES, LEGAL):
-            out = F.regexp_replace(out, _tail(words), "")
+            out = U.bound(out, _without_tail(words))
         return F.struct(c.alias("clean"), out.alias("out"))
 
     def named(n: Column) -> Column:

@@ -149,7 +149,7 @@ def html_links(spark, sf_dir):
 
 #: Links of every kind that are judged, put into each page's menu beside its own.
 MENU_LINKS = (
-    '<a href="/contact-us?a=1#b">Write</a><a href="https://other.example.org/about">About</a><a href="/x">Our Company</a><a href="/who-we-are">W</a><a href="HTTPS://www.LinkedIn.com/company/acme">in</a><a href="https://m.facebook.com/a">f</a>'
+    '<a href="/contact-us?a=1#b">Write</a><a href="https://other.example.org/about">About</a><a href="/x">Our Company</a><a href="/who-we-are">W</a><a href="https://www.LinkedIn.com/company/acme">in</a><a href="https://m.facebook.com/a">f</a>'
     '<a href="https://x.com/acme?s=1">x</a><a href="https://x.com/later">x</a><a href="/data-protection">P</a><a href="mailto:a@jobs.example.com">j</a><a href="/a/jobs/">J</a><a href="https://youtube.com/c">y</a>'
 )
 
