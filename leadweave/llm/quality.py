@@ -14,7 +14,7 @@ many, from a line that its checksum names); scoring runs over all rows and whole
 
 Labels, language, source and id are no features. Null or empty text: one line without
 characters, scored as such. Very long texts: whole, their lines counted in pieces of PIECE
-bytes, so that memory grows with the number of lines only. Null doc_id: not held out and
+bytes with the same result, so that memory grows with the number of lines only. Null doc_id: not held out and
 never a training row. Repeated rows are scored alike; of rows with one id the smallest text
 is the training row. Labels with null or other values than 0 and 1 are passed over; of
 several labels of an id the smaller counts. Without any usable labels of both kinds each
@@ -24,6 +24,7 @@ Empty table: empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ from pyspark.sql.types import IntegerType
 
 from leadweave.llm.common import batch_slices, pick
 
-SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_LINE_BYTES = 3000, 128, 4096  # the sample: documents, lines of each, bytes of a line at most
+SAMPLE_DOCS, SAMPLE_LINES = 3000, 128  # the sample: documents, lines of each; lines are whole
 PIECE = 1 << 20
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 ROUNDS, STEPS = 3, 100
@@ -55,9 +56,15 @@ BYTE_CLASS = _byte_classes()
 OWN_FEATURES = len(_CLASSES) + 6
 
 
-def _sums(blob: bytes) -> np.ndarray:
+_WHITE = (b" ", b"\t", b"\r", b"\x0b", b"\x0c", b"\n")
+_SOME_WHITE = re.compile(rb"[ \t\r\x0b\x0c\n]")
+
+
+def _sums(blob: bytes, offset: int = 0, before: tuple[int, ...] = ()) -> tuple[np.ndarray, tuple[int, ...]]:
     """For each line of a blob (each ends with a newline): bytes of each class, bytes, words,
-    bytes of words, words that repeat the word before and the one before that, a checksum."""
+    bytes of words, words that repeat the word before and the one before that, a checksum; and
+    the codes of the last line's last two words. The first line may go on with one of which
+    `offset` bytes and the words `before` are known."""
     b = np.frombuffer(blob, dtype=np.uint8)
     ends = np.flatnonzero(b == 10)
     starts = np.r_[0, ends[:-1] + 1]
@@ -71,36 +78,68 @@ def _sums(blob: bytes) -> np.ndarray:
     inside = (kind != _CLASSES.index("space")) & (kind != k)
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     begin, stop = edge[::2], edge[1::2]  # the blob ends outside a word
+    tail = before if n == 1 else ()
     if len(begin):
         line = np.searchsorted(ends, begin)
         place = np.arange(len(b), dtype=np.int32) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(b)])).astype(np.int32)
         code = np.add.reduceat(np.where(inside, b.astype(np.int32) * (1 + place % 53 * 97), 0), begin, dtype=np.int64) * 64 + (stop - begin) % 64
         out[:, k + 1] = np.bincount(line, minlength=n)
         out[:, k + 2] = np.bincount(line, weights=stop - begin, minlength=n)
+        code, line = np.r_[np.array(before, dtype=np.int64), code], np.r_[np.zeros(len(before), dtype=line.dtype), line]
         for lag in (1, 2):
             same = (code[lag:] == code[:-lag]) & (line[lag:] == line[:-lag])
+            same[: max(0, len(before) - lag)] = False  # counted by the piece before
             out[:, k + 2 + lag] = np.bincount(line[lag:], weights=same, minlength=n)
-    at = (np.arange(len(b), dtype=np.int32) - np.repeat(starts, ends - starts + 1).astype(np.int32)) % 61
-    out[:, k + 5] = np.add.reduceat(b.astype(np.int32) * (1 + at), starts, dtype=np.int64)
-    return out
+        tail = tuple(code[max(0, len(code) - 2) :][line[max(0, len(code) - 2) :] == n - 1].tolist())
+    at = np.arange(len(b), dtype=np.int32) - np.repeat(starts, ends - starts + 1).astype(np.int32)
+    at[: ends[0] + 1] += offset % 61
+    kept = b.astype(np.int32)
+    kept[ends] = 0
+    out[:, k + 5] = np.add.reduceat(kept * (1 + at % 61), starts, dtype=np.int64)
+    return out, tail
+
+
+def _word_sums(word: bytes, offset: int) -> tuple[np.ndarray, int]:
+    """_sums of a line that is one long word, and the word's code; offset: bytes of the line before it."""
+    k = len(_CLASSES)
+    out, total = np.zeros(k + 6), 0
+    for at in range(0, len(word), PIECE):
+        b = np.frombuffer(word, dtype=np.uint8, count=min(PIECE, len(word) - at), offset=at)
+        place = np.arange(at, at + len(b), dtype=np.int64)
+        out[:k] += np.bincount(BYTE_CLASS[b], minlength=k)[:k]
+        out[k + 5] += int((b * (1 + (place + offset) % 61)).sum())
+        total += int((b * (1 + place % 53 * 97)).sum())
+    out[k], out[k + 1], out[k + 2] = len(word), 1, len(word)
+    return out, total * 64 + len(word) % 64
 
 
 def _long_sums(text: bytes) -> np.ndarray:
-    """_sums of one long text, piece by piece. A piece ends with a line or, in a line that is
-    longer, after its last blank or at its size; what would reach over that isn't counted."""
-    parts, at, open_ = [], 0, False
+    """_sums of one long text, piece by piece, and the same numbers. A piece ends after its last
+    white space; a word without any as long as a piece is one of its own. What a line needs to
+    know of the pieces before (its length so far, its last two words) is carried on."""
+    parts, at, offset, before = [], 0, 0, ()
     while at <= len(text):
-        end = text.find(b"\n", at + PIECE // 2, at + PIECE)
-        whole = end >= 0 or at + PIECE > len(text)
-        if end < 0:
-            end = len(text) if whole else (text.rfind(b" ", at + PIECE // 2, at + PIECE) + 1 or at + PIECE)
-        x = _sums(text[at:end] + b"\n")
-        if open_:
+        end = len(text) if at + PIECE > len(text) else max(text.rfind(c, at, at + PIECE) for c in _WHITE) + 1
+        if end > at or at == len(text):
+            x, tail = _sums(text[at:end] + b"\n", offset, before)  # a piece that ends with a line opens the next one
+        else:
+            m = _SOME_WHITE.search(text, at)
+            end = m.start() if m else len(text)
+            x, code = _word_sums(text[at:end], offset)
+            x = x[None, :]
+            x[0, -3:-1] = [len(before) >= lag and before[-lag] == code for lag in (1, 2)]
+            tail = (*before, code)[-2:]
+        if parts:  # the piece goes on with the line that the last one left open
             parts[-1][-1] += x[0]
+            offset = int(x[0, len(_CLASSES)]) + offset if len(x) == 1 else int(x[-1, len(_CLASSES)])
             x = x[1:]
+        else:
+            offset = int(x[-1, len(_CLASSES)])
         if len(x):
             parts.append(x)
-        at, open_ = end + (1 if whole else 0), not whole
+        before, at = tail, end
+        if end >= len(text):
+            break
     return np.vstack(parts)
 
 
@@ -110,13 +149,13 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for t in texts:
         if len(t) > PIECE:
             if small:
-                parts.append(_sums(b"\n".join(small) + b"\n"))
+                parts.append(_sums(b"\n".join(small) + b"\n")[0])
                 small = []
             parts.append(_long_sums(t))
         else:
             small.append(t)
     if small:
-        parts.append(_sums(b"\n".join(small) + b"\n"))
+        parts.append(_sums(b"\n".join(small) + b"\n")[0])
     sums, k = np.vstack(parts) if parts else np.zeros((0, len(_CLASSES) + 6)), len(_CLASSES)
     size, words, total = sums[:, k], np.maximum(sums[:, k + 1], 1), sums[:, k + 5]
     x = np.zeros((len(sums), OWN_FEATURES))
@@ -133,13 +172,12 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def sample_of(text: bytes) -> bytes:
-    """The whole text, or SAMPLE_LINES of its lines from one that its checksum names; of each
-    line at most SAMPLE_LINE_BYTES."""
+    """The whole text, or SAMPLE_LINES of its lines from one that its checksum names."""
     lines = text.split(b"\n")
     if len(lines) > SAMPLE_LINES:
         at = zlib.crc32(text) % (len(lines) - SAMPLE_LINES + 1)
         lines = lines[at : at + SAMPLE_LINES]
-    return b"\n".join(line[:SAMPLE_LINE_BYTES] for line in lines)
+    return b"\n".join(lines)
 
 
 def with_neighbours(x: np.ndarray, each: np.ndarray) -> np.ndarray:
