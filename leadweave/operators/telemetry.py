@@ -1,9 +1,9 @@
 """Health, yield and feedback over outcome logs (entity, ord, ts, outcome, latency).
 
-Windows are partitioned by entity; folds that aren't associative (clamped weights, breakers,
-buckets) run over each entity's ordered events. A fold holds the events of one entity in one
-row (some 24 bytes each): entities are providers, hosts or users, whose logs stay below some
-ten million events; longer ones are folded by day, with the state of the day before.
+Clamped weights, scores and rates fold by chunks, and windows and streaks have versions over
+chunks of an entity's log (see chunks.py). Breakers and buckets are machines with a clock whose
+steps don't compose: batch runs them over an entity's ordered events in one row (some 24 bytes
+each, so some ten million events), streaming keeps their state (streaming/state.py).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadweave.functions import values as V
+from leadweave.operators import chunks
 
 #: Points of an outcome, and outcomes that count as failures.
 POINTS = {"accepted_company": 5, "contact_found": 3, "homepage_crawled": 2, "search_hit": 1, "zero_result": -1, "unavailable": -2, "captcha": -3, "parser_failure": 0}
@@ -182,9 +183,8 @@ def rejection_report(df: DataFrame, reason: Column) -> DataFrame:
 
 def clamped_fold(df: DataFrame, entity: str, order: str, delta: Column, start: float = 1.0, low: float = 1.0, high: float = 50.0) -> DataFrame:
     """Weight of each entity after its steps in order, kept within bounds after each."""
-    g = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), delta.cast("double").alias("d")))).alias("steps"))
-    w = F.aggregate("steps", F.lit(start), lambda a, x: F.least(F.lit(high), F.greatest(F.lit(low), a + x["d"])))
-    return g.select(entity, w.alias("weight"), F.size("steps").cast("long").alias("steps"))
+    g = chunks.composed(df, entity, order, chunks.step(1.0, F.coalesce(delta, F.lit(0.0)), low, high))
+    return g.select(entity, chunks.applied(F.col("f"), F.lit(start)).alias("weight"), F.col("n").alias("steps"))
 
 
 def breaker_states(df: DataFrame, entity: str, order: str, ts: Column, failed: Column, points: float = 4.0, limit: float = 10.0, cooldown: int = 600) -> DataFrame:
@@ -217,9 +217,8 @@ def score_fold(df: DataFrame, entity: str, order: str, outcome: Column, start: f
     step = F.lit(V.SCORE_STEP)
     for k, v in V.SCORE_STEPS.items():
         step = F.when(outcome == k, F.lit(v)).otherwise(step)
-    g = _events_of(df, entity, order, d=step)
-    w = F.aggregate("_log", F.lit(start), lambda a, x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), a + x["d"])))
-    return g.select(entity, w.alias("score"), F.size("_log").cast("long").alias("events"))
+    g = chunks.composed(df, entity, order, chunks.step(1.0, step, 0.0, 100.0))
+    return g.select(entity, chunks.applied(F.col("f"), F.lit(start)).alias("score"), F.col("n").alias("events"))
 
 
 def ratio_breaker(df: DataFrame, entity: str, order: str, ts: Column, failed: Column, window: int = 20, least: int = 6, share: float = 0.8, waits: tuple[int, ...] = (60, 120, 300, 600), probes: int = 2) -> DataFrame:
@@ -275,13 +274,9 @@ def streak_breaker(df: DataFrame, entity: str, order: str, ts: Column, failed: C
 def throttle_fold(df: DataFrame, entity: str, order: str, status: Column, blocked: Column, seconds: Column, start: float = 1.0) -> DataFrame:
     """entity, rate: requests a second after each answer in order: less after refusals, blocks and
     slow answers, a little more after fast ones, within bounds."""
-    g = _events_of(df, entity, order, s=F.coalesce(status == 429, F.lit(False)), b=F.coalesce(blocked, F.lit(False)), t=seconds.cast("double"))
-
-    def fold(a: Column, x: Column) -> Column:
-        slow, fast = F.greatest(F.lit(0.1), a * 0.8), F.least(F.lit(2.0), a * 1.1)
-        return F.when(x["s"], F.greatest(F.lit(0.05), a * 0.4)).when(x["b"], F.greatest(F.lit(0.05), a * 0.5)).when(x["t"] > 2.0, slow).when(x["t"] < 0.8, fast).otherwise(a)
-
-    return g.select(entity, F.aggregate("_log", F.lit(start), fold).alias("rate"))
+    S = chunks.step
+    each = F.when(status == 429, S(0.4, lo=0.05)).when(blocked, S(0.5, lo=0.05)).when(seconds > 2.0, S(0.8, lo=0.1)).when(seconds < 0.8, S(1.1, hi=2.0)).otherwise(S())
+    return chunks.composed(df, entity, order, each).select(entity, chunks.applied(F.col("f"), F.lit(start)).alias("rate"))
 
 
 def snapshot(df: DataFrame, entity: str, order: str, outcome: str, keep: int = 50) -> DataFrame:

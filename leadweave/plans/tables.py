@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadweave.functions import names as N
-from leadweave.operators import merge, ranking
+from leadweave.operators import chunks, merge, ranking
 from leadweave.operators import telemetry as T
 
 #: Event types as outcomes of a feedback log.
@@ -40,35 +40,46 @@ def outcome_points(spark, sf_dir):
     return T.feedback(_table(spark, sf_dir, "events").withColumn("outcome", kind), "user_id", "event_id")
 
 
+def chunks_of_rows(n: int):
+    return Window.partitionBy("user_id", "chunk_").orderBy("ts", "event_id").rowsBetween(1 - n, 0)
+
+
+def _with_rows(spark, sf_dir, n: int):
+    """Events in chunks of a week, each with the n - 1 rows of its user before it."""
+    return chunks.with_last_rows(_events(spark, sf_dir), "user_id", ["ts", "event_id"], chunks.chunk_of(F.col("sec"), chunks.SECONDS), n)
+
+
 def rolling_latency(spark, sf_dir):
-    w = T.last_rows("user_id", ["ts", "event_id"], 20)
-    return _table(spark, sf_dir, "events").select("event_id", F.bround(T.adaptive_timeout(F.col("value"), w), 6).alias("timeout"))
+    w = chunks_of_rows(20)
+    return _with_rows(spark, sf_dir, 20).select("edge_", "event_id", F.bround(T.adaptive_timeout(F.col("value"), w), 6).alias("timeout")).filter("NOT edge_").drop("edge_")
 
 
 def recent_success(spark, sf_dir):
     """Success ratio over each user's last day."""
-    w = T.last_seconds("user_id", F.col("sec"), 86_400)
-    return _events(spark, sf_dir).select("event_id", F.bround(T.success_ratio(F.col("event_type") != "error", w), 9).alias("ratio"))
+    w = Window.partitionBy("user_id", "chunk_").orderBy("sec").rangeBetween(-86_400, 0)
+    d = chunks.with_last_seconds(_events(spark, sf_dir), F.col("sec"), 86_400)
+    return d.select("edge_", "event_id", F.bround(T.success_ratio(F.col("event_type") != "error", w), 9).alias("ratio")).filter("NOT edge_").drop("edge_")
 
 
 def budget_window(spark, sf_dir):
     """Whether a user stays under 8 requests in two days."""
-    w = T.last_seconds("user_id", F.col("sec"), 172_800)
+    w = Window.partitionBy("user_id", "chunk_").orderBy("sec").rangeBetween(-172_800, 0)
     n = F.count(F.lit(1)).over(w)
-    return _events(spark, sf_dir).select("event_id", n.alias("n"), (n <= 8).alias("within"))
+    return chunks.with_last_seconds(_events(spark, sf_dir), F.col("sec"), 172_800).select("edge_", "event_id", n.alias("n"), (n <= 8).alias("within")).filter("NOT edge_").drop("edge_")
 
 
 def health_tier(spark, sf_dir):
-    w50, w20 = (T.last_rows("user_id", ["ts", "event_id"], n) for n in (50, 20))
+    w50, w20 = (chunks_of_rows(n) for n in (50, 20))
     good = (F.col("event_type") != "error").cast("int")
     n50, g50, n20, g20 = F.count(F.lit(1)).over(w50), F.sum(good).over(w50), F.count(F.lit(1)).over(w20), F.sum(good).over(w20)
-    d = _table(spark, sf_dir, "events").select("event_id", n50.alias("n50"), g50.alias("g50"), n20.alias("n20"), g20.alias("g20"))
+    d = _with_rows(spark, sf_dir, 50).select("edge_", "event_id", n50.alias("n50"), g50.alias("g50"), n20.alias("n20"), g20.alias("g20"))
     conf = T.blended_confidence(T.beta_confidence(F.col("g50"), F.col("n50")), F.lit(50.0), F.col("n50"))
-    return d.select("event_id", F.bround(conf, 9).alias("confidence"), T.tier(F.col("g20"), F.col("n20"), F.col("n20") - F.col("g20")).alias("tier"))
+    return d.filter("NOT edge_").select("event_id", F.bround(conf, 9).alias("confidence"), T.tier(F.col("g20"), F.col("n20"), F.col("n20") - F.col("g20")).alias("tier"))
 
 
 def failure_streaks(spark, sf_dir):
-    return T.failure_streak(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "streak")
+    e = _events(spark, sf_dir)
+    return chunks.failure_streak(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error", chunks.chunk_of(F.col("sec"), chunks.SECONDS)).select("event_id", "streak")
 
 
 def yield_stops(spark, sf_dir):
