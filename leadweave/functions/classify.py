@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadweave.functions import names as N
+from leadweave.functions import terms as T
 from leadweave.functions import url as U
 from leadweave.functions import values as V
 
@@ -37,7 +38,7 @@ def has_any(text: Column, terms) -> Column:
     """Whether any of the terms is part of the text."""
     import re
 
-    return text.rlike("|".join(re.escape(t).replace("/", "/") for t in terms))
+    return text.rlike("|".join(re.escape(t) for t in terms))
 
 
 def is_listing(name: Column) -> Column:
@@ -217,37 +218,47 @@ def result_quality(url: Column, title: Column, snippet: Column) -> Column:
     return F.when(bad, F.lit("Rejected")).when(none(title) | none(snippet), F.lit("Suspicious")).otherwise(F.lit("Accepted"))
 
 
+#: What _scores tells of a text, in this order.
+_HELD = T.table(V.INDUSTRIES) + T.table(V.COMPANY_TYPES) + T.table({"open source": V.OPEN_SOURCE_TERMS})
+_COUNTED = T.table(V.ORGANISATION_WORDS)
+
+
+def _scores(text: Column) -> dict[str, tuple[list[str], Column]]:
+    """Numbers of all classes of a text: one pass, shared by all that ask within a plan."""
+    s = T.scores(_HELD, _COUNTED)(F.lower(F.coalesce(text, F.lit(""))))
+    names = [*V.INDUSTRIES, *V.COMPANY_TYPES, "open source", *V.ORGANISATION_WORDS]
+    at, groups = 0, {}
+    for group, size in (("industry", len(V.INDUSTRIES)), ("type", len(V.COMPANY_TYPES)), ("open", 1), ("organisation", len(V.ORGANISATION_WORDS))):
+        groups[group] = (names[at : at + size], F.slice(s, at + 1, size))
+        at += size
+    return groups
+
+
 def company_type(text: Column) -> Column:
     """The first type that one of its words tells; Unknown."""
-    t, out = F.lower(F.coalesce(text, F.lit(""))), F.lit("Unknown")
-    for name, words in reversed(V.COMPANY_TYPES.items()):
-        out = F.when(has_any(t, words), F.lit(name)).otherwise(out)
-    return out
+    names, s = _scores(text)["type"]
+    first = F.array_position(F.transform(s, lambda x: x > 0), True)
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, names)), F.nullif(first, F.lit(0)).cast("int")), F.lit("Unknown"))
 
 
-def _best(scores: list[tuple[str, Column]]) -> tuple[Column, Column]:
-    """Name and value of the largest score; the first of equal ones."""
-    a = F.array(*[F.struct(s.cast("double").alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, (n, s) in enumerate(scores)])
-    top = F.array_max(a)
-    return top["n"], top["s"]
+def _best(names: list[str], scores: Column, none: str) -> Column:
+    """Name of the largest score, the first of equal ones; none if all are 0."""
+    top = F.array_max(scores)
+    return F.when(top > 0, F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, top).cast("int"))).otherwise(F.lit(none))
 
 
 def industry(text: Column) -> Column:
     """The industry with the most of its words in the text, the first of equal ones; Unknown."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    name, score = _best([(k, sum((F.when(t.contains(w), 1).otherwise(0) for w in words), F.lit(0))) for k, words in V.INDUSTRIES.items()])
-    return F.when(score > 0, name).otherwise(F.lit("Unknown"))
+    return _best(*_scores(text)["industry"], "Unknown")
 
 
 def organisation(text: Column, url: Column) -> Column:
     """Kind of organisation: by the host's end, else by counted words; B2B Software if none."""
-    t, h = F.lower(F.coalesce(text, F.lit(""))), U.netloc(F.coalesce(url, F.lit("")))
-    count = lambda words: F.regexp_count(t, F.lit(r"\b(?:" + "|".join(words) + r")\b"))
-    name, score = _best([(k, count(w)) for k, w in V.ORGANISATION_WORDS.items()])
+    h, found = U.netloc(F.coalesce(url, F.lit(""))), _scores(text)
     return (
-        F.when(h.endswith(".org") & ~has_any(h, ("stripe", "paypal")), F.when(has_any(t, V.OPEN_SOURCE_TERMS), F.lit("Open Source")).otherwise(F.lit("NGO")))
+        F.when(h.endswith(".org") & ~has_any(h, ("stripe", "paypal")), F.when(found["open"][1][0] > 0, F.lit("Open Source")).otherwise(F.lit("NGO")))
         .when(h.endswith(".edu") | has_any(h, V.EDUCATION_HOSTS), F.lit("Education")).when(h.endswith(".gov") | h.endswith(".nic.in") | h.contains(".gov."), F.lit("Government"))
-        .when(score > 0, name).otherwise(F.lit("B2B Software"))
+        .otherwise(_best(*found["organisation"], "B2B Software"))
     )
 
 

@@ -56,23 +56,55 @@ def best_class(hits: DataFrame, key: str, classes: DataFrame) -> DataFrame:
     return best.select(key, F.col("b.label").alias("label"), F.col("b.score").alias("score"))
 
 
-def closest_domain(keywords: DataFrame, ontology: DataFrame) -> DataFrame:
-    """keyword, domain: an exact key, an exact term, else the shortest key or term that contains
-    the keyword (then by the ontology's order); null if there is none.
+#: Length of the pieces by which words are found inside terms.
+PIECE = 3
+
+
+def _pieces(c: Column, n: int) -> Column:
+    """All distinct pieces of so many characters."""
+    at = F.sequence(F.lit(1), F.length(c) - (n - 1))
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(words: DataFrame, terms: DataFrame, value: Column) -> DataFrame:
+    """q, best: for each word of q that is part of a term, the least value of those terms.
 
-    The ontology is a dictionary: it travels to the keywords, which are tested one by one.
+    Equi-joins only. A word of up to PIECE characters is itself a piece, and terms keep their
+    least value for each piece; a longer word meets the terms that have its rarest piece, and
+    is looked for in those. Nothing is broadcast but what the session's own limit allows.
+    words: q, distinct; terms: term and the columns of value. Null and empty words and terms
+    give nothing.
     """
-    k = keywords.select("keyword", F.lower(F.trim("keyword")).alias("q")).filter("q <> ''").distinct()
+    t = terms.select("term", value.alias("v")).groupBy("term").agg(F.min("v").alias("v"))
+    w = words.select("q").filter("q <> ''")
+    pieces = F.flatten(F.array(*[_pieces(F.col("term"), n) for n in range(1, PIECE + 1)]))
+    least = t.select(F.explode(pieces).alias("q"), "v").groupBy("q").agg(F.min("v").alias("best"))
+    short = w.filter(F.length("q") <= PIECE).join(least, "q").select("q", "best")
+
+    posted = t.select("term", "v", F.explode(_pieces(F.col("term"), PIECE)).alias("piece"))
+    asked = w.filter(F.length("q") > PIECE).select("q", F.explode(_pieces(F.col("q"), PIECE)).alias("piece"))
+    often = posted.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(often, "piece", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r"))
+    rarest = rarest.filter("r.n > 0").select("q", F.col("r.piece").alias("piece"))
+    long = rarest.join(posted, "piece").filter(F.contains("term", "q")).groupBy("q").agg(F.min("v").alias("best"))
+    return short.unionByName(long)
+
+
+def closest_domain(keywords: DataFrame, ontology: DataFrame) -> DataFrame:
+    """keyword, domain: an exact key, an exact term, else the shortest key or term that contains
+    the keyword (then by the ontology's order); null if there is none."""
+    low = F.lower(F.trim("keyword"))
+    k = keywords.select(low.alias("q")).filter("q <> ''").distinct()
     o = ontology.select("domain", F.lower("term").alias("term"), "ordinal")
     keys = o.groupBy("domain").agg(F.min("ordinal").alias("ordinal")).select("domain", F.lower("domain").alias("term"), (F.col("ordinal") - 0.5).alias("ordinal"), F.lit(0).alias("exact"))
     entries = keys.unionByName(o.select("domain", "term", F.col("ordinal").cast("double").alias("ordinal"), F.lit(1).alias("exact")))
-    label = F.lower(N.concept(F.col("q")))
-    same = F.col("term").isin(F.col("q"), F.col("label"))
-    met = k.withColumn("label", label).join(F.broadcast(entries), F.contains(F.col("term"), F.col("q")) | (F.col("term") == F.col("label")))
-    rank = F.when(same, F.col("exact")).otherwise(2)
-    size = F.when(same, F.lit(0)).otherwise(F.length("term"))
-    found = met.groupBy("keyword").agg(F.min(F.struct(rank.alias("rank"), size.alias("size"), "ordinal", "domain")).alias("b"))
-    return keywords.join(found.select("keyword", F.col("b.domain").alias("domain")), "keyword", "left")
+    ranked = lambda rank, size: F.struct(rank.alias("rank"), size.alias("size"), "ordinal", "domain")
+    same = entries.groupBy("term").agg(F.min(ranked(F.col("exact"), F.lit(0))).alias("best"))
+    named = k.select("q", F.explode(F.array_distinct(F.array("q", F.lower(N.concept(F.col("q")))))).alias("term"))
+    exact = named.join(same, "term").select("q", "best")
+    part = containing(k, entries, ranked(F.lit(2), F.length("term")))
+    found = exact.unionByName(part).groupBy("q").agg(F.min("best").alias("b"))
+    return keywords.withColumn("_q", low).join(found.select(F.col("q").alias("_q"), F.col("b.domain").alias("domain")), "_q", "left").select(*keywords.columns, "domain")
 
 
 def resolved_intent(keywords: DataFrame, ontology: DataFrame) -> DataFrame:
