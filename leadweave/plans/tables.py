@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadweave.functions import names as N
-from leadweave.operators import chunks, merge, ranking
+from leadweave.operators import chunks, merge, ranking, sketches
 from leadweave.operators import telemetry as T
 
 #: Event types as outcomes of a feedback log.
@@ -28,6 +28,14 @@ def provider_report(spark, sf_dir):
     return r.withColumn("score", score).select("user_id", "requests", *[F.bround(c, 9).alias(c) for c in ("error_rate", "purchase_rate", "avg_latency", "median_latency", "p95_latency", "score")])
 
 
+def merged_reports(spark, sf_dir):
+    """provider_report's figures, read from the merged snapshots of three parts of the log."""
+    d, kind = _table(spark, sf_dir, "events"), F.col("event_type")
+    parts = [sketches.snapshot(d.filter(F.col("event_id") % 3 == i), "user_id", "value", "event_type", error=kind == "error", purchase=kind == "purchase") for i in range(3)]
+    r = sketches.report(sketches.merged("user_id", *parts), "user_id")
+    return r.select("user_id", "requests", *[F.bround(c, 9).alias(c) for c in ("error_rate", "purchase_rate", "avg_latency", "median_latency", "p95_latency")], "distinct_values")
+
+
 def rejection_rollup(spark, sf_dir):
     r = T.rejection_report(_table(spark, sf_dir, "events"), F.concat_ws("_", F.when(F.col("value") > 50, F.lit("high")).otherwise(F.lit("low")), "event_type"))
     return r.select("stage", "reason", "n", F.bround("share", 9).alias("share"))
@@ -166,13 +174,16 @@ def revenue_by_nation(spark, sf_dir):
     return d.groupBy("n_name").agg(F.count(F.lit(1)).alias("lines"), F.bround(F.sum("rev"), 2).alias("revenue"))
 
 
-QUERIES = {f.__name__: f for f in (provider_report, rejection_rollup, outcome_points, rolling_latency, recent_success, budget_window, health_tier, failure_streaks, yield_stops, clamped_fold, breaker_states, token_buckets, funnel, freshness_scores, upsert_last_wins, best_record_merge, top_k_budget, per_group_top, title_case, source_top, best_and_worst, event_windows, revenue_by_nation)}
+QUERIES = {f.__name__: f for f in (provider_report, merged_reports, rejection_rollup, outcome_points, rolling_latency, recent_success, budget_window, health_tier, failure_streaks, yield_stops, clamped_fold, breaker_states, token_buckets, funnel, freshness_scores, upsert_last_wins, best_record_merge, top_k_budget, per_group_top, title_case, source_top, best_and_worst, event_windows, revenue_by_nation)}
 
 _W20 = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 _W50 = _W20.replace("19", "49")
 _SEC = "CAST(floor(epoch(ts)) AS BIGINT)"
 _POINT = "CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 3 WHEN 'view' THEN 2 WHEN 'click' THEN 1 WHEN 'error' THEN -2 ELSE 0 END"
 ORACLES = {
+    # users have fewer events than a sketch keeps whole: its quantiles are exact there
+    "merged_reports": """SELECT user_id, count(*) AS requests, round_even(count(*) FILTER (event_type = 'error') / count(*), 9) AS error_rate, round_even(count(*) FILTER (event_type = 'purchase') / count(*), 9) AS purchase_rate, round_even(coalesce(sum(value), 0) / count(*) / 1000, 9) AS avg_latency,
+        round_even(coalesce(quantile_disc(value, 0.5), 0) / 1000, 9) AS median_latency, round_even(coalesce(quantile_disc(value, 0.95), 0) / 1000, 9) AS p95_latency, count(DISTINCT event_type) AS distinct_values FROM events GROUP BY user_id""",
     "provider_report": """SELECT user_id, requests, round_even(e, 9) AS error_rate, round_even(p, 9) AS purchase_rate, round_even(a, 9) AS avg_latency, round_even(m, 9) AS median_latency, round_even(q, 9) AS p95_latency,
         round_even(0.5 * p + 0.1 * (1 - e) + 0.05 * greatest(0, 1 - a / 10), 9) AS score FROM (SELECT user_id, count(*) AS requests, avg(CAST(event_type = 'error' AS INT)) AS e, avg(CAST(event_type = 'purchase' AS INT)) AS p,
         sum(value) / count(*) / 1000 AS a, quantile_cont(value, 0.5) / 1000 AS m, quantile_cont(value, 0.95) / 1000 AS q FROM events GROUP BY user_id)""",
