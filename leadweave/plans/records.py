@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadweave.functions import classify as C
@@ -13,7 +15,8 @@ from leadweave.functions import url as U
 from leadweave.operators import dedup, lookup, merge, ranking, stages
 from leadweave.operators import telemetry as T
 from leadweave.plans.rules import _cases, _table, _values
-from leadweave.sources import readers, sinks
+from leadweave.sources import arrays, readers, sinks
+from leadweave.sources.sinks import scratch
 from leadweave.streaming import state
 
 LINKS = (
@@ -177,8 +180,20 @@ def relevance_tiers(spark, sf_dir):
     return d.select("p_partkey", "score", r["score"].alias("total"), r["tier"].alias("tier"), x["tier"].alias("exact"), a["classification"].alias("accepted"), a["score"].alias("accepted_score"))
 
 
+def array_records(spark, sf_dir):
+    """Customers written as JSON arrays, every eleventh record broken, and read by byte ranges:
+    the records, and the broken ones by the number in their text."""
+    folder = f"{scratch(spark)}/array_records-{uuid.uuid4().hex}"
+    d = _table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    broken = F.concat(F.lit('{"c_custkey" '), F.col("c_custkey").cast("string"), F.lit("}"))
+    arrays.write_arrays(d, folder, F.when(F.col("c_custkey") % 11 == 0, broken).otherwise(F.to_json(F.struct(*d.columns))))
+    good, bad = arrays.json_array_records(spark, folder, "c_custkey long, c_name string, c_acctbal double")
+    bad = bad.select(F.regexp_extract("raw", r"\d+", 0).cast("long").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(True).alias("rejected"))
+    return good.select("c_custkey", "c_name", "c_acctbal", F.lit(False).alias("rejected")).unionByName(bad)
+
+
 QUERIES = {f.__name__: f for f in (
-    link_helpers, text_helpers, contact_lists, completeness_scores, verified_leads, learned_terms, derived_scores, clean_totals, budgeted_tasks, json_results, best_names, page_people, merged_history, signal_counts, search_reports, relevance_tiers,
+    array_records, link_helpers, text_helpers, contact_lists, completeness_scores, verified_leads, learned_terms, derived_scores, clean_totals, budgeted_tasks, json_results, best_names, page_people, merged_history, signal_counts, search_reports, relevance_tiers,
 )}
 
 _made = lambda rows, names: f"nation, (VALUES {_values(rows)}) v(\"case\", {names})"
@@ -194,6 +209,7 @@ _LIST_ROWS = (("c@d.com|c@d.com", "2125550199|+919876543210", "Ann| Bob", "Ann|
 _GOOD = "avg(CAST(event_type <> 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 _CUSTOMER = "CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 17 = 0 THEN 'Top 10 widget makers' ELSE 'Company ' || c_custkey % 500 END"
 ORACLES = {
+    "array_records": "SELECT c_custkey, CASE WHEN c_custkey % 11 > 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 11 > 0 THEN c_acctbal END AS c_acctbal, c_custkey % 11 = 0 AS rejected FROM customer",
     "link_helpers": f"SELECT n_nationkey, \"case\", root, cache, target, domain, token FROM {_made(_LINK_ROWS, 'root, cache, target, domain, token')}",
     "text_helpers": f"SELECT n_nationkey, \"case\", slug, dashed, tidy, words, g = '1' AS garbage, CASE WHEN email <> 'x' THEN email END AS email, r = '1' AS registry, CAST(d AS INT) AS decision, CAST(s AS INT) AS source_score, p = '1' AS person FROM {_made(_TEXT_ROWS, 'slug, dashed, tidy, words, g, email, r, d, s, p')}",
     "contact_lists": f"SELECT n_nationkey, \"case\", emails, phones, items, people, own FROM {_made(_LIST_ROWS, 'emails, phones, items, people, own')}",

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadweave.schemas import LEAD
@@ -29,7 +29,7 @@ _DEPTH[[ord("]"), ord("}")]] = -1
 def _open(path: str):
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    system, place = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", re.sub("^file:/+", "file:///", path)))
     return system.open_input_file(place)
 
 
@@ -192,6 +192,8 @@ def _bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": ["]"]})
 
 
-def write_arrays(df: DataFrame, path: str) -> None:
-    """The rows as JSON arrays, one file a task, each written as it streams by."""
-    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(_bracketed, "value string").write.mode("overwrite").text(path)
+def write_arrays(df: DataFrame, path: str, element: Column | None = None) -> None:
+    """The rows (or the given texts of them) as JSON arrays, one file a task, each written as it
+    streams by."""
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}) if element is None else element
+    df.select(text.alias("value")).mapInPandas(_bracketed, "value string").write.mode("overwrite").text(path)

@@ -11,8 +11,8 @@ from leadweave.schemas import LEAD
 def json_records(spark: SparkSession, paths: str | list[str], schema: str = LEAD) -> tuple[DataFrame, DataFrame]:
     """Records of JSON arrays (files or globs) with their file, and the texts that are no arrays.
 
-    A file is one array and thus one row, whichever way it is read; files of 2 GB and more
-    don't fit a row and must be split, or written as a record a line.
+    A file is one row here, so it must stay below 2 GB; arrays.json_array_records reads larger
+    ones by byte ranges, and takes a broken record alone as a reject.
     """
     d = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("source_file"), F.col("value").alias("raw"))
     array = F.when(F.ltrim("raw").startswith("["), F.from_json("raw", f"array<struct<{_as_fields(schema)}>>", {"mode": "PERMISSIVE"}))

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from leadweave.sources.readers import _fs
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where it is
+    unset and the master is local, a folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/leadweave-scratch"
+    return root.rstrip("/")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
