@@ -33,7 +33,7 @@ def merged_reports(spark, sf_dir):
     d, kind = _table(spark, sf_dir, "events"), F.col("event_type")
     parts = [sketches.snapshot(d.filter(F.col("event_id") % 3 == i), "user_id", "value", "event_type", error=kind == "error", purchase=kind == "purchase") for i in range(3)]
     r = sketches.report(sketches.merged("user_id", *parts), "user_id")
-    return r.select("user_id", "requests", *[F.bround(c, 9).alias(c) for c in ("error_rate", "purchase_rate", "avg_latency", "median_latency", "p95_latency")], "distinct_values")
+    return r.select("user_id", "requests", *[F.bround(c, 12).alias(c) for c in ("error_rate", "purchase_rate", "avg_latency", "median_latency", "p95_latency")], "distinct_values")  # 12 places: at 9 means are ties
 
 
 def rejection_rollup(spark, sf_dir):
@@ -182,8 +182,8 @@ _SEC = "CAST(floor(epoch(ts)) AS BIGINT)"
 _POINT = "CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 3 WHEN 'view' THEN 2 WHEN 'click' THEN 1 WHEN 'error' THEN -2 ELSE 0 END"
 ORACLES = {
     # users have fewer events than a sketch keeps whole: its quantiles are exact there
-    "merged_reports": """SELECT user_id, count(*) AS requests, round_even(count(*) FILTER (event_type = 'error') / count(*), 9) AS error_rate, round_even(count(*) FILTER (event_type = 'purchase') / count(*), 9) AS purchase_rate, round_even(coalesce(sum(value), 0) / count(*) / 1000, 9) AS avg_latency,
-        round_even(coalesce(quantile_disc(value, 0.5), 0) / 1000, 9) AS median_latency, round_even(coalesce(quantile_disc(value, 0.95), 0) / 1000, 9) AS p95_latency, count(DISTINCT event_type) AS distinct_values FROM events GROUP BY user_id""",
+    "merged_reports": """SELECT user_id, count(*) AS requests, round_even(count(*) FILTER (event_type = 'error') / count(*), 12) AS error_rate, round_even(count(*) FILTER (event_type = 'purchase') / count(*), 12) AS purchase_rate, round_even(coalesce(sum(value), 0) / count(*) / 1000, 12) AS avg_latency,
+        round_even(coalesce(quantile_disc(value, 0.5), 0) / 1000, 12) AS median_latency, round_even(coalesce(quantile_disc(value, 0.95), 0) / 1000, 12) AS p95_latency, count(DISTINCT event_type) AS distinct_values FROM events GROUP BY user_id""",
     "provider_report": """SELECT user_id, requests, round_even(e, 9) AS error_rate, round_even(p, 9) AS purchase_rate, round_even(a, 9) AS avg_latency, round_even(m, 9) AS median_latency, round_even(q, 9) AS p95_latency,
         round_even(0.5 * p + 0.1 * (1 - e) + 0.05 * greatest(0, 1 - a / 10), 9) AS score FROM (SELECT user_id, count(*) AS requests, avg(CAST(event_type = 'error' AS INT)) AS e, avg(CAST(event_type = 'purchase' AS INT)) AS p,
         sum(value) / count(*) / 1000 AS a, quantile_cont(value, 0.5) / 1000 AS m, quantile_cont(value, 0.95) / 1000 AS q FROM events GROUP BY user_id)""",
