@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -29,18 +30,29 @@ LD_FIELDS = ("description", "keywords", "industry", "knowsAbout", "about", "name
 #: Elements that a person's name or title may be the text of; and such as may be a page's footer.
 _BLOCKS = {"h1", "h2", "h3", "h4", "p", "span", "div"}
 _FOOTERS = {"footer", "div", "section"}
+#: An ampersand that begins no reference with a semicolon.
+_BARE_AMPERSAND = re.compile(r"&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)")
 
 
 class _Page(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        # A reference counts with its semicolon only: other ampersands are held back as a character that the page lacks.
+        self.held = next((c for c in map(chr, range(0xFDD0, 0xFDF0)) if c not in html), "") if _BARE_AMPERSAND.search(html) else ""
         self.title, self.description, self.lang, self.ld_text = "", "", "", ""
         self.headings, self.links, self.blocks, self.text, self.body, self.metas, self.ld_items = [], [], [], [], [], [], []
         self.emails, self.phones, self.skip, self.footers, self.open, self.ld, self.item = [], [], 0, [], [], None, None
         self.classes, self.elements, self.has = set(), 0, set()
 
+    def read(self, html: str) -> None:
+        self.feed(_BARE_AMPERSAND.sub(self.held, html) if self.held else html)
+        self.close()
+
+    def _given(self, text: str) -> str:
+        return text.replace(self.held, "&") if self.held else text
+
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+        a = {k: self._given(v or "") for k, v in attrs}
         self.elements += 1
         self.classes.update(a.get("class", "").split())
         if "schema.org" in a.get("itemtype", ""):
@@ -99,6 +111,7 @@ class _Page(HTMLParser):
             self.links[-1][1] = self.links[-1][1] or body
 
     def handle_data(self, data):
+        data = self._given(data)
         if self.skip:
             if self.ld is not None:
                 self.ld.append(data)
@@ -149,9 +162,8 @@ def _joined(base: str, href: str) -> tuple[str | None, str | None]:
 
 def parse(html: str | None, base: str | None = None) -> dict:
     base = base or ""
-    p = _Page()
-    p.feed(html or "")
-    p.close()
+    p = _Page(html or "")
+    p.read(html or "")
     once = lambda x: list(dict.fromkeys(x))
     plain = lambda parts: " ".join(" ".join(parts).split())
     links = [{"href": h, "text": t, "footer": f, "heading": h3, "around": plain(around or [])[:2000], **dict(zip(("url", "host"), _joined(base, h)))} for h, t, f, h3, around in p.links]
