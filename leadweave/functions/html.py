@@ -1,16 +1,19 @@
-"""Page parsing: one pandas UDF turns HTML into a struct; everything after it is expressions."""
+"""Page parsing: one Arrow UDF turns HTML into a struct; everything after it is expressions."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from leadweave.functions import classify as C
 from leadweave.functions import contact as E
@@ -30,7 +33,8 @@ LD_FIELDS = ("description", "keywords", "industry", "knowsAbout", "about", "name
 #: Elements that a person's name or title may be the text of; and such as may be a page's footer.
 _BLOCKS = {"h1", "h2", "h3", "h4", "p", "span", "div"}
 _FOOTERS = {"footer", "div", "section"}
-#: An ampersand that begins no reference with a semicolon.
+#: Characters of pages that are parsed at once, and an ampersand that begins no reference with a semicolon.
+SLICE = 1 << 20
 _BARE_AMPERSAND = re.compile(r"&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)")
 
 
@@ -175,15 +179,33 @@ def parse(html: str | None, base: str | None = None) -> dict:
     }
 
 
-def parsed(html: Column, url: Column | None = None) -> Column:
-    """Struct of a page's parts; links are absolute where the page's address is given. The UDF
-    is made when a session is there."""
-    names = list(parse(""))
-
-    def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h, u) for h, u in zip(pages, bases)], columns=names)
-
-    return F.pandas_udf(run, PAGE)(html, F.lit("") if url is None else url)
+def parsed_batches(batches: Iterator[tuple[pa.Array, pa.Array]], kind: pa.StructType) -> Iterator[pa.Array]:
+    """Pages and their addresses as structs of the type's fields, a few pages at a time, however many come in a batch."""
+    names = [f.name for f in kind]
+    for pages, bases in batches:
+        rows, held = [], 0
+        for h, u in zip(pages, bases):
+            h = h.as_py()
+            page = parse(h, u.as_py())
+            rows.append({n: page[n] for n in names})
+            held += len(h or "")
+            if held >= SLICE:
+                yield pa.array(rows, kind)
+                rows, held = [], 0
+        if rows:
+            yield pa.array(rows, kind)
+
+
+def parsed(html: Column, url: Column | None = None, *fields: str) -> Column:
+    """Struct of a page's parts (all, or the named fields); links are absolute where the page's
+    address is given. The UDF is made when a session is there."""
+    kind = StructType([f for f in StructType.fromDDL(PAGE) if not fields or f.name in fields])
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return parsed_batches(batches, arrow)
+
+    return F.arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)(html, F.lit("") if url is None else url)
 
 
 def absolute(base: Column, href: Column) -> Column:

@@ -143,7 +143,7 @@ def request_fingerprints(spark, sf_dir):
 
 def html_links(spark, sf_dir):
     """Links of each page and how many stand in the footer."""
-    p = _pages(spark, sf_dir).select("page_id", H.parsed(F.col("html")).alias("p"))
+    p = _pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), None, "links").alias("p"))
     return p.select("page_id", F.size("p.links").cast("long").alias("links"), F.array_join(F.transform("p.links", lambda x: x["href"]), " ").alias("hrefs"))
 
 
@@ -162,14 +162,14 @@ def _with_menu_links(spark, sf_dir):
 
 def html_profile(spark, sf_dir):
     """Title, headings, contact fields, subpages, networks and homepage class of each page."""
-    p = _with_menu_links(spark, sf_dir).select("page_id", "more", H.parsed(F.col("html"), F.col("url")).alias("p"))
+    p = _with_menu_links(spark, sf_dir).select("page_id", "more", H.parsed(F.col("html"), F.col("url"), "title", "headings", "links", "text", "parts", "base", "host", "ld_emails", "ld_phones").alias("p"))
     s = H.homepage_score(F.col("p"))
     return p.select("page_id", "more", "p.title", F.size("p.headings").alias("headings"), F.array_join(H.page_emails(F.col("p")), ",").alias("emails"), F.array_join(H.page_phones(F.col("p")), ",").alias("phones"), F.to_json(H.subpages(F.col("p"))).alias("subpages"), F.to_json(H.social_links(F.col("p"))).alias("social"), s.alias("score"), H.homepage_class(s).alias("class"))
 
 
 def exact_homepages(spark, sf_dir):
     """Class of each page as a homepage for its own language's name, literally or not."""
-    p = _with_menu_links(spark, sf_dir).select("page_id", "more", "html", F.regexp_extract("url", "//([a-z]+)", 1).alias("word"), H.parsed(F.col("html"), F.col("url")).alias("p"))
+    p = _with_menu_links(spark, sf_dir).select("page_id", "more", "html", F.regexp_extract("url", "//([a-z]+)", 1).alias("word"), H.parsed(F.col("html"), F.col("url"), "title", "links", "parts").alias("p"))
     return p.select("page_id", "more", H.homepage_verdict(F.col("html"), F.col("p")).alias("class"), H.homepage_verdict(F.col("html"), F.col("p"), F.col("word")).alias("exact_class"))
 
 
