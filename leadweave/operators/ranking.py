@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,20 +90,64 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) ->
     return df.filter(F.col(weight) > 0).orderBy(F.desc(F.log(u) / F.col(weight)), key).limit(n)
 
 
+#: Fixed value: items times concepts, and common words of them, that are counted at once.
+CELLS = 1 << 22
+
+
+def _nearest_by_words(items: DataFrame, words: list[tuple[str, list[int]]], sizes: list[int], roi: list[float], n: int) -> DataFrame:
+    """k, place (a concept's place by term), common, score: the first n concepts of each row (k, nw, w)
+    by score, then place. The table of words is held whole; the rows need no shuffle."""
+    vocabulary = pa.array([x for x, _ in words], pa.string())
+    flat = np.array([c for _, cs in words for c in cs], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(cs) for _, cs in words])]).astype(np.int64)
+    nv, bonus = np.array(sizes, dtype=np.int64), 0.4 * np.array(roi) / 10
+    each, out = max(1, CELLS // max(len(sizes), len(flat))), "k long, place long, common long, score double"
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, each):
+                part = batch.slice(at, each)
+                row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part["w"]), 0).to_numpy(zero_copy_only=False))
+                word = pc.fill_null(pc.index_in(part["w"].flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row, word = row[word >= 0], word[word >= 0]
+                counts = starts[word + 1] - starts[word]
+                places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[word], counts)
+                common = np.bincount(np.repeat(row, counts) * len(nv) + flat[places], minlength=part.num_rows * len(nv)).reshape(part.num_rows, len(nv))
+                nw = pc.fill_null(part["nw"], 0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
+                score = np.where(common > 0, 0.6 * common / np.maximum(nw + nv - common, 1) + bonus, -np.inf)
+                for _ in range(min(n, len(nv))):
+                    best, r = score.argmax(axis=1), np.arange(part.num_rows)
+                    r = r[score[r, best] > -np.inf]
+                    best = best[r]
+                    yield pa.RecordBatch.from_arrays([part["k"].take(pa.array(r)), pa.array(best), pa.array(common[r, best]), pa.array(score[r, best])], ["k", "place", "common", "score"])
+                    score[r, best] = -np.inf
+
+    return items.mapInArrow(run, out.replace("k long", f"k {items.schema['k'].dataType.simpleString()}"))
+
+
 def nearest_concepts(items: DataFrame, words: Column, concept: DataFrame, n: int, key: str, small: int = 1_000_000) -> DataFrame:
     """For each item the n concepts by 0.6 word overlap (Jaccard) and 0.4 yield (roi / 10).
 
     concept(term, roi) is a dictionary: its words (they are counted) travel to the items while
-    there are at most `small`; else both meet in a shuffled join. Pairs without a common word are
-    never made, common words are counted before anything is shuffled, and a term's number stands
-    for its text until the first n are chosen.
+    there are at most `small`, and each item's first n are chosen where it is read; else both meet
+    in a shuffled join. Pairs without a common word are never made, and a term's number stands for
+    its text until the first n are chosen.
     """
     c = concept.groupBy("term").agg(F.max("roi").cast("double").alias("roi"))
     c = c.select(F.xxhash64("term").alias("id"), "term", "roi", F.array_distinct(F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != "")).alias("v"))
     by_word = c.select("id", F.explode("v").alias("x"))
-    if by_word.limit(small + 1).count() <= small:
-        by_word = F.broadcast(by_word)
     i = items.select(F.col(key).alias("k"), F.array_distinct(words).alias("w"))
+    if by_word.limit(small + 1).count() <= small:
+        terms = sorted(c.filter(F.size("v") > 0).select("term", "roi", "v").collect(), key=lambda t: t.term.encode())  # at most `small`
+        holders = {}
+        for place, t in enumerate(terms):
+            for x in t.v:
+                holders.setdefault(x, []).append(place)
+        listed = items.sparkSession.createDataFrame([(p, t.term) for p, t in enumerate(terms)], "place long, term string")
+        if not terms:
+            return i.limit(0).select(F.col("k").alias(key), F.lit("").alias("term"), F.lit(0).cast("long").alias("common"), F.lit(0.0).alias("score"))
+        g = _nearest_by_words(i.select("k", F.size("w").alias("nw"), "w"), list(holders.items()), [len(t.v) for t in terms], [t.roi for t in terms], n)
+        return per_group(g, ["k"], n, F.desc("score"), F.col("place")).join(F.broadcast(listed), "place").select(F.col("k").alias(key), "term", "common", "score")
     g = i.select("k", F.size("w").alias("nw"), F.explode("w").alias("x")).join(by_word, "x").groupBy("k", "nw", "id").agg(F.count(F.lit(1)).alias("common"))
     g = g.join(c.select("id", "term", "roi", F.size("v").alias("nv")), "id")
     g = g.withColumn("score", 0.6 * F.col("common") / (F.col("nw") + F.col("nv") - F.col("common")) + 0.4 * F.col("roi") / 10)
