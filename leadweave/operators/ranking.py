@@ -54,13 +54,13 @@ def priority_queue(requests: DataFrame, priorities: DataFrame | None = None) ->
 
 def provider_order(providers: DataFrame) -> DataFrame:
     """provider, place: by position in the list (from 0), ten later below a success rate of 0.2,
-    one earlier above 0.8 if free, a hundred later if unhealthy or open; then by success rate.
+    one earlier above 0.8 if free, a hundred later if unhealthy or open; then by success rate, position and provider.
     Columns: provider, position, queries, failures, cost, healthy, breaker."""
     rate = F.when(F.coalesce(F.col("queries"), F.lit(0)) > 0, (F.col("queries") - F.col("failures")) / F.col("queries")).otherwise(1.0)
     i = F.col("position") + F.when(rate < 0.2, 10).when((rate > 0.8) & (F.col("position") > 0) & (F.col("cost") == 0), -1).otherwise(0)
     i = i + F.when(~F.coalesce(F.col("healthy"), F.lit(True)) | (F.coalesce(F.col("breaker"), F.lit("CLOSED")) == "OPEN"), 100).otherwise(0)
     d = providers.select("provider", "position", i.alias("_i"), rate.alias("success_rate"))
-    return d.withColumn("place", F.row_number().over(Window.orderBy("_i", F.desc("success_rate"), "position"))).select("provider", "place", "success_rate")  # a row for each provider
+    return d.withColumn("place", F.row_number().over(Window.orderBy("_i", F.desc("success_rate"), "position", "provider"))).select("provider", "place", "success_rate")  # a row for each provider
 
 
 def explored(ordered: DataFrame, run: str, seed: int = 0, share: float = 0.1) -> DataFrame:
