@@ -83,7 +83,10 @@ def is_person(name: Column) -> Column:
     def good(n: Column) -> Column:  # the cheap tests first: most texts are no names
         return F.length(n).between(2, 60) & n.rlike(r"^[A-Za-z][A-Za-z.\-' ]{1,59}$") & F.size(F.split(n, r"\s+")).between(2, 5) & ~F.lower(n).rlike("|".join(NAME_NOISE))
 
-    return F.coalesce(U.bound(F.trim(F.regexp_replace(F.trim(name), AUTHOR_PREFIX, "")), good), F.lit(False))
+    def bare(n: Column) -> Column:  # only a text that begins so is copied
+        return F.trim(F.when(F.substring(n, 1, 13).rlike(AUTHOR_PREFIX), F.regexp_replace(n, AUTHOR_PREFIX, "")).otherwise(n))
+
+    return F.coalesce(U.bound(bare(F.trim(name)), good), F.lit(False))
 
 
 def is_person_record(name: Column, designation: Column) -> Column:

@@ -79,7 +79,7 @@ def jaccard_topk(spark, sf_dir):
 def text_person_lines(spark, sf_dir):
     """Every line of the texts, letters only, judged as a name, a title and a query."""
     d = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    name = F.trim(F.regexp_replace(F.regexp_replace("t", "[^A-Za-z ]", ""), " +", " "))
+    name = F.trim(F.regexp_replace(F.regexp_replace("t", "[^A-Za-z ]+", ""), " {2,}", " "))
     return d.select("doc_id", "line", name.alias("name")).select("doc_id", "line", "name", E.is_person(F.col("name")).alias("is_person"), C.query_intent(F.col("name")).alias("intent"), C.is_listing(F.col("name")).alias("listing"), N.name_key(F.col("name")).alias("name_key"))
 
 
